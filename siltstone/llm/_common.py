@@ -8,8 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 BATCH_ROWS = 512
@@ -19,7 +18,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Maximal runs of ASCII letters and digits (after lower-casing A-Z) and of all non-ASCII characters.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Maximal runs without ASCII white space.
+#: What stands between those words, and between runs without ASCII white space.
+WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPACE_BREAK = r"[\x20\x09-\x0D]+"
 TOKEN_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,8 +71,14 @@ def map_arrow(
     return df.mapInArrow(fn, schema)
 
 
-def ascii_lower(col: Column) -> Column:
-    return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
+def split_words(text: str, pattern: str) -> str:
+    """SQL for the words between matches of pattern. Splitting is many times as fast as regexp_extract_all."""
+    escaped = pattern.replace("\\", "\\\\")
+    return f"array_remove(split({text}, '{escaped}'), '')"
+
+
+def folded_words(column: str) -> str:
+    return split_words(f"translate(coalesce({column}, ''), '{UPPER}', '{LOWER}')", WORD_BREAK)
 
 
 def fold(text: str | None) -> str:

@@ -20,24 +20,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import LOWER, UPPER, WORD_PATTERN, ascii_lower, stage
+from siltstone.llm._common import folded_words, stage
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK = 50_000
 
 
-def _words(col):
-    return F.regexp_extract_all(ascii_lower(col), F.lit(WORD_PATTERN), F.lit(0))
-
-
 def _shingle_hash(array: str, at: str, q: int) -> str:
     return "xxhash64(" + ", ".join(f"{array}[{at} + {j}]" for j in range(q)) + ")"
 
 
 def benchmark_index(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per distinct window: q and h (its prefix shingle), off (the prefix's offset), win (words), items."""
-    item = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(F.col("text")).alias("w"))
+    item = benchmark.select(F.col("item_id").cast("string").alias("item"), F.expr(folded_words("text")).alias("w"))
     windows = (
         item.where(F.size("w") > 0)
         .select(
@@ -99,9 +95,7 @@ def decontaminate(
             by_q.setdefault(q, []).append(h)
         # The array of one array binds the words to a lambda variable, so they are extracted once.
         at = _positions(by_q, window) if by_q else "array()"
-        pattern = WORD_PATTERN.replace("\\", "\\\\")
-        words = f"array(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{pattern}', 0))"
-        found = f"transform({words}, w -> struct(cast(size(w) as bigint) as n_words, {at} as found))[0]"
+        found = f"transform(array({folded_words('text')}), w -> struct(cast(size(w) as bigint) as n_words, {at} as found))[0]"
         text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
         rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.expr(found).alias("x"))
         parts.append(rows.select("id", "th", "x.n_words", "x.found"))
