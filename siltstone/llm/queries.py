@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate
+import public_tokenizers
+
+from siltstone.llm import decontaminate, simhash, tokens, warc
 from siltstone.llm._common import table
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op2_token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
 
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
-SQL = {"op7_decontaminate": decontaminate.SQL}
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_warc": op10_warc,
+}
+SQL = {"op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
