@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siltstone.llm import decontaminate, simhash, tokens, warc
+from siltstone.llm import decontaminate, language, licenses, mixing, quality, secrets, simhash, tokens, warc
 from siltstone.llm._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.license_summary(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -18,18 +22,44 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return secrets.secret_summary(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
-    "op2_token_counts": op2_token_counts,
-    "op3_simhash": op3_simhash,
-    "op7_decontaminate": op7_decontaminate,
-    "op10_warc": op10_warc,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_token_counts,
+        op3_simhash,
+        op4_mixing,
+        op5_secret_scan,
+        op6_quality,
+        op7_decontaminate,
+        op9_language,
+        op10_warc,
+    )
 }
 SQL = {"op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
