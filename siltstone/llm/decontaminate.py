@@ -25,6 +25,8 @@ from siltstone.llm._common import folded_words, stage
 WINDOW = 10
 SHINGLE = 3
 BLOCK = 50_000
+#: Contaminated rows (16 bytes each) that may be broadcast to drop them.
+BROADCAST_ROWS = 500_000
 
 
 def _shingle_hash(array: str, at: str, q: int) -> str:
@@ -76,16 +78,10 @@ def _positions(prefixes: dict[int, list[int]], window: int) -> str:
     return found[0] if len(found) == 1 else f"concat({', '.join(found)})"
 
 
-def decontaminate(
+def find_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Null and empty texts have no words and no hits; items without words have no windows. Repeated rows
-    give repeated results; rows that share a doc_id but not a text are told apart by the text's hash. A
-    null doc_id is a value like any other. Other columns are ignored, whatever their names. Empty
-    tables give no rows, or rows without hits.
-    """
+    """One row per row of docs: id (doc_id), th (hash of the text), n_words, n_hit and items (null where nothing occurs)."""
     index = stage(benchmark_index(benchmark, window, shingle), "windows")
     prefixes = [(r.q, r.h) for r in index.select("q", "h").distinct().orderBy("q", "h").toLocalIterator()]
     parts = []
@@ -100,8 +96,8 @@ def decontaminate(
         rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.expr(found).alias("x"))
         parts.append(rows.select("id", "th", "x.n_words", "x.found"))
     if not prefixes:
-        rows = parts[0].select("id", "n_words")
-        return _shaped(rows.withColumns({"n_hit": F.lit(0), "items": F.lit(None).cast("array<string>")}))
+        rows = parts[0].select("id", "th", "n_words")
+        return rows.withColumns({"n_hit": F.lit(None).cast("long"), "items": F.lit(None).cast("array<string>")})
     staged = [stage(p, "positions") for p in parts]
     seen = reduce(DataFrame.union, [s.where(F.size("found") > 0) for s in staged])
     found = seen.select("id", "th", "n_words", F.inline("found"))
@@ -122,10 +118,18 @@ def decontaminate(
     hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.expr(covered).alias("n_hit"), "items")
     rows = staged[0].select("id", "th", "n_words")
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
-    return _shaped(joined)
+    return joined.select("id", "th", "n_words", "n_hit", "items")
 
 
-def _shaped(rows: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits; items without words have no windows. Repeated rows
+    give repeated results; rows that share a doc_id but not a text are told apart by the text's hash. A
+    null doc_id is a value like any other. Other columns are ignored, whatever their names. Empty
+    tables give no rows, or rows without hits.
+    """
+    rows = find_hits(docs, benchmark, window, block=block)
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return rows.select(
@@ -138,6 +142,19 @@ def _shaped(rows: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without the rows that hold a window of any item. All columns stay as they are.
+
+    The rows to drop are broadcast if a count has shown them to be few, else joined by a shuffle.
+    """
+    hit = find_hits(docs, benchmark).where(F.col("n_hit") > 0)
+    hit = stage(hit.select(F.col("id").alias("_hit"), F.col("th").alias("_th")), "contaminated")
+    if hit.count() <= broadcast_rows:
+        hit = F.broadcast(hit)
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")) & (text_hash == F.col("_th")), "left_anti")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siltstone.llm import decontaminate, language, licenses, mixing, quality, secrets, simhash, tokens, warc
+from siltstone.llm import decontaminate, hnsw, language, licenses, mixing, quality, secrets, simhash, tokens, warc
 from siltstone.llm._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_nearest(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -58,6 +62,7 @@ QUERIES = {
         op5_secret_scan,
         op6_quality,
         op7_decontaminate,
+        op8_nearest,
         op9_language,
         op10_warc,
     )

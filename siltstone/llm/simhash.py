@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siltstone.llm._common import map_arrow, stage
 from siltstone.llm.components import components
@@ -29,6 +31,8 @@ from siltstone.llm.components import components
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+#: Rows of identifiers (8 bytes each) that may be broadcast to drop documents by.
+BROADCAST_ROWS = 1_000_000
 #: Fingerprints a shard aims at, and shards at most; beyond, shards grow (8 bytes a fingerprint).
 SHARD = 65_536
 MAX_SHARDS = 4_096
@@ -251,6 +255,19 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(_shard_links(radius), "u long, v long")
 
 
+def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, staged; and fp, grp (the component's root, or fp itself), component_id of every fingerprint."""
+    rows = stage(fingerprints(docs), "fingerprints")
+    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = components(link_fingerprints(nodes, radius)).select(F.col("u").alias("fp"), "root")
+    linked = stage(nodes.join(roots, "fp").select("fp", "root", "least"), "linked")
+    first = linked.groupBy("root").agg(F.min("least").alias("first"))
+    named = linked.join(first, "root").select(F.col("fp").alias("fp2"), "root", "first")
+    # A linked component whose rows have no doc_id at all has no first; its nodes have no least either.
+    found = nodes.join(named, F.col("fp") == F.col("fp2"), "left")
+    return rows, found.select("fp", F.coalesce("root", "fp").alias("grp"), F.coalesce("first", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach).
 
@@ -258,15 +275,39 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked to each other. A null doc_id never names a component while the component has another; alone
     it gives a null component_id. An empty table gives no rows. Other columns are ignored.
     """
-    rows = stage(fingerprints(docs), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(link_fingerprints(nodes, radius)).select(F.col("u").alias("fp"), "root")
-    linked = stage(nodes.join(roots, "fp").select("fp", "root", "least"), "linked")
-    first = linked.groupBy("root").agg(F.min("least").alias("first"))
-    named = linked.join(first, "root").select(F.col("fp").alias("fp2"), "first")
-    least = nodes.join(named, F.col("fp") == F.col("fp2"), "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(least, "fp").select(
+    rows, groups = _grouped(docs, radius)
+    return rows.join(groups, "fp").select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@F.pandas_udf(T.LongType())
+def _fingerprint_udf(texts: pd.Series) -> pd.Series:
+    found = [fingerprint(t if isinstance(t, str) else None) for t in texts]
+    return pd.Series(np.array(found, np.uint64).view(np.int64))
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the least doc_id. All columns stay.
+
+    A null doc_id comes after all others; among equal ones the least fingerprint decides, and of rows
+    equal in both any one stays. Where every doc_id is set and unique, rows are dropped by it (a
+    broadcast if a count has shown them to be few, else a join); otherwise by doc_id and fingerprint.
+    """
+    rows, groups = _grouped(docs, radius)
+    placed = stage(rows.join(groups, "fp").select("id", "fp", "grp"), "groups")
+    best = placed.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("b"))
+    best = best.select(F.col("grp").alias("grp2"), F.col("b.id").alias("bid"), F.col("b.fp").alias("bfp"))
+    if placed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).isEmpty():
+        dropped = placed.join(best, F.col("grp") == F.col("grp2")).where(F.col("id") != F.col("bid"))
+        gone = stage(dropped.select(F.col("id").alias("_gone")), "dropped")
+        if gone.count() <= broadcast_rows:
+            gone = F.broadcast(gone)
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    marked = docs.withColumn("_fp", _fingerprint_udf("text"))
+    chosen = best.select("bid", "bfp")
+    same = F.col("_fp").eqNullSafe(F.col("bfp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("bid"))
+    one = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy("_fp"))
+    return marked.join(chosen, same, "left_semi").withColumn("_one", one).where(F.col("_one") == 1).select(*docs.columns)
