@@ -2,61 +2,31 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.staging import Staged, shared_dir
+
+__all__ = ["Staged", "shared_dir", "stage", "table", "map_arrow", "split_words", "folded_words"]
+
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Maximal runs of ASCII letters and digits (after lower-casing A-Z) and of all non-ASCII characters.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What stands between those words, and between runs without ASCII white space.
+#: What stands between words (runs of ASCII letters and digits, after lower-casing A-Z, and of non-ASCII characters),
+#: and between runs without ASCII white space.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_BREAK = r"[\x20\x09-\x0D]+"
-TOKEN_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = os.path.join(tempfile.gettempdir(), f"siltstone-{spark.sparkContext.applicationId}")
-    else:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.siltstone"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-class Staged:
-    """A DataFrame written once to the shared folder and read back: lineage ends there, lost executors cost nothing."""
-
-    def __init__(self, df: DataFrame, label: str):
-        spark = df.sparkSession
-        self._spark = spark
-        self.path = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self._spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     return Staged(df, label).df
 
@@ -79,8 +49,3 @@ def split_words(text: str, pattern: str) -> str:
 
 def folded_words(column: str) -> str:
     return split_words(f"translate(coalesce({column}, ''), '{UPPER}', '{LOWER}')", WORD_BREAK)
-
-
-def fold(text: str | None) -> str:
-    """Lower-cases A-Z alone."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

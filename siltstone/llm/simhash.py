@@ -9,7 +9,7 @@
    that its ball of radius r touches. Each shard then holds all pairs that belong to it.
 3. Each shard builds its own tree and searches it with members and visitors, pruning by the same
    bounds. It emits a spanning forest of the links it finds, never the pairs of a group.
-4. The forests' edges give components by star rounds (components.py).
+4. The forests' edges give components by star rounds (siltstone/operators/components.py).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.llm._common import map_arrow, stage
-from siltstone.llm.components import components
+from siltstone.operators.components import components
 
 RADIUS = 2
 SHINGLE = 3

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from siltstone.llm import simhash
-from siltstone.llm.components import components
+from siltstone.operators.components import components
 from tests.llm.conftest import lower
 
 
