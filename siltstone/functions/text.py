@@ -50,7 +50,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, however often body uses it."""
-    return F.transform(F.array(value), body).getItem(0)
+    return F.transform(F.array(value), lambda v: body(v)).getItem(0)  # one argument: transform would pass an index, too
 
 
 def casefold(c: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import features as f
 from siltstone.functions import text as t
 from siltstone.operators.landscape import COMBINED
+from siltstone.sources.staging import Staged
 
 MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
 #: Combined dimensions without the raw method, which the family stands for.
@@ -64,14 +65,24 @@ def top_values(anchored: DataFrame, n: int = TOP_VALUES) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def unobserved(top: DataFrame, features: DataFrame, size: int) -> DataFrame:
+def _place(c: Column) -> Column:
+    return F.element_at(F.create_map(*[x for i, d in enumerate(COMPARED) for x in (F.lit(d), F.lit(i))]), c)
+
+
+def held_values(top: DataFrame, features: DataFrame) -> DataFrame:
+    """v: the distinct sets of top values that papers hold, each an array of (i, (dimension, value)) in dimension order."""
+    kept = features.join(F.broadcast(top.select("dimension", "value")), ["dimension", "value"], "left_semi")
+    entry = F.struct(_place(F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"))
+    return kept.groupBy("paper_id").agg(F.array_sort(F.collect_set(entry)).alias("v")).select("v").distinct()
+
+
+def unobserved(top: DataFrame, held: DataFrame, size: int) -> DataFrame:
     """dims (dimension=value in dimension order), n_anchored, count of combinations that no one paper holds.
 
     top holds at most TOP_VALUES values for each of seven dimensions, so there are at most 21,000 combinations of any
-    size, made from that bounded table; the features decide by a distinct join which of them occur.
+    size, made from that bounded table; held (see held_values) decides which of them occur.
     """
-    place = F.create_map(*[x for i, d in enumerate(COMPARED) for x in (F.lit(d), F.lit(i))])
-    vals = F.broadcast(top.select(F.element_at(place, F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"), F.col("anchored").cast("int").alias("a"), "count"))
+    vals = F.broadcast(top.select(_place(F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"), F.col("anchored").cast("int").alias("a"), "count"))
     out = vals.select("i", F.array("d").alias("dims"), F.col("a").alias("n_anchored"), F.col("count").alias("count"))
     for _ in range(size - 1):
         nxt = vals.select(F.col("i").alias("j"), "d", "a", F.col("count").alias("c"))
@@ -79,10 +90,7 @@ def unobserved(top: DataFrame, features: DataFrame, size: int) -> DataFrame:
             F.col("j").alias("i"), F.concat("dims", F.array("d")).alias("dims"), (F.col("n_anchored") + F.col("a")).alias("n_anchored"), (F.col("count") + F.col("c")).alias("count")
         )
     out = out.where(F.col("n_anchored") >= min(2, size)).drop("i")
-    kept = features.join(vals.select("d.dimension", "d.value"), ["dimension", "value"], "left_semi")
-    packed = kept.groupBy("paper_id").agg(F.collect_set(F.struct(F.element_at(place, F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"))).alias("v"))
-    seen = packed.select(F.array_sort("v").alias("v")).distinct()
-    tuples = seen.select("v", F.explode("v").alias("x")).select("v", F.array("x.d").alias("dims"), F.col("x.i").alias("last"))
+    tuples = held.select("v", F.explode("v").alias("x")).select("v", F.array("x.d").alias("dims"), F.col("x.i").alias("last"))
     for _ in range(size - 1):
         later = F.filter("v", lambda y: y["i"] > F.col("last"))
         tuples = tuples.select("v", "dims", F.explode(later).alias("x")).select("v", F.concat("dims", F.array("x.d")).alias("dims"), F.col("x.i").alias("last"))
@@ -90,9 +98,13 @@ def unobserved(top: DataFrame, features: DataFrame, size: int) -> DataFrame:
 
 
 def combination_candidates(anchored: DataFrame, features: DataFrame, limit: int = MAX_CANDIDATES * 8) -> DataFrame:
-    """Unobserved combinations of five values down to two, in rank order: larger, more anchored, commoner, by name."""
-    top = top_values(anchored)
-    rows = reduce(DataFrame.unionByName, [unobserved(top, features, n) for n in range(5, 1, -1)])
+    """Unobserved combinations of five values down to two, in rank order: larger, more anchored, commoner, by name.
+
+    The top values and the sets that papers hold are written once, as four sizes read them.
+    """
+    top = Staged(top_values(anchored).select("dimension", "value", "count", "anchored"), "top-values").df
+    held = Staged(held_values(top, features), "held-values").df
+    rows = reduce(DataFrame.unionByName, [unobserved(top, held, n) for n in range(5, 1, -1)])
     names = F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], t.casefold(d["value"])))
     order = [F.size("dims").desc(), F.desc("n_anchored"), F.desc("count"), names]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)

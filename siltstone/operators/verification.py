@@ -119,16 +119,18 @@ def group_matches(claims: DataFrame, requirements: DataFrame) -> DataFrame:
     A claim of a facet's own fields meets a value by phrase; a claim of a supporting field by phrase, or if value and evidence hold all its concepts.
     Requirements are an idea's few rows, broadcast if a count shows them to be at most 10,000.
     """
-    req = requirements.select("idea_id", "facet", "grp", "value").distinct()
-    if req.limit(10_001).count() <= 10_000:
+    fields = F.element_at(_field_table({k: (*PRIMARY[k], *(x for x in CROSS[k] if x not in PRIMARY[k])) for k in PRIMARY}), F.col("facet"))
+    req = requirements.select("idea_id", "facet", "grp", concepts(F.col("value")).alias("need"), F.explode(fields).alias("field")).where(F.size("need") > 0).distinct()
+    if req.limit(50_001).count() <= 50_000:
         req = F.broadcast(req)
-    c = claims.select("paper_id", "field", F.col("value").alias("cv"), F.concat_ws(" ", "value", "evidence_text").alias("ct"))
-    own = F.array_contains(F.element_at(_field_table(PRIMARY), F.col("facet")), F.col("field"))
-    cross = F.array_contains(F.element_at(_field_table(CROSS), F.col("facet")), F.col("field"))
-    need = concepts(F.col("value"))
-    held = (F.size(need) > 0) & (F.size(F.array_except(need, concepts(F.col("ct")))) == 0)
-    met = c.join(req, (own | cross) & (phrase_matches(F.col("value"), F.col("cv")) | held))
-    return met.select("idea_id", "facet", "grp", "paper_id").distinct()
+    # Many claims say the same: each wording is compared once.
+    said = claims.select("field", "value", "evidence_text").distinct()
+    said = said.select("field", "value", "evidence_text", concepts(F.col("value")).alias("c"), concepts(F.concat_ws(" ", "value", "evidence_text")).alias("ct"))
+    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
+    fits = ((F.size("c") > 0) & (inside("need", "c") | inside("c", "need"))) | inside("need", "ct")
+    met = said.join(req, "field").where(fits).select("idea_id", "facet", "grp", "field", "value", F.col("evidence_text").alias("e")).distinct()
+    same = (claims["field"] == met["field"]) & (claims["value"] == met["value"]) & claims["evidence_text"].eqNullSafe(met["e"])
+    return claims.join(met, same).select("idea_id", "facet", "grp", "paper_id").distinct()
 
 
 def facet_matches(matched: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -177,13 +179,19 @@ def candidate_label(rows: DataFrame) -> DataFrame:
 
 def _basis_met(basis: DataFrame, claims: DataFrame) -> DataFrame:
     """candidate_id, paper_id, dimension, value: basis values that a claim of their own role states."""
-    strict = F.array_contains(F.element_at(_field_table(STRICT), F.col("dimension")), F.col("field"))
-    exact = F.col("dimension").isin("dataset", "performance_metric", "efficiency_metric")
     norm = lambda c: f.normalised(F.col("dimension"), F.col(c))
-    want = F.broadcast(basis) if basis.limit(10_001).count() <= 10_000 else basis
-    same = F.when(exact, (norm("value") != "") & (norm("value") == norm("cv"))).otherwise(phrase_matches(F.col("value"), F.col("cv")))
-    c = claims.select("paper_id", "field", F.col("value").alias("cv"))
-    return c.join(want, strict & same).select("candidate_id", "paper_id", "dimension", "value").distinct()
+    want = basis.select("candidate_id", "dimension", "value").distinct()
+    values = want.select("dimension", "value").distinct()
+    values = values.select("*", F.explode(F.element_at(_field_table(STRICT), F.col("dimension"))).alias("field"), concepts(F.col("value")).alias("need"), norm("value").alias("n"))
+    claims = claims.select("paper_id", "field", "value")
+    said = claims.select("field", F.col("value").alias("cv")).distinct().withColumn("have", concepts(F.col("cv")))
+    exact = F.col("dimension").isin("dataset", "performance_metric", "efficiency_metric")
+    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
+    phrase = (F.size("need") > 0) & (F.size("have") > 0) & (inside("need", "have") | inside("have", "need"))
+    met = said.join(values, "field").where(F.when(exact, (F.col("n") != "") & (F.col("n") == norm("cv"))).otherwise(phrase))
+    met = met.select("dimension", "value", F.col("field").alias("f"), "cv")
+    stated = claims.join(met, (claims["field"] == met["f"]) & (claims["value"] == met["cv"])).select("paper_id", "dimension", met["value"].alias("value")).distinct()
+    return want.join(stated, ["dimension", "value"]).select("candidate_id", "paper_id", "dimension", "value").distinct()
 
 
 def observed(basis: DataFrame, claims: DataFrame) -> DataFrame:

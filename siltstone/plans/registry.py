@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import analytics, ranked
+from siltstone.plans import analytics, ranked, reasoning
 
-MODULES = (ranked, analytics)
+MODULES = (ranked, analytics, reasoning)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

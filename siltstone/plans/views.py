@@ -73,3 +73,24 @@ FEATURES = """line AS (
     UNION ALL SELECT o_orderkey, 'problem', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'study_type', o_orderstatus FROM orders)
 ), fpapers AS (
   SELECT o_orderkey AS paper_id, CASE o_orderstatus WHEN 'F' THEN 'empirical' WHEN 'O' THEN 'methodological' ELSE 'survey' END AS study_type FROM orders)"""
+
+
+def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as papers of one value a dimension: sparse, so that combinations are missing."""
+    line = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = line.join(load(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    line = line.join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pair = lambda d, c: F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value"))
+    pairs = F.array(pair("method", "p_brand"), pair("method_family", "p_brand"), pair("dataset", "p_type"), pair("baseline", "n_name"), pair("constraint", "l_returnflag"), pair("problem", "o_orderpriority"))
+    paper = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return line.select(paper.alias("paper_id"), F.inline(pairs)).distinct().withColumn("ord", F.col("paper_id"))
+
+
+LINES = """lines AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS paper_id, p_brand, p_type, n_name, l_returnflag, o_orderpriority FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN orders ON l_orderkey = o_orderkey
+), features AS (
+  SELECT DISTINCT paper_id, dimension, value FROM (
+    SELECT paper_id, 'method' AS dimension, p_brand AS value FROM lines UNION ALL SELECT paper_id, 'method_family', p_brand FROM lines
+    UNION ALL SELECT paper_id, 'dataset', p_type FROM lines UNION ALL SELECT paper_id, 'baseline', n_name FROM lines
+    UNION ALL SELECT paper_id, 'constraint', l_returnflag FROM lines UNION ALL SELECT paper_id, 'problem', o_orderpriority FROM lines))"""
