@@ -65,7 +65,7 @@ def tokens(c: Column) -> Column:
     """Search tokens of a text without stopwords; all of them if nothing else is left. Null has none."""
     text = F.regexp_replace(casefold(F.coalesce(c, F.lit(""))), r"[-./]", " ")
     # A token begins with a letter or digit and may hold + and #: split at the rest, strip what leads.
-    parts = F.transform(F.split(text, r"[^\p{L}\p{N}+#]+"), lambda w: F.regexp_replace(w, r"^[+#]+", ""))
+    parts = F.transform(F.split(text, r"[^\p{L}\p{N}+#]+"), lambda w: F.ltrim(w, F.lit("+#")))
     every = F.filter(parts, lambda w: w != "")
 
     def useful(words: Column) -> Column:

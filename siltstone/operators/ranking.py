@@ -119,11 +119,14 @@ def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     The queries are a stated set, broadcast if a count shows them to be few.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    pairs = vectors.select("id", "vector").crossJoin(F.broadcast(q)) if q.limit(1001).count() <= 1000 else None
-    if pairs is None:
+    norm = lambda c: F.sqrt(v.dot(F.col(c), F.col(c)))
+    q = queries.select("query_id", F.col("vector").alias("_q"), norm("vector").alias("_qn"))
+    if q.limit(1001).count() > 1000:
         raise ValueError("more than 1000 query vectors; score them in blocks")
-    return pairs.select("query_id", "id", v.cosine(F.col("vector"), F.col("_q")).alias("semantic_raw_score"))
+    pairs = vectors.select("id", "vector", norm("vector").alias("_n")).crossJoin(F.broadcast(q))
+    value = F.when(F.col("_n") * F.col("_qn") > 0, v.dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).otherwise(F.lit(0.0))
+    checked = F.when(F.size("vector") == F.size("_q"), value).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+    return pairs.select("query_id", "id", checked.alias("semantic_raw_score"))
 
 
 def fuse(rows: DataFrame, lexical_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:

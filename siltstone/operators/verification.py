@@ -60,24 +60,27 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(text, r"[^a-z0-9]+"), lambda w: ~w.isin(*f.GAP_STOPWORDS, *f.GENERIC_BUCKETS))
 
 
-def stem(w: Column) -> Column:
+def stem(word: Column) -> Column:
     """A few verb forms in one, then the first suffix rule that fits."""
-    for root, forms in VERB_FORMS.items():
-        w = F.when(w.isin(*forms), root).otherwise(w)
-    n = F.length(w)
-    cut = lambda k: F.left(w, n - k)
-    return (
-        F.when((n > 5) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 6) & w.endswith("tion"), F.concat(cut(3), F.lit("t")))
-        .when((n > 5) & w.endswith("ing"), cut(3))
-        .when((n > 5) & w.endswith("ed"), cut(2))
-        .when((n > 5) & w.endswith("s"), cut(1))
-        .otherwise(w)
-    )
+    formed = F.coalesce(*[F.when(word.isin(*forms), F.lit(root)) for root, forms in VERB_FORMS.items()], word)
+
+    def suffix(w: Column) -> Column:
+        n = F.length(w)
+        cut = lambda k: F.left(w, n - k)
+        return (
+            F.when((n > 5) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
+            .when((n > 6) & w.endswith("tion"), F.concat(cut(3), F.lit("t")))
+            .when((n > 5) & w.endswith("ing"), cut(3))
+            .when((n > 5) & w.endswith("ed"), cut(2))
+            .when((n > 5) & w.endswith("s"), cut(1))
+            .otherwise(w)
+        )
+
+    return t.let(formed, suffix)
 
 
 def concepts(c: Column) -> Column:
-    return F.array_distinct(F.transform(terms(c), stem))
+    return F.array_distinct(F.transform(F.array_distinct(terms(c)), lambda w: stem(w)))
 
 
 def phrase_matches(a: Column, b: Column) -> Column:

@@ -83,7 +83,8 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda d, c: F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value"))
     pairs = F.array(pair("method", "p_brand"), pair("method_family", "p_brand"), pair("dataset", "p_type"), pair("baseline", "n_name"), pair("constraint", "l_returnflag"), pair("problem", "o_orderpriority"))
     paper = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return line.select(paper.alias("paper_id"), F.inline(pairs)).distinct().withColumn("ord", F.col("paper_id"))
+    one = line.select(paper.alias("paper_id"), pairs.alias("pairs")).distinct()  # lines repeat; their values need no second look
+    return one.select("paper_id", F.inline("pairs")).withColumn("ord", F.col("paper_id"))
 
 
 LINES = """lines AS (
