@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,21 +17,35 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
             named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.siltstone"
         else:
-            named = os.path.join(tempfile.gettempdir(), f"siltstone-{spark.sparkContext.applicationId}")
+            named = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has staged; results not yet read are lost with it."""
+    remove(spark, own_dir(spark))
+
+
 class Staged:
     """A DataFrame as a Parquet folder; reading it does not depend on what made it."""
 
     def __init__(self, df: DataFrame, label: str):
         self._spark = df.sparkSession
-        self.path = f"{shared_dir(self._spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+        self.path = f"{own_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self._spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self._spark, self.path)
