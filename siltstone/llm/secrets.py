@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import map_arrow, shared_dir, stage
+from siltstone.llm._common import map_arrow, stage
+from siltstone.sources.staging import own_dir
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are the base kinds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -82,7 +83,7 @@ class Ledger:
 
     def __init__(self, spark, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/siltstone/ledger-{uuid.uuid4().hex}"
+        self.path = path or f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm

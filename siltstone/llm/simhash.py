@@ -307,7 +307,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROA
             gone = F.broadcast(gone)
         return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     marked = docs.withColumn("_fp", _fingerprint_udf("text"))
-    chosen = best.select("bid", "bfp")
-    same = F.col("_fp").eqNullSafe(F.col("bfp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("bid"))
+    chosen = best.select(F.col("bid").alias("_bid"), F.col("bfp").alias("_bfp"))
+    same = F.col("_fp").eqNullSafe(F.col("_bfp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_bid"))
     one = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy("_fp"))
     return marked.join(chosen, same, "left_semi").withColumn("_one", one).where(F.col("_one") == 1).select(*docs.columns)

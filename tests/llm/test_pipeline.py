@@ -45,3 +45,22 @@ def test_run_is_its_stages(spark):
         docs = step(spark, docs, SF)
     want = sorted(map(str, docs.drop("target").collect()))
     assert sorted(map(str, corpus_pipeline.run(spark, SF).drop("target").collect())) == want
+
+
+def test_stages_with_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, blob string, spans int, id int, fp string, size int, copies string, key int, h int, bid int, y int, x int"
+    more = (None, 1, 2, "f", 3, "c", 4, 5, 6, 7, 8)
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "  ", None, None, 2), (3, long, "en", "a", None), (3, long, "en", "a", None), (4, "short text here.", "en", "b", 16), (4, "another one.", "en", "b", 12), (None, "short text here.", "de", None, 16)]
+    docs = spark.createDataFrame([r + more for r in rows], schema)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert out.count() <= len(rows)
+        assert step(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.redact_secrets(spark, docs, SF).count() == len(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sum(r.text == long for r in kept) == 1 and sum(r.text == "short text here." for r in kept) == 1 and sum(r.text == "another one." for r in kept) == 1
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert set(docs.columns) - {"size", "copies"} <= set(mixed.columns) and all(r.taken == r.size * r.copies > 0 for r in mixed.collect())
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), SF).count() == 0
