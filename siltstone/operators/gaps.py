@@ -1,6 +1,6 @@
 """Gap candidates over long tables.
 
-frequency: dimension, value, count, prevalence, paper_ids. claims: paper_id, dimension, ord, value,
+frequency: dimension, value, count, prevalence; members: dimension, value, paper_id, ord (landscape). claims: paper_id, dimension, ord, value,
 evidence_text, source, study_type. idea: dimension, value (its facets); idea_terms: one array of terms. A
 candidate has a candidate_id, category, pattern_type, title, description, basis (dimension, value, count,
 prevalence) and support (paper_id, evidence_type, value, role).
@@ -45,17 +45,15 @@ def idea_anchor(rows: DataFrame, idea: DataFrame, idea_terms: Column) -> DataFra
     return joined.withColumn("anchored", F.when(exact, F.col("_d").isNotNull()).otherwise(by_terms)).drop("_k", "_n", "_d", "_v")
 
 
-def repeated(frequency: DataFrame, dimension: str, n_covered: int) -> DataFrame:
-    """dimension, value, n_papers, paper_ids of limitations or future work that at least two papers state.
+def repeated(members: DataFrame, dimension: str, n_covered: int) -> DataFrame:
+    """dimension, value, n_papers of limitations or future work that at least two papers state.
 
-    Spellings with one key count together under the first by frequency; at least two papers must report the field at all.
+    Spellings with one key count together, under the commonest of them; at least two papers must report the field at all.
     """
-    rows = frequency.where((F.col("dimension") == dimension) & f.concrete_entity(F.col("value"))).withColumn("key", t.evidence_key(F.col("value")))
-    out = rows.groupBy("key").agg(
-        F.min_by("value", F.struct((-F.col("count")).alias("c"), "value")).alias("value"), F.array_distinct(F.flatten(F.collect_list("paper_ids"))).alias("paper_ids")
-    )
-    out = out.withColumn("n_papers", F.size("paper_ids")).where((F.col("n_papers") >= MIN_PAPERS) & F.lit(n_covered >= MIN_PAPERS))
-    return out.select(F.lit(dimension).alias("dimension"), "value", "n_papers", F.array_sort("paper_ids").alias("paper_ids"))
+    rows = members.where((F.col("dimension") == dimension) & f.concrete_entity(F.col("value"))).select(t.evidence_key(F.col("value")).alias("key"), "value", "paper_id")
+    n = rows.groupBy("key").agg(F.countDistinct("paper_id").alias("n_papers")).where((F.col("n_papers") >= MIN_PAPERS) & F.lit(n_covered >= MIN_PAPERS))
+    spelled = rows.groupBy("key", "value").agg(F.countDistinct("paper_id").alias("c")).groupBy("key").agg(F.min_by("value", F.struct((-F.col("c")).alias("c"), "value")).alias("value"))
+    return n.join(spelled, "key").select(F.lit(dimension).alias("dimension"), "value", "n_papers")
 
 
 def top_values(anchored: DataFrame, n: int = TOP_VALUES) -> DataFrame:
@@ -142,18 +140,22 @@ def narrow_setting(frequency: DataFrame, total: int, share: float = 0.6) -> Data
     return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("_n = 1").drop("_n")
 
 
-def collect_support(basis: DataFrame, claims: DataFrame, role: str) -> DataFrame:
-    """candidate_id, paper_id, evidence_type, value, evidence_text, role: claims that bear a candidate's basis.
+def collect_support(basis: DataFrame, claims: DataFrame, members: DataFrame, role: str) -> DataFrame:
+    """candidate_id, paper_id, evidence_type, value, evidence_text, role: claims that bear a candidate's basis (candidate_id, dimension, value).
 
-    basis: candidate_id, dimension, value, paper_ids. Values match normalised in their dimension (limitations and future work by
-    shared terms), pass the semantic guards, and count at most twice a paper and once a key.
+    Values match normalised in their dimension; in others (limitations, future work) a claim of a paper that holds the value must share a term
+    with it. Claims pass the semantic guards, and count at most twice a paper and once a key.
     """
-    asked = basis.select("candidate_id", "dimension", F.col("value").alias("want"), F.explode(F.array_distinct("paper_ids")).alias("paper_id"))
-    met = asked.join(claims.where(f.concrete_entity(F.col("value"))), ["paper_id", "dimension"])
+    asked = basis.select("candidate_id", "dimension", F.col("value").alias("want")).distinct()
     exact = F.col("dimension").isin(*METHODS, "comparison", "problem", "constraint", "dataset")
-    same = f.normalised(F.col("dimension"), F.col("want")) == f.normalised(F.col("dimension"), F.col("value"))
+    solid = claims.where(f.concrete_entity(F.col("value"))).select("paper_id", "dimension", "ord", "value", "evidence_text")
+    norm = lambda c: f.normalised(F.col("dimension"), F.col(c))
+    left = asked.where(exact).withColumn("_n", norm("want")).where("_n != ''")
+    same = solid.where(exact).withColumn("_n", norm("value")).join(left, ["dimension", "_n"]).drop("_n")
+    held = asked.where(~exact).join(members.select("dimension", F.col("value").alias("want"), "paper_id"), ["dimension", "want"])
     shared = F.arrays_overlap(f.gap_terms(F.col("want")), f.gap_terms(F.concat_ws(" ", "value", "evidence_text")))
-    met = met.where(F.when(exact, same & (f.normalised(F.col("dimension"), F.col("value")) != "")).otherwise(shared))
+    near = held.join(solid, ["dimension", "paper_id"]).where(shared)
+    met = same.unionByName(near)
     w = Window.partitionBy("candidate_id", "dimension", "want", "paper_id").orderBy("ord")
     met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_PAPER)
     met = met.where(f.semantic_guard(F.col("want"), F.col("dimension"), F.col("value"), F.col("evidence_text")))

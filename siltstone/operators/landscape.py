@@ -1,7 +1,7 @@
 """The literature landscape over long tables.
 
 features: paper_id, ord (of the paper), dimension, value. papers: paper_id, ord, study_type. Every count is
-exact; lists of papers are in paper order, carried by `ord` rather than by the order of arrival.
+exact; the order of papers is carried by `ord` rather than by the order of arrival.
 """
 
 from __future__ import annotations
@@ -59,14 +59,17 @@ def total(papers: DataFrame) -> DataFrame:
     return papers.agg(F.count(F.lit(1)).alias("total"))
 
 
+def members(features: DataFrame) -> DataFrame:
+    """dimension, value, paper_id, ord: which papers hold a value, as a long table. A value may be held by a third of all papers, so
+    no operator gathers them into one row."""
+    return usable(features).select("dimension", "value", "paper_id", "ord").distinct()
+
+
 def frequencies(features: DataFrame, papers: DataFrame) -> DataFrame:
-    """dimension, value, count, prevalence, paper_ids: distinct papers of each value; the denominator is all papers."""
-    rows = usable(features).select("dimension", "value", "paper_id", "ord").distinct()
-    counted = rows.groupBy("dimension", "value").agg(
-        F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct("ord", "paper_id"))).alias("p")
-    )
+    """dimension, value, count, prevalence: distinct papers of each value; the denominator is all papers. See members for which."""
+    counted = members(features).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"))
     out = counted.join(F.broadcast(total(papers)))
-    return out.select("dimension", "value", "count", (F.col("count") / F.col("total")).alias("prevalence"), F.col("p.paper_id").alias("paper_ids"))
+    return out.select("dimension", "value", "count", (F.col("count") / F.col("total")).alias("prevalence"))
 
 
 def frequency_order() -> list:

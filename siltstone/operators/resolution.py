@@ -187,11 +187,16 @@ def merge_records(papers: DataFrame, roots: DataFrame) -> DataFrame:
     rows = papers.join(roots, "ord")
     lead = F.row_number().over(Window.partitionBy("root").orderBy(*richness())) == 1
     rows = rows.withColumn("at", F.when(lead, F.lit(-1)).otherwise(F.col("ord")))
+    # Records equal in all that merges fold into their first, so copies of a work are never gathered.
+    told = [c for c in papers.columns if c not in ("ord", "id", "citation_count")]
+    rows = rows.groupBy("root", *told).agg(
+        F.min("at").alias("at"), F.min_by("id", "at").alias("id"), F.max("citation_count").alias("citation_count"), F.count(F.lit(1)).alias("n")
+    )
     none = F.array().cast("array<string>")
     single = ("openalex_id", "doi", "work_type", "publication_year", "publication_date", "source", "url")
     listed = lambda c: F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col(c), none).alias("x")))).alias(c)
     merged = rows.groupBy("root").agg(
-        F.count(F.lit(1)).alias("n_records"),
+        F.sum("n").alias("n_records"),
         F.min_by("id", "at").alias("lead_id"),
         F.array_sort(F.collect_list(F.struct("at", F.col("title").alias("x")))).alias("titles"),
         F.max_by("abstract", F.when(F.length("abstract") > 0, F.struct(F.length("abstract").alias("n"), (-F.col("at")).alias("o")))).alias("abstract"),

@@ -10,12 +10,18 @@ from siltstone.plans.views import FEATURES, feature_papers, features, load
 
 def feature_frequency(spark, sf_dir):
     out = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir))
-    return out.select("dimension", "value", "count", F.round("prevalence", 9).alias("prevalence"), F.sha1(F.concat_ws(",", "paper_ids")).alias("papers"))
+    return out.select("dimension", "value", "count", F.round("prevalence", 9).alias("prevalence"))
 
 
 FREQUENCY = f"""WITH {FEATURES}, n AS (SELECT count(*) AS n FROM fpapers)
-SELECT dimension, value, count(*) AS count, round(count(*) / any_value(n), 9) AS prevalence, sha1(string_agg(CAST(paper_id AS VARCHAR), ',' ORDER BY paper_id)) AS papers
-FROM features, n GROUP BY dimension, value"""
+SELECT dimension, value, count(*) AS count, round(count(*) / any_value(n), 9) AS prevalence FROM features, n GROUP BY dimension, value"""
+
+
+def feature_members(spark, sf_dir):
+    return landscape.members(features(spark, sf_dir)).select("dimension", "value", "paper_id")
+
+
+MEMBERS = f"WITH {FEATURES} SELECT dimension, value, paper_id FROM features"
 
 
 def _combos(size):
@@ -392,7 +398,7 @@ r(key, i, held, event_id, admitted) AS (
 SELECT event_id, admitted FROM r"""
 
 QUERIES = {
-    "feature_frequency": feature_frequency, **{f"feature_combinations_{n}": _combos(n) for n in range(2, 6)}, "missing_fields": missing_fields,
+    "feature_frequency": feature_frequency, "feature_members": feature_members, **{f"feature_combinations_{n}": _combos(n) for n in range(2, 6)}, "missing_fields": missing_fields,
     "source_coverage": source_coverage, "conflict_pairs": conflict_pairs, "top_values": top_values, "ir_metrics": ir_metrics, "ir_macro": ir_macro,
     "dedup_prf": dedup_prf, "extraction_prf": extraction_prf, "confusion_matrix": confusion_matrix, "label_metrics": label_metrics,
     "verification_summary": verification_summary, "rating_stats": rating_stats, "latency_stats": latency_stats, "ledger_balance": ledger_balance,
@@ -401,7 +407,7 @@ QUERIES = {
     "idempotent_events": idempotent_events, "guest_purge": guest_purge, "rate_limit_admitted": rate_limit_admitted,
 }
 SQL = {
-    "feature_frequency": FREQUENCY, **{f"feature_combinations_{n}": _combos_sql(n) for n in range(2, 6)}, "missing_fields": MISSING,
+    "feature_frequency": FREQUENCY, "feature_members": MEMBERS, **{f"feature_combinations_{n}": _combos_sql(n) for n in range(2, 6)}, "missing_fields": MISSING,
     "source_coverage": COVERAGE, "conflict_pairs": CONFLICTS, "top_values": TOP, "ir_metrics": IR, "ir_macro": IR_MACRO, "dedup_prf": DEDUP,
     "extraction_prf": EXTRACTION, "confusion_matrix": CONFUSION, "label_metrics": LABEL, "verification_summary": VERIFICATION, "rating_stats": RATINGS,
     "latency_stats": LATENCY, "ledger_balance": BALANCE, "user_list": USERS, "budget_committed": BUDGET, "budget_admission": ADMISSION,

@@ -285,7 +285,7 @@ SELECT idea_id, paper_id, n AS n_covered, CASE WHEN papers < 2 OR g IS NULL THEN
 
 
 def _candidates(spark, sf_dir):
-    info = Staged(_anchored(spark, sf_dir).select("dimension", "value", "count", "prevalence", F.slice("paper_ids", 1, 3).alias("paper_ids"), "anchored"), "anchored").df
+    info = Staged(_anchored(spark, sf_dir).select("dimension", "value", "count", "prevalence", "anchored"), "anchored").df
     combos = Staged(gaps.combination_candidates(info, line_features(spark, sf_dir)), "combinations").df
     rows = combos.select(F.concat(F.lit("g"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("candidate_id"), "dims")
     rows = rows.withColumns({"category": F.lit("combination"), "pattern_type": F.lit("combination_gap"), "title": gaps.title_text(), "description": F.lit("")})
@@ -296,7 +296,8 @@ def _candidates(spark, sf_dir):
 def gap_candidates(spark, sf_dir):
     """Combination candidates that two orders' claims support, with their relevance."""
     rows, basis = _candidates(spark, sf_dir)
-    support = gaps.collect_support(basis, _claims(spark, sf_dir, line_features(spark, sf_dir)), "contextual_support")
+    lines = line_features(spark, sf_dir)
+    support = gaps.collect_support(basis, _claims(spark, sf_dir, lines), landscape.members(lines), "contextual_support")
     out = gaps.relevance(gaps.gate(rows, support), basis, _terms(spark))
     return out.select("candidate_id", "title", "n_support", F.round("idea_relevance", 6).alias("idea_relevance"), F.round("idea_anchor_score", 6).alias("idea_anchor_score"))
 

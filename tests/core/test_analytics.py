@@ -13,7 +13,8 @@ def test_frequencies_combinations_and_missing(spark):
     feats = spark.createDataFrame(rows, "paper_id int, ord int, dimension string, value string")
     papers = spark.createDataFrame([(0, 0, "empirical"), (1, 1, "methodological"), (2, 2, "review"), (3, 3, "empirical")], "paper_id int, ord int, study_type string")
     freq = {(r.dimension, r.value): r for r in landscape.frequencies(feats, papers).collect()}
-    assert freq["method", "LoRA"]["count"] == 3 and freq["method", "LoRA"].prevalence == 0.75 and freq["method", "LoRA"].paper_ids == [0, 1, 2] and len(freq) == 2
+    assert freq["method", "LoRA"]["count"] == 3 and freq["method", "LoRA"].prevalence == 0.75 and len(freq) == 2
+    assert [r.paper_id for r in landscape.members(feats).where("value = 'LoRA'").orderBy("ord").collect()] == [0, 1, 2]
     (combo,) = landscape.combos(feats, papers, 2).collect()
     assert combo["count"] == 2 and combo.prevalence == 0.5 and landscape.N_SPECS == 210
     miss = {r.field: r.n_missing for r in landscape.missing_fields(feats, papers).collect()}
@@ -141,6 +142,19 @@ def test_documents(spark):
     assert [r.section_id for r in documents.choose_context(sec, 500, 1).collect()] == ["s2"]
 
 
+def test_support_and_repetition(spark):
+    rows = [(1, 1, "limitation", "small samples"), (2, 2, "limitation", "Small-samples"), (3, 3, "limitation", "small samples"), (3, 3, "limitation", "other"), (4, 4, "limitation", "cost")]
+    mem = landscape.members(spark.createDataFrame(rows, "paper_id int, ord int, dimension string, value string"))
+    assert [(r.value, r.n_papers) for r in gaps.repeated(mem, "limitation", 4).collect()] == [("small samples", 3)] and gaps.repeated(mem, "limitation", 1).count() == 0
+    claims = [(1, "limitation", 0, "tiny samples", "only few samples"), (1, "limitation", 1, "samples", "x"), (1, "limitation", 2, "samples again", "x"), (4, "limitation", 0, "samples", "x"), (5, "method_family", 0, "LoRA models", "y"), (6, "method_family", 0, "lora", "y")]
+    claims = spark.createDataFrame(claims, "paper_id int, dimension string, ord int, value string, evidence_text string")
+    basis = spark.createDataFrame([("a", "limitation", "small samples"), ("a", "method_family", "LoRA"), ("b", "method_family", "GAN")], "candidate_id string, dimension string, value string")
+    got = gaps.collect_support(basis, claims, mem, "direct_support")
+    assert {(r.candidate_id, r.paper_id, r.value) for r in got.collect()} == {("a", 1, "tiny samples"), ("a", 1, "samples"), ("a", 5, "LoRA models"), ("a", 6, "lora")}
+    cands = spark.createDataFrame([("a", "LoRA on small samples", ""), ("b", "GAN", "")], "candidate_id string, title string, description string")
+    assert [(r.candidate_id, r.n_support) for r in gaps.gate(cands, got).collect()] == [("a", 3)]
+
+
 def test_gap_pruning_and_consolidation(spark):
     rows = [("a", "c", "p", "t", "d", ["x=1", "y=2"], ["P1", "P2"], 0), ("b", "c", "p", "t2", "d", ["y=2", "x=1"], ["P1"], 0), ("e", "c", "p", "other", "d", ["x=1"], ["P1"], 0), ("f", "l", "q", "deep nets fail", "", [], ["P1", "P2"], 1), ("g", "l", "q", "nets fail", "", [], ["P9"], 0), ("h", "l", "q", "unrelated words", "", [], ["P8"], 0)]
     df = spark.createDataFrame(rows, "candidate_id string, category string, pattern_type string, title string, description string, keys array<string>, paper_ids array<string>, n_direct int")
