@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import features as f
 from siltstone.functions import text as t
-from siltstone.operators.landscape import COMBINED
+from siltstone.operators.landscape import COMBINED, joint_tuples
 from siltstone.sources.staging import Staged
 
 MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
@@ -88,11 +88,8 @@ def unobserved(top: DataFrame, held: DataFrame, size: int) -> DataFrame:
             F.col("j").alias("i"), F.concat("dims", F.array("d")).alias("dims"), (F.col("n_anchored") + F.col("a")).alias("n_anchored"), (F.col("count") + F.col("c")).alias("count")
         )
     out = out.where(F.col("n_anchored") >= min(2, size)).drop("i")
-    tuples = held.select("v", F.explode("v").alias("x")).select("v", F.array("x.d").alias("dims"), F.col("x.i").alias("last"))
-    for _ in range(size - 1):
-        later = F.filter("v", lambda y: y["i"] > F.col("last"))
-        tuples = tuples.select("v", "dims", F.explode(later).alias("x")).select("v", F.concat("dims", F.array("x.d")).alias("dims"), F.col("x.i").alias("last"))
-    return out.join(tuples.select("dims").distinct(), "dims", "left_anti")
+    tuples = held.select(F.explode(joint_tuples(F.col("v"), size)).alias("dims")).distinct()
+    return out.join(tuples, "dims", "left_anti")
 
 
 def combination_candidates(anchored: DataFrame, features: DataFrame, limit: int = MAX_CANDIDATES * 8) -> DataFrame:

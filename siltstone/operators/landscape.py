@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,6 +76,22 @@ def frequency_order() -> list:
     return [F.desc("count"), F.asc("dimension"), F.asc("value")]
 
 
+def joint_tuples(values: Column, size: int) -> Column:
+    """All arrays of `size` entries d, one of each of `size` different dimensions, in dimension order. values: sorted array of (i, d)."""
+
+    def longer(of: Column) -> Column:
+        def after(p: Column) -> Column:
+            later = F.filter(values, lambda y: y["i"] > p["last"])
+            return F.transform(later, lambda y: F.struct(y["i"].alias("last"), F.concat(p["dims"], F.array(y["d"])).alias("dims")))
+
+        return F.flatten(F.transform(of, lambda p: after(p)))
+
+    out = F.transform(values, lambda x: F.struct(x["i"].alias("last"), F.array(x["d"]).alias("dims")))
+    for _ in range(size - 1):
+        out = longer(out)
+    return F.transform(out, lambda p: p["dims"])
+
+
 def combos(features: DataFrame, papers: DataFrame, size: int) -> DataFrame:
     """dims (array of dimension=value in dimension order), count, prevalence: papers that hold all values together.
 
@@ -88,13 +104,10 @@ def combos(features: DataFrame, papers: DataFrame, size: int) -> DataFrame:
     kept = papers.where(F.col("study_type").isin(*EMPIRICAL)).select("paper_id")
     rows = usable(features).where(F.col("dimension").isin(*COMBINED)).join(kept, "paper_id", "left_semi")
     rows = rows.select("paper_id", F.element_at(place, F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d")).distinct()
-    # All values of a paper stand in one row, so a paper's tuples need no further shuffle.
+    # All values of a paper stand in one row, so its tuples are made there and need no further shuffle.
     packed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("v"))
-    out = packed.select("paper_id", "v", F.explode("v").alias("x")).select("paper_id", "v", F.array("x.d").alias("dims"), F.col("x.i").alias("last"))
-    for _ in range(size - 1):
-        nxt = F.filter("v", lambda y: y["i"] > F.col("last"))
-        out = out.select("paper_id", "v", "dims", F.explode(nxt).alias("x")).select("paper_id", "v", F.concat("dims", F.array("x.d")).alias("dims"), F.col("x.i").alias("last"))
-    counted = out.select("paper_id", "dims").groupBy("dims").agg(F.count(F.lit(1)).alias("count"))
+    out = packed.select(F.explode(joint_tuples(F.col("v"), size)).alias("dims"))
+    counted = out.groupBy("dims").agg(F.count(F.lit(1)).alias("count"))
     return counted.join(F.broadcast(total(papers))).select("dims", "count", (F.col("count") / F.col("total")).alias("prevalence"))
 
 
