@@ -256,7 +256,7 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) of every row, staged; and fp, grp (the component's root, or fp itself), component_id of every fingerprint."""
+    """(id, fp) of every row, staged; and fp, grp (the component's root, or fp itself), component_id, least id of every fingerprint."""
     rows = stage(fingerprints(docs), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(link_fingerprints(nodes, radius)).select(F.col("u").alias("fp"), "root")
@@ -265,7 +265,7 @@ def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     named = linked.join(first, "root").select(F.col("fp").alias("fp2"), "root", "first")
     # A linked component whose rows have no doc_id at all has no first; its nodes have no least either.
     found = nodes.join(named, F.col("fp") == F.col("fp2"), "left")
-    return rows, found.select("fp", F.coalesce("root", "fp").alias("grp"), F.coalesce("first", "least").alias("component_id"))
+    return rows, found.select("fp", F.coalesce("root", "fp").alias("grp"), F.coalesce("first", "least").alias("component_id"), "least")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -297,17 +297,18 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROA
     broadcast if a count has shown them to be few, else a join); otherwise by doc_id and fingerprint.
     """
     rows, groups = _grouped(docs, radius)
-    placed = stage(rows.join(groups, "fp").select("id", "fp", "grp"), "groups")
-    best = placed.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("b"))
-    best = best.select(F.col("grp").alias("grp2"), F.col("b.id").alias("bid"), F.col("b.fp").alias("bfp"))
+    # The row that stays is found among fingerprints, where copies have folded; rows meet it by one join.
+    groups = stage(groups.select("fp", "grp", "least"), "groups")
+    best = groups.groupBy("grp").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("b"))
+    best = best.select("grp", F.col("b.least").alias("bid"), F.col("b.fp").alias("bfp"))
+    placed = stage(rows.join(groups.join(best, "grp").select("fp", "bid", "bfp"), "fp").select("id", "fp", "bid", "bfp"), "placed")
     if placed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).isEmpty():
-        dropped = placed.join(best, F.col("grp") == F.col("grp2")).where(F.col("id") != F.col("bid"))
-        gone = stage(dropped.select(F.col("id").alias("_gone")), "dropped")
+        gone = stage(placed.where(F.col("id") != F.col("bid")).select(F.col("id").alias("_gone")), "dropped")
         if gone.count() <= broadcast_rows:
             gone = F.broadcast(gone)
         return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     marked = docs.withColumn("_fp", _fingerprint_udf("text"))
-    chosen = best.select(F.col("bid").alias("_bid"), F.col("bfp").alias("_bfp"))
+    chosen = placed.select(F.col("bid").alias("_bid"), F.col("bfp").alias("_bfp")).distinct()
     same = F.col("_fp").eqNullSafe(F.col("_bfp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_bid"))
     one = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy("_fp"))
     return marked.join(chosen, same, "left_semi").withColumn("_one", one).where(F.col("_one") == 1).select(*docs.columns)
