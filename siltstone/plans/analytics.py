@@ -111,7 +111,7 @@ def _retrieved(spark, sf_dir):
     """Customers as cases: their orders by price are what was retrieved; urgent and high ones are relevant."""
     o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.concat(F.lit(" P"), F.col("o_orderkey")).alias("id"), "o_orderpriority", "o_totalprice")
     place = F.row_number().over(operations.Window.partitionBy("case_id").orderBy(F.desc("o_totalprice"), "id"))
-    retrieved = o.select("case_id", place.alias("ord"), "id").where(F.col("ord") <= 12)
+    retrieved = o.select("case_id", place.alias("ord"), "id")
     grade = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(0)
     return retrieved, o.select("case_id", F.lower(F.trim("id")).alias("id"), grade.alias("grade")), o.select("case_id")
 
@@ -127,7 +127,7 @@ _IR = """r AS (SELECT o_custkey AS case_id, o_orderkey AS id, row_number() OVER
 g AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, id) AS i FROM r WHERE grade > 0),
 ideal AS (SELECT case_id, count(*) AS n, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) ELSE 0 END) AS idcg FROM g GROUP BY case_id),
 h AS (SELECT case_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50, min(rank) AS first,
-  sum(CASE WHEN rank <= 10 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM r WHERE rank <= 12 AND grade > 0 GROUP BY case_id),
+  sum(CASE WHEN rank <= 10 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM r WHERE grade > 0 GROUP BY case_id),
 m AS (SELECT case_id, coalesce(h10 / n, 0.0) AS recall_10, coalesce(h50 / n, 0.0) AS recall_50, coalesce(1.0 / first, 0.0) AS mrr, coalesce(dcg / idcg, 0.0) AS ndcg_10 FROM ideal LEFT JOIN h USING (case_id))"""
 IR = f"WITH {_IR} SELECT case_id, round(recall_10, 6) AS recall_10, round(recall_50, 6) AS recall_50, round(mrr, 6) AS mrr, round(ndcg_10, 6) AS ndcg_10 FROM m"
 
@@ -255,10 +255,10 @@ def _ledger(spark, sf_dir):
     """Grants of a customer's balance and a debit per order, in whole units."""
     grant = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.floor("c_acctbal").alias("amount"))
     debit = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (-F.floor(F.col("o_totalprice") / 1000)).alias("amount"))
-    return grant.where("user_id % 4 != 0").unionByName(debit)
+    return grant.where("amount > 0").unionByName(debit)
 
 
-_LEDGER = """ledger AS (SELECT c_custkey AS user_id, CAST(floor(c_acctbal) AS BIGINT) AS amount FROM customer WHERE c_custkey % 4 <> 0
+_LEDGER = """ledger AS (SELECT c_custkey AS user_id, CAST(floor(c_acctbal) AS BIGINT) AS amount FROM customer WHERE floor(c_acctbal) > 0
   UNION ALL SELECT o_custkey, -CAST(floor(o_totalprice / 1000) AS BIGINT) FROM orders)"""
 
 

@@ -129,14 +129,14 @@ SELECT idea_id, CAST(row_number() OVER (PARTITION BY idea_id ORDER BY first, id)
 
 def plan_quota(spark, sf_dir):
     """Conversations as ideas: the first turn is the original, users' turns deterministic, the others generated queries."""
-    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("idea_id"), F.col("turn").alias("ord"), F.substring("text", 1, 60).alias("text"), "role")
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("idea_id"), F.col("turn").alias("ord"), "text", "role")
     first = retrieval.first_seen(c, ["idea_id"], ["ord", "text"])
     rest = c.withColumns({"strategy": F.lit("turn"), "source": F.when(F.col("role") == "user", "deterministic").otherwise("llm")})
     rest = rest.groupBy("idea_id", "ord", "source", "strategy").agg(F.min("text").alias("text"))
     return retrieval.plan_queries(first.select("idea_id", "text"), rest).select("idea_id", "ord", "text", F.size("origins").alias("n_origins"))
 
 
-PLAN = f"""WITH c AS (SELECT conv_id AS idea_id, turn AS ord, substr(text, 1, 60) AS text, role FROM conversations),
+PLAN = f"""WITH c AS (SELECT conv_id AS idea_id, turn AS ord, text, role FROM conversations),
 o AS (SELECT idea_id, -1 AS ord, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, 'original' AS strategy, 'deterministic' AS source, 0 AS grp
   FROM c QUALIFY row_number() OVER (PARTITION BY idea_id ORDER BY ord, text) = 1),
 g AS (SELECT idea_id, ord, min(text) AS text, 'turn' AS strategy, CASE WHEN role = 'user' THEN 'deterministic' ELSE 'llm' END AS source,
@@ -180,12 +180,12 @@ SELECT paper_id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree,
 
 
 def citation_components(spark, sf_dir):
-    """Components of the graph without its halving edges, so that there are many of them."""
+    """Components over references to later papers, so that there are many of them."""
     nodes, _, edge = _cited(spark, sf_dir)
-    return graph.components(nodes, edge.where(F.col("cited_paper_id") != F.floor(F.col("citing_paper_id") / 2)).where(F.col("citing_paper_id") % 3 != 0))
+    return graph.components(nodes, edge.where("cited_paper_id > citing_paper_id"))
 
 
-COMPONENTS = f"""WITH RECURSIVE {CITED}, k AS (SELECT u, v FROM e WHERE v <> u // 2 AND u % 3 <> 0), s AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
+COMPONENTS = f"""WITH RECURSIVE {CITED}, k AS (SELECT u, v FROM e WHERE v > u), s AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
 reach(u, v) AS (SELECT paper_id, paper_id FROM d UNION SELECT reach.u, s.v FROM reach JOIN s ON reach.v = s.u)
 SELECT u AS paper_id, min(v) AS component_id FROM reach GROUP BY u"""
 

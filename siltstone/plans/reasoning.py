@@ -205,12 +205,16 @@ def _claims(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
 
 
 def missing_comparison_pairs(spark, sf_dir):
+    """Families of two orders each that no order compares; the dearest orders are those that speak of comparing."""
     freq = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir))
-    return gaps.missing_comparisons(freq, gaps.observed_pairs(_claims(spark, sf_dir).where("paper_id % 40 < 3 or dimension = 'baseline'")))
+    dear = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_totalprice") > 499_000).alias("dear"))
+    said = F.when(F.col("dear"), "compared with others").otherwise("alone")
+    claims = _claims(spark, sf_dir).join(dear, "paper_id").withColumn("evidence_text", said)
+    return gaps.missing_comparisons(freq, gaps.observed_pairs(claims))
 
 
 MISSING_PAIRS = f"""WITH {FEATURES}, fam AS (SELECT regexp_replace(lower(value), '#', ' ') AS k, count(*) AS n FROM features WHERE dimension = 'method_family' GROUP BY 1 HAVING count(*) >= 2),
-m AS (SELECT paper_id, regexp_replace(lower(value), '#', ' ') AS v FROM features WHERE dimension = 'method_family' AND paper_id % 40 < 3 AND paper_id % 3 = 0),
+m AS (SELECT paper_id, regexp_replace(lower(value), '#', ' ') AS v FROM features WHERE dimension = 'method_family' AND paper_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 499000)),
 o AS (SELECT DISTINCT x.v AS a, y.v AS b FROM m x JOIN m y ON x.paper_id = y.paper_id AND x.v < y.v)
 SELECT x.k AS "left", y.k AS "right", x.n AS left_count, y.n AS right_count FROM fam x JOIN fam y ON x.k < y.k WHERE (x.k, y.k) NOT IN (SELECT (a, b) FROM o)"""
 

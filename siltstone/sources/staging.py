@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.siltstone"
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siltstone-staging"
         else:
             named = tempfile.mkdtemp(prefix="siltstone-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
