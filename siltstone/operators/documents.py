@@ -177,6 +177,28 @@ def line_sessions(documents: DataFrame) -> DataFrame:
     return rows.where((F.col("text") != "") & ~F.lower(label).rlike(f"^{REFERENCE_HEADING}$"))
 
 
+def with_parents(sections: DataFrame) -> DataFrame:
+    """sections whose sub-headings (2.1 Data) carry their numbered parent (2 Methods / 2.1 Data), the last one before them in the document.
+
+    A plain heading ends the reach of a parent.
+    """
+    marker = F.regexp_extract("heading", r"^([1-9]\d?(?:\.\d{1,2})*)(?:[.)])?\s", 1)
+    rows = sections.withColumn("_m", marker)
+    top = F.when((F.col("_m") != "") & ~F.col("_m").contains("."), F.struct(F.col("_m").alias("m"), F.col("heading").alias("h")))
+    reset = F.when(F.col("_m") == "", F.struct(F.lit("").alias("m"), F.lit("").alias("h")))
+    w = Window.partitionBy("paper_id").orderBy("ord")
+    rows = rows.withColumn("_p", F.last(F.coalesce(top, reset), ignorenulls=True).over(w))
+    child = F.col("_m").contains(".") & (F.col("_p.m") == F.substring_index("_m", ".", 1))
+    return rows.withColumn("heading", F.when(child, F.concat_ws(" / ", "_p.h", "heading")).otherwise(F.col("heading"))).drop("_m", "_p")
+
+
+def semantic_or_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sections of documents with two recognised headings at least; the others' pages (paper_id, ord, heading, text) as they are."""
+    known = F.count_if(~F.array_contains(t.heading_roles(F.col("heading")), "other"))
+    good = sections.groupBy("paper_id").agg(known.alias("n")).where("n >= 2").select("paper_id")
+    return sections.join(good, "paper_id", "left_semi").unionByName(pages.join(good, "paper_id", "left_anti"))
+
+
 def normalise(sections: DataFrame, max_document: int = MAX_DOCUMENT, max_section: int = MAX_SECTION, max_chunk: int = MAX_CHUNK) -> DataFrame:
     """Bounded sections with stable ids: paper_id, ord, section_id, heading, section_types, text, truncated.
 

@@ -56,6 +56,22 @@ def repeated(members: DataFrame, dimension: str, n_covered: int) -> DataFrame:
     return n.join(spelled, "key").select(F.lit(dimension).alias("dimension"), "value", "n_papers")
 
 
+def conflict_candidates(conflicts: DataFrame, n_papers: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, basis) of conflicts (left_id, right_id, topic) on concrete topics, one for each topic.
+
+    Their basis has the dimension `conflict`, which verification does not accept.
+    """
+    rows = conflicts.where(f.concrete_entity(F.col("topic"))).select("topic", F.explode(F.array("left_id", "right_id")).alias("paper_id"))
+    topics = rows.groupBy("topic").agg(F.countDistinct("paper_id").alias("count"))
+    named = topics.withColumn("candidate_id", F.concat(F.lit("conflict-"), t.gap_key(F.col("topic"))))
+    candidates = named.select(
+        "candidate_id", F.lit("contradiction").alias("category"), F.lit("comparable_conflict").alias("pattern_type"),
+        F.concat(F.lit("Conditions behind opposed findings on "), "topic").alias("title"), F.lit("").alias("description"),
+    )
+    basis = named.select("candidate_id", F.lit(0).alias("ord"), F.lit("conflict").alias("dimension"), F.col("topic").alias("value"), "count", (F.col("count") / max(1, n_papers)).alias("prevalence"))
+    return candidates, basis
+
+
 def top_values(anchored: DataFrame, n: int = TOP_VALUES) -> DataFrame:
     """The n values of each combined dimension that count: named by the idea first, then by papers, then by name."""
     rows = anchored.where(F.col("dimension").isin(*COMPARED) & f.concrete_entity(F.col("value")))
