@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
+from siltstone.session import shipped
 
 MAX_DOCUMENT, MAX_SECTION, MAX_CHUNK, MAX_CONTEXT, MAX_SECTIONS = 120_000, 20_000, 8_000, 30_000, 16
 
@@ -146,7 +147,7 @@ def parse(documents: DataFrame) -> DataFrame:
                 rows += [(i, n, h, x) for n, (h, x) in enumerate(parsers.get(kind, lambda _: [])(body))]
             yield pd.DataFrame(rows, columns=["paper_id", "ord", "heading", "text"])
 
-    return documents.select(F.col("paper_id").cast("long"), "source_format", "body").mapInPandas(run, SECTION_SCHEMA)
+    return shipped(documents).select(F.col("paper_id").cast("long"), "source_format", "body").mapInPandas(run, SECTION_SCHEMA)
 
 
 def is_heading(line: Column) -> Column:
@@ -277,5 +278,5 @@ def pack(items: DataFrame, max_items: int, max_chars: int, separator: int = 23)
                 out.append(batch)
             yield rows.assign(batch=out)
 
-    rows = items.select("queue", "ord", "chars").repartition("queue").sortWithinPartitions("queue", "ord")
+    rows = shipped(items).select("queue", "ord", "chars").repartition("queue").sortWithinPartitions("queue", "ord")
     return rows.mapInPandas(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch long")

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import features as f
 from siltstone.functions import text as t
 from siltstone.operators.landscape import COMBINED, joint_tuples
+from siltstone.session import shipped
 from siltstone.sources.staging import Staged
 
 MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
@@ -236,7 +237,7 @@ def consolidate(candidates: DataFrame) -> DataFrame:
             root.update(dict.fromkeys(k["ids"], k["id"]))
         return pd.DataFrame({"candidate_id": list(root), "root": list(root.values())})
 
-    greedy = bare.groupBy("category", "pattern_type").applyInPandas(run, CANDIDATE_ROW)
+    greedy = shipped(bare).groupBy("category", "pattern_type").applyInPandas(run, CANDIDATE_ROW)
     return by_keys.unionByName(greedy)
 
 
@@ -283,7 +284,7 @@ def prune(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
                     out.append((r["candidate_id"], r["place"]))
             yield pd.DataFrame(out, columns=["candidate_id", "place"])
 
-    dealt = ranked.repartition("category", "pattern_type").sortWithinPartitions("category", "pattern_type", "place")
+    dealt = shipped(ranked).repartition("category", "pattern_type").sortWithinPartitions("category", "pattern_type", "place")
     return dealt.mapInPandas(run, "candidate_id string, place int")
 
 

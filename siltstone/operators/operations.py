@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.session import shipped
+
 
 def balances(users: DataFrame, ledger: DataFrame) -> DataFrame:
     """user_id, balance: the sum of a user's amounts, 0 without any."""
@@ -123,5 +125,5 @@ def admitted(events: DataFrame, limit: int, seconds: float) -> DataFrame:
                 flags.append(ok)
             yield batch.assign(admitted=flags)
 
-    rows = events.select("key", "ts", "event_id").repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    rows = shipped(events).select("key", "ts", "event_id").repartition("key").sortWithinPartitions("key", "ts", "event_id")
     return rows.mapInPandas(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", admitted boolean")

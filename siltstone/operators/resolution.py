@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
 from siltstone.operators.components import components
+from siltstone.session import shipped
 from siltstone.sources.staging import Staged
 
 MIN_WORDS, MIN_JACCARD, MIN_RATIO = 5, 0.9, 0.96
@@ -54,7 +55,7 @@ def near_title_pairs(papers: DataFrame) -> DataFrame:
     At Jaccard 0.9 two word sets share one of their rarest words (prefix filter), so only records that share a rare
     word and have close lengths are compared; word overlap, authors and the sequence ratio then decide.
     """
-    rows = title_identity(papers).where("publication_year is not null").select(
+    rows = title_identity(shipped(papers)).where("publication_year is not null").select(
         "ord", "publication_year", "title_key", "authors", F.array_distinct(F.split("title_key", " ")).alias("words")
     ).where(F.size("words") >= MIN_WORDS)
     words = rows.select("ord", "publication_year", F.explode("words").alias("w"))
@@ -184,7 +185,7 @@ def merge_records(papers: DataFrame, roots: DataFrame) -> DataFrame:
     The richest record leads, the others follow by ord: first non-null of single fields, most citations, longest
     abstract and title (earlier wins ties), unions of lists in order.
     """
-    rows = papers.join(roots, "ord")
+    rows = shipped(papers).join(roots, "ord")
     lead = F.row_number().over(Window.partitionBy("root").orderBy(*richness())) == 1
     rows = rows.withColumn("at", F.when(lead, F.lit(-1)).otherwise(F.col("ord")))
     # Records equal in all that merges fold into their first, so copies of a work are never gathered.

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of our own (the warehouse's, or in local mode a temporary one)."""
@@ -42,7 +44,7 @@ class Staged:
     """A DataFrame as a Parquet folder; reading it does not depend on what made it."""
 
     def __init__(self, df: DataFrame, label: str):
-        self._spark = df.sparkSession
+        self._spark = ship(df.sparkSession)
         self.path = f"{own_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.session import shipped
+
 RATE_OUT = "key string, event_id long, ts timestamp, admitted boolean"
 
 #: Legal moves of a job.
@@ -42,7 +44,7 @@ def rate_limit(events: DataFrame, limit: int, seconds: float, lateness: str = "1
             state.setTimeoutTimestamp(int((max(held) + seconds) * 1000) + 1)
         yield rows.assign(key=key[0], admitted=flags)[["key", "event_id", "ts", "admitted"]]
 
-    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    rows = shipped(events).select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     return rows.groupBy("key").applyInPandasWithState(run, RATE_OUT, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
