@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import ship
 from siltstone.sources.staging import Staged, shared_dir
 
 __all__ = ["Staged", "shared_dir", "stage", "table", "map_arrow", "split_words", "folded_words"]
@@ -24,7 +25,7 @@ SPACE_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -35,7 +36,7 @@ def map_arrow(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """mapInArrow with batches that stay small however long the texts are."""
-    conf = df.sparkSession.conf
+    conf = ship(df.sparkSession).conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._common import map_arrow
+from siltstone.session import ship
 
 #: Labelled rows that the fit sees at most.
 SAMPLE = 12_000
@@ -215,7 +216,7 @@ def _accept(docs: DataFrame, model: Model) -> Column:
     def accepted(texts):
         return _as_series(model.score(_matrix([t if isinstance(t, str) else None for t in texts])) >= THRESHOLD)
 
-    conf = docs.sparkSession.conf
+    conf = ship(docs.sparkSession).conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return accepted(F.col("text"))
 
