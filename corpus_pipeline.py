@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import decontaminate, mixing, quality, secrets, simhash
 from siltstone.llm._common import stage, table
 
+#: Jaccard similarity over five-word shingles from which two documents are near-duplicates.
+SHARE = 0.8
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on this input and the table of labels, rejects."""
@@ -18,10 +21,15 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least doc_id."""
+    """Keeps of each group within op3_simhash's radius the document with the least doc_id; the stage is drop_near_copies."""
     return simhash.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: as drop_near_duplicates, where texts with SHARE of their five-word shingles in common are linked too."""
+    return simhash.keep_first(docs, share=SHARE)
+
+
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of any benchmark item."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
@@ -39,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", reject_low_quality),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark_passages),
     ("secret scans", redact_secrets),
     ("mixing sources to target weights", mix_sources),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from siltstone.llm import jaccard
 from siltstone.llm._common import map_arrow, stage
 from siltstone.operators.components import components
 
@@ -70,11 +71,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+        prints = pa.array(np.array(found, np.uint64).view(np.int64))
+        yield pa.record_batch([batch.column(0), prints, *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", keyed: bool = False) -> DataFrame:
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").alias("text"))
+    if keyed:
+        return map_arrow(rows.withColumn("key", jaccard.text_key(F.col("text"))), _fingerprints, "id long, fp long, key long")
     return map_arrow(rows, _fingerprints, "id long, fp long")
 
 
@@ -255,11 +259,14 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(_shard_links(radius), "u long, v long")
 
 
-def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, radius: int, share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, fp) of every row, staged; and fp, grp (the component's root, or fp itself), component_id, least id of every fingerprint."""
-    rows = stage(fingerprints(docs), "fingerprints")
+    rows = stage(fingerprints(docs, keyed=share is not None), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(link_fingerprints(nodes, radius)).select(F.col("u").alias("fp"), "root")
+    edges = link_fingerprints(nodes, radius)
+    if share is not None:
+        edges = jaccard.links(docs, rows, stage(edges, "links"), share)
+    roots = components(edges).select(F.col("u").alias("fp"), "root")
     linked = stage(nodes.join(roots, "fp").select("fp", "root", "least"), "linked")
     first = linked.groupBy("root").agg(F.min("least").alias("first"))
     named = linked.join(first, "root").select(F.col("fp").alias("fp2"), "root", "first")
@@ -289,14 +296,16 @@ def _fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array(found, np.uint64).view(np.int64))
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS, share: float | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the least doc_id. All columns stay.
 
+    With share, all texts whose five-word shingles have that Jaccard similarity or more are linked too (jaccard.py).
+
     A null doc_id comes after all others; among equal ones the least fingerprint decides, and of rows
     equal in both any one stays. Where every doc_id is set and unique, rows are dropped by it (a
     broadcast if a count has shown them to be few, else a join); otherwise by doc_id and fingerprint.
     """
-    rows, groups = _grouped(docs, radius)
+    rows, groups = _grouped(docs, radius, share)
     # The row that stays is found among fingerprints, where copies have folded; rows meet it by one join.
     groups = stage(groups.select("fp", "grp", "least"), "groups")
     best = groups.groupBy("grp").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("b"))
