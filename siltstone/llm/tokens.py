@@ -4,10 +4,14 @@ Texts are cut into pre-tokens by the vocabulary's pattern. All pre-tokens of a b
 not counted before lie end to end in one array of symbols; in each round every pre-token applies its
 own lowest-ranked pair, at all its places at once, and pre-tokens without a pair leave the array with
 the number of symbols they have left. A bounded table in each worker remembers counts of pre-tokens.
+
+A long pre-token is merged on its own in the same rounds, but with its places held by rank, so that a round touches
+only the places that merge and their neighbours, not the whole array.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -27,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Counts a worker remembers, and the longest pre-token (characters) it remembers.
 REMEMBERED = 1 << 20
 LONGEST = 64
+#: Bytes from which a pre-token is merged on its own.
+LONG = 1024
 #: Pre-tokens taken from a text at once, and characters of texts handled together.
 CHUNK = 1 << 16
 TOGETHER = 1 << 20
@@ -59,19 +65,88 @@ class Merger:
         self.rank_to_id = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int64)
+        # The rank at which a symbol may merge further at least. Where that is below the rank that made it, places of
+        # that rank merge one by one from the left, as a further merge comes before the next place.
+        further = np.full(1 << 16, _NO_PAIR)
+        for side in (key >> 16, key & 0xFFFF):
+            np.minimum.at(further, side, np.arange(len(key)))
+        self.one_by_one = further[self.rank_to_id] < np.arange(len(key))
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NO_PAIR where they do not merge."""
+        key = (left.astype(np.int64) << 16) | right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.ranks[place], _NO_PAIR)
+
+    def merge_long(self, sequence: bytes) -> int:
+        """Symbols left of one sequence after all merges."""
+        symbol = self.byte_id[np.frombuffer(sequence, np.uint8)].astype(np.int32)
+        n = left = len(symbol)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        rank = np.full(n, _NO_PAIR)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            """Ranks the pairs that begin at these places anew and files them by rank."""
+            at = at[after[at] < n]
+            found = self.rank_of(symbol[at], symbol[after[at]])
+            rank[at] = found
+            at, found = at[found < _NO_PAIR], found[found < _NO_PAIR]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else []
+            for r, part in zip(found[cuts].tolist() if len(found) else [], np.split(at, cuts[1:]) if len(found) else []):
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(part)
+
+        enter(np.arange(n, dtype=np.int32))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if self.one_by_one[r] and len(at) > 1:
+                waiting[r] = [at[1:]]
+                heapq.heappush(heap, r)
+                at = at[:1]
+            # In a run such as x x x the same pair stands at neighbouring places: every second one merges.
+            twin = np.r_[False, after[at[:-1]] == at[1:]]
+            if twin.any():
+                index = np.arange(len(at))
+                at = at[(index - np.maximum.accumulate(np.where(twin, 0, index))) % 2 == 0]
+            gone = after[at]
+            symbol[at] = self.rank_to_id[r]
+            rank[at], rank[gone] = _NO_PAIR, _NO_PAIR
+            after[at] = after[gone]
+            linked = after[at] < n
+            before[after[at][linked]] = at[linked]
+            left -= len(at)
+            earlier = before[at]
+            enter(np.unique(np.concatenate([at, earlier[earlier >= 0]])))
+        return left
+
     def merge(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols left of each sequence after all merges."""
+        left = np.zeros(len(sequences), np.int64)
+        short = [i for i, x in enumerate(sequences) if len(x) < LONG]
+        left[short] = self._merge_together([sequences[i] for i in short])
+        for i, x in enumerate(sequences):
+            if len(x) >= LONG:
+                left[i] = self.merge_long(x)
+        return left
+
+    def _merge_together(self, sequences: list[bytes]) -> np.ndarray:
         n = len(sequences)
         left = np.fromiter(map(len, sequences), np.int64, n)
         at = np.repeat(np.arange(n), left)
         symbol = self.byte_id[np.frombuffer(b"".join(sequences), np.uint8)]
         while len(symbol) > 1:
-            key = (symbol[:-1] << 16) | symbol[1:]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[place] == key) & (at[:-1] == at[1:]), self.ranks[place], _NO_PAIR)
+            rank = np.where(at[:-1] == at[1:], self.rank_of(symbol[:-1], symbol[1:]), _NO_PAIR)
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             lowest = np.minimum.reduceat(np.append(rank, _NO_PAIR), starts)
             size = np.diff(np.append(starts, len(at)))
@@ -84,6 +159,10 @@ class Merger:
                 begin = np.maximum.accumulate(np.where(take & ~np.r_[False, take[:-1]], index, 0))
                 take &= (index - begin) % 2 == 0
             where = np.flatnonzero(take)
+            single = self.one_by_one[rank[where]]
+            if single.any():
+                first = np.r_[True, at[where[1:]] != at[where[:-1]]] if len(where) else single
+                where = where[~single | first]
             symbol[where] = self.rank_to_id[rank[where]]
             keep = np.ones(len(symbol), bool)
             keep[where + 1] = False

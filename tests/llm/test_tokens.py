@@ -1,4 +1,6 @@
+import json
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -59,3 +61,32 @@ def test_query(spark):
     assert tokens.count_tokens(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         tokens.Merger(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_long_pretokens_take_seconds():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(200_000)), "ab" * 100_000, "the" * 40_000 + "😀" * 9_000]
+    started = time.monotonic()
+    counts = tokens.Merger(PATH).count(texts)
+    assert time.monotonic() - started < 20
+    assert counts == library(texts)
+
+
+@pytest.mark.parametrize("long", [2, 1024])
+def test_symbols_made_twice(tmp_path, monkeypatch, long):
+    """A symbol that a later merge makes again may merge further at once, before other places of that rank."""
+    letters = sorted(tokens._byte_letters().values())
+    merges = [["a", "b"], ["ab", "c"], ["abc", "a"], ["abc", "d"], ["b", "c"], ["a", "bc"], ["abca", "bc"], ["d", "d"]]
+    vocab = {x: i for i, x in enumerate(dict.fromkeys([*letters, *("".join(m) for m in merges)]))}
+    spec = json.loads(LIBRARY.to_str())
+    spec["model"] |= {"vocab": vocab, "merges": merges}
+    spec["added_tokens"] = []
+    path = tmp_path / "made.json"
+    path.write_text(json.dumps(spec))
+    made = Tokenizer.from_file(str(path))
+    monkeypatch.setattr(tokens, "LONG", long)
+    merger = tokens.Merger(str(path))
+    assert merger.one_by_one.any()
+    rng = random.Random(long)
+    texts = ["".join(rng.choice("aabbccd") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    assert merger.count(texts) == [len(e.ids) for e in made.encode_batch(texts, add_special_tokens=False)]
