@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.session import ship
 from siltstone.sources.staging import Staged, shared_dir
 
-__all__ = ["Staged", "shared_dir", "stage", "table", "map_arrow", "split_words", "folded_words"]
+__all__ = ["Staged", "shared_dir", "stage", "table", "small", "fresh", "bounded_batches", "map_arrow", "split_words", "folded_words"]
 
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 BATCH_ROWS = 512
@@ -32,13 +33,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return Staged(df, label).df
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df (staged) with a broadcast hint if a count shows it to have at most `rows` rows; else a shuffle joins it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """names, each with as many underscores before it as set it apart from the names taken, whatever their case."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Keeps Arrow batches small however long the texts are. The settings hold for the session from here on, as they
+    are read when a query runs, and change no result."""
+    conf = ship(spark).conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """mapInArrow with batches that stay small however long the texts are."""
-    conf = ship(df.sparkSession).conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -1,14 +1,15 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One table of slots holds a bitmask of languages per slot: bit l of a slot is the bit of language l's own
-Bloom filter, so one lookup of an n-gram's slots, ANDed, answers for all languages at once. A text's
-n-grams are looked up in arrays; the count of set bits per language, less what the filter's false
+One table of slots holds a bitmask of languages per slot, ceil(L / 64) words wide: bit l of a slot is the bit
+of language l's own Bloom filter, so one lookup of an n-gram's slots, ANDed, answers for all languages at once.
+A text's n-grams are looked up in arrays; the count of set bits per language, less what the filter's false
 positives account for, decides: with n n-grams, c hits and false-positive rate f the corrected share is
 (c / n - f) / (1 - f), at least 0. The score is the best language's share of all corrected shares.
 
 A language's filter holds the n-grams that stand in at least MIN_RATE of its sampled documents and are
-not much more common in another language. The fit counts n-grams of whole texts in Spark, over at most
-SAMPLE documents a language chosen by a hash; only the counts of the commonest n-grams reach the driver.
+not much more common in another language, at most NGRAMS of them, the commonest first, each language on its
+own. Every language is learned. The fit counts n-grams of whole texts in Spark, over at most about SAMPLE
+documents a language chosen by a hash; only the n-grams that filters hold reach the driver.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siltstone.llm._common import map_arrow
+from siltstone.llm._common import map_arrow, small, stage
 
 SIZES = (1, 2, 3, 4)
-#: Sampled documents and n-grams a language at most; languages at most (bits of a mask).
+#: Sampled documents and n-grams a language at most.
 SAMPLE = 1_500
 NGRAMS = 20_000
-LANGUAGES = 62
 SLOT_BITS = 20
+#: Rows of languages (a few dozen bytes each) that may be broadcast; beyond, a shuffle joins them.
+BROADCAST_ROWS = 100_000
+#: N-grams whose masks are counted at once.
+TOGETHER = 1 << 16
 HASHES = 3
 MIN_RATE = 0.02
 #: An n-gram is left out of a language where another one has it this many times as often.
@@ -115,93 +120,106 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # uint64 masks
+    table: np.ndarray  # uint64 masks: slots x words
     rates: np.ndarray  # false positives of each language
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """The set of languages that hold each n-gram, as bits."""
-        found = np.full(len(h), np.uint64((1 << 64) - 1))
+        """The set of languages that hold each n-gram, as bits: one row of words an n-gram."""
+        found = np.full((len(h), self.table.shape[1]), np.uint64((1 << 64) - 1))
         for s in _slots(h):
             found &= self.table[s]
         return found
 
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """For each language, how many of the n-grams its filter holds."""
+        n = len(self.languages)
+        if n <= 10:  # few enough sets of languages to count each
+            by_set = np.bincount(self.masks(h)[:, 0].astype(np.int64), minlength=1 << n)
+            return by_set @ ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1)
+        found = np.zeros(64 * self.table.shape[1], np.int64)
+        for at in range(0, len(h), TOGETHER):
+            words = np.ascontiguousarray(self.masks(h[at : at + TOGETHER]), "<u8")
+            found += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return found[:n]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not has_letter(text) or not self.languages:
             return UNKNOWN, 0.0
         h = ngrams(text)
         if not len(h):
             return UNKNOWN, 0.0
-        masks = self.masks(h)
-        if len(self.languages) <= 10:
-            by_mask = np.bincount(masks.astype(np.int64), minlength=1 << len(self.languages))
-            bits = (np.arange(len(by_mask))[:, None] >> np.arange(len(self.languages))) & 1
-            hits = by_mask @ bits
-        else:
-            hits = np.array([int(((masks >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(self.languages))])
-        share = np.maximum(0.0, (hits / len(h) - self.rates) / (1 - self.rates))
+        share = np.maximum(0.0, (self.hits(h) / len(h) - self.rates) / (1 - self.rates))
         total = float(share.sum())
         best = int(np.argmax(share))  # ties go to the first by code point
         return self.languages[best], float(share[best] / total) if total > 0 else 0.0
 
 
-def build(counts: dict[str, dict[int, int]], documents: dict[str, int]) -> Model:
-    """counts: documents of the language that hold an n-gram (by hash); documents: documents of the language."""
-    languages = sorted(documents)[:LANGUAGES]
-    rate: dict[int, dict[str, float]] = {}
-    for lang in languages:
-        for h, n in counts.get(lang, {}).items():
-            rate.setdefault(h, {})[lang] = n / documents[lang]
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+def build(held: dict[str, np.ndarray]) -> Model:
+    """held: for each language the hashes (int64) of the n-grams that its filter holds."""
+    languages = sorted(held)
+    table = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), np.uint64)
+    filled = np.zeros(len(languages))
     for bit, lang in enumerate(languages):
-        own = [h for h, by in rate.items() if by.get(lang, 0) >= MIN_RATE and max(by.values()) <= RATIO * by[lang]]
-        for s in _slots(np.array(sorted(own), np.int64).view(np.uint64)):
-            np.bitwise_or.at(table, s, np.uint64(1 << bit))
-    filled = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+        column, one = table[:, bit // 64], np.uint64(1 << bit % 64)
+        for s in _slots(np.asarray(held[lang], np.int64).view(np.uint64)):
+            column[s] |= one
+        filled[bit] = float(((column >> np.uint64(bit % 64)) & np.uint64(1)).mean())
     return Model(languages, table, np.minimum(filled**HASHES, 0.99))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each n-gram, by language; rows with `whole` count the documents themselves."""
     counts: dict[str, Counter] = {}
+    documents: Counter = Counter()
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            documents[lang] += 1
             counts.setdefault(lang, Counter()).update(np.unique(ngrams(text or "")).view(np.int64).tolist())
     for lang, c in counts.items():
         items = list(c.items())
         for at in range(0, len(items), 1 << 16):
             part = items[at : at + (1 << 16)]
-            yield pa.record_batch(
-                [pa.array([lang] * len(part)), pa.array([h for h, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())],
-                ["lang", "h", "n"],
-            )
+            n = len(part)
+            columns = [pa.array([lang] * n), pa.array([h for h, _ in part], pa.int64()), pa.array([k for _, k in part], pa.int64()), pa.array([False] * n)]
+            yield pa.record_batch(columns, ["lang", "h", "n", "whole"])
+    n = len(documents)
+    columns = [pa.array(list(documents), pa.string()), pa.array([None] * n, pa.int64()), pa.array(list(documents.values()), pa.int64()), pa.array([True] * n)]
+    yield pa.record_batch(columns, ["lang", "h", "n", "whole"])
 
 
 def is_held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def held_ngrams(counts: DataFrame, documents: DataFrame, most: int = NGRAMS) -> DataFrame:
+    """lang, h: the n-grams that each language's filter holds.
+
+    counts: lang, h, n (documents of the language that hold the n-gram); documents: lang, n (its documents).
+    """
+    rates = counts.join(small(documents.select("lang", F.col("n").alias("of")), BROADCAST_ROWS), "lang").withColumn("rate", F.col("n") / F.col("of"))
+    rates = rates.where(F.col("rate") >= MIN_RATE)
+    own = rates.withColumn("top", F.max("rate").over(Window.partitionBy("h"))).where(F.col("top") <= RATIO * F.col("rate"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "h"))
+    return own.withColumn("place", place).where(F.col("place") <= most).select("lang", "h")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and non-null lang outside the held-out fold; at most about `sample` documents a language."""
+    """Learns every non-null lang from texts outside the held-out fold; at most about `sample` documents a language."""
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))
     )
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return build({}, {})
-    cut = F.lit(0.0)
-    for lang, n in sizes.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(cut)
+    # One row a language, whatever the number of documents.
+    sizes = stage(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    cuts = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), sample / F.col("n")).alias("_cut"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")), 34) / float(1 << 30)
-    some = usable.where(draw < cut)
-    documents = {r.lang: r.n for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = map_arrow(some.select("text", "lang"), _counter, "lang string, h long, n long")
-    least = F.lit(0.0)
-    for lang, n in documents.items():
-        least = F.when(F.col("lang") == lang, F.lit(n * MIN_RATE / RATIO)).otherwise(least)
-    totals = counted.groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counts: dict[str, dict[int, int]] = {lang: {} for lang in documents}
-    for r in totals.orderBy(F.desc("n"), "h").limit(NGRAMS * len(documents)).collect():
-        counts[r.lang][r.h] = r.n
-    return build(counts, documents)
+    some = usable.join(small(cuts, BROADCAST_ROWS), F.col("lang") == F.col("_lang")).where(draw < F.col("_cut")).select("text", "lang")
+    counted = map_arrow(some, _counter, "lang string, h long, n long, whole boolean")
+    totals = stage(counted.groupBy("lang", "h", "whole").agg(F.sum("n").alias("n")), "ngrams")
+    documents = totals.where("whole").select("lang", "n")
+    held = held_ngrams(totals.where("not whole").select("lang", "h", "n"), documents).toArrow()
+    names, h = np.array(held.column(0).to_pylist(), object), held.column(1).to_numpy()
+    learned = [r.lang for r in documents.select("lang").collect()]
+    return build({lang: h[names == lang] for lang in learned})
 
 
 def _predictor(model: Model):
