@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import language, quality
 
@@ -91,13 +93,71 @@ def test_language_of_odd_tables(spark):
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
 
 
+def _put(*texts):
+    return np.unique(np.concatenate([language.ngrams(t) for t in texts])).view(np.int64)
+
+
 def test_filters_hold_what_was_put_in():
     h = language.ngrams("the quick brown fox")
-    model = language.build({"en": {int(x): 10 for x in np.unique(h).view(np.int64)}, "fr": {}}, {"en": 10, "fr": 10})
+    model = language.build({"en": _put("the quick brown fox"), "fr": np.zeros(0, np.int64)})
     assert (model.masks(h) & np.uint64(1) == 1).all()
     assert model.predict("the quick")[0] == "en" and (model.rates >= 0).all() and model.rates[1] == 0
 
 
+@pytest.mark.parametrize("n", [3, 70, 130])
+def test_masks_equal_exact_sets(n):
+    """Every language that holds an n-gram is in its mask; others only as often as the rates say; hits are the masks' bits."""
+    rng = random.Random(n)
+    held = {f"l{i:03d}": np.array(sorted({rng.getrandbits(63) for _ in range(rng.choice([5, 400, 3000]))}), np.int64) for i in range(n)}
+    model = language.build(held)
+    asked = np.array([rng.getrandbits(63) for _ in range(500)] + [int(x) for v in held.values() for x in v[:20]], np.int64)
+    masks = model.masks(asked.view(np.uint64))
+    names = sorted(held)
+    got = np.array([[bool(int(row[i // 64]) >> (i % 64) & 1) for i in range(n)] for row in masks])
+    want = np.stack([np.isin(asked, held[k]) for k in names], axis=1)
+    assert (got | ~want).all()  # nothing held is missed
+    assert np.array_equal(model.hits(asked.view(np.uint64)), got.sum(axis=0))
+    false = (got & ~want).mean(axis=0)
+    assert np.all(np.abs(false - model.rates) < 0.05)
+
+
+def test_many_languages_of_unequal_size(spark):
+    """Eighty languages, of 4 to 200 documents: each is learned and predicted on its held-out rows."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{i:02d}": ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(40)] for i in range(80)}
+    rows, i = [], 0
+    for n, (lang, words) in enumerate(vocabulary.items()):
+        for _ in range(200 if n < 4 else 4 + n % 9):
+            rows.append((i, " ".join(rng.choice(words) for _ in range(40)), lang))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=50)
+    assert len(model.languages) == 80 and model.table.shape[1] == 2
+    want = {r[0]: r[2] for r in rows}
+    held = [r for r in language.identify(docs, model).collect() if r.held_out]
+    assert len({want[r.doc_id] for r in held}) > 62
+    assert all(r.lang_pred == want[r.doc_id] for r in held)
+
+
+def test_each_language_keeps_its_own_ngrams(spark):
+    """The limit on n-grams holds for each language alone, by rate: a rare language loses none to a large one."""
+    counts = [("big", h, 900 + h % 50) for h in range(100)] + [("rare", 1000 + h, 2 + h % 2) for h in range(10)] + [("rare", 5, 1)]
+    rows = spark.createDataFrame(counts, "lang string, h long, n long")
+    sizes = spark.createDataFrame([("big", 1000), ("rare", 4)], "lang string, n long")
+    got = {}
+    for r in language.held_ngrams(rows, sizes, 10).collect():
+        got.setdefault(r.lang, set()).add(r.h)
+    assert got["rare"] == set(range(1000, 1010)) and got["big"] == {49, 99, 48, 98, 47, 97, 46, 96, 45, 95}
+
+
+def test_held_out_languages_do_not_matter(spark):
+    docs, _ = _corpus(spark, 200)
+    turned = docs.withColumn("lang", F.expr("if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 'xx', lang)"))
+    a, b = (language.train(d) for d in (docs, turned))
+    assert a.languages == b.languages and np.array_equal(a.table, b.table)
+
+
 def test_ngrams_equal_brute_force(monkeypatch):
     text = "Ab, c'É straße\n12 x日本 İ"
     import re
