@@ -20,12 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import map_arrow
-from siltstone.session import ship
+from siltstone.llm._common import bounded_batches, map_arrow, stage
 
 #: Labelled rows that the fit sees at most.
 SAMPLE = 12_000
@@ -158,7 +158,7 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t) for t in batch.column(0).to_pylist()]
-        yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+        yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["x", *batch.schema.names[1:]])
 
 
 def _scorer(model: Model, names: list[str]):
@@ -176,18 +176,23 @@ def is_held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most about `sample` labelled rows outside the held-out fold, chosen by a hash of doc_id.
+    """Fits on about `sample` labelled rows outside the held-out fold at most, chosen by a hash of doc_id alone.
 
-    Null ids and null labels take no part; an id with several labels counts once with the least one.
+    The hash takes each labelled id with the chance sample / n, so their number strays from `sample` by a few times its
+    root. Null ids and null labels take no part; an id with several labels counts once with the least one, an id with
+    several documents with the one of the least hash.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("y")).select(F.col("doc_id").alias("_id"), "y")
     n = usable.count()
     share = min(1.0, sample / max(1, n))
     cut = int(share * (1 << 30))
-    some = usable.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("_id").cast("long")), 34) < cut).limit(2 * sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", F.col("y").cast("int").alias("y"))
-    rows = map_arrow(texts, _extract, "x array<double>, y int").limit(4 * sample).collect()
+    some = stage(usable.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("_id").cast("long")), 34) < cut), "labelled")
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    texts = texts.select("text", F.col("y").cast("int").alias("y"), F.col("_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    found = map_arrow(texts, _extract, "x array<double>, y int, id long, th long")
+    # Of documents that share an id one counts, whatever the order in which they come.
+    rows = found.groupBy("id").agg(F.min_by("x", "th").alias("x"), F.first("y").alias("y")).collect()
     rows.sort(key=lambda r: (r.y, list(r.x)))
     return fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), N_FEATURES), np.array([r.y for r in rows], np.int64))
 
@@ -206,22 +211,15 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns."""
-    good = _accept(docs, model)
-    return docs.where(good)
+    """The rows of docs that the model accepts, with all their columns.
 
+    Null and empty texts are judged like any other; rows that repeat share their fate; ids and other columns play no
+    part, whatever their names. An empty table gives no rows.
+    """
 
-def _accept(docs: DataFrame, model: Model) -> Column:
     @F.pandas_udf("boolean")
-    def accepted(texts):
-        return _as_series(model.score(_matrix([t if isinstance(t, str) else None for t in texts])) >= THRESHOLD)
-
-    conf = ship(docs.sparkSession).conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return accepted(F.col("text"))
-
-
-def _as_series(values: np.ndarray):
-    import pandas as pd
+    def accepted(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix([t if isinstance(t, str) else None for t in texts])) >= THRESHOLD)
 
-    return pd.Series(values)
+    bounded_batches(docs.sparkSession)
+    return docs.where(accepted(F.col("text")))
