@@ -6,26 +6,28 @@ Every version of every file is content-addressed by the SHA-256 of its text. The
 1. addresses all versions and keeps one row per blob that the ledger lacks under this rule version;
 2. reads the texts of those rows alone and scans them. The rows to leave out (copies and known blobs)
    are broadcast if a count has shown them to be few; else the texts of the rows to scan are joined in;
-3. appends what it found to the ledger and joins the ledger back to all paths of all versions.
+3. appends what it found to the ledger and joins the ledger back to all paths of all versions. Scans that ran at
+   the same time may both have entered a blob; it counts once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import map_arrow, stage
+from siltstone.llm._common import bounded_batches, fresh, map_arrow, small, stage
 from siltstone.sources.staging import own_dir
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are the base kinds.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "private_key", "code_host", "chat", "web_token", "cloud_key")
-RULE_VERSION = "2"
 #: Rows of (id, blob) that may be broadcast: 40 bytes each.
 BROADCAST_ROWS = 250_000
 
@@ -39,12 +41,31 @@ _HEX_BYTES = bytes(1 if c in b"0123456789abcdef" else 0 for c in range(256))
 _HEX_RUN = b"\x01" * 16
 #: Prefix that a text must hold, and the rule.
 _ADDED = (
-    ("private_key", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----")),
+    # A key with its body up to its end mark, or the lines of base64 after the header where there is no end mark.
+    (
+        "private_key",
+        "PRIVATE KEY-----",
+        re.compile(
+            r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+            r"(?:(?>(?:[^-]|-(?!----)){0,16384})-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|(?>(?:(?:\\[nr]|\s)*[A-Za-z0-9+/=]{16,})*))"
+        ),
+    ),
     ("code_host", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
     ("chat", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
     ("web_token", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("cloud_key", "AIza", re.compile(r"\bAIza[A-Za-z0-9_-]{35}")),
 )
+#: Least lengths that the base rules ask for: of the value of assign, of access, of hex.
+_LEAST = (12, 18, 16)
+
+
+def rule_version() -> str:
+    """Names the rules by their own text, so that any change of a rule scans all blobs again."""
+    rules = [_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *map(str, _LEAST), *(f"{kind} {part} {rule.pattern}" for kind, part, rule in _ADDED)]
+    return hashlib.sha256("\n".join([*KINDS, *rules]).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = rule_version()
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -56,9 +77,9 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if b":" in raw or b"=" in raw:
         low = raw.lower()
         if any(w.encode() in low for w in _ASSIGN_WORDS):
-            found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 12]
+            found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= _LEAST[0]]
     if b"AKIA" in raw:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
+        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _LEAST[1]]
     # Runs of hexadecimal digits are maximal either way; bytes tell quickly whether any is long enough.
     if _HEX_RUN in raw.translate(_HEX_BYTES):
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
@@ -96,6 +117,10 @@ class Ledger:
         rows = self.spark.read.schema(f"blob binary, rule_version string, spans {SPANS}").parquet(self.path)
         return rows.where(F.col("rule_version") == rule_version).select("blob", "spans")
 
+    def findings(self, rule_version: str) -> DataFrame:
+        """blob, spans of the blobs with any span, once each however often they were entered."""
+        return self.entries(rule_version).where(F.size("spans") > 0).dropDuplicates(["blob"])
+
     def append(self, rows: DataFrame, rule_version: str) -> None:
         rows.select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
 
@@ -139,7 +164,7 @@ def scan(
     if entered.count() > todo.count():
         entered = entered.dropDuplicates(["blob"])
     ledger.append(entered, rule_version)
-    found = ledger.entries(rule_version).where(F.size("spans") > 0).select(F.col("blob").alias("blob2"), "spans")
+    found = ledger.findings(rule_version).select(F.col("blob").alias("blob2"), "spans")
     joined = paths.join(found, F.col("blob") == F.col("blob2"), "left")
     return joined.select("id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
@@ -160,30 +185,44 @@ def secret_summary(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     )
 
 
-#: Replaces spans from left to right; where they overlap, what is left of the later one goes with the earlier.
-_REDACTED = (
-    "aggregate(_spans, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'out',"
-    " concat(a.out, if(s.start >= a.at, concat(substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}'), '')))),"
-    " a -> concat(a.out, substring(text, cast(a.at + 1 as int))))"
-)
+def cover(text: str, spans: list, mark: str) -> str:
+    """text with its spans (sorted by start) replaced by mark; what is left of a later one that overlaps goes with the earlier."""
+    parts, at = [], 0
+    for span in spans:
+        start, end = span["start"], span["end"]
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with every secret in text replaced by mark; n_chars, if there, follows. No row is dropped."""
-    found = scan(docs, "doc_id").where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
-    found = stage(found.select(F.col("blob").alias("_blob"), "_spans"), "found")
-    if found.count() <= broadcast_rows:
-        found = F.broadcast(found)
-    joined = docs.join(found, address(docs["text"]) == found["_blob"], "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.expr(_REDACTED.format(mark=mark)))
-    out = joined.withColumn("_text", text)
+    """docs with every secret in text replaced by mark; n_chars, if there, follows. No row is dropped.
+
+    Null and empty texts stay as they are; repeated rows are each replaced; a null doc_id is an identifier like any
+    other. Other columns keep their names and values, whatever the names. An empty table gives no rows.
+    """
+
+    @F.pandas_udf("string")
+    def covered(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else cover(t, list(s), mark) for t, s in zip(texts, spans)], dtype=object)
+
+    found = scan(docs, "doc_id").where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    blob, spans, replaced = fresh(["blob", "spans", "replaced"], docs.columns)
+    found = small(stage(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "found"), broadcast_rows)
+    bounded_batches(docs.sparkSession)
+    joined = docs.join(found, address(docs["text"]) == F.col(blob), "left")
+    # Only texts with findings go to Python; the others are null there.
+    out = joined.withColumn(replaced, covered(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans)))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.coalesce(replaced, "text").alias("text"))
         elif c == "n_chars":
-            changed = F.length("_text").cast(docs.schema["n_chars"].dataType)
-            columns.append(F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(changed).alias("n_chars"))
+            changed = F.length(replaced).cast(docs.schema["n_chars"].dataType)
+            columns.append(F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(changed).alias("n_chars"))
         else:
-            columns.append(docs[c])
+            columns.append(F.col(f"`{c}`"))
     return out.select(*columns)
