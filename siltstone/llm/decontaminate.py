@@ -4,27 +4,33 @@ Every item is cut into windows of ten consecutive words (an item of fewer words
 a set of shingles, a window is contained in a document only if all its shingles are, so by the prefix
 principle one of them is enough to find every candidate: the first in an order by rarity. The steps:
 
-1. each window keeps the rarest of its shingles (three words, fewer in shorter windows; fewest windows
-   of the benchmark first, then by hash) and the shingle's offset: its prefix;
-2. documents keep the positions whose shingle is the prefix of any window. The prefixes go into the
-   plan as a hashed set, in blocks of at most `block` prefixes, so nothing that grows is broadcast; a
-   larger benchmark takes more blocks and no case is dropped;
+1. the shingles of all windows (three words, fewer in shorter windows) go into a Bloom filter; one pass over the
+   documents counts how often each stands there. A window with a shingle that stands nowhere is in no document and
+   goes; each other window keeps the rarest of its shingles (fewest places in the documents, then by hash) and the
+   shingle's offset: its prefix;
+2. a second pass keeps the positions of documents whose shingle passes the Bloom filter of the prefixes;
 3. positions join the windows on the prefix, the window must lie within the document (positional and
    length bounds), and the words themselves are compared.
+
+A filter is one row with an array of longs, read as a scalar subquery: at most 2 ** MAX_BITS bits (8 MB), whatever the
+benchmark's size. A larger benchmark passes more positions, which the join then drops; no case is lost.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import folded_words, stage
+from siltstone.llm._common import folded_words, fresh, small, stage
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK = 50_000
+#: Bits of a Bloom filter for each key, and bounds (powers of two) for all of them. Three bits stand for a key.
+BITS_EACH = 32
+MIN_BITS, MAX_BITS = 12, 26
+SHIFTS = (0, 18, 36)
 #: Contaminated rows (16 bytes each) that may be broadcast to drop them.
 BROADCAST_ROWS = 500_000
 
@@ -33,8 +39,8 @@ def _shingle_hash(array: str, at: str, q: int) -> str:
     return "xxhash64(" + ", ".join(f"{array}[{at} + {j}]" for j in range(q)) + ")"
 
 
-def benchmark_index(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per distinct window: q and h (its prefix shingle), off (the prefix's offset), win (words), items."""
+def window_shingles(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """One row per distinct window and place in it: win (words), items, q and h (the shingle there), off."""
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), F.expr(folded_words("text")).alias("w"))
     windows = (
         item.where(F.size("w") > 0)
@@ -54,53 +60,75 @@ def benchmark_index(benchmark: DataFrame, window: int = WINDOW, shingle: int = S
         has = F.size("win") == q if q < shingle else F.size("win") >= q
         offsets = f"transform(sequence(0, size(win) - {q}), i -> struct({_shingle_hash('win', 'i', q)} as h, i as off))"
         per_q.append(windows.where(has).select("win", "items", F.lit(q).alias("q"), F.explode(F.expr(offsets)).alias("s")))
-    shingles = reduce(DataFrame.union, per_q).select("win", "items", "q", "s.h", "s.off")
-    rarity = shingles.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        shingles.join(rarity, ["q", "h"])
-        .groupBy("win")
-        .agg(F.min(F.struct("n", "h", "off", "q", "items")).alias("p"))
-        .select("p.q", "p.h", "p.off", "win", "p.items")
-    )
+    return reduce(DataFrame.union, per_q).select("win", "items", "q", "s.h", "s.off")
 
 
-def _positions(prefixes: dict[int, list[int]], window: int) -> str:
-    """SQL for the positions of w whose shingle is a prefix: at, q, h, lo and the words around (ctx from lo)."""
-    found = []
-    for q, hashes in sorted(prefixes.items()):
-        listed = ", ".join(f"{h}L" if h > -(1 << 63) else "(-9223372036854775807L - 1L)" for h in hashes)
-        found.append(
-            f"transform(filter(if(size(w) < {q}, cast(array() as array<int>), sequence(0, size(w) - {q})),"
-            f" i -> {_shingle_hash('w', 'i', q)} in ({listed})),"
-            f" i -> struct(i as at, {q} as q, {_shingle_hash('w', 'i', q)} as h, greatest(i - {window}, 0) as lo,"
-            f" slice(w, greatest(i - {window}, 0) + 1, i - greatest(i - {window}, 0) + {window}) as ctx))"
-        )
-    return found[0] if len(found) == 1 else f"concat({', '.join(found)})"
+def benchmark_index(shingles: DataFrame, places: DataFrame) -> DataFrame:
+    """One row per window that may occur: q and h (its prefix), off (the prefix's offset), win, items. places: q, h, n in the documents."""
+    met = shingles.join(places, ["q", "h"]).groupBy("win")
+    rarest = met.agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "h", "off", "q", "items")).alias("p"))
+    whole = F.col("k") == F.size("win") - F.col("p.q") + 1
+    return rarest.where(whole).select("p.q", "p.h", "p.off", "win", "p.items")
+
 
+def _slots(h: str, bits: int) -> list[str]:
+    return [f"(shiftrightunsigned({h}, {shift}) & {(1 << bits) - 1}L)" for shift in SHIFTS]
 
-def find_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK
-) -> DataFrame:
+
+def bloom(keys: DataFrame, most_bits: int = MAX_BITS) -> tuple[Column, int]:
+    """(the filter of keys.h as a scalar subquery, array of longs; its bits as a power of two)."""
+    bits = MIN_BITS
+    n = keys.count()
+    while bits < most_bits and (1 << bits) < BITS_EACH * n:
+        bits += 1
+    slots = keys.select(F.explode(F.expr(f"array({', '.join(_slots('h', bits))})")).alias("s"))
+    words = slots.groupBy(F.expr("shiftrightunsigned(s, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("w"))
+    spark = keys.sparkSession
+    every = spark.range(1 << (bits - 6)).join(words, F.col("id") == F.col("i"), "left").select("id", F.coalesce("w", F.lit(0)).alias("w"))
+    whole = stage(every.agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("x")).select(F.col("x.w").alias("b")), "filter")
+    return whole.scalar(), bits
+
+
+def positions(docs: DataFrame, keys: DataFrame, fields: str, most_bits: int = MAX_BITS) -> DataFrame:
+    """id (doc_id), th (hash of the text), n_words and found: an array of structs of `fields` for each position whose shingle may be a key.
+
+    keys, staged: q, h. In fields, w are the words, i is the position, q the shingle's words and h its hash.
+    """
+    sizes = sorted(r.q for r in keys.select("q").distinct().collect())  # at most as many as a shingle has words
+    bits_of, bits = bloom(keys.select("h"), most_bits)
+    found = []
+    for q in sizes:
+        h = _shingle_hash("x.w", "i", q)
+        held = " and ".join(f"(shiftrightunsigned(x.b[cast(shiftrightunsigned({s}, 6) as int)], cast({s} & 63 as int)) & 1L) = 1L" for s in _slots(h, bits))
+        named = fields.replace("{w}", "x.w").replace("{q}", str(q)).replace("{h}", h)
+        found.append(f"transform(filter(if(size(x.w) < {q}, cast(array() as array<int>), sequence(0, size(x.w) - {q})), i -> {held}), i -> {named})")
+    listed = found[0] if len(found) == 1 else f"concat({', '.join(found)})"
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), text_hash.alias("th"), bits_of.alias("bits"))
+    # The array of one struct binds words and filter to a lambda variable, so the words are made once a text.
+    whole = f"transform(array(named_struct('w', {folded_words('text')}, 'b', bits)), x -> struct(cast(size(x.w) as bigint) as n_words, {listed} as found))[0]"
+    return rows.select("id", "th", F.expr(whole).alias("x")).select("id", "th", "x.n_words", "x.found")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id (doc_id), th (hash of the text), n_words, n_hit and items (null where nothing occurs)."""
-    index = stage(benchmark_index(benchmark, window, shingle), "windows")
-    prefixes = [(r.q, r.h) for r in index.select("q", "h").distinct().orderBy("q", "h").toLocalIterator()]
-    parts = []
-    for start in range(0, max(1, len(prefixes)), block):
-        by_q: dict[int, list[int]] = {}
-        for q, h in prefixes[start : start + block]:
-            by_q.setdefault(q, []).append(h)
-        # The array of one array binds the words to a lambda variable, so they are extracted once.
-        at = _positions(by_q, window) if by_q else "array()"
-        found = f"transform(array({folded_words('text')}), w -> struct(cast(size(w) as bigint) as n_words, {at} as found))[0]"
+    shingles = stage(window_shingles(benchmark, window, shingle), "shingles")
+    keys = stage(shingles.select("q", "h").distinct(), "shingle-keys")
+    if keys.isEmpty():
         text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.expr(found).alias("x"))
-        parts.append(rows.select("id", "th", "x.n_words", "x.found"))
-    if not prefixes:
-        rows = parts[0].select("id", "th", "n_words")
+        rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.size(F.expr(folded_words("text"))).cast("long").alias("n_words"))
         return rows.withColumns({"n_hit": F.lit(None).cast("long"), "items": F.lit(None).cast("array<string>")})
-    staged = [stage(p, "positions") for p in parts]
-    seen = reduce(DataFrame.union, [s.where(F.size("found") > 0) for s in staged])
-    found = seen.select("id", "th", "n_words", F.inline("found"))
+    seen = positions(docs, keys, "struct({q} as q, {h} as h)", most_bits).select(F.inline("found"))
+    places = seen.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"))
+    index = stage(benchmark_index(shingles, places), "windows")
+    # Where no window may occur, any key serves: nothing joins it.
+    prefixes = stage(index.select("q", "h").distinct(), "prefixes")
+    if prefixes.isEmpty():
+        prefixes = keys.limit(1)
+    around = f"greatest(i - {window}, 0)"
+    fields = f"struct(i as at, {{q}} as q, {{h}} as h, {around} as lo, slice({{w}}, {around} + 1, i - {around} + {window}) as ctx)"
+    staged = stage(positions(docs, prefixes, fields, most_bits), "positions")
+    found = staged.where(F.size("found") > 0).select("id", "th", "n_words", F.inline("found"))
     spans = (
         found.join(index, ["q", "h"])
         .withColumns({"s": F.col("at") - F.col("off"), "len": F.size("win")})
@@ -116,12 +144,12 @@ def find_hits(
         " 'n', a.n + greatest(0, x.e - greatest(x.s, a.to)))).n"
     )
     hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.expr(covered).alias("n_hit"), "items")
-    rows = staged[0].select("id", "th", "n_words")
+    rows = staged.select("id", "th", "n_words")
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     return joined.select("id", "th", "n_words", "n_hit", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; items without words have no windows. Repeated rows
@@ -129,7 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     null doc_id is a value like any other. Other columns are ignored, whatever their names. Empty
     tables give no rows, or rows without hits.
     """
-    rows = find_hits(docs, benchmark, window, block=block)
+    rows = find_hits(docs, benchmark, window, most_bits=most_bits)
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return rows.select(
@@ -143,16 +171,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs without the rows that hold a window of any item. All columns stay as they are.
+    """docs without the rows that hold a window of any item. All columns stay as they are, whatever their names.
 
-    The rows to drop are broadcast if a count has shown them to be few, else joined by a shuffle.
+    The rows to drop are broadcast if a count has shown them to be few, else joined by a shuffle. Null and empty texts
+    hold no window and stay; a null doc_id is a value like any other; rows that repeat share their fate. An empty table
+    gives no rows, an empty benchmark drops none.
     """
-    hit = find_hits(docs, benchmark).where(F.col("n_hit") > 0)
-    hit = stage(hit.select(F.col("id").alias("_hit"), F.col("th").alias("_th")), "contaminated")
-    if hit.count() <= broadcast_rows:
-        hit = F.broadcast(hit)
+    hit, th = fresh(["hit", "th"], docs.columns)
+    dirty = find_hits(docs, benchmark).where(F.col("n_hit") > 0).select(F.col("id").alias(hit), F.col("th").alias(th)).distinct()
+    dirty = small(stage(dirty, "contaminated"), broadcast_rows)
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")) & (text_hash == F.col("_th")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col(hit)) & (text_hash == F.col(th)), "left_anti")
 
 
 SQL = r"""
