@@ -1,19 +1,23 @@
 """Nearest neighbours by largest inner product: a hierarchical navigable small-world graph per shard.
 
 Equal vectors fold into one node, which keeps as many of its smallest identifiers as any query can
-need. Nodes are dealt to shards of about SHARD nodes by a hash. A shard's graph is a set of flat arrays:
+need. Nodes are dealt to shards by a hash. A shard's graph is a set of flat arrays:
 nodes are numbered from the highest level down, so level l holds nodes 0 to n[l] - 1 and its neighbours
 are one int32 matrix, unused places -1. Inner product becomes a metric by one more component,
 sqrt(max |x|^2 - |x|^2), which makes all vectors equally long; queries get 0 there.
 
-Graphs are built and searched for many vectors at once: a batch searches the graph of the nodes before
-it (and itself, exactly), chooses diverse neighbours, and links back. Searching, each shard's
+Graphs are built and searched for many vectors at once: a batch finds the nearest nodes before it (and
+in itself), chooses diverse neighbours, and links back. Searching, each shard's
 arrays stream before its queries, so a task holds one shard and one batch. Results carry exact
 inner products in double precision of the original vectors; shards merge by score, then identifier.
+
+Every query visits every shard, so shards grow with the table: SHARD nodes up to GROW_FROM of them, then with the root of
+their number, up to SHARD_BYTES of vectors. A search costs much the same in a large shard as in a small one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +25,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siltstone.llm._common import map_arrow, stage
+from siltstone.llm._common import map_arrow, small, stage
 
 K = 20
+#: Nodes a shard aims at, nodes of the table from which it grows, and bytes of vectors (as doubles) that it may have.
 SHARD = 16_384
-#: Neighbours a node keeps on upper levels (twice as many on level 0), and widths of the beams.
+GROW_FROM = 1_000_000
+SHARD_BYTES = 128 << 20
+#: Rows of shard numbers (8 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Neighbours a node keeps on upper levels (twice as many on level 0), nearest nodes they are chosen from, and the width of the beam.
 M = 16
-EF_BUILD = 96
-EF_SEARCH = 192
+CANDIDATES = 48
+EF_SEARCH = 128
 #: Vectors inserted or searched together, nodes expanded in a step, nodes below which a search is a scan.
 BATCH = 256
 STEP = 4
@@ -49,46 +59,45 @@ def _levels(n: int) -> list[int]:
     return sizes
 
 
-def _beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ef nearest found of nodes below upto for each row of q: ids (-1 where fewer) and similarities, best first."""
-    b = len(q)
+def _beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ef nearest found of the graph's nodes for each row of q: ids (-1 where fewer) and similarities, best first.
+
+    All rows of q go together, each expanding its STEP best nodes at a time; only nodes new to a row are compared.
+    """
+    b, n = len(q), len(graph)
     ids = np.full((b, ef), -1, np.int64)
     sims = np.full((b, ef), -np.inf, np.float32)
     todo = np.zeros((b, ef), bool)
-    seen = np.zeros((b, upto + 1), bool)  # the last column takes what is no node
-    rows = np.arange(b)
+    seen = np.zeros(b * n, bool)
     ids[:, 0], todo[:, 0] = entry, True
     sims[:, 0] = np.einsum("bd,bd->b", x[entry], q)
-    seen[rows, entry] = True
-    active = rows
-    while len(active):
-        # The best nodes not yet expanded stand first, as beams are sorted.
-        order = np.argsort(~todo[active], axis=1, kind="stable")[:, :STEP]
-        picked = np.take_along_axis(todo[active], order, 1)
-        live = picked.any(axis=1)
-        active, order, picked = active[live], order[live], picked[live]
-        if not len(active):
-            break
-        nodes = np.where(picked, ids[active[:, None], order], -1)
-        todo[active[:, None], order] = False
-        near = graph[nodes]
-        near = np.where((nodes >= 0)[:, :, None], near, -1).reshape(len(active), -1).astype(np.int64)
-        near[(near < 0) | (near >= upto)] = upto
-        near.sort(axis=1)
-        fresh = ~seen[active[:, None], near] & (near < upto)
-        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        seen[active[:, None], near] = True
-        some = np.where(fresh, near, 0)
-        s = np.einsum("amd,ad->am", x[some], q[active]).astype(np.float32)
-        s[~fresh] = -np.inf
-        all_s = np.hstack([sims[active], s])
-        all_i = np.hstack([ids[active], np.where(fresh, near, -1)])
-        all_t = np.hstack([todo[active], fresh])
-        best = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
-        sims[active] = np.take_along_axis(all_s, best, 1)
-        ids[active] = np.take_along_axis(all_i, best, 1)
-        todo[active] = np.take_along_axis(all_t, best, 1)
-    return ids, sims
+    seen[np.arange(b) * n + entry] = True
+    while True:
+        row, place = np.nonzero(todo & (np.cumsum(todo, axis=1, dtype=np.int32) <= STEP))
+        if not len(row):
+            return ids, sims
+        todo[row, place] = False
+        near = graph[ids[row, place]]
+        key = (row[:, None] * n + near)[near >= 0]
+        key = np.unique(key[~seen[key]])
+        seen[key] = True
+        row, node = key // n, key % n
+        s = np.einsum("fd,fd->f", x[node], q[row])
+        better = s > sims[row, -1]
+        row, node, s = row[better], node[better], s[better]
+        if not len(row):
+            continue
+        rows, begin, count = np.unique(row, return_index=True, return_counts=True)
+        at = np.arange(len(row)) - np.repeat(begin, count), np.repeat(np.arange(len(rows)), count)
+        width = int(count.max())
+        more_s, more_i = np.full((len(rows), width), -np.inf, np.float32), np.full((len(rows), width), -1, np.int64)
+        more_s[at[1], at[0]], more_i[at[1], at[0]] = s, node
+        all_s, all_i = np.hstack([sims[rows], more_s]), np.hstack([ids[rows], more_i])
+        all_t = np.hstack([todo[rows], more_i >= 0])
+        best = np.argsort(-all_s, axis=1)[:, :ef]
+        sims[rows] = np.take_along_axis(all_s, best, 1)
+        ids[rows] = np.take_along_axis(all_i, best, 1)
+        todo[rows] = np.take_along_axis(all_t, best, 1)
 
 
 def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -152,38 +161,42 @@ def _link_back(x: np.ndarray, graph: np.ndarray, new: np.ndarray, near: np.ndarr
         graph[part] = out
 
 
+def _nearest_before(x: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the new nodes (consecutive) the k nearest of all nodes up to the last new one, itself aside, best first."""
+    end = int(new[-1]) + 1
+    s = x[new] @ x[:end].T
+    s[np.arange(len(new)), new] = -np.inf
+    k = min(k, end)
+    ids = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < end else np.broadcast_to(np.arange(end), s.shape)
+    ids, sims = _top(ids, np.take_along_axis(s, ids, 1), k)
+    return np.where(np.isneginf(sims), -1, ids), sims
+
+
 def build(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbour matrices of each level, from 0 up, over the rows of x (equally long, float32)."""
-    sizes = _levels(len(x))
-    graphs: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(sizes)
-    for level in range(len(sizes) - 1, -1, -1):
-        n, width = sizes[level], 2 * M if level == 0 else M
-        graph = np.full((n, width), -1, np.int32)
-        graphs[level] = graph
+    """Neighbour matrices of each level, from 0 up, over the rows of x (equally long, float32).
+
+    A shard is bounded, so a batch finds its candidates by one product with all nodes before it: exact ones, at less
+    cost than by searching the graph.
+    """
+    graphs: list[np.ndarray] = []
+    for level, n in enumerate(_levels(len(x))):
+        graph = np.full((n, 2 * M if level == 0 else M), -1, np.int32)
         at = 0
         while at < n:
             new = np.arange(at, min(n, at + min(BATCH, max(64, at))))
-            q = x[new]
-            own = (q @ q.T).astype(np.float32)
-            np.fill_diagonal(own, -np.inf)
-            ids, sims = _top(np.broadcast_to(new, own.shape), own, min(len(new), EF_BUILD // 2))
-            if at:
-                entry = _descend(x, graphs, sizes, q, level)
-                far, far_s = _beam(x, graph, q, np.where(entry < at, entry, 0), EF_BUILD, at)
-                ids, sims = _top(np.hstack([far, ids]), np.hstack([far_s, sims]), EF_BUILD)
-            ids = np.where(np.isneginf(sims), -1, ids)
-            near = _diverse(x, ids[:, :48], sims[:, :48], M)
+            near = _diverse(x, *_nearest_before(x, new, CANDIDATES), M)
             graph[new, :M] = near
             _link_back(x, graph, new, near)
             at = int(new[-1]) + 1
+        graphs.append(graph)
     return graphs
 
 
-def _descend(x: np.ndarray, graphs: list[np.ndarray], sizes: list[int], q: np.ndarray, level: int) -> np.ndarray:
-    """An entry to the level for each row of q, by way of the levels above."""
+def _descend(x: np.ndarray, graphs: list[np.ndarray], q: np.ndarray) -> np.ndarray:
+    """An entry to level 0 for each row of q, by way of the levels above."""
     entry = np.zeros(len(q), np.int64)
-    for above in range(len(sizes) - 1, level, -1):
-        entry = _beam(x, graphs[above], q, entry, 4, sizes[above])[0][:, 0]
+    for graph in graphs[:0:-1]:
+        entry = _beam(x, graph, q, entry, 4)[0][:, 0]
     return entry
 
 
@@ -191,12 +204,11 @@ def search(x: np.ndarray, graphs: list[np.ndarray], q: np.ndarray, ef: int = EF_
     """Nodes found near each row of q (-1 where fewer than ef)."""
     if len(x) <= SCAN:
         return np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-    sizes = [len(g) for g in graphs]
-    return _beam(x, graphs[0], q, _descend(x, graphs, sizes, q, 0), ef, len(x))[0]
+    return _beam(x, graphs[0], q, _descend(x, graphs, q), ef)[0]
 
 
 INDEX_SCHEMA = (
-    "shard long, dim int, longest double, sizes array<int>, vectors binary, neighbours array<binary>,"
+    "shard long, dim int, longest double, sizes array<int>, single boolean, vectors binary, neighbours array<binary>,"
     " members binary, member_counts binary"
 )
 
@@ -207,7 +219,9 @@ def _augmented(v: np.ndarray, longest: float) -> np.ndarray:
     return (np.hstack([v, rest[:, None]]) / max(np.sqrt(longest), 1e-300)).astype(np.float32)
 
 
-def _indexer(longest: float):
+def _indexer(longest: float, single: bool):
+    """single: the vectors are of single precision, and are kept so."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("draw", kind="stable")
         v = np.array(group["vec"].tolist(), np.float64)
@@ -218,7 +232,8 @@ def _indexer(longest: float):
             "dim": v.shape[1],
             "longest": longest,
             "sizes": [len(g) for g in graphs],
-            "vectors": v.tobytes(),
+            "single": single,
+            "vectors": v.astype(np.float32 if single else np.float64).tobytes(),
             "neighbours": [g.tobytes() for g in graphs],
             "members": np.concatenate([np.asarray(i, np.int64) for i in ids]).tobytes(),
             "member_counts": np.array([len(i) for i in ids], np.int64).tobytes(),
@@ -230,9 +245,9 @@ def _indexer(longest: float):
 
 class _Shard:
     def __init__(self, row: dict):
-        self.v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        self.v = np.frombuffer(row["vectors"], np.float32 if row["single"] else np.float64).reshape(-1, row["dim"])
         self.scale = max(np.sqrt(row["longest"]), 1e-300)
-        self.x = _augmented(self.v, row["longest"])
+        self.x = np.concatenate([_augmented(self.v[i : i + 4096].astype(np.float64), row["longest"]) for i in range(0, len(self.v), 4096)])
         self.graphs = [np.frombuffer(b, np.int32).reshape(n, -1) for b, n in zip(row["neighbours"], row["sizes"])]
         self.members = np.frombuffer(row["members"], np.int64)
         self.ends = np.cumsum(np.frombuffer(row["member_counts"], np.int64))
@@ -243,7 +258,7 @@ class _Shard:
         found = search(self.x, self.graphs, q, max(ef, 2 * k))
         for query, vector, nodes in zip(ids, queries, found):
             nodes = nodes[nodes >= 0]
-            score = self.v[nodes] @ vector
+            score = self.v[nodes].astype(np.float64) @ vector
             best = np.argsort(-score, kind="stable")[: k + 1] if len(nodes) > k + 1 else np.arange(len(nodes))
             if len(nodes) > k + 1:
                 best = np.flatnonzero(score >= score[best[-1]])
@@ -285,25 +300,39 @@ def _searcher(k: int, ef: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (doubles) of rows that take part: no null or zero vector, all components finite numbers."""
+    """vec_id, vec (of single precision if the column is, else doubles) of rows that take part: no null or zero vector, all components finite."""
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    vec = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda c: c != 0))
 
 
+def shard_nodes(n: int, width: int, shard: int = SHARD) -> int:
+    """Nodes that a shard aims at among n nodes of at most `width` components."""
+    grown = max(shard, int(shard * math.sqrt(n / GROW_FROM)))
+    return max(1, min(grown, SHARD_BYTES // (8 * max(1, width))))
+
+
 def index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> tuple[DataFrame, int]:
     """The shards' flat arrays, one row each (INDEX_SCHEMA), written to the shared folder; and shards per dimension."""
+    rows = usable(vectors)
+    single = isinstance(rows.schema["vec"].dataType.elementType, T.FloatType)
+    # Equal vectors meet by 128 bits of hashes. Adding zero makes the two zeros one.
+    plus = F.transform("vec", lambda c: c + F.lit(0).cast("float" if single else "double"))
+    rows = rows.withColumns({"a": F.xxhash64(plus), "b": F.xxhash64(F.lit(1), plus)})
     # Of equal vectors only the k + 1 smallest identifiers can be among any query's k nearest.
-    rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    rows = usable(vectors).distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
-    nodes = stage(rows.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "nodes")
-    length = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)
-    n, longest = nodes.agg(F.count(F.lit(1)), F.max(length)).first()
-    shards = max(1, -(-n // shard))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))
+    ids = rows.select("a", "b", "vec_id").distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
+    ids = ids.groupBy("a", "b").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    nodes = stage(rows.groupBy("a", "b").agg(F.first("vec").alias("vec")).join(ids, ["a", "b"]).select("vec", "ids"), "nodes")
+    length = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    n, longest, width = nodes.agg(F.count(F.lit(1)), F.max(length), F.max(F.size("vec"))).first()
+    shards = max(1, -(-n // shard_nodes(n, width or 1, shard)))
     draw = F.xxhash64(F.col("ids")[0])
     number = F.size("vec").cast("long") * SPAN + F.pmod(draw, F.lit(shards))
     dealt = nodes.select(number.alias("shard"), F.xxhash64(draw).alias("draw"), "vec", "ids")
-    built = dealt.groupBy("shard").applyInPandas(_indexer(float(longest or 0.0)), INDEX_SCHEMA)
+    built = dealt.groupBy("shard").applyInPandas(_indexer(float(longest or 0.0), single), INDEX_SCHEMA)
     return stage(built, "shards"), shards
 
 
@@ -326,7 +355,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD,
     )
     copies = shards.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # A dimension may leave some of its shard numbers unused.
-    asked = asked.join(F.broadcast(shards.select("shard")), "shard", "left_semi")
+    asked = asked.join(small(shards.select("shard"), BROADCAST_ROWS), "shard", "left_semi")
     streams = copies.unionByName(asked, allowMissingColumns=True)
     dealt = streams.repartition(F.col("shard"), F.col("g")).sortWithinPartitions("shard", "g", F.col("query_id").asc_nulls_first())
     found = map_arrow(dealt, _searcher(k, ef), "query_id long, vec_id long, score double")

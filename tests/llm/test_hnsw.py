@@ -66,3 +66,27 @@ def test_levels_are_prefixes():
     graphs = hnsw.build(x)
     assert [len(g) for g in graphs] == hnsw._levels(3000) and len(graphs) > 1
     assert all(g.max() < len(g) and (g != np.arange(len(g))[:, None]).all() for g in graphs)
+
+
+def test_shards_grow_with_the_table_up_to_a_bound():
+    sizes = [hnsw.shard_nodes(n, 64) for n in (100, 10**6, 10**7, 10**8, 10**9, 10**12)]
+    assert sizes[:2] == [hnsw.SHARD] * 2 and sizes == sorted(sizes) and sizes[3] == 10 * hnsw.SHARD
+    assert sizes[-1] * 64 * 8 == hnsw.SHARD_BYTES and hnsw.shard_nodes(10**9, 10**9) == 1
+
+
+def test_doubles_and_signed_zeros(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(60)] + [(100, [0.0, 1.0, 0.0, 0.0, 2.0]), (101, [-0.0, 1.0, 0.0, -0.0, 2.0])]
+    want = {}
+    for q, u in rows:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(u, v)), i) for i, v in rows if i != q)[:20]
+            want[q] = [(i, -s) for s, i in near]
+    _same(want, got(hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=30)))
+
+
+def test_a_third_of_all_vectors_equal(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=8).astype(np.float32).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(900)]
+    _same(brute([r[:2] for r in rows]), got(hnsw.nearest(spark.createDataFrame(rows, SCHEMA))))
