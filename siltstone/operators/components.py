@@ -2,7 +2,8 @@
 
 Each round is a fixed number of aggregations and joins over the edges; its result is written to the
 shared folder, so lineage stays short and a lost executor recomputes one round at most. Edges never
-reach the driver, which reads one row of counts a round.
+reach the driver, which reads one row of counts a round. A node with very many edges (the hub of a star) is a
+hot key of the joins by node; adaptive execution splits it there, and the aggregates by node combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -10,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.sources.staging import Staged
+from siltstone.sources.staging import Staged, sized
 
 #: Rounds grow with the logarithm of the longest path; far more than any input needs.
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """u > v in every row; one large-star and one small-star step."""
+def _star(edges: DataFrame, n: int) -> DataFrame:
+    """u > v in every row (n of them); one large-star and one small-star step."""
+    small = lambda df: sized(df, 2 * n)
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where(F.col("u") != F.col("v")).distinct()
+    large = small(small(large.where(F.col("u") != F.col("v"))).distinct())
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(low, "u")
-    small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    joined = small(large.join(low, "u"))
+    further = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small(further.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -46,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        after = Staged(_star(now.df), "edges")
+        after = Staged(_star(now.df, mark[0]), "edges")
         new = _mark(after.df)
         now.drop()
         now, done, mark = after, new == mark, new

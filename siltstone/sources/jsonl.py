@@ -8,9 +8,18 @@ from pyspark.sql.window import Window
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1 within a file), value of non-blank lines. Files are data sets of their own, read whole one by one."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "value"))
-    return whole.where(F.trim("value") != "").select("file", (F.col("i") + 1).alias("line"), "value")
+    """file, line (from 1 within a file), value of non-blank lines. Each file is a data set of its own.
+
+    Large files are read in splits: a line's number is its place in its split after the lines of the splits before, of which only counts are shuffled.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value"
+    )
+    splits = rows.groupBy("file", "at").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("file").alias("f"), F.col("at").alias("a"), "low", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.join(splits, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
+    return placed.where(F.trim("value") != "").select("file", (F.col("i") - F.col("low") + F.col("before") + 1).alias("line"), "value")
 
 
 def load(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:

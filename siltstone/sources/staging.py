@@ -13,14 +13,15 @@ from siltstone.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of our own (the warehouse's, or in local mode a temporary one)."""
+    """spark.checkpoint.dir. Where it is unset, local mode takes a temporary folder of its own; a cluster is told to set it, as
+    no folder of one machine is seen by the others."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siltstone-staging"
-        else:
-            named = tempfile.mkdtemp(prefix="siltstone-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -40,6 +41,15 @@ def clear(spark: SparkSession) -> None:
     remove(spark, own_dir(spark))
 
 
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df, of about `rows` rows, in as many partitions as give each of them that many rows; never in more than it has by default.
+
+    Iterations over what has become small then do not start a task for every shuffle partition of the session.
+    """
+    parts = 1 + rows // each
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 class Staged:
     """A DataFrame as a Parquet folder; reading it does not depend on what made it."""
 
