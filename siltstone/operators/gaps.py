@@ -8,9 +8,10 @@ prevalence) and support (paper_id, evidence_type, value, role).
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,44 @@ MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
 #: Combined dimensions without the raw method, which the family stands for.
 COMPARED = tuple(d for d in COMBINED if d != "method")
 METHODS = ("method", "method_family", "baseline")
+# Titles and descriptions of candidates, whose terms count towards their relevance; %s stand for values.
+TEXTS = {
+    "comparable_conflict": (
+        "Conditions behind conflicting findings on %s",
+        "Comparable retrieved studies report opposing findings. The conditions responsible for the disagreement remain a verification hypothesis.",
+    ),
+    "repeated_limitation": (
+        "Repeated author-stated limitation: %s",
+        "%s recurs across %d analyzed papers. This supports targeted follow-up but does not establish global absence.",
+    ),
+    "repeated_future_work": (
+        "Repeated future-work direction: %s",
+        "%s recurs across %d analyzed papers. This supports targeted follow-up but does not establish global absence.",
+    ),
+    "narrow_dataset_setting": (
+        "Validation beyond %s data",
+        "The analyzed evidence is concentrated in %s data. Evaluation in substantially different data or validation settings remains a candidate question requiring targeted verification.",
+    ),
+    "missing_comparison": (
+        "Matched comparison of %s and %s",
+        "Both method families are repeatedly represented in the analyzed evidence, but no explicit matched comparison between them was observed in the structured comparison evidence.",
+    ),
+}
+# The same of combinations, by the dimensions of a pair in order, of other pairs, and of more than two values.
+PAIR_TEXTS = {
+    ("problem", "method_family"): ("{right} for {left}", "The analyzed evidence contains {left} and {right}, but their joint occurrence was not observed in the structured literature landscape."),
+    ("method_family", "population_or_setting"): ("{left} in {right}", "The analyzed evidence contains {left} and {right} separately, but not their joint occurrence."),
+    ("method_family", "dataset"): ("{left} evaluated with {right}", "The analyzed landscape contains {left} and {right} data separately, but their joint evaluation was not observed."),
+    ("method_family", "dataset_type"): ("{left} evaluated with {right}", "The analyzed landscape contains {left} and {right} data separately, but their joint evaluation was not observed."),
+    ("method_family", "constraint"): ("{left} under {right}", "The analyzed landscape contains {left} and {right} separately, but not their joint experimental occurrence."),
+}
+OTHER_PAIR = ("Combination of {left} and {right}", "The analyzed landscape contains {left} and {right} separately, but not their joint occurrence.")
+MORE_VALUES = ("Combination of {all}", "The analyzed landscape contains each component, but this complete structured combination was not observed within one paper.")
+CATEGORIES = {
+    "comparable_conflict": "contradiction", "repeated_limitation": "limitation", "repeated_future_work": "future_work", "combination_gap": "combination",
+    "narrow_dataset_setting": "dataset", "missing_comparison": "comparison",
+}
+NARROW_SHARE = 0.6
 COMPARISON_WORDS = r"(?i)\b(?:compar(?:e|ed|es|ing|ison)|versus|vs\.?|against|outperform(?:s|ed|ing)?|relative to|baseline)\b"
 
 
@@ -67,7 +106,7 @@ def conflict_candidates(conflicts: DataFrame, n_papers: int) -> tuple[DataFrame,
     named = topics.withColumn("candidate_id", F.concat(F.lit("conflict-"), t.gap_key(F.col("topic"))))
     candidates = named.select(
         "candidate_id", F.lit("contradiction").alias("category"), F.lit("comparable_conflict").alias("pattern_type"),
-        F.concat(F.lit("Conditions behind opposed findings on "), "topic").alias("title"), F.lit("").alias("description"),
+        F.format_string(TEXTS["comparable_conflict"][0], "topic").alias("title"), F.lit(TEXTS["comparable_conflict"][1]).alias("description"),
     )
     basis = named.select("candidate_id", F.lit(0).alias("ord"), F.lit("conflict").alias("dimension"), F.col("topic").alias("value"), "count", (F.col("count") / max(1, n_papers)).alias("prevalence"))
     return candidates, basis
@@ -92,19 +131,24 @@ def held_values(top: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def unobserved(top: DataFrame, held: DataFrame, size: int) -> DataFrame:
-    """dims (dimension=value in dimension order), n_anchored, count of combinations that no one paper holds.
+    """dims (dimension=value in dimension order), n_anchored, count of combinations that no one paper holds and that bear on the idea.
 
-    top holds at most TOP_VALUES values for each of seven dimensions, so there are at most 21,000 combinations of any
-    size, made from that bounded table; held (see held_values) decides which of them occur.
+    At least two of the dimensions must have a top value that the idea names, at least one value of the combination must be named, and each other
+    one be strong where top says so (strong; without that column no value has to be). top holds at most TOP_VALUES values for each of seven dimensions, so
+    there are at most 21,000 combinations of any size, made from that bounded table; held (see held_values) decides which of them occur.
     """
-    vals = F.broadcast(top.select(_place(F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"), F.col("anchored").cast("int").alias("a"), "count"))
-    out = vals.select("i", F.array("d").alias("dims"), F.col("a").alias("n_anchored"), F.col("count").alias("count"))
+    strong = F.col("strong") if "strong" in top.columns else F.lit(True)
+    named = F.max(F.col("anchored").cast("int")).over(Window.partitionBy("dimension"))
+    weak = (~(F.col("anchored") | strong)).cast("int")
+    vals = F.broadcast(top.select(_place(F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"), F.col("anchored").cast("int").alias("a"), named.alias("x"), weak.alias("w"), "count"))
+    out = vals.select("i", F.array("d").alias("dims"), F.col("a").alias("n_anchored"), F.col("x").alias("n_named"), F.col("w").alias("n_weak"), "count")
     for _ in range(size - 1):
-        nxt = vals.select(F.col("i").alias("j"), "d", "a", F.col("count").alias("c"))
+        nxt = vals.select(F.col("i").alias("j"), "d", "a", "x", "w", F.col("count").alias("c"))
         out = out.join(nxt, F.col("j") > F.col("i")).select(
-            F.col("j").alias("i"), F.concat("dims", F.array("d")).alias("dims"), (F.col("n_anchored") + F.col("a")).alias("n_anchored"), (F.col("count") + F.col("c")).alias("count")
-        )
-    out = out.where(F.col("n_anchored") >= min(2, size)).drop("i")
+            F.col("j").alias("i"), F.concat("dims", F.array("d")).alias("dims"), (F.col("n_anchored") + F.col("a")).alias("n_anchored"),
+            (F.col("n_named") + F.col("x")).alias("n_named"), (F.col("n_weak") + F.col("w")).alias("n_weak"), (F.col("count") + F.col("c")).alias("count"),
+        )
+    out = out.where((F.col("n_named") >= min(2, size)) & (F.col("n_anchored") > 0) & (F.col("n_weak") == 0)).select("dims", "n_anchored", "count")
     tuples = held.select(F.explode(joint_tuples(F.col("v"), size)).alias("dims")).distinct()
     return out.join(tuples, "dims", "left_anti")
 
@@ -112,13 +156,16 @@ def unobserved(top: DataFrame, held: DataFrame, size: int) -> DataFrame:
 def combination_candidates(anchored: DataFrame, features: DataFrame, limit: int = MAX_CANDIDATES * 8) -> DataFrame:
     """Unobserved combinations of five values down to two, in rank order: larger, more anchored, commoner, by name.
 
-    The top values and the sets that papers hold are written once, as four sizes read them.
+    anchored: dimension, value, count, anchored, and strong where relevance is asked for. The top values and the sets that papers hold are written once, as
+    four sizes read them.
     """
-    top = Staged(top_values(anchored).select("dimension", "value", "count", "anchored"), "top-values").df
+    more = ["strong"] if "strong" in anchored.columns else []
+    top = Staged(top_values(anchored).select("dimension", "value", "count", "anchored", *more), "top-values").df
     held = Staged(held_values(top, features), "held-values").df
     rows = reduce(DataFrame.unionByName, [unobserved(top, held, n) for n in range(5, 1, -1)])
     names = F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], t.casefold(d["value"])))
     order = [F.size("dims").desc(), F.desc("n_anchored"), F.desc("count"), names]
+    # The combinations are few (see unobserved), so one task may rank them.
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
 
 
@@ -135,23 +182,163 @@ def observed_pairs(claims: DataFrame) -> DataFrame:
     return pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def missing_comparisons(frequency: DataFrame, observed: DataFrame, justified: DataFrame | None = None) -> DataFrame:
-    """left, right: families of at least two papers each that no paper compares; semi-joined with justified pairs (a, b) if given."""
+def justified_pairs(claims: DataFrame, idea: DataFrame) -> DataFrame:
+    """a, b (a < b): families that there is a positive reason to compare.
+
+    Either one comparison that the idea asks for holds the terms of both; or a paper has one among its methods and the other among its baselines; or one
+    of its claims on baselines speaks of comparing and holds the terms of both. Pairs come from single claims and papers, never from all families.
+    """
+    solid = claims.where(F.col("dimension").isin("method_family", "baseline") & f.concrete_entity(F.col("value")))
+    rows = solid.select("paper_id", "dimension", f.method(F.col("value")).alias("v")).where("v != ''").distinct()
+    m, b = rows.where("dimension = 'method_family'"), rows.where("dimension = 'baseline'")
+    cross = m.select("paper_id", F.col("v").alias("x")).join(b.select("paper_id", F.col("v").alias("y")), "paper_id").select("x", "y")
+    asked = idea.where(F.col("dimension").isin("comparison", "baseline")).select(F.col("value").alias("text"))
+    spoken = claims.where(F.col("dimension") == "baseline").select(F.concat_ws(" ", "value", "evidence_text").alias("text")).where(F.col("text").rlike(COMPARISON_WORDS))
+    texts = asked.unionByName(spoken).distinct().select("text", f.gap_terms(F.col("text")).alias("have"))
+    fam = m.select(F.col("v").alias("fam")).distinct().withColumn("need", f.gap_terms(F.col("fam"))).where(F.size("need") > 0)
+    named = texts.select("text", "have", F.explode("have").alias("_t")).join(fam.withColumn("_t", F.col("need")[0]), "_t")
+    named = named.where(F.size(F.array_except("need", "have")) == 0).select("text", "fam").distinct()
+    both = named.select("text", F.col("fam").alias("x")).join(named.select("text", F.col("fam").alias("y")), "text").select("x", "y")
+    return cross.unionByName(both).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def missing_comparisons(frequency: DataFrame, observed: DataFrame, justified: DataFrame) -> DataFrame:
+    """left, right, left_count, right_count: families of at least two papers each, for whose comparison there is a reason (justified: a, b), that no paper compares."""
     fam = frequency.where((F.col("dimension") == "method_family") & (F.col("count") >= MIN_PAPERS) & f.concrete_entity(F.col("value")))
     fam = fam.select(f.method(F.col("value")).alias("k"), "value", "count").where("k != ''")
     a, b = fam.select(F.col("k").alias("a"), F.col("count").alias("left_count")), fam.select(F.col("k").alias("b"), F.col("count").alias("right_count"))
-    if justified is not None:
-        pairs = justified.join(a, "a").join(b, "b")
-    else:
-        pairs = a.join(b, F.col("a") < F.col("b"))
+    pairs = justified.select("a", "b").distinct().join(a, "a").join(b, "b")
     return pairs.join(observed, ["a", "b"], "left_anti").select(F.col("a").alias("left"), F.col("b").alias("right"), "left_count", "right_count")
 
 
-def narrow_setting(frequency: DataFrame, total: int, share: float = 0.6) -> DataFrame:
-    """The dataset type that stands in at least `share` of the papers, if it is the only such. (Dataset types are never inferred, so
-    features made by this engine have none.)"""
-    rows = frequency.where((F.col("dimension") == "dataset_type") & (F.col("count") >= share * total))
-    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("_n = 1").drop("_n")
+def narrow_setting(frequency: DataFrame, total: int, share: float = NARROW_SHARE) -> DataFrame:
+    """The dataset type of two papers at least, if it is the only such and stands in at least `share` of the `total` papers with datasets.
+
+    (Dataset types are never inferred, so features made by this engine have none.)
+    """
+    rows = frequency.where((F.col("dimension") == "dataset_type") & (F.col("count") >= MIN_PAPERS) & f.concrete_entity(F.col("value")))
+    # Two rows are enough to know that it is not the only one.
+    alone = rows.limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("_n = 1").drop("_n")
+    return alone.where(F.col("count") >= share * max(1, total))
+
+
+def record_anchors(claims: DataFrame, idea: DataFrame, idea_terms: Column, titles: DataFrame | None = None) -> DataFrame:
+    """paper_id, full: papers whose records the idea anchors; full where both a problem and a method of it do.
+
+    Each of problems, methods and context (population, domain) that the idea has is a signal: a problem or a method family equal when normalised, or
+    a term of the context in claims on problem and setting. One of them is enough. Without any, a paper is anchored if its claims, or its title (paper_id,
+    title), share a term with the idea.
+    """
+    text = F.concat_ws(" ", "value", "evidence_text")
+    kind = F.col("dimension")
+    of = lambda *d: idea.where(kind.isin(*d))
+    problems = of("problem").where(f.concrete_entity(F.col("value"))).select(f.problem(F.col("value")).alias("x")).where("x != ''").distinct()
+    methods = of("method", "method_family").where(f.concrete_entity(F.col("value"))).select(f.method(F.col("value")).alias("x")).where("x != ''").distinct()
+    context = of("problem", "population", "population_or_setting", "domain").select(F.explode(f.gap_terms(F.col("value"))).alias("x")).distinct()
+    by_problem = claims.where(kind == "problem").withColumn("x", f.problem(F.col("value"))).join(problems, "x", "left_semi").select("paper_id", F.lit("p").alias("s"))
+    by_method = claims.where(kind.isin("method", "method_family")).withColumn("x", f.method(F.col("value"))).join(methods, "x", "left_semi").select("paper_id", F.lit("m").alias("s"))
+    signals = []
+    if not problems.isEmpty():
+        signals.append(by_problem)
+    if not methods.isEmpty():
+        signals.append(by_method)
+    if not of("population", "population_or_setting", "domain").isEmpty():
+        near = claims.where(kind.isin("problem", "population_or_setting")).select("paper_id", F.explode(f.gap_terms(text)).alias("x"))
+        signals.append(near.join(context, "x", "left_semi").select("paper_id", F.lit("c").alias("s")))
+    if not signals:
+        bodies = claims.select("paper_id", text.alias("b"))
+        if titles is not None:
+            bodies = bodies.unionByName(titles.select("paper_id", F.col("title").alias("b")))
+        return bodies.where(F.arrays_overlap(f.gap_terms(F.col("b")), idea_terms)).select("paper_id", F.lit(False).alias("full")).distinct()
+    met = reduce(DataFrame.unionByName, signals).groupBy("paper_id")
+    return met.agg((F.count_if(F.col("s") == "p") * F.count_if(F.col("s") == "m") > 0).alias("full"))
+
+
+def strong_context(values: DataFrame, members: DataFrame, claims: DataFrame, anchors: DataFrame) -> DataFrame:
+    """values (dimension, value, ...) with strong: whether papers that the idea anchors connect them with it.
+
+    Two such papers do; else one that states both a problem and a method of the idea, or whose limitations or future work share a term with the value.
+    """
+    held = members.select("dimension", "value", "paper_id").distinct().join(anchors, "paper_id")
+    own = values.select("dimension", "value").distinct()
+    held = held.join(own, ["dimension", "value"], "left_semi")
+    open_ = claims.where(F.col("dimension").isin("limitation", "future_work")).select("paper_id", F.explode(f.gap_terms(F.concat_ws(" ", "value", "evidence_text"))).alias("w")).distinct()
+    said = held.select("dimension", "value", "paper_id", F.explode(f.gap_terms(F.col("value"))).alias("w")).join(open_, ["paper_id", "w"], "left_semi")
+    flags = held.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full"))
+    strong = flags.where((F.col("n") >= MIN_PAPERS) | F.col("full")).select("dimension", "value").unionByName(said.select("dimension", "value")).distinct()
+    return values.join(strong.withColumn("_s", F.lit(True)), ["dimension", "value"], "left").withColumn("strong", F.coalesce("_s", F.lit(False))).drop("_s")
+
+
+def relevant(basis: DataFrame) -> DataFrame:
+    """candidate_id of candidates that bear on the idea, by their basis (candidate_id, anchored, strong).
+
+    With a value that the idea names, all others must be strong; without one, a single value must be.
+    """
+    named, weak = F.count_if("anchored"), F.count_if(~(F.col("anchored") | F.col("strong")))
+    n = basis.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), named.alias("k"), weak.alias("w"))
+    return n.where("w = 0 and (k > 0 or n = 1)").select("candidate_id")
+
+
+def _candidate(pattern: str, key: Column, title: Column, description: Column) -> list[Column]:
+    ident = F.concat(F.lit(f"{pattern}-"), t.gap_key(key))
+    return [ident.alias("candidate_id"), F.lit(CATEGORIES[pattern]).alias("category"), F.lit(pattern).alias("pattern_type"), title.alias("title"), description.alias("description")]
+
+
+def _basis(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows (candidate_id, ord, dimension, value) with count, prevalence, anchored, strong of the values."""
+    return rows.join(values.select("dimension", "value", "count", "prevalence", "anchored", "strong"), ["dimension", "value"]).select("candidate_id", "ord", "dimension", "value", "count", "prevalence", "anchored", "strong")
+
+
+def repeated_builder(members: DataFrame, values: DataFrame, dimension: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, basis) of limitations or future work that papers repeat; the basis has every spelling."""
+    pattern = f"repeated_{dimension}"
+    n_covered = members.where(F.col("dimension") == dimension).select("paper_id").distinct().limit(MIN_PAPERS).count()
+    rows = repeated(members, dimension, n_covered)
+    title, description = TEXTS[pattern]
+    named = rows.select(*_candidate(pattern, F.col("value"), F.format_string(title, "value"), F.format_string(description, "value", "n_papers")), t.evidence_key(F.col("value")).alias("_k"))
+    spelled = values.where(F.col("dimension") == dimension).select("dimension", "value", t.evidence_key(F.col("value")).alias("_k"))
+    basis = named.select("candidate_id", "_k").join(spelled, "_k").select("candidate_id", F.xxhash64("value").alias("ord"), "dimension", "value")
+    return named.drop("_k"), _basis(basis, values)
+
+
+def combination_builder(features: DataFrame, values: DataFrame, limit: int = MAX_CANDIDATES * 8) -> tuple[DataFrame, DataFrame]:
+    """(candidates, basis) of unobserved combinations, written once."""
+    rows = Staged(combination_candidates(values, features, limit), "combinations").df
+    key = F.array_join(F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], d["value"])), "&")
+    named = rows.select(*_candidate("combination_gap", key, combination_text(0), combination_text(1)), "dims")
+    basis = named.select("candidate_id", F.posexplode("dims").alias("ord", "d")).select("candidate_id", F.col("ord").cast("long").alias("ord"), "d.dimension", "d.value")
+    return named.drop("dims"), _basis(basis, values)
+
+
+def narrow_builder(members: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, basis) of the one dataset type that dominates, where two papers at least report datasets."""
+    total = members.where("dimension = 'dataset'").select("paper_id").distinct().count()
+    rows = narrow_setting(values, total).where(F.lit(total >= MIN_PAPERS))
+    title, description = TEXTS["narrow_dataset_setting"]
+    named = rows.select(*_candidate("narrow_dataset_setting", F.col("value"), F.format_string(title, "value"), F.format_string(description, "value")), "dimension", "value")
+    basis = named.select("candidate_id", F.lit(0).cast("long").alias("ord"), "dimension", "value")
+    return named.drop("dimension", "value"), _basis(basis, values)
+
+
+def comparison_builder(claims: DataFrame, members: DataFrame, values: DataFrame, idea: DataFrame, anchors_context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, basis) of missing comparisons, where two papers at least report baselines.
+
+    anchors_context: paper_id of papers whose problem or setting shares a term with the idea's; where given, each family needs one that holds it.
+    """
+    n = members.where("dimension = 'baseline'").select("paper_id").distinct().limit(MIN_PAPERS).count()
+    pairs = missing_comparisons(values, observed_pairs(claims), justified_pairs(claims, idea)).where(F.lit(n >= MIN_PAPERS))
+    spelled = values.where("dimension = 'method_family'").select(f.method(F.col("value")).alias("k"), "value")
+    if anchors_context is not None:
+        near = members.where("dimension = 'method_family'").join(anchors_context, "paper_id", "left_semi").select("value").distinct()
+        spelled = spelled.join(near, "value", "left_semi")
+    # Of several spellings of a family the first by name stands for it.
+    spelled = spelled.groupBy("k").agg(F.min("value").alias("value"))
+    both = pairs.join(spelled.toDF("left", "lv"), "left").join(spelled.toDF("right", "rv"), "right").select(F.least("lv", "rv").alias("lv"), F.greatest("lv", "rv").alias("rv"))
+    title, description = TEXTS["missing_comparison"]
+    named = both.select(*_candidate("missing_comparison", F.concat_ws("|", "lv", "rv"), F.format_string(title, "lv", "rv"), F.lit(description)), "lv", "rv")
+    basis = named.select("candidate_id", F.posexplode(F.array("lv", "rv")).alias("ord", "value"))
+    basis = basis.select("candidate_id", F.col("ord").cast("long").alias("ord"), F.lit("method_family").alias("dimension"), "value")
+    return named.drop("lv", "rv"), _basis(basis, values)
 
 
 def collect_support(basis: DataFrame, claims: DataFrame, members: DataFrame, role: str) -> DataFrame:
@@ -222,16 +409,28 @@ def consolidate(candidates: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         root: dict[str, str] = {}
+        by_word: dict[str, set[int]] = {}
+        by_paper: dict[str, set[int]] = {}
         for r in rows.sort_values(["title", "candidate_id"], key=lambda c: c.str.casefold()).to_dict("records"):
             words, papers = set(r["terms"]), set(r["paper_ids"])
-            hit = next((k for k in kept if (words and k["words"] and len(words & k["words"]) / min(len(words), len(k["words"])) >= 0.6) or len(papers & k["papers"]) >= 2), None)
+            # Only those that share a word or a paper can be the same.
+            shared = Counter(k for w in words for k in by_word.get(w, ()))
+            same = {k for k, n in shared.items() if n / min(len(words), len(kept[k]["words"])) >= 0.6}
+            same |= {k for k, n in Counter(k for p in papers for k in by_paper.get(p, ())).items() if n >= 2}
             mine = (len(papers), r["n_direct"], r["n_title"])
-            if hit is None:
-                kept.append({"id": r["candidate_id"], "ids": [r["candidate_id"]], "words": words, "papers": papers, "rank": mine})
-                continue
+            at = min(same, default=len(kept))
+            if at == len(kept):
+                kept.append({"id": r["candidate_id"], "ids": [], "words": words, "papers": set(), "rank": mine})
+            hit = kept[at]
             hit["ids"].append(r["candidate_id"])
             if mine > hit["rank"]:
+                for w in hit["words"]:
+                    by_word[w].discard(at)
                 hit.update(id=r["candidate_id"], words=words, rank=mine)
+            for w in hit["words"]:
+                by_word.setdefault(w, set()).add(at)
+            for paper in papers - hit["papers"]:
+                by_paper.setdefault(paper, set()).add(at)
             hit["papers"] |= papers
         for k in kept:
             root.update(dict.fromkeys(k["ids"], k["id"]))
@@ -288,10 +487,69 @@ def prune(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
     return dealt.mapInPandas(run, "candidate_id string, place int")
 
 
-def title_text() -> Column:
-    """The title of a combination, from its basis in order (dims)."""
-    named = F.transform("dims", lambda d: F.concat_ws(" ", F.replace(d["dimension"], F.lit("_"), F.lit(" ")), d["value"]))
-    return F.concat(F.lit("Unobserved combination of "), F.array_join(named, ", "))
+def _filled(template: str, parts: dict[str, Column]) -> Column:
+    out = []
+    for piece in re.split(r"(\{\w+\})", template):
+        out.append(parts[piece[1:-1]] if piece.startswith("{") else F.lit(piece))
+    return F.concat(*out)
+
 
+def combination_text(n: int) -> Column:
+    """Title (n = 0) or description (n = 1) of a combination, from its basis in order (dims: dimension, value)."""
+    dims = F.col("dims")
+    left, right = dims[0], F.try_element_at(dims, F.lit(2))
+    parts = {"left": left["value"], "right": right["value"], "all": F.array_join(F.transform("dims", lambda d: d["value"]), " + ")}
+    text = F.when(F.size(dims) != 2, _filled(MORE_VALUES[n], parts))
+    for (a, b), templates in PAIR_TEXTS.items():
+        text = text.when((left["dimension"] == a) & (right["dimension"] == b), _filled(templates[n], parts))
+    return text.otherwise(_filled(OTHER_PAIR[n], parts))
 
-N_PAIRS = len(list(combinations(COMPARED, 2)))
+
+def generate(
+    features: DataFrame, n_papers: int, frequency: DataFrame, members: DataFrame, claims: DataFrame, idea: DataFrame, idea_terms: Column,
+    conflicts: DataFrame | None = None, titles: DataFrame | None = None, limit: int = MAX_CANDIDATES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, basis, support): what six builders propose, that two papers support and that bears on the idea, equal ones as one.
+
+    The builders are conflicts (left_id, right_id, topic), repeated limitations and future work, unobserved combinations, a narrow setting, and missing
+    comparisons. The first `limit` candidates stay, with the most supporting papers, then by pattern and title; they have n_support, idea_relevance,
+    idea_anchor_score, and rank.
+    """
+    if not 1 <= limit <= 50:
+        raise ValueError("limit must lie between 1 and 50")
+    anchors = Staged(record_anchors(claims, idea, idea_terms, titles), "anchors").df
+    values = idea_anchor(frequency, idea, idea_terms).select("dimension", "value", "count", "prevalence", "anchored")
+    values = Staged(strong_context(values, members, claims, anchors), "values").df
+    terms = idea.where(F.col("dimension").isin("problem", "population", "population_or_setting", "domain")).select(F.explode(f.gap_terms(F.col("value"))).alias("w")).distinct()
+    near = claims.where(F.col("dimension").isin("problem", "population_or_setting")).select("paper_id", F.explode(f.gap_terms(F.concat_ws(" ", "value", "evidence_text"))).alias("w"))
+    context = None if terms.isEmpty() else near.join(terms, "w", "left_semi").select("paper_id").distinct()
+    built = [
+        (*repeated_builder(members, values, "limitation"), "direct_support"), (*repeated_builder(members, values, "future_work"), "direct_support"),
+        (*combination_builder(features, values), "contextual_support"), (*narrow_builder(members, values), "contextual_support"),
+        (*comparison_builder(claims, members, values, idea, context), "contextual_support"),
+    ]
+    held, spoken = members.select("dimension", "value", "paper_id"), claims
+    if conflicts is not None:
+        rows, basis = conflict_candidates(conflicts, n_papers)
+        basis = basis.withColumn("ord", F.col("ord").cast("long"))
+        opposed = conflicts.select(F.lit("conflict").alias("dimension"), F.col("topic").alias("value"), F.explode(F.array("left_id", "right_id")).alias("paper_id")).distinct()
+        named = idea_anchor(basis, idea, idea_terms)
+        built.append((rows, strong_context(named, opposed, claims, anchors).select("candidate_id", "ord", "dimension", "value", "count", "prevalence", "anchored", "strong"), "direct_support"))
+        held = held.unionByName(opposed)
+        spoken = spoken.unionByName(claims.where("dimension = 'outcome'").withColumn("dimension", F.lit("conflict")))
+    candidates = Staged(reduce(DataFrame.unionByName, [c for c, _, _ in built]), "candidates").df
+    basis = Staged(reduce(DataFrame.unionByName, [b for _, b, _ in built]), "basis").df
+    support = [collect_support(basis.join(c.select("candidate_id"), "candidate_id", "left_semi"), spoken, held, role) for c, _, role in built]
+    support = Staged(reduce(DataFrame.unionByName, support), "support").df
+    kept = gate(candidates, support).join(relevant(basis), "candidate_id", "left_semi")
+    kept = prioritise(relevance(kept, basis, idea_terms), basis)
+    papers = support.groupBy("candidate_id").agg(F.collect_set(F.col("paper_id").cast("string")).alias("paper_ids"), F.count_if(F.col("role") == "direct_support").cast("int").alias("n_direct"))
+    kept = Staged(kept.join(papers, "candidate_id"), "kept").df
+    roots = consolidate(kept.select("candidate_id", "category", "pattern_type", "title", "description", "keys", "paper_ids", "n_direct"))
+    first = kept.join(roots.where("candidate_id = root").select("candidate_id"), "candidate_id", "left_semi")
+    # Candidates are few: a builder makes at most eight times `limit` combinations, and one row a repeated value or justified pair otherwise.
+    order = [F.desc("n_support"), F.asc("pattern_type"), t.casefold(F.col("title")), F.asc("candidate_id")]
+    best = first.orderBy(*order).limit(limit)
+    best = Staged(best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))), "generated").df
+    mine = lambda df: df.join(best.select("candidate_id"), "candidate_id", "left_semi")
+    return best.drop("paper_ids", "n_direct"), mine(basis), mine(support)

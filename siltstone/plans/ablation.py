@@ -68,15 +68,18 @@ def ablation_variants(spark, sf_dir):
     return variants(papers(spark, sf_dir), ideas, semantic=near)
 
 
+def _turns(spark, sf_dir) -> DataFrame:
+    """Every turn of every conversation as an idea."""
+    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).cast("long").alias("idea_id"), "text")
+
+
 def decomposed_ideas(spark, sf_dir):
-    """First turns of conversations as ideas: facets and keywords."""
-    c = load(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("idea_id"), "text")
-    return planning.decompose_ideas(c).drop("synonyms")
+    """Turns of conversations as ideas: facets and keywords."""
+    return planning.decompose_ideas(_turns(spark, sf_dir)).drop("synonyms")
 
 
 def generated_queries(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("idea_id"), "text")
-    return planning.generate_queries(planning.decompose_ideas(c))
+    return planning.generate_queries(planning.decompose_ideas(_turns(spark, sf_dir)))
 
 
 QUERIES = {"ablation_variants": ablation_variants, "decomposed_ideas": decomposed_ideas, "generated_queries": generated_queries}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,19 +182,33 @@ ANCHORS = f"WITH {_TOP} SELECT dimension, value, count, anchored FROM top"
 
 
 def unobserved_combinations(spark, sf_dir):
-    """Five values that no order line holds together, two of them named by the idea."""
-    top = gaps.top_values(_anchored(spark, sf_dir))
-    out = gaps.unobserved(top, gaps.held_values(top, line_features(spark, sf_dir)), 5)
+    """Five values down to two that no order line holds together, in dimensions that the idea names values of, one of them a value it names."""
+    lines = Staged(line_features(spark, sf_dir), "lines").df
+    freq = landscape.frequencies(lines, lines.select("paper_id").distinct())
+    top = Staged(gaps.top_values(gaps.idea_anchor(freq, _idea(spark), _terms(spark))).select("dimension", "value", "count", "anchored"), "top").df
+    held = Staged(gaps.held_values(top, lines), "held").df
+    out = reduce(DataFrame.unionByName, [gaps.unobserved(top, held, n) for n in (5, 4, 3, 2)])
     return out.select(F.concat_ws("&", F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], d["value"]))).alias("dims"), F.col("n_anchored").cast("long"), "count")
 
 
 _COMPARED = "list_position(['problem','population_or_setting','method_family','dataset','dataset_type','baseline','constraint'], dimension)"
-UNOBSERVED = f"""WITH {_TOP}, v AS (SELECT {_COMPARED} AS i, dimension || '=' || value AS d, CAST(anchored AS INTEGER) AS a, count FROM top),
-c AS (SELECT x.d || '&' || y.d || '&' || z.d || '&' || w.d || '&' || u.d AS dims, x.a + y.a + z.a + w.a + u.a AS n_anchored, x.count + y.count + z.count + w.count + u.count AS count
-  FROM v x JOIN v y ON x.i < y.i JOIN v z ON y.i < z.i JOIN v w ON z.i < w.i JOIN v u ON w.i < u.i WHERE x.a + y.a + z.a + w.a + u.a >= 2),
-o AS (SELECT paper_id, {_COMPARED} AS i, dimension || '=' || value AS d FROM features WHERE dimension || '=' || value IN (SELECT d FROM v)),
-s AS (SELECT DISTINCT x.d || '&' || y.d || '&' || z.d || '&' || w.d || '&' || u.d AS dims FROM o x JOIN o y ON x.paper_id = y.paper_id AND x.i < y.i JOIN o z ON y.paper_id = z.paper_id AND y.i < z.i JOIN o w ON z.paper_id = w.paper_id AND z.i < w.i JOIN o u ON w.paper_id = u.paper_id AND w.i < u.i)
-SELECT dims, CAST(n_anchored AS BIGINT) AS n_anchored, CAST(count AS BIGINT) AS count FROM c WHERE dims NOT IN (SELECT dims FROM s)"""
+
+
+def _unobserved_sql(size: int) -> str:
+    names = [f"x{i}" for i in range(size)]
+    total = lambda c: " + ".join(f"{x}.{c}" for x in names)
+    dims = " || '&' || ".join(f"{x}.d" for x in names)
+    chain = "v x0 " + " ".join(f"JOIN v {b} ON {a}.i < {b}.i" for a, b in zip(names, names[1:]))
+    same = "o x0 " + " ".join(f"JOIN o {b} ON {a}.paper_id = {b}.paper_id AND {a}.i < {b}.i" for a, b in zip(names, names[1:]))
+    return (
+        f"SELECT {dims} AS dims, CAST({total('a')} AS BIGINT) AS n_anchored, CAST({total('count')} AS BIGINT) AS count FROM {chain} WHERE {total('x')} >= 2 AND {total('a')} > 0"
+        f" AND {dims} NOT IN (SELECT {dims} FROM {same})"
+    )
+
+
+UNOBSERVED = f"""WITH {_TOP}, v AS (SELECT {_COMPARED} AS i, dimension || '=' || value AS d, CAST(anchored AS INTEGER) AS a, max(CAST(anchored AS INTEGER)) OVER (PARTITION BY dimension) AS x, count FROM top),
+o AS (SELECT paper_id, {_COMPARED} AS i, dimension || '=' || value AS d FROM features WHERE dimension || '=' || value IN (SELECT d FROM v))
+{" UNION ALL ".join(_unobserved_sql(n) for n in (5, 4, 3, 2))}"""
 
 
 def _claims(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
@@ -204,19 +219,25 @@ def _claims(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     return rows.select("paper_id", "dimension", F.element_at(field, F.col("dimension")).alias("field"), F.xxhash64("dimension", "value").alias("ord"), "value", F.concat_ws(" ", "value", said).alias("evidence_text"), F.lit("abstract").alias("source"))
 
 
+def _compared_brands(spark) -> DataFrame:
+    """An idea that asks to compare the brands of each first digit."""
+    rows = [("comparison", "Brand " + " versus Brand ".join(f"{d}{i}" for i in range(1, 6))) for d in range(1, 6)]
+    return spark.createDataFrame(rows, "dimension string, value string")
+
+
 def missing_comparison_pairs(spark, sf_dir):
-    """Families of two orders each that no order compares; the dearest orders are those that speak of comparing."""
+    """Families of two orders each that the idea compares and no order does; the dearest orders are those that speak of comparing."""
     freq = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir))
     dear = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_totalprice") > 499_000).alias("dear"))
     said = F.when(F.col("dear"), "compared with others").otherwise("alone")
     claims = _claims(spark, sf_dir).join(dear, "paper_id").withColumn("evidence_text", said)
-    return gaps.missing_comparisons(freq, gaps.observed_pairs(claims))
+    return gaps.missing_comparisons(freq, gaps.observed_pairs(claims), gaps.justified_pairs(claims, _compared_brands(spark)))
 
 
 MISSING_PAIRS = f"""WITH {FEATURES}, fam AS (SELECT regexp_replace(lower(value), '#', ' ') AS k, count(*) AS n FROM features WHERE dimension = 'method_family' GROUP BY 1 HAVING count(*) >= 2),
 m AS (SELECT paper_id, regexp_replace(lower(value), '#', ' ') AS v FROM features WHERE dimension = 'method_family' AND paper_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 499000)),
 o AS (SELECT DISTINCT x.v AS a, y.v AS b FROM m x JOIN m y ON x.paper_id = y.paper_id AND x.v < y.v)
-SELECT x.k AS "left", y.k AS "right", x.n AS left_count, y.n AS right_count FROM fam x JOIN fam y ON x.k < y.k WHERE (x.k, y.k) NOT IN (SELECT (a, b) FROM o)"""
+SELECT x.k AS "left", y.k AS "right", x.n AS left_count, y.n AS right_count FROM fam x JOIN fam y ON x.k < y.k AND substr(x.k, 7, 1) = substr(y.k, 7, 1) WHERE (x.k, y.k) NOT IN (SELECT (a, b) FROM o)"""
 
 _REQ = [
     (1, "problem", "p1", "urgent"), (1, "method", "m1", "Brand 13"), (1, "method", "m1", "Brand 7"), (1, "constraint", "c1", "R"),
@@ -243,26 +264,45 @@ def _stem_sql(w: str) -> str:
 
 
 def _forms_sql(w: str) -> str:
-    cases = " ".join(f"WHEN {w} IN ({', '.join(repr(x) for x in forms)}) THEN '{root}'" for root, forms in verification.VERB_FORMS.items())
-    return f"CASE {cases} ELSE {w} END"
+    return (
+        f"CASE WHEN {w} IN ('reduces', 'reduced', 'reducing', 'reduction', 'reductions', 'decrease', 'decreases', 'decreased', 'decreasing') THEN 'reduce'"
+        f" WHEN {w} IN ('improves', 'improved', 'improving', 'improvement', 'improvements') THEN 'improve' WHEN {w} IN ('increases', 'increased', 'increasing') THEN 'increase' ELSE {w} END"
+    )
 
 
 def _concepts_sql(c: str) -> str:
-    out = ", ".join(f"'{x}'" for x in (*f.GAP_STOPWORDS, *f.GENERIC_BUCKETS) if x)
-    words = f"list_filter(regexp_extract_all(regexp_replace({_key_sql(c)}, '{verification.PLACEHOLDER}', ' ', 'g'), '[a-z0-9]+'), lambda w: w NOT IN ({out}))"
+    """The concepts of a phrase in DuckDB, by lists of its own."""
+    stop = "'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'under', 'with'"
+    buckets = "'other', 'unknown', 'misc', 'miscellaneous', 'unspecified', 'uncategorized', 'none'"
+    placeholder = (
+        "\\b(?:other|unknown|misc|miscellaneous|unspecified|uncategorized|none)(?:\\s+(?:method|methods|model|models|approach|approaches|technique|techniques"
+        "|population|populations|setting|settings|dataset|datasets|data|baseline|baselines))?\\b"
+    )
+    words = f"list_filter(regexp_extract_all(regexp_replace({_key_sql(c)}, '{placeholder}', ' ', 'g'), '[a-z0-9]+'), lambda w: w NOT IN ({stop}, {buckets}))"
     formed = f"list_transform({words}, lambda w: {_forms_sql('w')})"
     return f"list_distinct(list_transform({formed}, lambda w: {_stem_sql('w')}))"
 
 
+def _phrase_sql(need: str, have: str) -> str:
+    return f"(len({need}) > 0 AND len({have}) > 0 AND (list_has_all({have}, {need}) OR list_has_all({need}, {have})))"
+
+
+def _said_sql(value: str, said: str) -> str:
+    """Value and evidence text of _claims."""
+    return f"{value} || ' ' || {value} || CASE {said} WHEN 0 THEN ' is compared with others' ELSE ' stands alone' END"
+
+
 _FIELD = "CASE dimension WHEN 'problem' THEN 'research_objective' WHEN 'dataset' THEN 'datasets' WHEN 'baseline' THEN 'comparison_or_baseline' WHEN 'constraint' THEN 'constraints' ELSE 'method_or_intervention' END"
-_FACETS = "\n".join(
-    f"WHEN facet = '{k}' THEN field IN ({', '.join(repr(x) for x in dict.fromkeys((*verification.PRIMARY[k], *verification.CROSS[k])))})" for k in verification.PRIMARY
-)
+# The fields that speak for a facet or support it.
+_FACETS = """WHEN facet = 'problem' THEN field IN ('research_objective', 'population_or_setting', 'method_or_intervention', 'comparison_or_baseline', 'data_or_modality', 'datasets', 'constraints')
+WHEN facet = 'method' THEN field IN ('method_or_intervention', 'research_objective', 'population_or_setting', 'comparison_or_baseline', 'data_or_modality', 'datasets', 'main_findings')
+WHEN facet = 'data_or_modality' THEN field IN ('data_or_modality', 'datasets', 'research_objective', 'population_or_setting', 'method_or_intervention', 'main_findings')
+WHEN facet = 'constraint' THEN field IN ('constraints', 'research_objective', 'population_or_setting', 'method_or_intervention', 'comparison_or_baseline', 'datasets')
+WHEN facet = 'comparison' THEN field IN ('comparison_or_baseline', 'method_or_intervention', 'main_findings')"""
 DIVISION = f"""WITH {FEATURES}, c AS (SELECT DISTINCT paper_id, {_FIELD} AS field, value, paper_id % 3 AS said FROM features WHERE dimension <> 'study_type'),
-u AS (SELECT DISTINCT field, value, said, {_concepts_sql('value')} AS cv, {_concepts_sql("value || ' ' || value || CASE said WHEN 0 THEN ' is compared with others' ELSE ' stands alone' END")} AS ct FROM c),
+u AS (SELECT DISTINCT field, value, said, {_concepts_sql(_said_sql('value', 'said'))} AS ct FROM c),
 req(idea_id, facet, grp, v) AS (VALUES {', '.join(map(str, _REQ))}), r AS (SELECT *, {_concepts_sql('v')} AS need FROM req),
-m AS (SELECT DISTINCT idea_id, facet, grp, field, value, said FROM u JOIN r ON (CASE {_FACETS} END) AND len(need) > 0
-  AND ((len(cv) > 0 AND (list_has_all(cv, need) OR list_has_all(need, cv))) OR list_has_all(ct, need))),
+m AS (SELECT DISTINCT idea_id, facet, grp, field, value, said FROM u JOIN r ON (CASE {_FACETS} END) AND {_phrase_sql('need', 'ct')}),
 g AS (SELECT DISTINCT idea_id, facet, grp, paper_id FROM m JOIN c USING (field, value, said)),
 q AS (SELECT idea_id, facet, count(DISTINCT grp) AS n FROM req GROUP BY ALL), qq AS (SELECT idea_id, count(*) AS n FROM q GROUP BY ALL),
 k AS (SELECT idea_id, facet, paper_id, count(DISTINCT grp) AS k FROM g GROUP BY ALL), f AS (SELECT k.* FROM k JOIN q USING (idea_id, facet) WHERE k = n)
@@ -288,42 +328,68 @@ t AS (SELECT p.idea_id, p.paper_id, coalesce(h.n, 0) AS n, g.g, k.n AS papers, p
 SELECT idea_id, paper_id, n AS n_covered, CASE WHEN papers < 2 OR g IS NULL THEN 'uncertain' WHEN n >= least(2, g) OR (n > 0 AND strong) THEN 'accepted' WHEN n > 0 OR strong THEN 'uncertain' ELSE 'rejected' END AS verdict FROM t"""
 
 
-def _candidates(spark, sf_dir):
-    info = Staged(_anchored(spark, sf_dir).select("dimension", "value", "count", "prevalence", "anchored"), "anchored").df
-    combos = Staged(gaps.combination_candidates(info, line_features(spark, sf_dir)), "combinations").df
-    rows = combos.select(F.concat(F.lit("g"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("candidate_id"), "dims")
-    rows = rows.withColumns({"category": F.lit("combination"), "pattern_type": F.lit("combination_gap"), "title": gaps.title_text(), "description": F.lit("")})
-    basis = rows.select("candidate_id", F.posexplode("dims").alias("ord", "d")).select("candidate_id", "ord", "d.dimension", "d.value")
-    return rows.drop("dims"), basis.join(info, ["dimension", "value"])
+def _landscape(spark, sf_dir):
+    """Order lines as papers: features, claims, members and frequencies, each written once."""
+    lines = Staged(line_features(spark, sf_dir), "lines").df
+    return lines, _claims(spark, sf_dir, lines), landscape.members(lines), Staged(landscape.frequencies(lines, lines.select("paper_id").distinct()), "frequencies").df
 
 
 def gap_candidates(spark, sf_dir):
-    """Combination candidates that two orders' claims support, with their relevance."""
-    rows, basis = _candidates(spark, sf_dir)
-    lines = line_features(spark, sf_dir)
-    support = gaps.collect_support(basis, _claims(spark, sf_dir, lines), landscape.members(lines), "contextual_support")
-    out = gaps.relevance(gaps.gate(rows, support), basis, _terms(spark))
-    return out.select("candidate_id", "title", "n_support", F.round("idea_relevance", 6).alias("idea_relevance"), F.round("idea_anchor_score", 6).alias("idea_anchor_score"))
+    """What all builders propose for the idea from order lines, with their support and relevance: the first 50."""
+    lines, claims, members, freq = _landscape(spark, sf_dir)
+    out, _, _ = gaps.generate(lines, 0, freq, members, claims, _idea(spark), _terms(spark), limit=50)
+    return out.select("rank", "candidate_id", "pattern_type", "title", "n_support", F.round("idea_relevance", 6).alias("idea_relevance"), F.round("idea_anchor_score", 6).alias("idea_anchor_score"))
 
 
-def pruned_candidates(spark, sf_dir):
-    rows, basis = _candidates(spark, sf_dir)
+def _combinations(spark, sf_dir):
+    """(combination candidates in priority order of their columns, basis, lines)."""
+    lines, _, _, freq = _landscape(spark, sf_dir)
+    values = Staged(gaps.idea_anchor(freq, _idea(spark), _terms(spark)).select("dimension", "value", "count", "prevalence", "anchored").withColumn("strong", F.lit(True)), "anchored").df
+    rows, basis = gaps.combination_builder(lines, values)
     ranked = gaps.prioritise(gaps.relevance(rows, basis, _terms(spark)).withColumn("n_support", F.lit(2)), basis)
+    return Staged(ranked, "ranked").df, basis, lines
+
+
+def pruned_candidates(spark, sf_dir):
+    ranked, _, _ = _combinations(spark, sf_dir)
     return gaps.prune(ranked)
 
 
+def verification_order(spark, sf_dir):
+    """The candidates that are verified: eligible, pruned, in order of priority, less those that an order line shows."""
+    ranked, basis, lines = _combinations(spark, sf_dir)
+    fit = verification.eligible(ranked, basis)
+    return verification.select_for_verification(fit, gaps.prune(fit), verification.observed(basis, _claims(spark, sf_dir, lines)), 10).select("candidate_id", "title")
+
+
 def verification_labels(spark, sf_dir):
-    """Labels of the candidates: some have failures, some possible matches; observed ones are well studied."""
-    rows, basis = _candidates(spark, sf_dir)
-    met = verification.direct_counterexamples(rows, basis, _claims(spark, sf_dir, line_features(spark, sf_dir))).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("confirmed"))
+    """Labels of the candidates: some have failures, some possible matches; those that a line about the idea answers are well studied."""
+    ranked, basis, lines = _combinations(spark, sf_dir)
+    claims = _claims(spark, sf_dir, lines)
+    topic = spark.createDataFrame([("problem", "1-URGENT"), ("intervention_or_method", "Brand 13")], "facet string, value string")
+    met = verification.direct_counterexamples(ranked, basis, claims, verification.topic_papers(topic, claims)).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("confirmed"))
     n = F.crc32("candidate_id") % 10
-    state = rows.join(met, "candidate_id", "left").select(
+    state = ranked.join(met, "candidate_id", "left").select(
         "candidate_id", F.when(n == 0, 1).otherwise(0).alias("failures"), F.when(n == 1, 0).otherwise(5).alias("n_papers"), F.when(n == 2, 0).otherwise(5).alias("n_records"),
         F.lit(4).alias("n_with_abstract"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"), F.when(n == 3, 1).otherwise(0).alias("potential"),
     )
     return verification.candidate_label(state).select("candidate_id", "label")
 
 
+def topic_lines(spark, sf_dir):
+    """Order lines whose claims are about an idea, by its problem, methods or modality."""
+    lines = line_features(spark, sf_dir)
+    topic = spark.createDataFrame([("problem", "2 high"), ("intervention_or_method", "the other method of Brand 13"), ("data_or_modality", "economy brushed tin"), ("constraints", "R")], "facet string, value string")
+    return verification.topic_papers(topic, _claims(spark, sf_dir, lines))
+
+
+TOPIC_LINES = f"""WITH {LINES}, c AS (SELECT paper_id, {_FIELD} AS field, value, CAST(split_part(paper_id, '-', 1) AS BIGINT) % 3 AS said FROM features),
+u AS (SELECT DISTINCT field, value, said, {_concepts_sql(_said_sql('value', 'said'))} AS ct FROM c),
+w(field, v) AS (VALUES ('research_objective', '2 high'), ('method_or_intervention', 'the other method of Brand 13'), ('datasets', 'economy brushed tin')), n AS (SELECT field, {_concepts_sql('v')} AS need FROM w),
+m AS (SELECT DISTINCT field, value, said FROM u JOIN n USING (field) WHERE {_phrase_sql('need', 'ct')})
+SELECT DISTINCT paper_id FROM c JOIN m USING (field, value, said)"""
+
+
 def observed_candidates(spark, sf_dir):
     """Order lines that hold a frequent pair (problem, family) in the proper fields: candidates that are no gaps."""
     top = gaps.top_values(_anchored(spark, sf_dir))
@@ -334,10 +400,12 @@ def observed_candidates(spark, sf_dir):
     return verification.observed(basis, _claims(spark, sf_dir, line_features(spark, sf_dir))).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-OBSERVED = f"""WITH {_TOP}, a AS (SELECT value AS x FROM top WHERE dimension = 'problem'), b AS (SELECT value AS y FROM top WHERE dimension = 'method_family'),
-p AS (SELECT DISTINCT value AS x, {_concepts_sql('value')} AS cx, paper_id FROM features WHERE dimension = 'problem'), m AS (SELECT DISTINCT value AS y, {_concepts_sql('value')} AS cy, paper_id FROM features WHERE dimension = 'method_family'),
-pa AS (SELECT DISTINCT a.x, paper_id FROM a, p WHERE list_has_all({_concepts_sql('a.x')}, cx) OR list_has_all(cx, {_concepts_sql('a.x')})), mb AS (SELECT DISTINCT b.y, paper_id FROM b, m WHERE list_has_all({_concepts_sql('b.y')}, cy) OR list_has_all(cy, {_concepts_sql('b.y')}))
-SELECT pa.x || '|' || mb.y AS candidate_id, count(*) AS n FROM pa JOIN mb USING (paper_id) GROUP BY 1"""
+OBSERVED = f"""WITH {_TOP}, c AS (SELECT dimension, value, paper_id, CAST(split_part(paper_id, '-', 1) AS BIGINT) % 3 AS said FROM features WHERE dimension IN ('problem', 'method', 'method_family')),
+u AS (SELECT dimension, value, said, {_concepts_sql(_said_sql('value', 'said'))} AS ct FROM (SELECT DISTINCT dimension, value, said FROM c)),
+n AS (SELECT dimension, value AS want, {_concepts_sql('value')} AS need FROM top WHERE dimension IN ('problem', 'method_family')),
+m AS (SELECT DISTINCT n.dimension AS d, want, u.dimension, u.value, said FROM n JOIN u ON (n.dimension = 'problem') = (u.dimension = 'problem') AND {_phrase_sql('need', 'ct')}),
+p AS (SELECT DISTINCT d, want, paper_id FROM m JOIN c USING (dimension, value, said))
+SELECT a.want || '|' || b.want AS candidate_id, count(*) AS n FROM p a JOIN p b USING (paper_id) WHERE a.d = 'problem' AND b.d = 'method_family' GROUP BY 1"""
 
 
 def cache_latest(spark, sf_dir):
@@ -368,12 +436,12 @@ QUERIES = {
     for g in (
         evidence_support, pdf_style_sessions, html_sections, context_selection, batch_packing, redacted_text, reconstruct_text, exact_id_components, title_year_groups,
         near_title_pairs, resolved_works, normalised_values, idea_anchors, unobserved_combinations, missing_comparison_pairs, idea_match_division, prescreen_labels,
-        gap_candidates, pruned_candidates, verification_labels, observed_candidates, cache_latest, attribution,
+        gap_candidates, pruned_candidates, verification_order, verification_labels, topic_lines, observed_candidates, cache_latest, attribution,
     )
 }
 SQL = {
     "evidence_support": SUPPORT, "pdf_style_sessions": SESSIONS, "batch_packing": PACKING, "redacted_text": REDACTED, "reconstruct_text": RECONSTRUCT,
     "exact_id_components": ID_COMPONENTS, "title_year_groups": TITLE_YEAR, "normalised_values": NORMALISED, "idea_anchors": ANCHORS, "unobserved_combinations": UNOBSERVED,
-    "missing_comparison_pairs": MISSING_PAIRS, "idea_match_division": DIVISION, "prescreen_labels": PRESCREEN, "observed_candidates": OBSERVED, "cache_latest": CACHE,
+    "missing_comparison_pairs": MISSING_PAIRS, "idea_match_division": DIVISION, "prescreen_labels": PRESCREEN, "observed_candidates": OBSERVED, "topic_lines": TOPIC_LINES, "cache_latest": CACHE,
     "attribution": ATTRIBUTION,
 }
