@@ -7,16 +7,23 @@ forms the product of papers and queries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
 from siltstone.functions import vectors as v
+from siltstone.sources.staging import Staged
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3
-#: Query tokens, and texts of queries of one or two tokens, that may be broadcast.
+#: Query tokens that may be broadcast.
 BROADCAST_TOKENS = 100_000
+#: Letters by which a piece is looked up within tokens.
+GRAM = 3
+#: Query vectors in a block, and blocks broadcast together.
+QUERY_BLOCK, BLOCKS = 256, 16
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -31,11 +38,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return distinct.select("query_id", F.size("toks").alias("n"), "phrase", F.explode("toks").alias("token"))
 
 
-def postings(papers: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, token, tf, in_title, in_abstract, len) of vocabulary tokens, and (n, avg_len) of all papers."""
-    toks = papers.select(
-        "id", t.tokens(F.col("title")).alias("tt"), t.tokens(F.col("abstract")).alias("ta")
-    ).withColumn("len", TITLE_BOOST * F.size("tt") + F.size("ta"))
+def tokenised(papers: DataFrame) -> DataFrame:
+    """id, tt, ta: tokens of titles and abstracts, written once, as postings and phrases both read them."""
+    return Staged(papers.select("id", t.tokens(F.col("title")).alias("tt"), t.tokens(F.col("abstract")).alias("ta")), "tokens").df
+
+
+def postings(toks: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, token, tf, in_title, in_abstract, len) of vocabulary tokens, and (n, avg_len) of all papers. toks: see tokenised."""
+    toks = toks.withColumn("len", TITLE_BOOST * F.size("tt") + F.size("ta"))
     stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg"))
     stats = stats.select("n_docs", F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg_len"))
     title = F.transform("tt", lambda w: F.struct(w.alias("token"), F.lit(TITLE_BOOST).alias("w"), F.lit(1).alias("t")))
@@ -48,29 +58,46 @@ def postings(papers: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataF
     return found, stats
 
 
-def phrase_hits(papers: DataFrame, queries: DataFrame, matched: DataFrame) -> DataFrame:
+def _token_hits(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """query_id, role, token: tokens (distinct) that hold a piece (query_id, role, piece) where its role says: within, at the end, or at the beginning.
+
+    Tokens meet pieces by equality alone: all their endings and beginnings, and for pieces within a token its first GRAM letters.
+    """
+    n = F.length("token")
+    parts = lambda cut: vocabulary.select("token", F.explode(F.sequence(F.lit(1), n)).alias("i")).select("token", cut.alias("piece"))
+    ends = parts(F.expr("right(token, i)")).join(pieces.where("role = 'end'"), "piece")
+    begins = parts(F.expr("left(token, i)")).join(pieces.where("role = 'begin'"), "piece")
+    gram = pieces.where("role = 'within'").withColumn("gram", F.left("piece", F.lit(GRAM)))
+    grams = vocabulary.select("token", F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, length(token)), i -> transform(sequence(1, {GRAM}), q -> substring(token, i, q)))))")).alias("gram"))
+    within = grams.join(gram, "gram").where(F.col("token").contains(F.col("piece")))
+    return reduce(DataFrame.unionByName, [x.select("query_id", "role", "token") for x in (ends, begins, within)]).distinct()
+
+
+def phrase_hits(toks: DataFrame, queries: DataFrame, matched: DataFrame) -> DataFrame:
     """query_id, id, bonus of phrases that stand in a title (2.0) or else in an abstract (0.75).
 
-    A phrase is sought as a substring. From three tokens on its inner tokens are whole tokens of the field,
-    so only papers that match nearly all tokens can hold it; shorter phrases (a stated query set, broadcast
-    in blocks of BROADCAST_TOKENS) are sought in every paper.
+    A phrase is sought as a substring of the tokens, joined by spaces. From three tokens on its inner tokens are whole tokens of the field,
+    so only papers that match nearly all tokens can hold it. Of two tokens the first ends a token of the field and the second begins one; a single
+    one lies within a token: tokens are found in the vocabulary, by equality, and only papers that hold them are looked at.
     """
     q = queries.select("query_id", t.tokens(F.col("text")).alias("toks")).select(
-        "query_id", F.size("toks").alias("k"), F.array_join("toks", " ").alias("phrase")
+        "query_id", F.size("toks").alias("k"), F.array_join("toks", " ").alias("phrase"), "toks"
     ).where(F.col("phrase") != "")
-    body = papers.select("id", t.phrase(F.col("title")).alias("tp"), t.phrase(F.col("abstract")).alias("ap"))
+    body = toks.select("id", F.array_join("tt", " ").alias("tp"), F.array_join("ta", " ").alias("ap"))
     bonus = F.when(F.col("tp").contains(F.col("phrase")), 2.0).when(F.col("ap").contains(F.col("phrase")), 0.75)
-    long = matched.join(q.where("k > 2"), "query_id").where(F.col("n_hit") >= F.col("n") - 2).join(body, "id")
+    long = matched.join(q.where("k > 2"), "query_id").where(F.col("n_hit") >= F.col("n") - 2).select("query_id", "id", "phrase")
     short = q.where("k <= 2")
-    found = long.select("query_id", "id", bonus.alias("bonus"))
-    n = short.count()
-    if n:
-        blocks = max(1, -(-n // BROADCAST_TOKENS))
-        for i in range(blocks):
-            block = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-            every = body.join(F.broadcast(block), F.col("tp").contains(F.col("phrase")) | F.col("ap").contains(F.col("phrase")))
-            found = found.unionByName(every.select("query_id", "id", bonus.alias("bonus")))
-    return found.where(F.col("bonus").isNotNull())
+    candidates = long
+    if not short.isEmpty():
+        role = lambda name, i: F.struct(F.lit(name).alias("role"), F.col("toks")[i].alias("piece"))
+        pieces = short.where("k = 1").select("query_id", F.inline(F.array(role("within", 0))))
+        pieces = pieces.unionByName(short.where("k = 2").select("query_id", F.inline(F.array(role("end", 0), role("begin", 1)))))
+        of = toks.select("id", F.explode(F.array_distinct(F.concat("tt", "ta"))).alias("token"))
+        hits = Staged(_token_hits(of.select("token").distinct(), pieces), "token-hits").df
+        held = of.join(_small(hits, BROADCAST_TOKENS), "token").groupBy("query_id", "id").agg(F.countDistinct("role").alias("roles"))
+        found = held.join(short, "query_id").where("roles = k").select("query_id", "id", "phrase")
+        candidates = candidates.unionByName(found)
+    return candidates.join(body, "id").select("query_id", "id", bonus.alias("bonus")).where(F.col("bonus").isNotNull())
 
 
 def bm25(papers: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -81,8 +108,9 @@ def bm25(papers: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    q = query_tokens(queries)
-    found, stats = postings(papers, q)
+    q, toks = query_tokens(queries), tokenised(papers)
+    found, stats = postings(toks, q)
+    found = Staged(found, "postings").df
     df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
@@ -94,19 +122,34 @@ def bm25(papers: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
         F.count(F.lit(1)).alias("n_hit"),
         F.max("n").alias("n"),
     )
-    bonus = phrase_hits(papers, queries, scored)
+    bonus = phrase_hits(toks, queries, scored)
     every = scored.join(bonus, ["query_id", "id"], "full")
     cover = 1.5 * F.col("n_title") / F.col("n") + 0.5 * F.col("n_abstract") / F.col("n")
     total = F.coalesce("bm25", F.lit(0.0)) + F.coalesce(cover, F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-    return every.select("query_id", "id", total.alias("lexical_raw_score"))
+    return Staged(every.select("query_id", "id", total.alias("lexical_raw_score")), "lexical").df
+
+
+def _spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with _n (rows of the query) and lowest and highest value of each column for the query, as _lo_c and _hi_c.
+
+    The figures are combined before they are shuffled and join back as one row a query, so a query with very many rows stays spread.
+    """
+    found = [x for c in columns for x in (F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))]
+    by = rows.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), *found)
+    return rows.join(by, F.col("query_id").eqNullSafe(F.col("_q"))).drop("_q")
+
+
+def scale(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows (query_id, ...) with the column scaled to 0 to 1 for each query."""
+    made = v.scaled(F.col(column), F.col(f"_lo_{column}"), F.col(f"_hi_{column}"))
+    return _spread(rows, column).withColumn(out, made).drop("_n", f"_lo_{column}", f"_hi_{column}")
 
 
 def scale_sparse(scores: DataFrame, n: DataFrame, raw: str, out: str) -> DataFrame:
     """Min-max per query where `n` (one row, n_docs) papers were scored and pairs left out score 0."""
-    w = Window.partitionBy("query_id")
-    low = F.when(F.count(F.lit(1)).over(w) < F.col("n_docs"), F.least(F.lit(0.0), F.min(raw).over(w))).otherwise(F.min(raw).over(w))
-    marked = scores.join(F.broadcast(n)).withColumns({"_lo": low, "_hi": F.max(raw).over(w)})
-    return marked.withColumn(out, v.scaled(F.col(raw), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "n_docs")
+    marked = _spread(scores, raw).join(F.broadcast(n))
+    low = F.when(F.col("_n") < F.col("n_docs"), F.least(F.lit(0.0), F.col(f"_lo_{raw}"))).otherwise(F.col(f"_lo_{raw}"))
+    return marked.withColumn(out, v.scaled(F.col(raw), low, F.col(f"_hi_{raw}"))).drop(f"_lo_{raw}", f"_hi_{raw}", "_n", "n_docs")
 
 
 def top_k(scores: DataFrame, order: list[Column], k: int, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -114,16 +157,23 @@ def top_k(scores: DataFrame, order: list[Column], k: int, by: str = "query_id",
     return scores.withColumn(rank, place).where(F.col(rank) <= k)
 
 
-def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def semantic(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, many: int = BLOCKS) -> DataFrame:
     """query_id, id, semantic_raw_score: cosine of each vector (id, vector) with each query's (query_id, vector).
 
-    The queries are a stated set, broadcast if a count shows them to be few.
+    The queries are a stated set, however large: they go in blocks of about `block`, one row a block, that every vector meets by the block's number;
+    at most `many` blocks are broadcast together.
     """
     norm = lambda c: F.sqrt(v.dot(F.col(c), F.col(c)))
-    q = queries.select("query_id", F.col("vector").alias("_q"), norm("vector").alias("_qn"))
-    if q.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 query vectors; score them in blocks")
-    pairs = vectors.select("id", "vector", norm("vector").alias("_n")).crossJoin(F.broadcast(q))
+    q = Staged(queries.select("query_id", F.col("vector").alias("_q"), norm("vector").alias("_qn")), "queries").df
+    blocks = max(1, -(-q.count() // block))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    rows = vectors.select("id", "vector", norm("vector").alias("_n"))
+    found = []
+    for start in range(0, blocks, many):
+        some = q.where((F.col("_b") >= start) & (F.col("_b") < start + many)).groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q", "_qn")).alias("_qs"))
+        numbered = rows.withColumn("_b", F.explode(F.sequence(F.lit(start), F.lit(min(blocks, start + many) - 1))))
+        found.append(numbered.join(F.broadcast(some), "_b").select("id", "vector", "_n", F.inline("_qs")))
+    pairs = reduce(DataFrame.unionByName, found)
     value = F.when(F.col("_n") * F.col("_qn") > 0, v.dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).otherwise(F.lit(0.0))
     checked = F.when(F.size("vector") == F.size("_q"), value).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
     return pairs.select("query_id", "id", checked.alias("semantic_raw_score"))
@@ -134,14 +184,15 @@ def fuse(rows: DataFrame, lexical_weight: float = 0.4, semantic_weight: float =
 
     Every candidate has a row. A query none of whose rows has a semantic score is ranked by words alone.
     """
-    w = Window.partitionBy("query_id")
-    return rows.withColumns(
+    lex, sem = "lexical_raw_score", "semantic_raw_score"
+    marked = _spread(rows, lex, sem)
+    return marked.withColumns(
         {
-            "lexical_score": v.min_max(F.col("lexical_raw_score"), w),
-            "semantic_score": F.when(F.col("semantic_raw_score").isNotNull(), v.min_max(F.col("semantic_raw_score"), w)),
-            "ranking_mode": F.when(F.count("semantic_raw_score").over(w) > 0, "hybrid").otherwise("lexical_only"),
+            "lexical_score": v.scaled(F.col(lex), F.col(f"_lo_{lex}"), F.col(f"_hi_{lex}")),
+            "semantic_score": F.when(F.col(sem).isNotNull(), v.scaled(F.col(sem), F.col(f"_lo_{sem}"), F.col(f"_hi_{sem}"))),
+            "ranking_mode": F.when(F.col(f"_hi_{sem}").isNotNull(), "hybrid").otherwise("lexical_only"),
         }
-    ).withColumn("final_score", v.fused(F.col("lexical_score"), F.col("semantic_score"), lexical_weight, semantic_weight))
+    ).withColumn("final_score", v.fused(F.col("lexical_score"), F.col("semantic_score"), lexical_weight, semantic_weight)).drop("_n", *(f"_{x}_{c}" for x in ("lo", "hi") for c in (lex, sem)))
 
 
 def boost(ranked: DataFrame, constraints: DataFrame, weight: float = 0.15) -> DataFrame:

@@ -75,51 +75,96 @@ def near_title_pairs(papers: DataFrame) -> DataFrame:
     return near.where(t.sequence_ratio("lt", "rt") >= MIN_RATIO).select("left", "right")
 
 
-def decide_block(rows: pd.DataFrame, near: set[tuple[int, int]]) -> dict[int, int]:
-    """rows: ord, root, title_year, dois, authors of a block, in order of ord. The root of every record in the end."""
-    rows = rows.sort_values("ord")
-    order = rows["ord"].tolist()
-    parent = dict(zip(order, rows["root"].tolist()))
-    members: dict[int, list[int]] = {}
-    dois: dict[int, set] = {}
-    authors = dict(zip(order, rows["authors"].tolist()))
-    for o, r, d in zip(order, rows["root"], rows["dois"]):
-        members.setdefault(r, []).append(o)
-        dois.setdefault(r, set()).update(d)
-
-    def join(x: int, y: int) -> None:
+class _Block:
+    """Clusters of a block, with what tells whether two of them fit: DOIs, and distinct author lists found by their names' tokens."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.order = rows["ord"].tolist()
+        self.parent = dict(zip(self.order, rows["root"].tolist()))
+        self.members: dict[int, list[int]] = {}
+        self.dois: dict[int, set] = {}
+        self.people: dict[int, set[tuple]] = {}
+        self.by_token: dict[str, set[int]] = {}
+        for o, r, d, a in zip(self.order, rows["root"], rows["dois"], rows["authors"]):
+            self.members.setdefault(r, []).append(o)
+            self.dois.setdefault(r, set()).update(d)
+            self.people.setdefault(r, set()).add(tuple(a))
+        self.tokens = {r: {w for names in lists for name in names for w in t.author_tokens(name)} for r, lists in self.people.items()}
+        for r, words in self.tokens.items():
+            for w in words:
+                self.by_token.setdefault(w, set()).add(r)
+        #: For each title and year the clusters known by it, and where each cluster stands there.
+        self.known: dict[str, list[int]] = {}
+        self.place: dict[int, dict[str, int]] = {}
+        self.bare: dict[str, set[int]] = {}
+
+    def join(self, x: int, y: int) -> None:
         low, high = min(x, y), max(x, y)
-        for o in members.pop(high):
-            parent[o] = low
-            members[low].append(o)
-        dois[low] |= dois.pop(high)
-
-    def fits(x: int, y: int) -> bool:
-        if not dois[x] or not dois[y] or dois[x] & dois[y]:
+        for o in self.members.pop(high):
+            self.parent[o] = low
+            self.members[low].append(o)
+        self.dois[low] |= self.dois.pop(high)
+        self.people[low] |= self.people.pop(high)
+        for w in self.tokens[high]:
+            self.by_token[w].discard(high)
+            self.by_token[w].add(low)
+        self.tokens[low] |= self.tokens.pop(high)
+        mine = self.place.setdefault(low, {})
+        for identity, at in self.place.pop(high, {}).items():
+            mine[identity] = min(at, mine.get(identity, at))
+
+    def fits(self, x: int, y: int) -> bool:
+        if not self.dois[x] or not self.dois[y] or self.dois[x] & self.dois[y]:
             return True
-        return any(t.authors_match(list(authors[i]), list(authors[j])) for i in members[x] for j in members[y])
-
-    seen: dict[str, list[int]] = {}
-    for o, identity in zip(order, rows["title_year"]):
-        if identity is None or pd.isna(identity):
-            continue
-        known = seen.setdefault(identity, [])
-        for other in known:
-            mine, theirs = parent[o], parent[other]
+        return any(t.authors_match(list(a), list(b)) for a in self.people[x] for b in self.people[y])
+
+    def candidates(self, mine: int, identity: str) -> list[int]:
+        """Places of the known clusters that may be the same as this one or fit it, in order: all fit one without DOIs, so the first is enough."""
+        if not self.dois[mine]:
+            return [0]
+        bare = {i for i in self.bare[identity] if not self.dois[self.parent[self.known[identity][i]]]}
+        self.bare[identity] = bare
+        near = {mine}.union(*(self.by_token[w] for w in self.tokens[mine]))
+        return sorted(bare | {self.place[r][identity] for r in near if identity in self.place.get(r, ())})
+
+    def meet(self, o: int, identity: str) -> None:
+        """Joins the record's cluster with the first known of the title and year that fits, or makes it known there."""
+        mine, known = self.parent[o], self.known.setdefault(identity, [])
+        self.bare.setdefault(identity, set())
+        for i in self.candidates(mine, identity) if known else []:
+            theirs = self.parent[known[i]]
             if mine == theirs:
+                return
+            if self.fits(mine, theirs):
+                self.join(mine, theirs)
+                return
+        self.place.setdefault(mine, {}).setdefault(identity, len(known))
+        if not self.dois[mine]:
+            self.bare[identity].add(len(known))
+        known.append(mine)
+
+
+def decide_block(rows: pd.DataFrame, near: set[tuple[int, int]]) -> dict[int, int]:
+    """rows: ord, root, title_year, dois, authors of a block, in order of ord. The root of every record in the end.
+
+    near: pairs (earlier, later) of nearly equal titles. A record meets only clusters that can fit it, so a title with very many different works costs
+    little more than its records.
+    """
+    rows = rows.sort_values("ord")
+    block = _Block(rows)
+    for o, identity in zip(block.order, rows["title_year"]):
+        if identity is not None and not pd.isna(identity):
+            block.meet(o, identity)
+    earlier: dict[int, list[int]] = {}
+    for a, b in near:
+        earlier.setdefault(b, []).append(a)
+    for o in block.order:
+        for other in sorted(earlier.get(o, ())):
+            mine, theirs = block.parent[o], block.parent[other]
+            if mine != theirs and block.fits(mine, theirs):
+                block.join(mine, theirs)
                 break
-            if fits(mine, theirs):
-                join(mine, theirs)
-                break
-        else:
-            known.append(parent[o])
-    for i, o in enumerate(order):
-        for other in order[:i]:
-            mine, theirs = parent[o], parent[other]
-            if mine != theirs and (other, o) in near and fits(mine, theirs):
-                join(mine, theirs)
-                break
-    return parent
+    return block.parent
 
 
 def resolve(papers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
+from siltstone.operators import ranking
 
 MAX_CANDIDATES, PER_ROUTE = 100, 20
 MODES = ("broad_lexical", "title_abstract", "semantic")
@@ -26,6 +27,32 @@ def routes(queries: DataFrame, limit: int = PER_ROUTE) -> DataFrame:
     return rows.select("idea_id", at.cast("int").alias("route_ord"), "text", "mode", F.lit(limit).alias("limit"))
 
 
+def route_scores(papers: DataFrame, routes: DataFrame, vectors: DataFrame | None = None, route_vectors: DataFrame | None = None) -> DataFrame:
+    """idea_id, route_ord, id, score: each route asked in its mode. routes: as routes() leaves them.
+
+    Broad lexical routes score by BM25 whatever shares a token; title and abstract routes only papers that hold all tokens of the query; semantic routes by
+    cosine of vectors (id, vector) with the route's own (idea_id, route_ord, vector), which ask for nothing where there are none.
+    """
+    unknown = routes.where(~F.col("mode").isin(*MODES) | F.col("mode").isNull())
+    if not unknown.isEmpty():
+        raise ValueError("a route has an unknown mode")
+    key = F.struct("idea_id", "route_ord")
+    lexical = routes.where(F.col("mode") != "semantic").select(key.alias("query_id"), "text", "mode")
+    texts = lexical.select(F.col("text").alias("query_id"), "text").distinct()
+    scores = ranking.bm25(papers, texts).select(F.col("query_id").alias("text"), "id", F.col("lexical_raw_score").alias("score")).where("score > 0")
+    hits = lexical.join(scores, "text")
+    q = ranking.query_tokens(texts)
+    found, _ = ranking.postings(ranking.tokenised(papers), q)
+    whole = found.join(q, "token").groupBy(F.col("query_id").alias("text"), "id").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where("k = n").select("text", "id")
+    scoped = hits.where("mode = 'title_abstract'").join(whole, ["text", "id"], "left_semi")
+    out = hits.where("mode = 'broad_lexical'").unionByName(scoped).select("query_id.idea_id", "query_id.route_ord", "id", "score")
+    if vectors is None or route_vectors is None:
+        return out
+    asked = routes.where("mode = 'semantic'").join(route_vectors, ["idea_id", "route_ord"]).select(key.alias("query_id"), "vector")
+    near = ranking.semantic(vectors, asked).select("query_id.idea_id", "query_id.route_ord", "id", F.col("semantic_raw_score").alias("score"))
+    return out.unionByName(near)
+
+
 def rank_routes(hits: DataFrame, limit: int = PER_ROUTE, by: tuple[str, ...] = ("idea_id",)) -> DataFrame:
     """hits (by..., route_ord, id, score) with provider_rank from 1: score descending, then id; `limit` a route."""
     w = Window.partitionBy(*by, "route_ord").orderBy(F.desc("score"), "id")

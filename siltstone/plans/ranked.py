@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
-from siltstone.functions import vectors as v
 from siltstone.operators import graph, ranking, retrieval
 from siltstone.plans.views import PAPERS, fold_sql, load, papers, queries, tokens_sql
 
@@ -95,9 +93,8 @@ def constraint_boost(spark, sf_dir):
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     own = items.join(e, F.col("query_id") == F.col("id")).select("query_id", "vector")
     nxt = items.join(e, F.col("query_id") + 1 == F.col("id")).select("query_id", "vector")
-    w = Window.partitionBy("query_id")
-    base = ranking.semantic(e, own).withColumn("final_score", v.min_max(F.col("semantic_raw_score"), w))
-    con = ranking.semantic(e, nxt).select("query_id", "id", F.lit(0).alias("constraint_id"), v.min_max(F.col("semantic_raw_score"), w).alias("score"))
+    base = ranking.scale(ranking.semantic(e, own), "semantic_raw_score", "final_score")
+    con = ranking.scale(ranking.semantic(e, nxt), "semantic_raw_score", "score").select("query_id", "id", F.lit(0).alias("constraint_id"), "score")
     out = ranking.boost(base, con).select("query_id", "id", F.round("constraint_score", 5).alias("constraint_score"), F.round("final_score", 5).alias("final_score"))
     return ranking.top_k(out, [F.desc("final_score"), F.asc("id")], 10).select("query_id", "rank", "id", "constraint_score", "final_score")
 

@@ -1,3 +1,7 @@
+import random
+import time
+
+import pandas as pd
 import pytest
 
 from siltstone.functions import text as t
@@ -87,3 +91,71 @@ def test_canonicalise_against_references(spark):
     new = make(spark, dict(doi="10/1", openalex_aliases=["W1"]), dict(title="two, words", publication_year=2001), dict(title="else", publication_year=2001))
     got = [r.reference_id for r in resolution.canonicalise(new, refs).orderBy("ord").collect()]
     assert got == ["R0", "R1", None]
+
+
+def by_all_pairs(rows, near):
+    """decide_block as it reads: every record against all known clusters of its title, then against all records before it."""
+    rows = rows.sort_values("ord")
+    order = rows["ord"].tolist()
+    parent = dict(zip(order, rows["root"]))
+    dois, authors = dict(zip(order, rows["dois"])), dict(zip(order, rows["authors"]))
+    of = lambda r: [o for o in order if parent[o] == r]
+
+    def fits(x, y):
+        a, b = (set().union(*(dois[o] for o in of(r))) for r in (x, y))
+        return not a or not b or bool(a & b) or any(t.authors_match(authors[i], authors[j]) for i in of(x) for j in of(y))
+
+    def join(x, y):
+        for o in of(max(x, y)):
+            parent[o] = min(x, y)
+
+    known = {}
+    for o, identity in zip(order, rows["title_year"]):
+        if identity is None:
+            continue
+        for other in known.setdefault(identity, []):
+            if parent[o] == parent[other]:
+                break
+            if fits(parent[o], parent[other]):
+                join(parent[o], parent[other])
+                break
+        else:
+            known[identity].append(parent[o])
+    for i, o in enumerate(order):
+        for other in order[:i]:
+            if parent[o] != parent[other] and (other, o) in near and fits(parent[o], parent[other]):
+                join(parent[o], parent[other])
+                break
+    return parent
+
+
+def test_blocks_equal_all_pairs():
+    rng = random.Random(5)
+    people = ["Ann Lee", "Jo Ray", "Bob Day", "Eve Lee", "Al Wu", "Lee Ann", "MIT", "A. Lee"]
+    for _ in range(300):
+        n = rng.randint(1, 14)
+        roots = []
+        for i in range(n):
+            roots.append(roots[rng.randrange(i)] if i and rng.random() < 0.2 else i)
+        rows = pd.DataFrame({
+            "ord": range(n), "root": roots, "title_year": [rng.choice(["a", "a", "b", None]) for _ in range(n)],
+            "dois": [[f"10.1/{rng.randrange(9)}"] if rng.random() < 0.7 else [] for _ in range(n)],
+            "authors": [rng.sample(people, rng.randint(0, 3)) for _ in range(n)],
+        })
+        near = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(0, 6))} if n > 1 else set()
+        # Records that share a DOI are one cluster before blocks are decided.
+        first = {}
+        for i, d in enumerate(rows["dois"]):
+            for x in d:
+                first.setdefault(x, rows["root"][i])
+        rows["root"] = [min([rows["root"][i], *(first[x] for x in d)]) for i, d in enumerate(rows["dois"])]
+        assert resolution.decide_block(rows, near) == by_all_pairs(rows, near)
+
+
+def test_a_title_of_many_works_takes_seconds():
+    n = 30_000
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = pd.DataFrame({"ord": range(n), "root": range(n), "title_year": "t|2020", "dois": [[f"10.1/{i}"] for i in range(n)], "authors": [[f"x{name(i)} y{name(i)}", f"p{name(i)} q{name(i)}"] for i in range(n)]})
+    started = time.monotonic()
+    assert len(set(resolution.decide_block(rows, set()).values())) == n
+    assert time.monotonic() - started < 20
