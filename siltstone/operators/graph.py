@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
 from siltstone.operators.components import components as star_components
@@ -64,3 +65,29 @@ def summary(degree: DataFrame, edge: DataFrame, component: DataFrame) -> DataFra
     e = edge.agg(F.count(F.lit(1)).alias("edge_count"))
     c = component.agg(F.countDistinct("component_id").alias("component_count"))
     return d.crossJoin(e).crossJoin(c)  # three single rows
+
+
+MAX_NODES = 500
+
+
+def bounded(papers: DataFrame, references: DataFrame, selected: DataFrame | None = None, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph among the first `max_nodes` papers (by ord, or paper_id), each with ord by identifiers in lower case.
+
+    papers: paper_id, aliases and any other columns, which nodes keep. nodes also have sorted aliases, selected (whether in `selected`: paper_id), degrees and
+    external references; edges have citing_paper_id and cited_paper_id. The bound keeps the two orders within one task.
+    """
+    if not 1 <= max_nodes <= MAX_NODES:
+        raise ValueError(f"max_nodes must lie between 1 and {MAX_NODES}")
+    first = papers.orderBy(*([F.asc("ord")] if "ord" in papers.columns else []), F.asc("paper_id")).limit(max_nodes)
+    resolved = resolve_references(first, references.join(first.select("paper_id"), "paper_id", "left_semi"))
+    edge = edges(resolved)
+    rows = first.join(degrees(first, edge, resolved), "paper_id")
+    chosen = rows.select("paper_id").limit(0) if selected is None else selected.select("paper_id").distinct()
+    rows = rows.join(chosen.withColumn("_sel", F.lit(True)), "paper_id", "left").withColumn("selected", F.coalesce("_sel", F.lit(False))).drop("_sel")
+    by_name = F.array_sort(F.transform(F.array_distinct("aliases"), lambda a: F.struct(t.casefold(a).alias("k"), a.alias("a"))))
+    rows = rows.withColumn("aliases", F.transform(by_name, lambda x: x["a"]))
+    folded = lambda c: t.casefold(F.col(c).cast("string"))
+    place = lambda *c: (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*c)) - 1).alias("ord")
+    nodes = rows.drop("ord").select("*", place(folded("paper_id"), F.col("paper_id")))
+    ordered = edge.select("*", place(folded("citing_paper_id"), folded("cited_paper_id"), F.col("citing_paper_id"), F.col("cited_paper_id")))
+    return nodes, ordered

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.session import shipped
+from siltstone.sources.staging import Staged
 
 
 def balances(users: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -90,12 +92,29 @@ def upsert_latest(events: DataFrame, key: list[str], created: str = "event_creat
 
 
 def idempotent(rows: DataFrame, keys: list[list[str]], arrival: str = "arrival") -> DataFrame:
-    """Rows that an insert under several unique keys accepts, judged against first arrivals of each key."""
-    out = rows
-    for i, key in enumerate(keys):
-        w = Window.partitionBy(*key).orderBy(arrival)
-        out = out.withColumn(f"_u{i}", F.when(F.expr(" and ".join(f"{k} is not null" for k in key)), F.row_number().over(w)).otherwise(1))
-    return out.where(" and ".join(f"_u{i} = 1" for i in range(len(keys)))).drop(*[f"_u{i}" for i in range(len(keys))])
+    """Rows that inserts in order of arrival (unique) accept under several unique keys; a key with a null part binds nothing.
+
+    A row is refused if an accepted one before it has one of its keys; a refused row blocks nothing. With one key the first arrival of each is
+    accepted. With more, each round accepts the rows that come first of all undecided ones in every key they have, and refuses those that share a key with them.
+    """
+    whole = lambda key: F.expr(" and ".join(f"{k} is not null" for k in key))
+    if len(keys) == 1:
+        w = Window.partitionBy(*keys[0]).orderBy(arrival)
+        place = F.when(whole(keys[0]), F.row_number().over(w)).otherwise(1)
+        return rows.withColumn("_u", place).where("_u = 1").drop("_u")
+    names = [F.when(whole(key), F.concat(F.lit(f"{i}|"), F.to_json(F.struct(*key)))) for i, key in enumerate(keys)]
+    held = rows.select(F.col(arrival).alias("_a"), F.filter(F.array(*names), lambda k: k.isNotNull()).alias("_k"))
+    free = held.where(F.size("_k") == 0).select("_a")
+    open_ = Staged(held.where(F.size("_k") > 0).select("_a", F.explode("_k").alias("_k"), F.size("_k").alias("_n")), "undecided").df
+    accepted = [free]
+    while not open_.isEmpty():
+        first = open_.groupBy("_k").agg(F.min("_a").alias("_a"))
+        taken = Staged(open_.join(first, ["_k", "_a"]).groupBy("_a", "_n").agg(F.count(F.lit(1)).alias("_c")).where("_c = _n").select("_a"), "accepted").df
+        accepted.append(taken)
+        spent = open_.join(taken, "_a", "left_semi").select("_k").distinct()
+        refused = open_.join(spent, "_k", "left_semi").select("_a").distinct()
+        open_ = Staged(open_.join(refused, "_a", "left_anti"), "undecided").df
+    return rows.join(reduce(DataFrame.unionByName, accepted), F.col(arrival) == F.col("_a"), "left_semi")
 
 
 def purge(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
