@@ -220,8 +220,8 @@ def _claims(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
 
 
 def _compared_brands(spark) -> DataFrame:
-    """An idea that asks to compare the brands of each first digit."""
-    rows = [("comparison", "Brand " + " versus Brand ".join(f"{d}{i}" for i in range(1, 6))) for d in range(1, 6)]
+    """An idea that asks to compare the brands five by five."""
+    rows = [("comparison", "Brand " + " versus Brand ".join(str(5 * d + i) for i in range(1, 6))) for d in range(5)]
     return spark.createDataFrame(rows, "dimension string, value string")
 
 
@@ -237,7 +237,7 @@ def missing_comparison_pairs(spark, sf_dir):
 MISSING_PAIRS = f"""WITH {FEATURES}, fam AS (SELECT regexp_replace(lower(value), '#', ' ') AS k, count(*) AS n FROM features WHERE dimension = 'method_family' GROUP BY 1 HAVING count(*) >= 2),
 m AS (SELECT paper_id, regexp_replace(lower(value), '#', ' ') AS v FROM features WHERE dimension = 'method_family' AND paper_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 499000)),
 o AS (SELECT DISTINCT x.v AS a, y.v AS b FROM m x JOIN m y ON x.paper_id = y.paper_id AND x.v < y.v)
-SELECT x.k AS "left", y.k AS "right", x.n AS left_count, y.n AS right_count FROM fam x JOIN fam y ON x.k < y.k AND substr(x.k, 7, 1) = substr(y.k, 7, 1) WHERE (x.k, y.k) NOT IN (SELECT (a, b) FROM o)"""
+SELECT x.k AS "left", y.k AS "right", x.n AS left_count, y.n AS right_count FROM fam x JOIN fam y ON x.k < y.k AND (CAST(substr(x.k, 7) AS INTEGER) - 1) // 5 = (CAST(substr(y.k, 7) AS INTEGER) - 1) // 5 WHERE (x.k, y.k) NOT IN (SELECT (a, b) FROM o)"""
 
 _REQ = [
     (1, "problem", "p1", "urgent"), (1, "method", "m1", "Brand 13"), (1, "method", "m1", "Brand 7"), (1, "constraint", "c1", "R"),
