@@ -8,7 +8,7 @@ principle one of them is enough to find every candidate: the first in an order b
    documents counts how often each stands there. A window with a shingle that stands nowhere is in no document and
    goes; each other window keeps the rarest of its shingles (fewest places in the documents, then by hash) and the
    shingle's offset: its prefix;
-2. a second pass keeps the positions of documents whose shingle passes the Bloom filter of the prefixes;
+2. a second pass keeps the places of documents whose shingle passes the Bloom filter of the prefixes;
 3. positions join the windows on the prefix, the window must lie within the document (positional and
    length bounds), and the words themselves are compared.
 
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 
 
 def _shingle_hash(array: str, at: str, q: int) -> str:
-    return "xxhash64(" + ", ".join(f"{array}[{at} + {j}]" for j in range(q)) + ")"
+    return "xxhash64(" + ", ".join(f"get({array}, {at} + {j})" for j in range(q)) + ")"
 
 
 def window_shingles(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -89,48 +89,41 @@ def bloom(keys: DataFrame, most_bits: int = MAX_BITS) -> tuple[Column, int]:
     return whole.scalar(), bits
 
 
-def positions(docs: DataFrame, keys: DataFrame, fields: str, most_bits: int = MAX_BITS) -> DataFrame:
-    """id (doc_id), th (hash of the text), n_words and found: an array of structs of `fields` for each position whose shingle may be a key.
+def positions(docs: DataFrame, keys: DataFrame, window: int = WINDOW, most_bits: int = MAX_BITS) -> DataFrame:
+    """Places of documents whose shingle may be a key: id (doc_id), th (hash of the text), n_words, at, q and h (the shingle's words and hash), and the
+    words around (ctx, from lo). Each row of docs also has one row at -1, without a shingle.
 
-    keys, staged: q, h. In fields, w are the words, i is the position, q the shingle's words and h its hash.
+    keys, staged: q, h. Words are made once a text and exploded by position, so that hashes and the filter run in compiled code over the text's array.
     """
-    sizes = sorted(r.q for r in keys.select("q").distinct().collect())  # at most as many as a shingle has words
-    bits_of, bits = bloom(keys.select("h"), most_bits)
+    sizes = sorted(r.q for r in keys.select("q").distinct().collect()) or [1]  # at most as many as a shingle has words
+    filter_, bits = bloom(keys.select("h"), most_bits)
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.expr(folded_words("text")).alias("w"))
     found = []
     for q in sizes:
-        h = _shingle_hash("x.w", "i", q)
-        held = " and ".join(f"(shiftrightunsigned(x.b[cast(shiftrightunsigned({s}, 6) as int)], cast({s} & 63 as int)) & 1L) = 1L" for s in _slots(h, bits))
-        named = fields.replace("{w}", "x.w").replace("{q}", str(q)).replace("{h}", h)
-        found.append(f"transform(filter(if(size(x.w) < {q}, cast(array() as array<int>), sequence(0, size(x.w) - {q})), i -> {held}), i -> {named})")
-    listed = found[0] if len(found) == 1 else f"concat({', '.join(found)})"
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), text_hash.alias("th"), bits_of.alias("bits"))
-    # The array of one struct binds words and filter to a lambda variable, so the words are made once a text.
-    whole = f"transform(array(named_struct('w', {folded_words('text')}, 'b', bits)), x -> struct(cast(size(x.w) as bigint) as n_words, {listed} as found))[0]"
-    return rows.select("id", "th", F.expr(whole).alias("x")).select("id", "th", "x.n_words", "x.found")
+        h = _shingle_hash("w", "at", q)
+        rows = texts.select("id", "th", "w", F.explode_outer(F.expr(f"sequence(-1, greatest(size(w) - {q}, -1))")).alias("at"))
+        held = F.lit(True)
+        for slot in _slots(h, bits):
+            word = F.get(filter_, F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)"))
+            held = held & (F.call_function("shiftrightunsigned", word, F.expr(f"cast({slot} & 63 as int)")).bitwiseAND(F.lit(1)) == 1)
+        own = F.col("at") == -1 if q == sizes[0] else F.lit(False)
+        around = f"greatest(at - {window}, 0)"
+        shown = {"q": f"int({q})", "h": h, "lo": around, "ctx": f"slice(w, {around} + 1, at - {around} + {window})"}
+        rows = rows.where(own | ((F.col("at") >= 0) & held))
+        found.append(rows.select("id", "th", F.size("w").cast("long").alias("n_words"), "at", *(F.expr(f"if(at < 0, null, {x})").alias(k) for k, x in shown.items())))
+    return reduce(DataFrame.unionByName, found)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id (doc_id), th (hash of the text), n_words, n_hit and items (null where nothing occurs)."""
     shingles = stage(window_shingles(benchmark, window, shingle), "shingles")
     keys = stage(shingles.select("q", "h").distinct(), "shingle-keys")
-    if keys.isEmpty():
-        text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        rows = docs.select(F.col("doc_id").alias("id"), text_hash.alias("th"), F.size(F.expr(folded_words("text"))).cast("long").alias("n_words"))
-        return rows.withColumns({"n_hit": F.lit(None).cast("long"), "items": F.lit(None).cast("array<string>")})
-    seen = positions(docs, keys, "struct({q} as q, {h} as h)", most_bits).select(F.inline("found"))
-    places = seen.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"))
+    places = positions(docs, keys, window, most_bits).where("at >= 0").groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"))
     index = stage(benchmark_index(shingles, places), "windows")
-    # Where no window may occur, any key serves: nothing joins it.
-    prefixes = stage(index.select("q", "h").distinct(), "prefixes")
-    if prefixes.isEmpty():
-        prefixes = keys.limit(1)
-    around = f"greatest(i - {window}, 0)"
-    fields = f"struct(i as at, {{q}} as q, {{h}} as h, {around} as lo, slice({{w}}, {around} + 1, i - {around} + {window}) as ctx)"
-    staged = stage(positions(docs, prefixes, fields, most_bits), "positions")
-    found = staged.where(F.size("found") > 0).select("id", "th", "n_words", F.inline("found"))
+    staged = stage(positions(docs, stage(index.select("q", "h").distinct(), "prefixes"), window, most_bits), "positions")
     spans = (
-        found.join(index, ["q", "h"])
+        staged.where("at >= 0").join(index, ["q", "h"])
         .withColumns({"s": F.col("at") - F.col("off"), "len": F.size("win")})
         .where((F.col("s") >= 0) & (F.col("s") + F.col("len") <= F.col("n_words")))
         .where(F.expr("slice(ctx, s - lo + 1, len) = win"))
@@ -144,7 +137,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
         " 'n', a.n + greatest(0, x.e - greatest(x.s, a.to)))).n"
     )
     hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.expr(covered).alias("n_hit"), "items")
-    rows = staged.select("id", "th", "n_words")
+    rows = staged.where("at < 0").select("id", "th", "n_words")
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     return joined.select("id", "th", "n_words", "n_hit", "items")
 
