@@ -30,6 +30,11 @@ def distinct_by(values: Column, key) -> Column:
     return F.transform(fresh, lambda x: x["v"])
 
 
+def _plain(field: str, value: Column) -> Column:
+    """A value of a list as it is compared: white space collapsed, and no slash at the end but in names."""
+    return t.collapse(value) if field == "authors" else F.rtrim(t.collapse(value), F.lit("/"))
+
+
 def normalised_papers(papers: DataFrame) -> DataFrame:
     """papers with collapsed texts (empty ones null), and lists of distinct values whatever their case; identifiers and links lose a slash at their end."""
     out = papers
@@ -38,8 +43,7 @@ def normalised_papers(papers: DataFrame) -> DataFrame:
             out = out.withColumn(c, F.nullif(t.collapse(F.col(c).cast("string")), F.lit("")) if dict(papers.dtypes)[c] == "string" else F.col(c))
     for c in LIST_FIELDS:
         if c in papers.columns:
-            plain = F.transform(c, lambda v: t.collapse(v) if c == "authors" else F.rtrim(t.collapse(v), F.lit("/")))
-            out = out.withColumn(c, distinct_by(plain, t.casefold))
+            out = out.withColumn(c, distinct_by(F.transform(c, lambda v: _plain(c, v)), t.casefold))
     if "full_text_locations" in papers.columns:
         key = lambda v: F.rtrim(t.casefold(v["url"]), F.lit("/"))
         places = F.col("full_text_locations")
@@ -67,7 +71,7 @@ def violations(papers: DataFrame) -> DataFrame:
         if has(c):
             rules.append((c, "unknown name", ~F.col(c).isin(*names)))
     for c in filter(has, LIST_FIELDS):
-        keys = F.transform(F.filter(c, lambda v: v.isNotNull()), t.casefold)
+        keys = F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: t.casefold(_plain(c, v)))
         rules.append((c, "repeated value", F.size(F.array_distinct(keys)) < F.size(keys)))
     broken = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(c).alias("field"), F.lit(why).alias("reason"))) for c, why, bad in rules])
     rows = papers.select(F.col("id") if has("id") else F.lit(None).alias("id"), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("x"))

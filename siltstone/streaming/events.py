@@ -48,6 +48,40 @@ def rate_limit(events: DataFrame, limit: int, seconds: float, lateness: str = "1
     return rows.groupBy("key").applyInPandasWithState(run, RATE_OUT, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+TTL_OUT = "key string, event_id long, ts timestamp, hit boolean, value string"
+
+
+def ttl_cache(events: DataFrame, ttl: float, lateness: str = "10 minutes") -> DataFrame:
+    """events: key, event_id, ts, kind (`put` or `get`), value. One row per get: the value put last, if that is less than `ttl` seconds ago.
+
+    State is a key's newest value and when it was put; it goes when that has expired before the watermark. Events of a key are taken in order of time,
+    a put before a get of the same time, within each micro-batch.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, at = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).assign(late=lambda d: d["kind"] != "put").sort_values(["ts", "late", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            now = r.ts.timestamp()
+            if r.kind == "put":
+                if at is None or now >= at:
+                    value, at = r.value, now
+            else:
+                hit = at is not None and now - at < ttl
+                out.append((key[0], r.event_id, r.ts, hit, value if hit else None))
+        if at is not None:
+            state.update((value, at))
+            state.setTimeoutTimestamp(max(int((at + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "hit", "value"])
+
+    rows = shipped(events).select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "value").withWatermark("ts", lateness)
+    return rows.groupBy("key").applyInPandasWithState(run, TTL_OUT, "value string, at double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def once(events: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
     """Events processed once: repetitions of the keys within the lateness are dropped."""
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)

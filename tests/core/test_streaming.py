@@ -43,3 +43,11 @@ def test_job_states(spark):
     moves = spark.createDataFrame([(1, "running"), (1, "completed"), (2, "completed"), (3, "running")], "job_id int, to string")
     assert {(r.job_id, r.to) for r in ev.job_moves(moves, states).collect()} == {(1, "running"), (2, "completed")}
     assert {r.job_id: r.state for r in ev.recover(states).collect()} == {1: "pending", 2: "failed", 3: "completed"}
+
+
+def test_cache_with_expiry(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", 1, at(0), "get", None), ("a", 2, at(1), "put", "x"), ("a", 3, at(1), "get", None), ("a", 4, at(59), "get", None), ("a", 5, at(61), "get", None), ("a", 6, at(70), "put", "y"), ("a", 7, at(75), "get", None), ("b", 8, at(2), "get", None)]
+    df = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, kind string, value string")
+    got = {r.event_id: (r.hit, r.value) for r in _stream(spark, tmp_path, df, "ttl", lambda s: ev.ttl_cache(s, 3600))}
+    assert got == {1: (False, None), 3: (True, "x"), 4: (True, "x"), 5: (False, None), 7: (True, "y"), 8: (False, None)}

@@ -27,7 +27,7 @@ def test_papers_are_normalised_and_judged(spark):
     assert b.id is None and b.title is None and b.authors is None
     got = {(r.id, r.field, r.reason) for r in validation.violations(df).collect()}
     assert got == {
-        ("p1", "authors", "repeated value"), ("", "id", "empty"), ("", "title", "empty"), ("", "publication_year", "out of bounds"), ("", "citation_count", "negative"),
+        ("p1", "authors", "repeated value"), ("p1", "doi_aliases", "repeated value"), ("", "id", "empty"), ("", "title", "empty"), ("", "publication_year", "out of bounds"), ("", "citation_count", "negative"),
         ("", "final_score", "out of bounds"), ("", "ranking_mode", "unknown name"), (None, "id", "empty"), (None, "authors", "repeated value"),
     }
     t = spark.createDataFrame([(1, "a", 5), (1, "b", 50), (None, "z", 7)], "k int, s string, n int")
