@@ -6,8 +6,11 @@ n - ceil(t n) + 1 of each (n being the set's size), so only those prefixes are d
 right; here shingles that a sample of documents shows to be common come last, the others by hash.
 
 Large groups would make pairs by the square. While the shared prefix shingles allow more than PAIRS pairs
-a text between different components, a round pairs all holders of a shingle with one of them (chosen by
-a hash of the round), checks those pairs and joins components; what is left is then paired in full.
+a text between different components, a round pairs all holders of a shingle with one of them: in the first round the
+one whose whole set is the commonest (of edited copies that is the text they were made from), later the best of a component
+chosen by a hash of the round. It checks those pairs and joins components. What is left, or does not shrink by rounds, is
+paired in full, but for holders of one component. A shingle with more than HOT holders then pairs only texts whose parity bitmaps differ in as few bits
+as the similarity allows: each shingle flips one of BITS bits, so two sets differ in at least as many shingles as their bitmaps in bits.
 Pairs that share too few prefix shingles to have the similarity are left out unread; the others count if their whole sets, made again from the texts, have the similarity.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import map_arrow, stage
+from siltstone.llm._common import map_arrow, small, stage
 from siltstone.operators.components import components
+from siltstone.sources.staging import sized
 
 SHINGLE = 5
 SEED = 42
@@ -31,9 +36,14 @@ SEED = 42
 SAMPLE = 20_000
 COMMON = 200_000
 COMMON_FROM = 4
-#: Pairs a text (repeats included) from which a round with one partner a shingle comes first; rounds at most.
+#: Pairs a text (repeats included) from which a round with one partner a shingle comes first; rounds at most, and
+#: the share of pairs that a round has to leave at most for another one to follow.
 PAIRS = 50
 ROUNDS = 8
+SHRINK = 0.8
+#: Holders of a shingle from which bitmaps are compared before texts are paired, and bits of a bitmap (a multiple of 64).
+HOT = 32
+BITS = 512
 #: Rows of identifiers (16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -81,23 +91,51 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([h for h, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], ["tok", "n"])
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities: bit i is set if an odd number of the set's hashes fall on it."""
+    odd = np.bincount((found >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _dealer(common: np.ndarray, rank: np.ndarray, share: float):
+    """For each text its prefix (pos from 0), and one row of its own (pos -1, tok the key) with its bitmap. mid: how common its whole set is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            heads = [prefix(s, common, rank, share) if len(s) else s for s in sets]
-            lengths = [len(h) for h in heads]
-            if not sum(lengths):
+            keep = [i for i, s in enumerate(sets) if len(s)]
+            if not keep:
                 continue
-            key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
-            size = np.repeat(np.array([len(s) for s in sets], np.int32), lengths)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-            tok = np.concatenate(heads).view(np.int64)
-            yield pa.record_batch([pa.array(tok), pa.array(key), pa.array(size), pa.array(pos)], ["tok", "key", "n", "pos"])
+            keys, sets = keys[keep], [sets[i] for i in keep]
+            heads = [prefix(s, common, rank, share) for s in sets]
+            lengths = np.array([len(h) for h in heads])
+            mids = np.array([_commonness(s, common, rank) for s in sets], np.float32)
+            sizes = np.array([len(s) for s in sets], np.int32)
+            tok = np.concatenate(heads)
+            hot = np.isin(tok, common)
+            n = len(tok)
+            columns = [
+                pa.array(np.concatenate([tok.view(np.int64), keys])),
+                pa.array(np.concatenate([np.repeat(keys, lengths), keys])),
+                pa.array(np.concatenate([np.repeat(sizes, lengths), sizes])),
+                pa.array(np.concatenate([*(np.arange(k, dtype=np.int32) for k in lengths), np.full(len(keys), -1, np.int32)])),
+                pa.array(np.concatenate([np.repeat(mids, lengths), mids])),
+                pa.array(np.concatenate([hot, np.ones(len(keys), bool)])),
+                pa.array([None] * n + [bitmap(s) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(columns, ["tok", "key", "n", "pos", "mid", "hot", "bits"])
 
     return run
 
 
+def _commonness(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> float:
+    if not len(common):
+        return 0.0
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return float(np.where(common[at] == found, rank[at], 0).mean())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
@@ -144,20 +182,61 @@ def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tok[by], np.array([r.n for r in top], np.int64)[by]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
-    """Those of the pairs a, b of keys that have the similarity, as u, v."""
-    pairs = stage(pairs, "candidates")
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
+    """u, v: the components ra, rb of those of the n pairs (a, b of keys, ra, rb; staged) that have the similarity."""
     ends = pairs.select(F.col("a").alias("key2")).union(pairs.select(F.col("b").alias("key2"))).distinct()
-    ends = stage(ends, "candidate-keys")
-    small = ends.count() <= broadcast_rows
-    wanted = texts.join(F.broadcast(ends) if small else ends, F.col("key") == F.col("key2"), "left_semi")
+    ends = stage(sized(ends, 2 * n), "candidate-keys")
+    known = ends.count()
+    wanted = texts.join(F.broadcast(ends) if known <= broadcast_rows else ends, F.col("key") == F.col("key2"), "left_semi")
     sets = stage(map_arrow(wanted.select("key", "text"), _sets, "key long, found binary"), "sets")
-    if sets.count() > ends.count():
+    if sets.count() > known:
         sets = sets.dropDuplicates(["key"])
     left = sets.select(F.col("key").alias("a"), F.col("found").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("found").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return map_arrow(both, _checker(share), "u long, v long")
+    # Sets of long texts are large, so partitions are not made fewer while they travel.
+    both = pairs.join(left, "a").join(right, "b").select("ra", "rb", "x", "y")
+    return sized(map_arrow(both, _checker(share), "u long, v long").distinct(), n)
+
+
+def _holders(shared: DataFrame, turn: int) -> DataFrame:
+    """For each shingle in more than one component: s holders, q (sum of squares of holders by component), major component, hub (key, n, pos, root)."""
+    draw = F.lit(0).cast("long") if turn == 0 else F.xxhash64("root", F.lit(turn))
+    best = F.struct(draw.alias("d"), "mid", F.xxhash64("key").alias("h"), "key", "n", "pos", "root")
+    per = shared.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("m"), F.max(best).alias("best"))
+    m = F.col("m").cast("double")
+    per = per.groupBy("tok").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(m).alias("s"), F.sum(m * m).alias("q"), F.max(F.struct("m", "root")).alias("major"), F.max("best").alias("hub")
+    )
+    return per.where("k > 1").select("tok", "s", "q", F.col("major.root").alias("major"), *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("key", "n", "pos", "root")))
+
+
+def _counted(met: DataFrame, t: int, factor: int) -> DataFrame:
+    """a, b, ra, rb: pairs that share enough of their prefixes, where they stand, to have the similarity."""
+    ahead = "key < key_b"
+    named = (("key", "a"), ("n", "na"), ("pos", "pa"), ("root", "ra"))
+    sides = [F.expr(f"if({ahead}, {x}, {x}_b)").alias(name) for x, name in named]
+    sides += [F.expr(f"if({ahead}, {x}_b, {x})").alias(name.replace("a", "b") if name != "ra" else "rb") for x, name in named]
+    pairs = met.select(*sides).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("c"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    # What both must share, against what the first common place leaves and what the prefixes share: of the
+    # prefix that ends first all common ones stand in the other, and behind it at most ceil(share n) - 1 follow.
+    rest = "(({t}L * {n} + 999999L) div 1000000L - 1)"
+    most = f"c * {factor} + greatest({rest.format(t=t, n='na')}, {rest.format(t=t, n='nb')})"
+    return pairs.where(f"(1000000L + {t}L) * least(na - pa, nb - pb, {most}) >= {t}L * (na + nb)").select("a", "b", "ra", "rb")
+
+
+def _paired(shared: DataFrame, holders: DataFrame, bits: DataFrame, t: int, fits: str) -> DataFrame:
+    """Holders of a shingle in different components, in full; one end stands outside the shingle's largest component."""
+    rows = shared.join(holders.select("tok", "s", "major"), "tok")
+    # Each pair once: from the end outside the largest component, of two such ends from the lesser key.
+    once = f"root != root_b and (key < key_b or root_b = major) and {fits}"
+    cold = rows.where(f"s <= {HOT}")
+    other = lambda df, *more: df.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root", *more)))
+    kept = ["key", "n", "pos", "root", "key_b", "n_b", "pos_b", "root_b"]
+    plain = cold.where("root != major").join(other(cold), "tok").where(once).select(*kept)
+    hot = rows.where(f"s > {HOT}").join(bits, "key")
+    apart = " + ".join(f"bit_count(bits[{i}] ^ bits_b[{i}])" for i in range(BITS // 64))
+    near = f"(1000000L + {t}L) * (n + n_b - ({apart})) >= 2L * {t}L * (n + n_b)"
+    return plain.unionByName(hot.where("root != major").join(other(hot, "bits"), "tok").where(f"{once} and {near}").select(*kept))
 
 
 def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, share: float, pairs_each: int = PAIRS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -167,52 +246,42 @@ def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, share: float, pair
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).where(F.col("text").isNotNull())
     texts = _one_each(texts.withColumn("key", text_key(F.col("text"))), rows, broadcast_rows)
-    keys = stage(rows.groupBy("key").agg(F.min("fp").alias("fp")), "keys")
+    roots = components(edges).withColumnRenamed("u", "fp")
+    keys = rows.groupBy("key").agg(F.min("fp").alias("fp")).join(roots, "fp", "left")
+    keys = stage(keys.select(F.col("key").alias("key2"), F.coalesce("root", "fp").alias("root")), "keys")
     n = keys.count()
     common, rank = _common(texts, n)
-    dealt = map_arrow(texts, _dealer(common, rank, share), "tok long, key long, n int, pos int")
-    dealt = dealt.withColumn("held", F.expr("count(*) over (partition by tok)")).where("held > 1")
-    shared = stage(dealt.select("tok", "key", "n", "pos").distinct(), "shared")
+    dealt = map_arrow(texts, _dealer(common, rank, share), "tok long, key long, n int, pos int, mid float, hot boolean, bits array<long>")
+    # Common shingles and rows of the texts themselves stay without being counted, so no window holds many rows.
+    held = "count(*) over (partition by if(hot, xxhash64(tok, key), tok))"
+    dealt = dealt.withColumn("held", F.expr(held)).where("hot or held > 1").drop("hot", "held")
+    dealt = stage(dealt.join(keys, F.col("key") == F.col("key2")).drop("key2"), "shared")
+    bits, shared = dealt.where("pos < 0").select("key", "bits"), dealt.where("pos >= 0").drop("bits")
+    if bits.count() > bits.select("key").distinct().count():  # rows equal in id and text
+        bits, shared = bits.dropDuplicates(["key"]), stage(shared.distinct(), "shared")
 
     t = _whole(share)
+    fits = f"1000000L * least(n, n_b) >= {t}L * greatest(n, n_b)"
+    found, before = [edges.select("u", "v")], None
     for turn in range(ROUNDS + 1):
-        roots = components(edges).withColumnRenamed("u", "fp")
-        named = keys.join(roots, "fp", "left").select(F.col("key").alias("key2"), F.coalesce("root", "fp").alias("root"))
-        open_ = shared.join(named, F.col("key") == F.col("key2")).select("tok", "key", "n", "pos", "root")
-        over = "over (partition by tok)"
-        open_ = open_.selectExpr("*", f"min(root) {over} as low", f"max(root) {over} as high").where("low < high").drop("low", "high")
-        open_ = stage(open_, "open")
-        per = open_.groupBy("tok", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        per = per.groupBy("tok").agg(F.max_by("root", "m").alias("major"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        per = stage(per, "holders")
-        many = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
+        size = shared.count()
+        holders = stage(sized(_holders(shared, turn), size), "holders")
+        many = holders.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
         if not many:
-            return edges
-        last = turn == ROUNDS or many <= pairs_each * n
-        other = open_.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")))
+            break
+        last = turn == ROUNDS or many <= pairs_each * n or (before is not None and many > SHRINK * before)
+        before = many
         if last:
-            # Within a shingle's largest component nothing is to pair, so one end stands outside it.
-            ends = open_.join(per.select("tok", "major"), "tok").where("root != major")
-            once = "(key < key_b or root_b = major)"
+            met = _paired(shared, holders, bits, t, fits)
         else:
-            ends, once = open_, "true"
-            pick = F.min_by(F.struct("key_b", "n_b", "pos_b", "root_b"), F.xxhash64("key_b", F.lit(turn)))
-            other = other.groupBy("tok").agg(pick.alias("p")).select("tok", "p.*")
-        fits = f"1000000L * least(n, n_b) >= {t}L * greatest(n, n_b)"
-        met = ends.join(other, "tok").where(f"root != root_b and {once} and {fits}")
-        ahead = "key < key_b"
-        sides = [F.expr(f"if({ahead}, {x}, {y})").alias(name) for x, y, name in (("key", "key_b", "a"), ("key_b", "key", "b"), ("n", "n_b", "na"), ("n_b", "n", "nb"), ("pos", "pos_b", "pa"), ("pos_b", "pos", "pb"))]
-        pairs = met.select(*sides).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-        # What both must share, against what the first common place leaves and what the prefixes share: of the
-        # prefix that ends first all common ones stand in the other, and behind it at most ceil(share n) - 1 follow.
-        rest = "(({t}L * {n} + 999999L) div 1000000L - 1)"
-        most = f"c * {1 if last else 2} + greatest({rest.format(t=t, n='na')}, {rest.format(t=t, n='nb')})"
-        pairs = pairs.where(f"(1000000L + {t}L) * least(na - pa, nb - pb, {most}) >= {t}L * (na + nb)").select("a", "b")
-        good = _verified(pairs, texts, share, broadcast_rows)
-        fp = keys.select(F.col("key"), F.col("fp"))
-        good = stage(good, "similar")
-        good = good.join(fp.withColumnRenamed("key", "u").withColumnRenamed("fp", "fu"), "u").join(fp.withColumnRenamed("key", "v").withColumnRenamed("fp", "fv"), "v")
-        edges = stage(edges.select("u", "v").unionByName(good.select(F.col("fu").alias("u"), F.col("fv").alias("v"))).distinct(), "links")
+            met = shared.join(small(holders.drop("s", "q", "major"), broadcast_rows), "tok").where(f"root != root_b and {fits}")
+        pairs = stage(sized(_counted(met, t, 1 if last else 2), size), "candidates")
+        good = stage(_verified(pairs, pairs.count(), texts, share, broadcast_rows), "similar")
+        found.append(good)
         if last:
-            return edges
-    return edges
+            break
+        moved = components(good).select(F.col("u").alias("old"), F.col("root").alias("new"))
+        moved = small(stage(moved, "moved"), broadcast_rows)
+        shared = shared.join(moved, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
+        shared = stage(shared, "shared")
+    return stage(reduce(DataFrame.unionByName, found).distinct(), "links")

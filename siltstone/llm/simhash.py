@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.llm import jaccard
-from siltstone.llm._common import map_arrow, stage
+from siltstone.llm._common import bounded_batches, fresh, map_arrow, small, stage
 from siltstone.operators.components import components
 
 RADIUS = 2
@@ -304,6 +304,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROA
     A null doc_id comes after all others; among equal ones the least fingerprint decides, and of rows
     equal in both any one stays. Where every doc_id is set and unique, rows are dropped by it (a
     broadcast if a count has shown them to be few, else a join); otherwise by doc_id and fingerprint.
+    Null, empty and blank texts have the fingerprint zero and are near-duplicates of each other. Other columns keep
+    names and values, whatever the names. An empty table gives no rows.
     """
     rows, groups = _grouped(docs, radius, share)
     # The row that stays is found among fingerprints, where copies have folded; rows meet it by one join.
@@ -312,12 +314,14 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROA
     best = best.select("grp", F.col("b.least").alias("bid"), F.col("b.fp").alias("bfp"))
     placed = stage(rows.join(groups.join(best, "grp").select("fp", "bid", "bfp"), "fp").select("id", "fp", "bid", "bfp"), "placed")
     if placed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).isEmpty():
-        gone = stage(placed.where(F.col("id") != F.col("bid")).select(F.col("id").alias("_gone")), "dropped")
-        if gone.count() <= broadcast_rows:
-            gone = F.broadcast(gone)
-        return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    marked = docs.withColumn("_fp", _fingerprint_udf("text"))
-    chosen = placed.select(F.col("bid").alias("_bid"), F.col("bfp").alias("_bfp")).distinct()
-    same = F.col("_fp").eqNullSafe(F.col("_bfp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_bid"))
-    one = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy("_fp"))
-    return marked.join(chosen, same, "left_semi").withColumn("_one", one).where(F.col("_one") == 1).select(*docs.columns)
+        (out,) = fresh(["gone"], docs.columns)
+        gone = small(stage(placed.where(F.col("id") != F.col("bid")).select(F.col("id").alias(out)), "dropped"), broadcast_rows)
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col(out), "left_anti")
+    fp, place, bid2, bfp2 = fresh(["fp", "place", "bid", "bfp"], docs.columns)
+    bounded_batches(docs.sparkSession)
+    marked = docs.withColumn(fp, _fingerprint_udf("text"))
+    chosen = placed.select(F.col("bid").alias(bid2), F.col("bfp").alias(bfp2)).distinct()
+    same = F.col(fp).eqNullSafe(F.col(bfp2)) & docs["doc_id"].cast("long").eqNullSafe(F.col(bid2))
+    one = F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(fp))
+    kept = marked.join(chosen, same, "left_semi").withColumn(place, one).where(F.col(place) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
