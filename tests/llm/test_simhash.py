@@ -126,3 +126,15 @@ def test_keep_first_with_repeated_and_null_ids(spark):
     got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
     assert got == [(0, "lonely text it is"), (2, "a b c d"), (3, "other words here now"), (3, "q r s t")]
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(df).collect()) == [(0, 0), (0, 2), (0, 2), (2, 2), (3, 3), (3, 3), (3, 3)]
+
+
+def test_clashing_columns(spark):
+    """Also where identifiers are missing or repeated, which takes the other path."""
+    clash = ["gone", "fp", "place", "bid", "bfp", "_gone", "_fp", "_bid", "_one", "id", "key", "Root"]
+    rows = [(i, t, *[f"{c}{i}" for c in clash]) for i, t in enumerate(["one two three four", "one two three four", "five six", None])]
+    schema = ", ".join(["doc_id long", "text string", *(f"{c} string" for c in clash)])
+    df = spark.createDataFrame(rows, schema)
+    for docs in (df, df.union(df.where("doc_id = 2"))):
+        kept = simhash.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] != 1)
