@@ -348,18 +348,21 @@ def collect_support(basis: DataFrame, claims: DataFrame, members: DataFrame, rol
     with it. Claims pass the semantic guards, and count at most twice a paper and once a key.
     """
     asked = basis.select("candidate_id", "dimension", F.col("value").alias("want")).distinct()
+    # Candidates share values, so claims are found and judged once a value.
+    values = asked.select("dimension", "want").distinct()
     exact = F.col("dimension").isin(*METHODS, "comparison", "problem", "constraint", "dataset")
     solid = claims.where(f.concrete_entity(F.col("value"))).select("paper_id", "dimension", "ord", "value", "evidence_text")
     norm = lambda c: f.normalised(F.col("dimension"), F.col(c))
-    left = asked.where(exact).withColumn("_n", norm("want")).where("_n != ''")
+    left = values.where(exact).withColumn("_n", norm("want")).where("_n != ''")
     same = solid.where(exact).withColumn("_n", norm("value")).join(left, ["dimension", "_n"]).drop("_n")
-    held = asked.where(~exact).join(members.select("dimension", F.col("value").alias("want"), "paper_id"), ["dimension", "want"])
+    held = values.where(~exact).join(members.select("dimension", F.col("value").alias("want"), "paper_id"), ["dimension", "want"])
     shared = F.arrays_overlap(f.gap_terms(F.col("want")), f.gap_terms(F.concat_ws(" ", "value", "evidence_text")))
     near = held.join(solid, ["dimension", "paper_id"]).where(shared)
     met = same.unionByName(near)
-    w = Window.partitionBy("candidate_id", "dimension", "want", "paper_id").orderBy("ord")
-    met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_PAPER)
+    w = Window.partitionBy("dimension", "want", "paper_id").orderBy("ord")
+    met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_PAPER).drop("_n")
     met = met.where(f.semantic_guard(F.col("want"), F.col("dimension"), F.col("value"), F.col("evidence_text")))
+    met = asked.join(met, ["dimension", "want"])
     rows = met.select("candidate_id", "paper_id", F.col("dimension").alias("evidence_type"), "value", "evidence_text", "ord", F.lit(role).alias("role"))
     return unique_evidence(rows)
 
@@ -397,9 +400,11 @@ def consolidate(candidates: DataFrame) -> DataFrame:
 
     With a basis: equal key sets, by a grouped key. Without: terms overlapping by 0.6, or two shared papers, in order of title; that is
     decided greedily within (category, pattern) among candidates without basis, of which a run makes few. candidates:
-    candidate_id, category, pattern_type, title, description, keys (of the basis), paper_ids, n_direct. The root is the strongest.
+    candidate_id, category, pattern_type, title, description, keys (of the basis), paper_ids (of candidates without basis; of others n_support is enough),
+    n_direct. The root is the strongest.
     """
-    strength = F.struct(F.size("paper_ids").alias("a"), F.col("n_direct").alias("b"), F.size(f.gap_terms(F.col("title"))).alias("c"), F.col("candidate_id").alias("d"))
+    papers = F.col("n_support") if "n_support" in candidates.columns else F.size("paper_ids")
+    strength = F.struct(papers.alias("a"), F.col("n_direct").alias("b"), F.size(f.gap_terms(F.col("title"))).alias("c"), F.col("candidate_id").alias("d"))
     based = candidates.where(F.size("keys") > 0).withColumn("_k", F.array_sort(F.array_distinct("keys")))
     w = Window.partitionBy("category", "pattern_type", "_k")
     by_keys = based.select("candidate_id", F.max(strength).over(w)["d"].alias("root"))
@@ -543,13 +548,15 @@ def generate(
     support = Staged(reduce(DataFrame.unionByName, support), "support").df
     kept = gate(candidates, support).join(relevant(basis), "candidate_id", "left_semi")
     kept = prioritise(relevance(kept, basis, idea_terms), basis)
-    papers = support.groupBy("candidate_id").agg(F.collect_set(F.col("paper_id").cast("string")).alias("paper_ids"), F.count_if(F.col("role") == "direct_support").cast("int").alias("n_direct"))
-    kept = Staged(kept.join(papers, "candidate_id"), "kept").df
-    roots = consolidate(kept.select("candidate_id", "category", "pattern_type", "title", "description", "keys", "paper_ids", "n_direct"))
+    direct = support.groupBy("candidate_id").agg(F.count_if(F.col("role") == "direct_support").cast("int").alias("n_direct"))
+    kept = Staged(kept.join(direct, "candidate_id"), "kept").df
+    # All of them have a basis, so none is compared by its papers, and those are never gathered.
+    none = F.array().cast("array<string>").alias("paper_ids")
+    roots = consolidate(kept.select("candidate_id", "category", "pattern_type", "title", "description", "keys", none, "n_support", "n_direct"))
     first = kept.join(roots.where("candidate_id = root").select("candidate_id"), "candidate_id", "left_semi")
     # Candidates are few: a builder makes at most eight times `limit` combinations, and one row a repeated value or justified pair otherwise.
     order = [F.desc("n_support"), F.asc("pattern_type"), t.casefold(F.col("title")), F.asc("candidate_id")]
     best = first.orderBy(*order).limit(limit)
     best = Staged(best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))), "generated").df
     mine = lambda df: df.join(best.select("candidate_id"), "candidate_id", "left_semi")
-    return best.drop("paper_ids", "n_direct"), mine(basis), mine(support)
+    return best.drop("n_direct"), mine(basis), mine(support)
