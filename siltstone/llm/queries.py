@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hnsw, language, licenses, mixing, quality, secrets, simhash, tokens, warc
+from siltstone.llm import decontaminate, fim, hnsw, language, licenses, mixing, quality, secrets, simhash, tokens, warc
 from siltstone.llm._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def base_licenses(spark, sf_dir):
     """What of op1_license_scan SQL can express: the phrases that are counted at every place."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -115,11 +119,12 @@ QUERIES = {
         op8_nearest,
         op9_language,
         op10_warc,
+        op11_fill_in_middle,
         base_licenses,
         base_secrets,
         mix_targets,
     )
 }
 SQL = {
-    "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL, "base_licenses": BASE_LICENSES, "base_secrets": BASE_SECRETS, "mix_targets": MIX_TARGETS,
+    "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "base_licenses": BASE_LICENSES, "base_secrets": BASE_SECRETS, "mix_targets": MIX_TARGETS,
 }
