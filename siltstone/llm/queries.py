@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, fim, hnsw, language, licenses, mixing, quality, secrets, simhash, tokens, warc
+from siltstone.llm import decontaminate, divergence, fim, hnsw, language, licenses, mixing, quality, records, secrets, simhash, tokens, warc
 from siltstone.llm._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,14 @@ def op11_fill_in_middle(spark, sf_dir):
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_token_records(spark, sf_dir):
+    return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_source_audit(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def base_licenses(spark, sf_dir):
     """What of op1_license_scan SQL can express: the phrases that are counted at every place."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -120,11 +128,13 @@ QUERIES = {
         op9_language,
         op10_warc,
         op11_fill_in_middle,
+        op12_token_records,
+        op13_source_audit,
         base_licenses,
         base_secrets,
         mix_targets,
     )
 }
 SQL = {
-    "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "base_licenses": BASE_LICENSES, "base_secrets": BASE_SECRETS, "mix_targets": MIX_TARGETS,
+    "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "op13_source_audit": divergence.SQL, "base_licenses": BASE_LICENSES, "base_secrets": BASE_SECRETS, "mix_targets": MIX_TARGETS,
 }
