@@ -530,7 +530,7 @@ def generate(
     context = None if terms.isEmpty() else near.join(terms, "w", "left_semi").select("paper_id").distinct()
     built = [
         (*repeated_builder(members, values, "limitation"), "direct_support"), (*repeated_builder(members, values, "future_work"), "direct_support"),
-        (*combination_builder(features, values), "contextual_support"), (*narrow_builder(members, values), "contextual_support"),
+        (*combination_builder(features, values, limit * 8), "contextual_support"), (*narrow_builder(members, values), "contextual_support"),
         (*comparison_builder(claims, members, values, idea, context), "contextual_support"),
     ]
     held, spoken = members.select("dimension", "value", "paper_id"), claims

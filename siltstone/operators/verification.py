@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import features as f
 from siltstone.functions import text as t
 from siltstone.operators import gaps
+from siltstone.sources.staging import Staged
 
 # Which fields speak for a facet, and which may support it.
 PRIMARY = {
@@ -171,14 +172,21 @@ def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
 
 
 def _wordings(claims: DataFrame) -> DataFrame:
-    """field, value, evidence_text, have (concepts of both): many claims say the same, and each wording is compared once."""
-    said = claims.select("field", "value", "evidence_text").distinct()
+    """field, value, evidence_text, have (concepts of both): many claims say the same, and each wording is compared once.
+
+    The wordings are written once: else conditions on their concepts would move below the distinct, and concepts be found for every claim.
+    """
+    said = Staged(claims.select("field", "value", "evidence_text").distinct(), "wordings").df
     return said.withColumn("have", concepts(F.concat_ws(" ", "value", "evidence_text")))
 
 
 def _stated(claims: DataFrame, met: DataFrame, *keep: str) -> DataFrame:
-    """paper_id and the columns `keep` of met for every claim with one of its wordings (field, value, evidence_text)."""
+    """paper_id and the columns `keep` of met for every claim with one of its wordings (field, value, evidence_text).
+
+    Wordings that meet something are few and each may be that of very many claims, so they are written, and broadcast if a count shows it.
+    """
     met = met.select(F.col("field").alias("_f"), F.col("value").alias("_v"), F.col("evidence_text").alias("_e"), *keep).distinct()
+    met = _small(Staged(met, "met").df)
     same = (F.col("field") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")) & F.col("evidence_text").eqNullSafe(F.col("_e"))
     return claims.select("paper_id", "field", "value", "evidence_text").join(met, same).select("paper_id", *keep).distinct()
 

@@ -165,8 +165,8 @@ def _terms(spark):
     return F.array(*map(F.lit, ("urgent", "brand", "nation", "3")))
 
 
-def _anchored(spark, sf_dir):
-    rows = line_features(spark, sf_dir)
+def _anchored(spark, sf_dir, rows: DataFrame | None = None):
+    rows = rows if rows is not None else line_features(spark, sf_dir)
     freq = landscape.frequencies(rows, rows.select("paper_id").distinct())
     return gaps.idea_anchor(freq, _idea(spark), _terms(spark))
 
@@ -227,10 +227,11 @@ def _compared_brands(spark) -> DataFrame:
 
 def missing_comparison_pairs(spark, sf_dir):
     """Families of two orders each that the idea compares and no order does; the dearest orders are those that speak of comparing."""
-    freq = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir))
+    rows = Staged(features(spark, sf_dir), "features").df
+    freq = landscape.frequencies(rows, feature_papers(spark, sf_dir))
     dear = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_totalprice") > 499_000).alias("dear"))
     said = F.when(F.col("dear"), "compared with others").otherwise("alone")
-    claims = _claims(spark, sf_dir).join(dear, "paper_id").withColumn("evidence_text", said)
+    claims = _claims(spark, sf_dir, rows).join(dear, "paper_id").withColumn("evidence_text", said)
     return gaps.missing_comparisons(freq, gaps.observed_pairs(claims), gaps.justified_pairs(claims, _compared_brands(spark)))
 
 
@@ -252,7 +253,8 @@ def _requirements(spark):
 def idea_match_division(spark, sf_dir):
     """Orders that meet every facet of an idea, or some: relational division over claims."""
     req = _requirements(spark)
-    out = verification.match_strength(verification.group_matches(_claims(spark, sf_dir), req), req)
+    claims = Staged(_claims(spark, sf_dir), "claims").df
+    out = verification.match_strength(verification.group_matches(claims, req), req)
     return out.select("idea_id", "paper_id", F.concat_ws(",", "facets").alias("facets"), "complete")
 
 
@@ -378,7 +380,7 @@ def verification_labels(spark, sf_dir):
 
 def topic_lines(spark, sf_dir):
     """Order lines whose claims are about an idea, by its problem, methods or modality."""
-    lines = line_features(spark, sf_dir)
+    lines = Staged(line_features(spark, sf_dir), "lines").df
     topic = spark.createDataFrame([("problem", "2 high"), ("intervention_or_method", "the other method of Brand 13"), ("data_or_modality", "economy brushed tin"), ("constraints", "R")], "facet string, value string")
     return verification.topic_papers(topic, _claims(spark, sf_dir, lines))
 
@@ -392,12 +394,13 @@ SELECT DISTINCT paper_id FROM c JOIN m USING (field, value, said)"""
 
 def observed_candidates(spark, sf_dir):
     """Order lines that hold a frequent pair (problem, family) in the proper fields: candidates that are no gaps."""
-    top = gaps.top_values(_anchored(spark, sf_dir))
+    lines = Staged(line_features(spark, sf_dir), "lines").df
+    top = Staged(gaps.top_values(_anchored(spark, sf_dir, lines)), "top").df
     a = top.where("dimension = 'problem'").select(F.col("value").alias("x"))
     b = top.where("dimension = 'method_family'").select(F.col("value").alias("y"))
     pairs = a.join(F.broadcast(b)).select(F.concat_ws("|", "x", "y").alias("candidate_id"), "x", "y")
     basis = pairs.select("candidate_id", F.inline(F.array(F.struct(F.lit("problem").alias("dimension"), F.col("x").alias("value")), F.struct(F.lit("method_family").alias("dimension"), F.col("y").alias("value")))))
-    return verification.observed(basis, _claims(spark, sf_dir, line_features(spark, sf_dir))).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    return verification.observed(basis, _claims(spark, sf_dir, lines)).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 OBSERVED = f"""WITH {_TOP}, c AS (SELECT dimension, value, paper_id, CAST(split_part(paper_id, '-', 1) AS BIGINT) % 3 AS said FROM features WHERE dimension IN ('problem', 'method', 'method_family')),

@@ -311,3 +311,31 @@ def test_unique_basis_and_landscape_helpers(spark):
     papers = spark.createDataFrame([(1,), (2,)], "paper_id int")
     scored = landscape.with_relevance(papers, spark.createDataFrame([(1, 0.5)], "paper_id int, final_score double"))
     assert {r.paper_id: r.relevance_score for r in scored.collect()} == {1: 0.5, 2: None}
+
+
+def test_more_than_96_combinations_enter_where_50_are_asked(spark, monkeypatch):
+    dims = ("problem", "population_or_setting", "method_family", "dataset", "baseline")
+    rows = spark.createDataFrame([(f"{d}{i}{n}", d, f"{d} value {i}", n) for d in dims for i in range(4) for n in range(2)], "paper_id string, dimension string, value string, ord int")
+    anchored = rows.groupBy("dimension", "value").agg(F.count("*").alias("count")).withColumn("anchored", F.lit(True))
+    assert gaps.combination_candidates(anchored, rows, 400).count() == 400
+    asked = []
+    real = gaps.combination_builder
+    monkeypatch.setattr(gaps, "combination_builder", lambda f, v, limit: asked.append(limit) or real(f, v, limit))
+    claims = claims_of(spark, (1, "research_objective", "floods", "floods"), (2, "research_objective", "floods", "floods"))
+    found, members, freq = _members(spark, claims)
+    idea = spark.createDataFrame([("problem", "floods")], "dimension string, value string")
+    for limit in (50, 3):
+        gaps.generate(found, 2, freq, members, claims, idea, F.array(F.lit("floods")), limit=limit)
+    assert asked == [400, 24]
+
+
+def test_concepts_are_found_once_a_wording(spark):
+    claims = claims_of(spark, *[(i, "research_objective", f"flood {i % 2}", "floods") for i in range(20)])
+    said = verification._wordings(claims).where(F.size("have") > 0)
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan and said.count() == 2
+    req = spark.createDataFrame([(1, "problem", "p", "flood 1")], "idea_id int, facet string, grp string, value string")
+    met = verification.group_matches(claims, req)
+    assert {r.paper_id for r in met.collect()} == set(range(1, 20, 2))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
