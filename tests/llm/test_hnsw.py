@@ -1,5 +1,8 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import hnsw
 
@@ -69,9 +72,63 @@ def test_levels_are_prefixes():
 
 
 def test_shards_grow_with_the_table_up_to_a_bound():
-    sizes = [hnsw.shard_nodes(n, 64) for n in (100, 10**6, 10**7, 10**8, 10**9, 10**12)]
-    assert sizes[:2] == [hnsw.SHARD] * 2 and sizes == sorted(sizes) and sizes[3] == 10 * hnsw.SHARD
+    sizes = [hnsw.shard_nodes(n, 64) for n in (100, 1 << 16, 10**7, 10**8, 10**9, 10**12)]
+    assert sizes[:2] == [hnsw.SHARD] * 2 and sizes == sorted(sizes) and hnsw.shard_nodes(1 << 22, 64) == 8 * hnsw.SHARD
     assert sizes[-1] * 64 * 8 == hnsw.SHARD_BYTES and hnsw.shard_nodes(10**9, 10**9) == 1
+    assert hnsw.beam_width(hnsw.SHARD) == hnsw.EF_SEARCH and hnsw.beam_width(4 * hnsw.SHARD) == 2 * hnsw.EF_SEARCH
+
+
+def _directions(n, kind, seed=8):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64))
+    if kind != "gauss":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return (v * rng.uniform(1, 3, (n, 1)) if kind == "lengths" else v).astype(np.float32)
+
+
+def _recall(v, found):
+    """found: query to list of ids. Over random directions, which no graph finds easy."""
+    w = v.astype(np.float64)
+    queries = sorted(found)
+    hits = 0
+    for at in range(0, len(queries), 512):
+        part = queries[at : at + 512]
+        s = w[part] @ w.T
+        s[np.arange(len(part)), part] = -np.inf
+        near = np.argpartition(-s, 19, axis=1)[:, :20]
+        hits += sum(len(set(a.tolist()) & set(found[q])) for a, q in zip(near, part))
+    return hits / (20 * len(queries))
+
+
+@pytest.mark.parametrize(("n", "kind"), [(3_000, "lengths"), (16_384, "gauss"), (16_384, "lengths"), (49_152, "gauss")])
+def test_recall_over_unequal_lengths_at_full_size(spark, tmp_path, n, kind):
+    v = _directions(n, kind)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(v), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    rows = hnsw.nearest(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas()
+    found = rows.groupby("query_id")["vec_id"].apply(list).to_dict()
+    assert sorted(found) == list(range(0, n, 20)) and (rows.groupby("query_id").size() == 20).all()
+    assert _recall(v, found) >= 0.95
+
+
+def test_recall_of_one_large_graph():
+    """A shard as large as tables of a million vectors have, its nodes inserted by searching."""
+    v = _directions(16_384, "unit")
+    x = hnsw._augmented(v.astype(np.float64), 1.0)
+    graphs = hnsw.build(x)
+    queries = np.arange(0, len(v), 40)
+    near = hnsw.search(x, graphs, np.hstack([v[queries], np.zeros((len(queries), 1), np.float32)]))
+    assert _recall(v, {q: row[row != q][:20].tolist() for q, row in zip(queries.tolist(), near)}) >= 0.95
+
+
+def test_bands_part_lengths_and_large_ones_by_hash(spark):
+    rows = [([1.0, 0.0], i, i) for i in range(500)] + [([float(i), 1.0], i, i) for i in range(500, 1000)] + [([1.0], 1, 1)]
+    df = spark.createDataFrame(rows, "vec array<float>, draw long, keep int")
+    dealt, per_dim = hnsw.banded(df, 100)
+    got = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.col("vec")[0]).alias("a"), F.max(F.col("vec")[0]).alias("b")).orderBy("a").collect()
+    assert sum(r.n for r in got) == 1001 and max(r.n for r in got) <= 150
+    long = [r for r in got if r.a >= 500]
+    assert len(long) >= 4 and all(x.b < y.a for x, y in zip(long, long[1:]))
+    assert {r.dim for r in per_dim.collect()} == {1, 2} and len(got) <= sum(r.n for r in per_dim.collect())
 
 
 def test_doubles_and_signed_zeros(spark):
