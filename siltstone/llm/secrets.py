@@ -41,13 +41,14 @@ _HEX_BYTES = bytes(1 if c in b"0123456789abcdef" else 0 for c in range(256))
 _HEX_RUN = b"\x01" * 16
 #: Prefix that a text must hold, and the rule.
 _ADDED = (
-    # A key with its body up to its end mark, or the lines of base64 after the header where there is no end mark.
+    # A key with its body, however long, up to its end mark, or the lines of base64 after the header where there is no end mark. Either way a header
+    # looks no further than the next five dashes, so many headers cost no more than one.
     (
         "private_key",
         "PRIVATE KEY-----",
         re.compile(
             r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"
-            r"(?:(?>(?:[^-]|-(?!----)){0,16384})-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|(?>(?:(?:\\[nr]|\s)*[A-Za-z0-9+/=]{16,})*))"
+            r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|(?>(?:(?:\\[nr]|\s)*[A-Za-z0-9+/=]{16,})*))"
         ),
     ),
     ("code_host", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),

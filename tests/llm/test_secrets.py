@@ -137,3 +137,10 @@ def test_redaction_with_clashing_columns(spark):
     out = secrets.redact(df)
     assert out.columns == df.columns and out.count() == len(TEXTS)
     assert {(r.doc_id, *(r[c] for c in clash)) for r in out.collect()} == {(r.doc_id, *(r[c] for c in clash)) for r in df.collect()}
+
+
+def test_private_keys_of_any_length_go_whole():
+    body = "\n".join(["A" * 64] * 3000 + ["shortend=="])
+    text = f"a\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\nz"
+    spans = [{"start": a, "end": b} for _, a, b in secrets.find_secrets(text)]
+    assert secrets.cover(text, spans, "[SECRET]") == "a\n[SECRET]\nz"
