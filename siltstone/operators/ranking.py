@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
 from siltstone.functions import vectors as v
+from siltstone.operators import bounds
 from siltstone.sources.staging import Staged
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3
@@ -179,6 +180,83 @@ def semantic(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, m
     return pairs.select("query_id", "id", checked.alias("semantic_raw_score"))
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, id, semantic_raw_score of the pairs (query_id, id) alone. Pairs without a vector on either side are left out."""
+    norm = lambda c: F.sqrt(v.dot(F.col(c), F.col(c)))
+    q = queries.select("query_id", F.col("vector").alias("_q"), norm("vector").alias("_qn"))
+    met = pairs.select("query_id", "id").join(vectors.select("id", "vector", norm("vector").alias("_n")), "id").join(_small(q, BROADCAST_TOKENS // 10), "query_id")
+    value = F.when(F.col("_n") * F.col("_qn") > 0, v.dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).otherwise(F.lit(0.0))
+    return met.select("query_id", "id", value.alias("semantic_raw_score"))
+
+
+def hybrid_topk(vectors: DataFrame, queries: DataFrame, lexical: DataFrame, k: int, lexical_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:
+    """query_id, rank, id, final_score: the first k of fuse() over all vectors, without a row for each query and vector.
+
+    lexical: query_id, id, lexical_raw_score of the pairs that match; all others score 0. The lowest and the highest cosine of a query come by bounds. Pairs
+    without a match share one lexical score, so of these the k with the largest cosine are enough; scores are compared to six digits, then by id.
+    """
+    made = bounds.gather(vectors)
+    n = int(made.count.sum())
+    near, far = bounds.both_ends(made, queries, 2 * k)
+    # Extremes are of scores as they are, not as rounded.
+    ends = _ends(vectors, queries, near, far)
+    words = lexical.where("lexical_raw_score is not null").join(vectors.select("id"), "id", "left_semi").join(_small(queries.select("query_id"), BROADCAST_TOKENS), "query_id", "left_semi")
+    words = Staged(words.select("query_id", "id", "lexical_raw_score"), "matched").df
+    by = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("lexical_raw_score").alias("_l"), F.max("lexical_raw_score").alias("_h"))
+    fewer = F.coalesce("_n", F.lit(0)) < n
+    low = F.when(fewer, F.least(F.lit(0.0), F.coalesce("_l", F.lit(0.0)))).otherwise(F.col("_l"))
+    high = F.when(fewer, F.greatest(F.lit(0.0), F.coalesce("_h", F.lit(0.0)))).otherwise(F.col("_h"))
+    ends = Staged(ends.join(by, "query_id", "left").select("query_id", "lowest", "highest", low.alias("_lo"), high.alias("_hi")), "spreads").df
+    ends = _small(ends, BROADCAST_TOKENS)
+    lex = v.scaled(F.col("lexical_raw_score"), F.col("_lo"), F.col("_hi"))
+    words = words.join(ends.select("query_id", "_lo", "_hi"), "query_id").select("query_id", "id", "lexical_raw_score", lex.alias("l"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = cosines(vectors, queries, pairs).join(pairs, ["query_id", "id"]).join(ends, "query_id")
+        score = v.fused(lex, v.scaled(F.col("semantic_raw_score"), F.col("lowest"), F.col("highest")), lexical_weight, semantic_weight)
+        return rows.select("query_id", "id", score.alias("final_score"))
+
+    order = [F.desc(F.round("final_score", 6)), F.asc("id")]
+    # First the nearest, and the best by words; what these reach is a floor. A pair whose words and a perfect cosine do not reach it is never scored.
+    best = top_k(words, [F.desc("l"), F.asc("id")], 2 * k).select("query_id", "id")
+    pairs = near.select("query_id", "id").unionByName(best).distinct().join(words, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("lexical_raw_score", F.lit(0.0)).alias("lexical_raw_score"))
+    first = Staged(top_k(scored(Staged(pairs, "first-pairs").df), order, k).drop("rank"), "first").df
+    floor = first.groupBy("query_id").agg(F.min("final_score").alias("_f"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == k).select("query_id", "_f")
+    most = v.fused(F.col("l"), F.lit(1.0), lexical_weight, semantic_weight)
+    rest = words.join(_small(floor, BROADCAST_TOKENS), "query_id", "left").where(F.col("_f").isNull() | (most >= F.col("_f") - 1e-6))
+    rest = rest.join(first.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "lexical_raw_score")
+    return top_k(first.unionByName(scored(Staged(rest, "rest-pairs").df)), order, k)
+
+
+def _ends(vectors: DataFrame, queries: DataFrame, near: DataFrame, far: DataFrame) -> DataFrame:
+    """query_id, lowest, highest cosine over all vectors, in full precision: of the nearest and farthest vectors that bounds.both_ends found."""
+    pairs = near.where("rank = 1").select("query_id", "id").unionByName(far.select("query_id", "id")).distinct()
+    found = cosines(vectors, queries, pairs)
+    return Staged(found.groupBy("query_id").agg(F.min("semantic_raw_score").alias("lowest"), F.max("semantic_raw_score").alias("highest")), "ends").df
+
+
+def _scaled(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    found = cosines(vectors, queries, pairs).join(_small(ends, BROADCAST_TOKENS), "query_id")
+    return found.select("query_id", "id", v.scaled(F.col("semantic_raw_score"), F.col("lowest"), F.col("highest")).alias("score"))
+
+
+def scaled_cosines(made: bounds.Blocks, vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, id, score of the pairs: the cosine, scaled to 0 to 1 over all vectors. made: the blocks of vectors."""
+    return _scaled(vectors, queries, pairs, _ends(vectors, queries, *bounds.both_ends(made, queries, 1)))
+
+
+def boostable(made: bounds.Blocks, vectors: DataFrame, queries: DataFrame, k: int, weight: float = 0.15) -> DataFrame:
+    """query_id, id, final_score (the scaled cosine) of the vectors that can be among the first k once constraints of this weight raise them."""
+    near, far = bounds.both_ends(made, queries, k)
+    ends = _ends(vectors, queries, near, far)
+    kth = near.groupBy("query_id").agg(F.min("score").alias("_k"))
+    # What a constraint cannot lift to the k-th own score stays behind; the margin covers rounding to five digits.
+    floor = F.col("lowest") + (F.col("_k") - F.col("lowest")) / (1 + weight) - 1e-4
+    asked = queries.join(ends, "query_id").join(kth, "query_id").select("query_id", "vector", floor.alias("floor"))
+    found = bounds.within(made, asked)
+    return _scaled(vectors, queries, found.select("query_id", "id"), ends).withColumnRenamed("score", "final_score")
+
+
 def fuse(rows: DataFrame, lexical_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:
     """rows (query_id, id, lexical_raw_score, semantic_raw_score or null) with scaled scores, final_score, ranking_mode.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as t
-from siltstone.operators import graph, ranking, retrieval
+from siltstone.operators import bounds, graph, ranking, retrieval
 from siltstone.plans.views import PAPERS, fold_sql, load, papers, queries, tokens_sql
+from siltstone.sources.staging import Staged
 
 BM25 = f"""
 {PAPERS}, q0 AS (SELECT item_id AS query_id, {tokens_sql('text')} AS toks FROM benchmark),
@@ -62,17 +63,34 @@ COSINE = """WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v
 SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 5) AS score FROM embeddings, q"""
 
 
-def hybrid_fusion(spark, sf_dir):
-    """Documents that have a vector (doc_id = vec_id) ranked for each passage by words and vector together."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+def _vectors(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def cosine_topk(spark, sf_dir):
+    """The 20 vectors nearest to that of each passage (vec_id = item_id), through blocks that bounds rule out."""
+    e = _vectors(spark, sf_dir)
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    qv = q.join(e, F.col("query_id") == F.col("id")).select("query_id", "vector")
-    sem = ranking.semantic(e, qv)
+    found = bounds.nearest(bounds.gather(e), q.join(e, F.col("query_id") == F.col("id")).select("query_id", "vector"), 20)
+    return found.select("query_id", "rank", "id", "score")
+
+
+COSINE_TOPK = """WITH s AS (SELECT item_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) + 0.0 AS score
+  FROM embeddings a JOIN benchmark ON a.vec_id = item_id, embeddings b)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 20"""
+
+
+def hybrid_fusion(spark, sf_dir):
+    """Documents that have a vector (doc_id = vec_id) ranked for each passage by words and vector together.
+
+    Documents without a word of the passage rank among themselves by vector alone, so the first by vector and those with a word are all that can come first.
+    """
     p = papers(spark, sf_dir)
+    e = Staged(_vectors(spark, sf_dir).join(p.select("id"), "id", "left_semi"), "vectors").df
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    qv = Staged(q.join(_vectors(spark, sf_dir), F.col("query_id") == F.col("id")).select("query_id", "vector"), "query-vectors").df
     lex = ranking.bm25(p, queries(spark, sf_dir))
-    rows = sem.join(p.select("id"), "id", "left_semi").join(lex, ["query_id", "id"], "left")
-    ranked = ranking.fuse(rows.withColumn("lexical_raw_score", F.coalesce("lexical_raw_score", F.lit(0.0))))
-    top = ranking.top_k(ranked, [F.desc(F.round("final_score", 6)), F.asc("id")], 10)
+    top = ranking.hybrid_topk(e, qv, lex, 10)
     return top.select("query_id", "rank", "id", F.round("final_score", 5).alias("final_score"))
 
 
@@ -88,13 +106,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(f, 5) AS final_score F
 
 
 def constraint_boost(spark, sf_dir):
-    """Lexical ranking of vectors' neighbours raised by one constraint per passage: closeness to the next passage's vector."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    """Lexical ranking of vectors' neighbours raised by one constraint per passage: closeness to the next passage's vector.
+
+    A constraint raises a score by its weight at most, so only vectors whose own score comes that near to the tenth best can come first.
+    """
+    e = Staged(_vectors(spark, sf_dir), "vectors").df
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    own = items.join(e, F.col("query_id") == F.col("id")).select("query_id", "vector")
-    nxt = items.join(e, F.col("query_id") + 1 == F.col("id")).select("query_id", "vector")
-    base = ranking.scale(ranking.semantic(e, own), "semantic_raw_score", "final_score")
-    con = ranking.scale(ranking.semantic(e, nxt), "semantic_raw_score", "score").select("query_id", "id", F.lit(0).alias("constraint_id"), "score")
+    own = Staged(items.join(e, F.col("query_id") == F.col("id")).select("query_id", "vector"), "own").df
+    nxt = Staged(items.join(e, F.col("query_id") + 1 == F.col("id")).select("query_id", "vector"), "next").df
+    made = bounds.gather(e)
+    reach = ranking.boostable(made, e, own, 10)
+    base = reach.select("query_id", "id", "final_score")
+    con = ranking.scaled_cosines(made, e, nxt, base.select("query_id", "id")).select("query_id", "id", F.lit(0).alias("constraint_id"), "score")
     out = ranking.boost(base, con).select("query_id", "id", F.round("constraint_score", 5).alias("constraint_score"), F.round("final_score", 5).alias("final_score"))
     return ranking.top_k(out, [F.desc("final_score"), F.asc("id")], 10).select("query_id", "rank", "id", "constraint_score", "final_score")
 
@@ -209,11 +232,11 @@ OVERLAP = f"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all({fold_
 SELECT a.item_id, round(CASE WHEN least(len(a.w), len(b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) ELSE 0.0 END, 6) AS overlap FROM t a JOIN t b ON b.item_id = a.item_id + 1"""
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "cosine_scores": cosine_scores, "hybrid_fusion": hybrid_fusion, "constraint_boost": constraint_boost,
+    "bm25_topk": bm25_topk, "cosine_scores": cosine_scores, "cosine_topk": cosine_topk, "hybrid_fusion": hybrid_fusion, "constraint_boost": constraint_boost,
     "route_interleave": route_interleave, "plan_quota": plan_quota, "citation_degrees": citation_degrees,
     "citation_components": citation_components, "citation_summary": citation_summary, "query_overlap": query_overlap,
 }
 SQL = {
-    "bm25_topk": BM25_TOPK, "cosine_scores": COSINE, "hybrid_fusion": HYBRID, "constraint_boost": BOOST, "route_interleave": INTERLEAVE,
+    "bm25_topk": BM25_TOPK, "cosine_scores": COSINE, "cosine_topk": COSINE_TOPK, "hybrid_fusion": HYBRID, "constraint_boost": BOOST, "route_interleave": INTERLEAVE,
     "plan_quota": PLAN, "citation_degrees": DEGREES, "citation_components": COMPONENTS, "citation_summary": SUMMARY, "query_overlap": OVERLAP,
 }
