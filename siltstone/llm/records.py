@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,8 +42,12 @@ MASK = 0xA282EAD8
 LENGTH, CHECK = struct.Struct("<Q"), struct.Struct("<I")
 FRAME = LENGTH.size + 2 * CHECK.size
 
-#: Splitting patterns known to match no white space and not to look around.
-APART = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
+#: Splitting pattern known to match no white space and not to look around.
+APART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same over lower-cased ASCII and the Latin letters of two more blocks, which composition leaves alone and whose lower case is one letter; and
+#: text of these alone that can hold no added token.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\t-\\r 0-9a-zß-öø-ſ]+")
+PLAIN = re.compile("[\\x00-;=-\\x7fÀ-ÖØ-öø-įı-ſ]*")
 
 WORD = 64
 
@@ -149,7 +154,7 @@ def _parts_at_spaces(config: dict) -> bool:
     first = config.get("pre_tokenizer") or {}
     if first.get("type") == "Sequence":
         first = first["pretokenizers"][0]
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or first["pattern"].get("Regex") not in APART:
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or first["pattern"].get("Regex") != APART:
         return False
     steps = config.get("normalizer") or {"type": "Sequence", "normalizers": []}
     steps = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
@@ -165,41 +170,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.apart = _parts_at_spaces(json.load(f))
+            config = json.load(f)
+        self.apart = _parts_at_spaces(config)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends = None
+        if self.apart and (end := config["model"].get("end_of_word_suffix")):
+            self.ends = np.zeros(1 << (8 * self.width) if self.width == 2 else self.library.get_vocab_size(), bool)
+            self.ends[[i for name, i in config["model"]["vocab"].items() if name.endswith(end)]] = True
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 1024):
             for e in self.library.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False):
                 yield np.array(e.ids, f"<u{self.width}").tobytes()
 
-    def _join(self, pieces: list[list[str]]) -> Iterator[bytes]:
-        every = set().union(*pieces)
-        if len(self.known) + len(every) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in every if p not in self.known]
-        made = dict(zip(new, self._encode(new)))
-        self.known.update((p, v) for p, v in made.items() if len(p) <= LONGEST)
-        look = self.known if all(len(p) <= LONGEST for p in new) else made | {p: self.known[p] for p in every if p not in made}
-        for p in pieces:
-            yield b"".join(map(look.__getitem__, p))
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Words that the tokenizer's pattern leaves whole, many in one text: the last token of each says so in its name."""
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, f"<u{self.width}")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                yield from self._encode(some)
+                continue
+            raw = ids.tobytes()
+            at = [0, *(ends * self.width).tolist()]
+            yield from (raw[x:y] for x, y in zip(at, at[1:]))
+
+    def _joined(self, held: dict[str, bytes], lists: list[list[str]], encode) -> Iterator[bytes]:
+        """Each list's entries as bytes end to end; those not held are encoded together, and held from then on."""
+        every = set().union(*lists)
+        if len(held) + len(every) > REMEMBERED:
+            held.clear()
+        new = list(every.difference(held))
+        held.update(zip(new, encode(new)))
+        look = held.__getitem__
+        for entries in lists:
+            yield b"".join(map(look, entries))
+        for long in [e for e in new if len(e) > LONGEST]:
+            del held[long]
+
+    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        """Pieces between spaces: those that are plain by their words, all others by themselves."""
+        plain = [p for p in pieces if self._plain(p)]
+        others = [p for p in pieces if not self._plain(p)]
+        made = dict(zip(others, self._encode(others)))
+        made.update(zip(plain, self._joined(self.words, [WORDS.findall(p.lower()) for p in plain], self._words)))
+        return map(made.__getitem__, pieces)
+
+    def _plain(self, text: str) -> bool:
+        return self.ends is not None and PLAIN.fullmatch(text) is not None
+
+    def _parts(self, texts: list[str]) -> list[bytes]:
+        plain = [self._plain(t) for t in texts]
+        by_word = self._joined(self.words, [WORDS.findall(t.lower()) for t, p in zip(texts, plain) if p], self._words)
+        by_piece = self._joined(self.known, [t.replace("\n", " ").split(" ") for t, p in zip(texts, plain) if not p], self._pieces)
+        # Words go first, as pieces use them too.
+        done = list(by_word), list(by_piece)
+        made = iter(done[0]), iter(done[1])
+        return [next(made[0] if p else made[1]) for p in plain]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The identifiers of each text. Very long texts go in parts cut at spaces."""
         if not self.apart:
             return list(self._encode(texts))
-        out: list[bytes] = []
-        short = [t.replace("\n", " ").split(" ") if len(t) <= PART else None for t in texts]
-        joined = self._join([s for s in short if s is not None])
-        for text, pieces in zip(texts, short):
-            out.append(next(joined) if pieces is not None else None)
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                out[i] = b"".join(next(self._join([part.replace("\n", " ").split(" ")])) for part in _cut(text))
-        return out
+        short = iter(self._parts([t for t in texts if len(t) <= PART]))
+        return [next(short) if len(t) <= PART else b"".join(self._parts([part])[0] for part in _cut(t)) for t in texts]
 
 
 def _cut(text: str) -> Iterator[str]:

@@ -64,8 +64,8 @@ def test_frames_and_damage():
         list(records.read_frames(data[:-3]))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n'́̇aSt<|>")), max_size=40))
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(min_codepoint=0, max_codepoint=0x250), st.characters(codec="utf-8"), st.sampled_from(" \n'́̇aSt<|>")), max_size=40))
 def test_pieces_equal_the_whole(text):
     assert np.frombuffer(records.encoder(PATH).encode([text])[0], "<u2").tolist() == library(text)
 
@@ -79,6 +79,13 @@ def test_long_texts_and_forgetting(monkeypatch):
         assert [np.frombuffer(b, "<u2").tolist() for b in e.encode([t or "" for t in TEXTS])] == [library(t) for t in TEXTS]
 
 
+def test_every_plain_letter_and_mixed_words():
+    letters = [chr(c) for c in range(0x180) if records.PLAIN.fullmatch(chr(c))]
+    assert len(letters) > 240 and "İ" not in letters and "<" not in letters
+    texts = [f"a{c}b {c}{c} {c}'s x{c}1{c} {c},{c}" for c in letters] + ["é1İ2 ß", "Ÿ ſt Ĳ ŉ", "it's IT'S ''s '' ' 't1"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in records.Encoder(PATH).encode(texts)] == [library(t) for t in texts]
+
+
 def test_other_tokenizers_see_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = records.Encoder(path)
