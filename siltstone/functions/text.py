@@ -63,10 +63,11 @@ def collapse(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search tokens of a text without stopwords; all of them if nothing else is left. Null has none."""
-    text = F.regexp_replace(casefold(F.coalesce(c, F.lit(""))), r"[-./]", " ")
-    # A token begins with a letter or digit and may hold + and #: split at the rest, strip what leads.
-    parts = F.transform(F.split(text, r"[^\p{L}\p{N}+#]+"), lambda w: F.ltrim(w, F.lit("+#")))
-    every = F.filter(parts, lambda w: w != "")
+    text = F.translate(casefold(F.coalesce(c, F.lit(""))), "-./", "   ")
+    # A token begins with a letter or digit and may hold + and #: drop those that lead, if any stand in the text, and split at the rest.
+    marked = text.contains("+") | text.contains("#")
+    text = F.when(marked, F.regexp_replace(text, r"(?<![\p{L}\p{N}+#])[+#]+", "")).otherwise(text)
+    every = F.array_remove(F.split(text, r"[^\p{L}\p{N}+#]+"), "")
 
     def useful(words: Column) -> Column:
         kept = F.filter(words, lambda w: ~w.isin(*STOPWORDS))

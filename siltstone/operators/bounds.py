@@ -68,7 +68,8 @@ def gather(vectors: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> Bloc
     if low != high:
         raise ValueError("vectors differ in length")
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, math.isqrt(n)))).collect() if n else []
-    centres = _unit([r.vector for r in drawn]) if drawn else np.zeros((0, 0))
+    # Copies of a vector are one pivot.
+    centres = np.unique(_unit([r.vector for r in drawn]), axis=0) if drawn else np.zeros((0, 0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -464,32 +463,52 @@ def prioritise(candidates: DataFrame, basis: DataFrame) -> DataFrame:
     return out.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))).na.fill(0, ["idea_specificity", "specificity", "n_generic", "n_anchored"])
 
 
+def _dominance(ranked: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier: candidates of one group of which the earlier, if it is kept, makes the later go.
+
+    ranked: c, grp, place, keys, m. Both ways to go ask for common keys: of a set that contains the later's keys its rarest, and of a set that overlaps them by
+    the threshold one of its first few by rarity. So a candidate meets others by equality of those keys alone, and rare ones.
+    """
+    held = ranked.select("c", "grp", F.explode("keys").alias("key"))
+    rarity = held.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("df"))
+    ordered = held.join(rarity, ["grp", "key"]).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("s"))
+    few = F.size("s") - F.ceil(F.size("s") * threshold - 1e-9) + 1
+    prefix = ordered.select("c", F.explode(F.slice("s", 1, few.cast("int"))).alias("x")).select("c", F.col("x.key").alias("key"))
+    late = prefix.join(ranked.select("c", "grp", F.col("place").alias("lp"), F.col("keys").alias("lk"), F.col("m").alias("lm")), "c").withColumnRenamed("c", "later")
+    early = held.join(ranked.select("c", F.col("place").alias("ep"), F.col("keys").alias("ek"), F.col("m").alias("em")), "c").withColumnRenamed("c", "earlier")
+    both = F.size(F.array_intersect("lk", "ek"))
+    within = (both == F.size("lk")) & (F.size("ek") > F.size("lk")) & (F.col("em") >= F.col("lm"))
+    alike = both >= threshold * (F.size("lk") + F.size("ek") - both)
+    met = late.join(early, ["grp", "key"]).where(F.col("ep") < F.col("lp"))
+    return met.where(within | alike).select("later", "earlier").distinct()
+
+
 def prune(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
     """candidate_id, place of what survives pruning, in priority order.
 
     Combinations that the idea does not anchor go first. Then, within a category and pattern, a candidate goes if a kept one before it
-    contains its basis with as many matches, or overlaps it by `threshold`. Rows stream in order within each group and only kept key sets are held.
+    contains its basis with as many matches, or overlaps it by `threshold`. Candidates meet by rare keys; in rounds, those that none undecided
+    before them can make go are kept, and what a kept one dominates goes. Each round settles at least the first undecided candidate of
+    every chain, and a group of any size is spread over all tasks. Candidates without keys are kept.
     """
     rows = candidates.where((F.size("keys") <= 1) | (F.col("idea_anchor_score") > 0))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("category", "pattern_type").orderBy(*priority())))
-    ranked = ranked.select("candidate_id", "category", "pattern_type", "place", "keys", F.col("n_anchored").cast("int").alias("m"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                if (r["category"], r["pattern_type"]) != group:
-                    group, kept = (r["category"], r["pattern_type"]), []
-                keys = frozenset(r["keys"])
-                beaten = any(keys and k and ((keys < k and m >= r["m"]) or len(keys & k) / len(keys | k) >= threshold) for k, m in kept)
-                if not beaten:
-                    kept.append((keys, r["m"]))
-                    out.append((r["candidate_id"], r["place"]))
-            yield pd.DataFrame(out, columns=["candidate_id", "place"])
-
-    dealt = shipped(ranked).repartition("category", "pattern_type").sortWithinPartitions("category", "pattern_type", "place")
-    return dealt.mapInPandas(run, "candidate_id string, place int")
+    order = Window.partitionBy("category", "pattern_type").orderBy(*priority())
+    # Identifiers are names; numbers stand for them in the rounds.
+    ranked = rows.withColumn("place", F.row_number().over(order)).select(
+        "candidate_id", F.xxhash64("category", "pattern_type", "candidate_id").alias("c"), F.struct("category", "pattern_type").alias("grp"), "place", F.array_distinct("keys").alias("keys"), F.col("n_anchored").cast("int").alias("m"),
+    )
+    ranked = Staged(ranked, "ranked").df
+    links = Staged(_dominance(ranked, threshold), "dominance").df
+    gone = []
+    while not links.isEmpty():
+        # Nothing undecided stands before these: they are kept, and what they dominate goes.
+        kept = links.select(F.col("earlier").alias("c")).distinct().join(links.select(F.col("later").alias("c")), "c", "left_anti")
+        lost = Staged(links.join(kept, links["earlier"] == kept["c"], "left_semi").select(F.col("later").alias("c")).distinct(), "lost").df
+        gone.append(lost)
+        links = links.join(lost, links["later"] == lost["c"], "left_anti")
+        links = Staged(links.join(lost, links["earlier"] == lost["c"], "left_anti"), "dominance").df
+    out = ranked if not gone else ranked.join(reduce(DataFrame.unionByName, gone), "c", "left_anti")
+    return out.select("candidate_id", "place")
 
 
 def _filled(template: str, parts: dict[str, Column]) -> Column:

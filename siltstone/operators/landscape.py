@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import features as f
 from siltstone.functions import text as t
+from siltstone.operators import bitmaps
+from siltstone.sources.staging import Staged
 
 # Dimensions in order, those that combine, and fields whose absence is counted.
 DIMENSIONS = (
@@ -30,6 +32,9 @@ MISSING = (
 )
 EMPIRICAL = ("empirical", "methodological")
 SOURCE_LEVELS = ("full_text", "abstract", "abstract_fallback", "metadata_only")
+#: What comparable studies share, and papers of a key on either side of a cell of its grid.
+KEYS = ("kp", "kf", "km")
+CELL = 2_000
 FULL_TEXT_STATUS = ("usable", "unavailable", "fetch_failed", "parse_failed", "not_attempted")
 
 
@@ -95,7 +100,7 @@ def joint_tuples(values: Column, size: int) -> Column:
 def combos(features: DataFrame, papers: DataFrame, size: int) -> DataFrame:
     """dims (array of dimension=value in dimension order), count, prevalence: papers that hold all values together.
 
-    Joins a paper's values with themselves, one dimension further each time, so only tuples that occur are made;
+    Counted on bitmaps of papers, so only combinations that occur are made, and not once a paper;
     reviews and surveys take no part, but stay in the denominator.
     """
     if not 2 <= size <= 5:
@@ -103,15 +108,7 @@ def combos(features: DataFrame, papers: DataFrame, size: int) -> DataFrame:
     place = F.create_map(*[x for i, d in enumerate(COMBINED) for x in (F.lit(d), F.lit(i))])
     kept = papers.where(F.col("study_type").isin(*EMPIRICAL)).select("paper_id")
     rows = usable(features).where(F.col("dimension").isin(*COMBINED)).join(kept, "paper_id", "left_semi")
-    rows = rows.select("paper_id", F.element_at(place, F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d")).distinct()
-    # All values of a paper stand in one row, so its tuples need no further shuffle. One explosion for each further
-    # dimension runs in compiled code and is faster than nested array functions (joint_tuples) where tuples are many.
-    packed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("v"))
-    out = packed.select("v", F.explode("v").alias("x")).select("v", F.array("x.d").alias("dims"), F.col("x.i").alias("last"))
-    for _ in range(size - 1):
-        later = F.filter("v", lambda y: y["i"] > F.col("last"))
-        out = out.select("v", "dims", F.explode(later).alias("x")).select("v", F.concat("dims", F.array("x.d")).alias("dims"), F.col("x.i").alias("last"))
-    counted = out.groupBy("dims").agg(F.count(F.lit(1)).alias("count"))
+    counted = bitmaps.together(rows.select("paper_id", "dimension", "value").distinct(), F.element_at(place, F.col("dimension")), size)
     return counted.join(F.broadcast(total(papers))).select("dims", "count", (F.col("count") / F.col("total")).alias("prevalence"))
 
 
@@ -147,12 +144,13 @@ def source_coverage(coverage: DataFrame) -> DataFrame:
     return every.join(counted, ["kind", "name"], "left").select("kind", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def conflicts(wide: DataFrame) -> DataFrame:
+def conflicts(wide: DataFrame, cell: int = CELL) -> DataFrame:
     """left_id, right_id, topic of comparable studies with opposed findings.
 
     wide: paper_id, ord, study_type and arrays problems, method_families, performance_metrics, datasets,
     populations, baselines, constraints, outcomes. Pairs meet on a shared (problem, family, metric), so studies that share
-    none are never compared; on each key only papers with a finding meet those of the other polarity.
+    none are never compared; on each key only papers with a finding meet those of the other polarity, `cell` by `cell` of them in a task.
+    A paper has one row.
     """
     arrays = ("problems", "method_families", "performance_metrics", "datasets", "populations", "baselines", "constraints")
     rows = wide.where(F.col("study_type").isin(*EMPIRICAL)).select(
@@ -160,21 +158,42 @@ def conflicts(wide: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(F.transform("outcomes", f.polarity), lambda p: p.isNotNull())).alias("signs"),
     ).where(F.size("signs") > 0)
     keyed = rows.withColumn("sign", F.explode("signs"))
-    for a, k in zip(arrays[:3], ("kp", "kf", "km")):
+    for a, k in zip(arrays[:3], KEYS):
         keyed = keyed.withColumn(k, F.explode(a))
-    a, b = keyed.where("sign = 1").alias("a"), keyed.where("sign = -1").alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("kp", "kf", "km")]
+    keyed = Staged(keyed, "keyed").df
+    a, b = on_grid(keyed, cell)
+    a, b = a.alias("a"), b.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*KEYS, "_r", "_c")]
 
     def agrees(name: str):
         left, right = F.col(f"a.{name}"), F.col(f"b.{name}")
         return ((F.size(left) == 0) & (F.size(right) == 0)) | F.arrays_overlap(left, right)
 
-    met = a.join(b, [*same, F.col("a.paper_id") != F.col("b.paper_id"), *[agrees(x) for x in arrays[3:]]])
+    # Two studies that share several keys are a pair at the least of them alone, and two that both have findings of either kind in one order alone.
+    least = [F.col(f"a.{k}") == F.array_min(F.array_intersect(F.col(f"a.{x}"), F.col(f"b.{x}"))) for x, k in zip(arrays[:3], KEYS)]
     first = F.col("a.ord") < F.col("b.ord")
+    once = first | (F.size("a.signs") == 1) | (F.size("b.signs") == 1)
+    met = a.join(b, [*same, F.col("a.paper_id") != F.col("b.paper_id"), *[agrees(x) for x in arrays[3:]], *least, once])
     pick = lambda c: F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
     other = lambda c: F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     topic = F.array_intersect(pick("problems"), other("problems")).getItem(0)
-    return met.select(pick("paper_id").alias("left_id"), other("paper_id").alias("right_id"), topic.alias("topic")).distinct()
+    return met.select(pick("paper_id").alias("left_id"), other("paper_id").alias("right_id"), topic.alias("topic"))
+
+
+def on_grid(keyed: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of either sign with _r and _c: a key's papers of one sign are rows of a grid and those of the other its columns, `cell` papers to each at most about.
+
+    A paper goes to all cells of its row or column, so two of them meet in one cell, and the pairs of a key, however many papers it has, are made in as many tasks as it has
+    cells. Keys without papers of both signs have no cells.
+    """
+    up, down = F.count_if(F.col("sign") == 1), F.count_if(F.col("sign") == -1)
+    sizes = keyed.groupBy(*KEYS).agg(F.ceil(up / cell).alias("_nr"), F.ceil(down / cell).alias("_nc")).where("_nr > 0 and _nc > 0")
+    rows = keyed.join(sizes, list(KEYS))
+    place = lambda n: F.pmod(F.xxhash64("paper_id"), F.col(n))
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = rows.where("sign = 1").select("*", place("_nr").alias("_r"), line("_nc").alias("_c"))
+    b = rows.where("sign = -1").select("*", line("_nr").alias("_r"), place("_nc").alias("_c"))
+    return a, b
 
 
 def top_values(frequency: DataFrame, n: int = 10) -> DataFrame:
@@ -183,6 +202,16 @@ def top_values(frequency: DataFrame, n: int = 10) -> DataFrame:
     return frequency.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def report(frequency: DataFrame, combinations: DataFrame, n: int = 10) -> DataFrame:
+    """section, rank, name, count: the n commonest values of each dimension, and the n commonest combinations that several papers hold and that one holds."""
+    values = frequency.select(F.col("dimension").alias("section"), F.col("value").alias("name"), "count")
+    name = F.array_join(F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], d["value"])), " & ")
+    kind = F.when(F.col("count") >= 2, "repeated combinations").otherwise("single combinations")
+    rows = values.unionByName(combinations.select(kind.alias("section"), name.alias("name"), "count"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), "name"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= n)
+
+
 def richest_evidence(evidence: DataFrame) -> DataFrame:
     """One row per canonical_id: most populated, then most confident, then first. evidence: canonical_id, n_values, confidence, ord."""
     w = Window.partitionBy(F.lower("canonical_id")).orderBy(F.desc("n_values"), F.desc("confidence"), "ord")

@@ -29,6 +29,17 @@ def latest(rows: DataFrame, order: list[Column], n: int, by: list[str] | None =
     return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
 
 
+def active_counts(jobs: DataFrame, owner: str) -> DataFrame:
+    """owner, active: how many of an owner's jobs wait or run; 0 where all are done."""
+    return jobs.groupBy(owner).agg(F.count_if(F.col("status").isin("pending", "running")).alias("active"))
+
+
+def pending(jobs: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """The first n waiting jobs of each queue (by) with their place from 1: oldest first, then by job_id. Of each queue no more than n a task are shuffled."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("created_at", "job_id"))
+    return jobs.where(F.col("status") == "pending").withColumn("place", place).where(F.col("place") <= n)
+
+
 def user_list(accounts: DataFrame, subscriptions: DataFrame, ledger: DataFrame, n: int = 100) -> DataFrame:
     """Newest accounts with subscription_status (or none) and balance."""
     status = subscriptions.select("user_id", F.col("status").alias("subscription_status"))

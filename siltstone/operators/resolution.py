@@ -5,8 +5,8 @@
 2. Clusters may still be one work by title and year, or by nearly equal titles; whether they merge depends
    on the DOIs and authors that both have gathered so far, and so on the order. Candidates (equal title and
    year; near titles found by a prefix filter on rare title words) are linked to blocks, and each block of
-   clusters is decided in order of first appearance. Copies have folded into clusters before, so a
-   block holds different records that share a title, not repetitions.
+   clusters is decided in order of first appearance. A large block (a title that very many works share) is split before: only clusters without a DOI,
+   and clusters with a word of their authors' names in common, can ever merge, so what these links leave apart is decided apart.
 3. Members merge from the richest record on, by ordered folds.
 """
 
@@ -24,6 +24,8 @@ from siltstone.session import shipped
 from siltstone.sources.staging import Staged
 
 MIN_WORDS, MIN_JACCARD, MIN_RATIO = 5, 0.9, 0.96
+#: Records of a block from which it is split.
+LARGE = 1_000
 
 
 def _keys(papers: DataFrame) -> DataFrame:
@@ -167,6 +169,71 @@ def decide_block(rows: pd.DataFrame, near: set[tuple[int, int]]) -> dict[int, in
     return block.parent
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _name_words(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda names: sorted({w for name in names for w in t.author_tokens(name)}))
+
+
+def split_blocks(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """root, part: what of a block (rows: block, ord, root, title_year, dois, authors) has to be decided together; part is a root.
+
+    A record's cluster merges with the first known one of its title and year that it fits: any, if one of the two has no DOI, else one of matching authors,
+    which share a word of a name. One without a DOI goes to the very first, and only while the first has no DOI does one with a DOI go there, too. So all links that
+    can matter are: each record without a DOI, and the first record with one, to the first of the title and year; records of a block that share a word of
+    a name; near titles. Each is a star around its least root, so a word that all records have makes as many links as records.
+    """
+    owned = rows.groupBy("root").agg(F.max(F.size("dois") > 0).alias("has_doi"))
+    marked = rows.join(owned, "root")
+    titled = marked.where("title_year is not null")
+    ends = titled.groupBy("title_year").agg(F.min_by("root", "ord").alias("first"), F.min_by("root", F.when(F.col("has_doi"), F.col("ord"))).alias("doi"))
+    bare = titled.where(~F.col("has_doi")).join(ends.select("title_year", "first"), "title_year").select(F.col("root").alias("u"), F.col("first").alias("v"))
+    opening = ends.where("doi is not null").select(F.col("doi").alias("u"), F.col("first").alias("v"))
+    words = shipped(rows).select("block", "root", F.explode(_name_words("authors")).alias("w")).distinct()
+    least = words.groupBy("block", "w").agg(F.min("root").alias("v"))
+    named = words.join(least, ["block", "w"]).select(F.col("root").alias("u"), "v").distinct()
+    place = rows.select("ord", "root")
+    close = near.join(place.toDF("left", "u"), "left").join(place.toDF("right", "v"), "right").select("u", "v")
+    found = components(bare.unionByName(opening).unionByName(named).unionByName(close)).select(F.col("u").alias("root"), F.col("root").alias("part"))
+    return rows.select("root").distinct().join(found, "root", "left").select("root", F.coalesce("part", "root").alias("part"))
+
+
+def _folded(rows: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows without repetitions, repetitions as ord, first): records without identifiers whose title, year and authors are those of an earlier one end where it does."""
+    alone = rows.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("root")
+    close = near.select(F.explode(F.array("left", "right")).alias("ord")).distinct()
+    plain = rows.where((F.size("dois") == 0) & F.col("title_year").isNotNull()).join(alone, "root", "left_semi").join(close, "ord", "left_anti")
+    first = plain.groupBy("title_year", "authors").agg(F.min("ord").alias("first"))
+    again = Staged(plain.join(first, ["title_year", "authors"]).where("ord <> first").select("ord", "first"), "repeated").df
+    return rows.join(again.select("ord"), "ord", "left_anti"), again
+
+
+def decide(blocked: DataFrame, near: DataFrame, large: int = LARGE) -> DataFrame:
+    """ord, root in the end of the records of all blocks (block, ord, root, title_year, dois, authors). near: left, right (ord).
+
+    A block of more than `large` records is split, with the same result: see split_blocks.
+    """
+    sizes = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("block")
+    again = None
+    if not sizes.isEmpty():
+        big, again = _folded(blocked.join(sizes, "block", "left_semi"), near)
+        big = Staged(big, "large-blocks").df
+        links = near.join(big.select(F.col("ord").alias("left")), "left", "left_semi")
+        parts = split_blocks(big, links).withColumnRenamed("part", "block")
+        blocked = blocked.join(sizes, "block", "left_anti").unionByName(big.drop("block").join(parts, "root").select(*blocked.columns))
+        blocked = Staged(blocked, "parts").df
+    pairs = near.join(blocked.select(F.col("ord").alias("left"), F.col("block").alias("pair_block")), "left").select("pair_block", "left", "right")
+
+    def run(key, records: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        found = decide_block(records, set(zip(links["left"], links["right"])))
+        return pd.DataFrame({"ord": list(found), "root": list(found.values())})
+
+    decided = shipped(blocked).groupBy("block").cogroup(pairs.groupBy("pair_block")).applyInPandas(run, "ord long, root long")
+    if again is None:
+        return decided
+    decided = Staged(decided, "decided").df
+    return decided.unionByName(again.join(decided.withColumnRenamed("ord", "first"), "first").select("ord", "root"))
+
+
 def resolve(papers: DataFrame) -> DataFrame:
     """ord, root for every record: root is the first record of its work."""
     base = Staged(title_identity(papers).join(clusters_by_id(papers), "ord"), "clusters").df
@@ -179,17 +246,9 @@ def resolve(papers: DataFrame) -> DataFrame:
     place = rows.select("ord", "root")
     by_near = near.join(place.withColumnRenamed("ord", "left").withColumnRenamed("root", "u"), "left")
     by_near = by_near.join(place.withColumnRenamed("ord", "right").withColumnRenamed("root", "v"), "right").select("u", "v")
-    blocks = components(by_title.unionByName(by_near)).select(F.col("u").alias("root"), F.col("root").alias("block"))
-    blocked = rows.join(blocks, "root")
+    blocks = Staged(components(by_title.unionByName(by_near)).select(F.col("u").alias("root"), F.col("root").alias("block")), "blocks").df
     alone = rows.join(blocks, "root", "left_anti").select("ord", "root")
-    pairs = near.join(place.withColumnRenamed("ord", "left"), "left").join(blocks, "root").select(F.col("block").alias("pair_block"), "left", "right")
-
-    def run(key, records: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        found = decide_block(records, set(zip(links["left"], links["right"])))
-        return pd.DataFrame({"ord": list(found), "root": list(found.values())})
-
-    decided = blocked.groupBy("block").cogroup(pairs.groupBy("pair_block")).applyInPandas(run, "ord long, root long")
-    return alone.unionByName(decided)
+    return alone.unionByName(decide(rows.join(blocks, "root").select("block", *rows.columns), near))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -49,16 +49,23 @@ def pdf_style_sessions(spark, sf_dir):
     return out.select("paper_id", "ord", "heading", F.length(F.regexp_replace("text", r"\s", "")).alias("n_chars"))
 
 
+# Written out here rather than taken from the operators, so that a wrong one there shows.
+_NUMBERED = r"^((?:[1-9]\d?(?:\.\d{1,2})*)|[A-Z])(?:[.)])?\s+(.{2,100})$"
+_PLAIN = (
+    r"(?i)^(?:abstract|introduction|background|related work|literature review|methods?|methodology|materials(?: and methods)?|datasets?|data|experiments?|experimental setup"
+    r"|evaluation(?: setup| metrics)?|metrics|results?(?: and discussion)?|discussion|error analysis|limitations?|future work|future directions?|conclusions?|acknowledg(?:e)?ments?"
+    r"|references|bibliography|works cited)$"
+)
 SESSIONS = rf"""WITH d AS (SELECT doc_id AS paper_id, regexp_replace(text, '\. (\p{{Lu}})', E'.\n1 \\1', 'g') AS text FROM documents),
 l AS (SELECT paper_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 k AS (SELECT paper_id, i, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l),
-m AS (SELECT *, regexp_extract(line, '{documents.NUMBERED_HEADING}', 1) AS mk, regexp_extract(line, '{documents.NUMBERED_HEADING}', 2) AS ti FROM k),
-h AS (SELECT *, length(line) > 0 AND length(line) <= 120 AND (regexp_matches(line, '{documents.PLAIN_HEADINGS}') OR (regexp_matches(line, '{documents.NUMBERED_HEADING}')
+m AS (SELECT *, regexp_extract(line, '{_NUMBERED}', 1) AS mk, regexp_extract(line, '{_NUMBERED}', 2) AS ti FROM k),
+h AS (SELECT *, length(line) > 0 AND length(line) <= 120 AND (regexp_matches(line, '{_PLAIN}') OR (regexp_matches(line, '{_NUMBERED}')
   AND NOT regexp_matches(trim(ti), '[.;:,]$') AND len(string_split(trim(ti), ' ')) <= 14 AND regexp_matches(ti, '^\p{{L}}') AND (regexp_matches(mk, '^\d') OR regexp_matches(ti, '^\p{{Lu}}')))) AS h FROM m),
 s AS (SELECT *, sum(CAST(h AS INTEGER)) OVER (PARTITION BY paper_id ORDER BY i) AS ord FROM h),
 g AS (SELECT paper_id, CAST(ord AS INTEGER) AS ord, coalesce(max(line) FILTER (h), 'Front matter') AS heading, coalesce(string_agg(line, ' ' ORDER BY i) FILTER (NOT h), '') AS body FROM s GROUP BY paper_id, ord)
 SELECT paper_id, ord, heading, CAST(length(regexp_replace(body, '\s', '', 'g')) AS INTEGER) AS n_chars FROM g WHERE trim(body) <> ''
-  AND NOT regexp_matches(lower(trim(regexp_replace(heading, '^(?:(?:\d{{1,2}}(?:\.\d{{1,2}})*)|[A-Z])(?:[.)])?\s+', ''))), '^{documents.REFERENCE_HEADING}$')"""
+  AND NOT regexp_matches(lower(trim(regexp_replace(heading, '^(?:(?:\d{{1,2}}(?:\.\d{{1,2}})*)|[A-Z])(?:[.)])?\s+', ''))), '^(?:references|bibliography|works cited)$')"""
 
 
 def html_sections(spark, sf_dir):
@@ -91,7 +98,10 @@ def redacted_text(spark, sf_dir):
     return d.select("doc_id", F.sha1(t.redact(F.col("text"))).alias("redacted"))
 
 
-REDACTED = rf"""SELECT doc_id, sha1(substr(regexp_replace(regexp_replace(regexp_replace(text, '{t.SECRET_RULE}', '[redacted]', 'g'), 'https?://\S+', '[url]', 'g'), '\b[^\s@]+@[^\s@]+\b', '[email]', 'g'), 1, 1000)) AS redacted FROM documents"""
+_SECRET = (
+    r"(?i)(sk-[a-z0-9_-]+|bearer\s+\S+|(?:api[-_ ]?key|authorization|password|access[-_ ]?token|refresh[-_ ]?token|service[-_ ]?role[-_ ]?key|webhook[-_ ]?secret)\s*[:=]\s*\S+)"
+)
+REDACTED = rf"""SELECT doc_id, sha1(substr(regexp_replace(regexp_replace(regexp_replace(text, '{_SECRET}', '[redacted]', 'g'), 'https?://\S+', '[url]', 'g'), '\b[^\s@]+@[^\s@]+\b', '[email]', 'g'), 1, 1000)) AS redacted FROM documents"""
 
 
 def reconstruct_text(spark, sf_dir):
@@ -146,13 +156,24 @@ def normalised_values(spark, sf_dir):
     return p.select("v", f.method(F.col("v")).alias("method"), f.dataset(F.col("v")).alias("dataset"), f.problem(F.col("v")).alias("problem"), f.metric_kind(F.col("v")).alias("kind"), t.gap_key(F.col("v")).alias("key"))
 
 
-_METHOD_LIST = ", ".join(f"'{x}'" for x in f.GENERIC_METHODS)
+_METHOD_LIST = (
+    "'method', 'methods', 'model', 'models', 'approach', 'approaches', 'technique', 'techniques', 'algorithm', 'algorithms', 'architecture', 'architectures', 'framework', 'frameworks',"
+    " 'proposed method', 'proposed model', 'our method', 'our model'"
+)
+_GENERIC_DATASET = (
+    r"^(?:dataset|datasets|data|benchmark|benchmark datasets?|public datasets?|private datasets?|custom datasets?|proprietary datasets?|several datasets?|multiple datasets?|various datasets?"
+    r"|different datasets?|several public datasets?|multiple public datasets?|widely used datasets?)$"
+)
+_SENTENCE = (
+    r"\b(?:we|this paper|this study|our work|the authors|propose|proposes|proposed|develop|developed|evaluate|evaluated|investigate|investigated|achieve|achieved|outperform|outperformed"
+    r"|using|used to)\b"
+)
 NORMALISED = rf"""WITH p AS (SELECT DISTINCT v FROM (SELECT p_name || ' ' || CASE p_partkey % 3 WHEN 0 THEN 'Models' WHEN 1 THEN 'data-set' ELSE 'Dataset' END AS v FROM part UNION ALL SELECT p_type FROM part)),
 k AS (SELECT v, {_key_sql('v')} AS k FROM p),
 m AS (SELECT *, trim(regexp_replace(k, '\b(?:model|models|architecture|architectures)$', '')) AS bare, trim(regexp_replace(k, '\s+(?:dataset|datasets|corpus|cohort)$', '')) AS db FROM k)
 SELECT v, CASE WHEN k IN ({_METHOD_LIST}) OR bare IN ({_METHOD_LIST}) THEN '' ELSE bare END AS method,
-  CASE WHEN regexp_matches(k, '{f.GENERIC_DATASET}') OR regexp_matches(db, '{f.GENERIC_DATASET}') OR regexp_matches(db, '{f.SENTENCE_LIKE}') THEN '' ELSE db END AS dataset,
-  CASE WHEN regexp_matches(k, '{f.SENTENCE_LIKE}') THEN '' ELSE k END AS problem, CASE WHEN NOT regexp_matches(k, '{f.SENTENCE_LIKE}') THEN 'performance' END AS kind,
+  CASE WHEN regexp_matches(k, '{_GENERIC_DATASET}') OR regexp_matches(db, '{_GENERIC_DATASET}') OR regexp_matches(db, '{_SENTENCE}') THEN '' ELSE db END AS dataset,
+  CASE WHEN regexp_matches(k, '{_SENTENCE}') THEN '' ELSE k END AS problem, CASE WHEN NOT regexp_matches(k, '{_SENTENCE}') THEN 'performance' END AS kind,
   substr(sha1(array_to_string(regexp_extract_all(lower(v), '[a-z0-9]+'), ' ')), 1, 16) AS key FROM m"""
 
 

@@ -38,6 +38,28 @@ def test_conflicts(spark):
     assert run(_study(1, up, populations=["unknown"]), _study(2, down)) == [(1, 2, "p")]
 
 
+def test_conflicts_on_a_grid_are_each_made_once(spark):
+    """One key of many papers, papers that share several keys, and papers with findings of both kinds."""
+    up, down = "it significantly outperforms", "it does not outperform"
+    kinds = [[up], [down], [up, down], ["higher"]]
+    rows = [(*_study(i, None, problems=["q", "p"][: 1 + i % 2], performance_metrics=["acc", "f1"][: 1 + i % 3 // 2], datasets=["d"] if i % 5 else ["e"])[:-1], kinds[i % 7 % 4]) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for x in rows:
+        for y in rows:
+            opposed = up in x[-1] and down in y[-1] or down in x[-1] and up in y[-1]
+            if x[0] < y[0] and opposed and x[6] == y[6]:
+                want.add((x[0], y[0], next(p for p in x[3] if p in y[3])) if set(x[3]) & set(y[3]) else None)
+    for cell in (5, 10_000):
+        got = [tuple(r) for r in landscape.conflicts(df, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want - {None}
+    keyed = df.selectExpr("paper_id", "1 AS kp", "1 AS kf", "1 AS km", "IF(paper_id % 2 = 0, 1, -1) AS sign")
+    a, b = landscape.on_grid(keyed, 5)
+    met = a.join(b, ["kp", "kf", "km", "_r", "_c"]).groupBy("_r", "_c").count().collect()
+    assert len(met) == 64 and sum(r["count"] for r in met) == 1600
+    assert all(x.count() == 0 for x in landscape.on_grid(keyed.where("sign = 1"), 5))
+
+
 def test_normalisers(spark):
     vals = ["Proposed model", "BERT models", "public datasets", "ImageNet dataset", "we propose this", "GPU Latency", "a", "Other thing", "42"]
     df = spark.createDataFrame([(x,) for x in vals], "v string")

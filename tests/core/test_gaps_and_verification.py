@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -339,3 +340,39 @@ def test_concepts_are_found_once_a_wording(spark):
     assert {r.paper_id for r in met.collect()} == set(range(1, 20, 2))
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def _greedy(rows, threshold):
+    """What stays, by a loop over the order of priority."""
+    out = {}
+    for group in {r["pattern_type"] for r in rows}:
+        kept = []
+        mine = [r for r in rows if r["pattern_type"] == group and (len(r["keys"]) <= 1 or r["idea_anchor_score"] > 0)]
+        for place, r in enumerate(sorted(mine, key=lambda r: (-r["idea_anchor_score"], -len(r["keys"]), r["candidate_id"])), 1):
+            keys = set(r["keys"])
+            if not any(keys and k and ((keys < k and m >= r["n_anchored"]) or len(keys & k) / len(keys | k) >= threshold) for k, m in kept):
+                kept.append((keys, r["n_anchored"]))
+                out[r["candidate_id"]] = place
+    return out
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.75), (2, 0.75), (3, 0.5)])
+def test_pruning_in_rounds_equals_a_loop(spark, seed, threshold):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(250):
+        keys = rng.sample([f"d={c}" for c in "abcdefghijkl"], rng.choice([0, 1, 2, 2, 3, 3, 4, 5]))
+        rows.append({"candidate_id": f"c{i:03d}", "category": "x", "pattern_type": f"p{i % 2}", "keys": keys, "idea_anchor_score": rng.choice([0.0, 0.5, 1.0]), "n_anchored": rng.randint(0, 2)})
+    schema = "candidate_id string, category string, pattern_type string, keys array<string>, idea_anchor_score double, n_anchored int"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0) for c in ("idea_specificity", "n_generic", "specificity", "n_support")})
+    assert {r.candidate_id: r.place for r in gaps.prune(df, threshold).collect()} == _greedy(rows, threshold)
+    assert gaps.prune(df.limit(0)).count() == 0
+
+
+def test_pruning_meets_candidates_by_rare_keys(spark):
+    """All share one key; what each meets besides it is its own neighbour, so links do not grow with the square."""
+    rows = [(f"c{i:04d}", ["all", f"own{i // 2}", f"more{i // 2}"], i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "candidate_id string, keys array<string>, i int")
+    ranked = df.select(F.col("i").cast("long").alias("c"), F.lit("g").alias("grp"), F.col("i").alias("place"), "keys", F.lit(0).alias("m"))
+    links = gaps._dominance(ranked, 0.75)
+    assert links.count() == 1000

@@ -159,3 +159,49 @@ def test_a_title_of_many_works_takes_seconds():
     started = time.monotonic()
     assert len(set(resolution.decide_block(rows, set()).values())) == n
     assert time.monotonic() - started < 20
+
+
+BLOCK = "block long, ord long, root long, title_year string, dois array<string>, authors array<string>"
+
+
+def _blocks(seed, n=260):
+    """Three blocks of clusters that share titles, some over several titles, some without a DOI; and near titles within a block."""
+    rng = random.Random(seed)
+    names = ["Ann Lee", "Bo Lee", "Ann Ray", "Cy Moss", "Di Fox", "A. Ray", "Ed Gray", "Flo Hay", "Gus Ives", "Hal Jay"]
+    rows, roots = [], {}
+    for i in range(n):
+        block = rng.randrange(3)
+        mine = [r for r in roots if roots[r][0] == block]
+        root = rng.choice(mine) if mine and rng.random() < 0.3 else i
+        title = None if rng.random() < 0.05 else f"t{block}{rng.randrange(3)}|2020"
+        own = roots.setdefault(root, (block, f"10.1/{root}" if rng.random() < 0.6 else None))[1]
+        rows.append((block, i, root, title, [own] if own and rng.random() < 0.8 else [], rng.sample(names, rng.choice([0, 1, 1, 2, 2, 3]))))
+    at = [r[0] for r in rows]
+    near = {(a, b) for a, b in (sorted(rng.sample(range(n), 2)) for _ in range(25)) if at[a] == at[b]}
+    return rows, near
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_blocks_are_decided_as_whole_ones(spark, seed):
+    rows, near = _blocks(seed)
+    df, links = spark.createDataFrame(rows, BLOCK), spark.createDataFrame(sorted(near), "left long, right long")
+    want = {}
+    for block in range(3):
+        mine = pd.DataFrame([r[1:] for r in rows if r[0] == block], columns=["ord", "root", "title_year", "dois", "authors"])
+        want |= resolution.decide_block(mine, {p for p in near if rows[p[0]][0] == block})
+    for large in (0, 10_000):
+        assert {r.ord: r.root for r in resolution.decide(df, links, large).collect()} == want
+
+
+def test_a_title_of_many_works_is_decided_in_many_parts(spark):
+    """5,000 works of one title, five with the same first author; and as many records that only repeat a title."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(0, i, i, "t|2020", [f"10.1/{i}"], [f"x{name(i % 4995)} y{name(i % 4995)}"]) for i in range(5000)]
+    df, none = spark.createDataFrame(rows, BLOCK), spark.createDataFrame([], "left long, right long")
+    parts = resolution.split_blocks(df, none).groupBy("part").count()
+    assert parts.count() == 4995 and parts.agg({"count": "max"}).first()[0] == 2
+    bare = spark.createDataFrame([(0, 5000 + i, 5000 + i, "t|2020", [], []) for i in range(5000)], BLOCK)
+    kept, again = resolution._folded(df.unionByName(bare), none)
+    assert again.count() == 4999 and kept.count() == 5001
+    got = {r.ord: r.root for r in resolution.decide(df.unionByName(bare), none).collect()}
+    assert len(got) == 10_000 and len(set(got.values())) == 4995 and {got[5000 + i] for i in range(5000)} == {0}
