@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.session import ship
-from siltstone.sources.staging import Staged, shared_dir
+from siltstone.sources.staging import Staged, read, shared_dir
 
 __all__ = ["Staged", "shared_dir", "stage", "table", "small", "fresh", "bounded_batches", "map_arrow", "split_words", "folded_words"]
 
@@ -26,7 +26,7 @@ SPACE_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
