@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import shipped
+from siltstone.sources.staging import Staged
 
 #: Rows (a paper's value each) that a bucket aims at, and papers to a word of a bitmap.
 BUCKET = 1 << 18
@@ -94,9 +96,14 @@ class Bucket:
 def _counts(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     """The combinations of one bucket."""
     paper = table["paper_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-    values = table.select(["i", "dimension", "value"]).group_by(["i", "dimension", "value"]).aggregate([]).sort_by([("i", "ascending"), ("value", "ascending")])
-    places = {key: n for n, key in enumerate(zip(values["i"].to_pylist(), values["value"].to_pylist()))}
-    code = np.fromiter((places[key] for key in zip(table["i"].to_pylist(), table["value"].to_pylist())), np.int64, len(table))
+    # Values are numbered in the order of their dimensions' places.
+    named = pc.binary_join_element_wise(table["i"].cast(pa.string()), table["value"], "|").combine_chunks().dictionary_encode()
+    found, first = np.unique(named.indices.to_numpy(), return_index=True)
+    values = table.take(pa.array(first))
+    order = pc.sort_indices(values, [("i", "ascending"), ("value", "ascending")])
+    number = np.empty(len(found), np.int64)
+    number[found[order.to_numpy()]] = np.arange(len(found))
+    values, code = values.take(order), number[named.indices.to_numpy()]
     names = [values[c].combine_chunks() for c in ("dimension", "value")]
     held, n = [], 0
 
@@ -142,6 +149,7 @@ def together(rows: DataFrame, place: Column, size: int, bucket: int = BUCKET) ->
 
     rows: paper_id, dimension, value, each once. Combinations that no paper holds have no row.
     """
+    rows = Staged(rows.select("paper_id", "dimension", "value"), "held").df
     buckets = max(1, -(-rows.count() // bucket))
     dealt = shipped(rows).select("paper_id", place.cast("int").alias("i"), "dimension", "value", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).alias("_b"))
     streams = dealt.repartition("_b").sortWithinPartitions("_b")

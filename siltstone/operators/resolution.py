@@ -25,7 +25,7 @@ from siltstone.sources.staging import Staged
 
 MIN_WORDS, MIN_JACCARD, MIN_RATIO = 5, 0.9, 0.96
 #: Records of a block from which it is split.
-LARGE = 1_000
+LARGE = 10_000
 
 
 def _keys(papers: DataFrame) -> DataFrame:

@@ -41,6 +41,23 @@ def clear(spark: SparkSession) -> None:
     remove(spark, own_dir(spark))
 
 
+#: Bytes of a file for each task that reads it, where it would have fewer tasks than there are cores.
+SPREAD_BYTES = 1 << 20
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at path. One whose row groups are fewer than cores is dealt anew, so that what follows uses all of them.
+
+    Only tables that a few splits hold are, so at most so many splits are shuffled; columns and filters are still pushed to the scan.
+    """
+    df = ship(spark).read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    wanted = min(cores, size // SPREAD_BYTES)
+    return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() <= wanted // 2 else df
+
+
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """df, of about `rows` rows, in as many partitions as give each of them that many rows; never in more than it has by default.
 

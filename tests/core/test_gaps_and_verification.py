@@ -348,7 +348,7 @@ def _greedy(rows, threshold):
     for group in {r["pattern_type"] for r in rows}:
         kept = []
         mine = [r for r in rows if r["pattern_type"] == group and (len(r["keys"]) <= 1 or r["idea_anchor_score"] > 0)]
-        for place, r in enumerate(sorted(mine, key=lambda r: (-r["idea_anchor_score"], -len(r["keys"]), r["candidate_id"])), 1):
+        for place, r in enumerate(sorted(mine, key=lambda r: (-r["idea_anchor_score"], -len(r["keys"]), -r["n_anchored"], r["candidate_id"])), 1):
             keys = set(r["keys"])
             if not any(keys and k and ((keys < k and m >= r["n_anchored"]) or len(keys & k) / len(keys | k) >= threshold) for k, m in kept):
                 kept.append((keys, r["n_anchored"]))
@@ -360,7 +360,7 @@ def _greedy(rows, threshold):
 def test_pruning_in_rounds_equals_a_loop(spark, seed, threshold):
     rng = random.Random(seed)
     rows = []
-    for i in range(250):
+    for i in range(150):
         keys = rng.sample([f"d={c}" for c in "abcdefghijkl"], rng.choice([0, 1, 2, 2, 3, 3, 4, 5]))
         rows.append({"candidate_id": f"c{i:03d}", "category": "x", "pattern_type": f"p{i % 2}", "keys": keys, "idea_anchor_score": rng.choice([0.0, 0.5, 1.0]), "n_anchored": rng.randint(0, 2)})
     schema = "candidate_id string, category string, pattern_type string, keys array<string>, idea_anchor_score double, n_anchored int"

@@ -203,5 +203,5 @@ def test_a_title_of_many_works_is_decided_in_many_parts(spark):
     bare = spark.createDataFrame([(0, 5000 + i, 5000 + i, "t|2020", [], []) for i in range(5000)], BLOCK)
     kept, again = resolution._folded(df.unionByName(bare), none)
     assert again.count() == 4999 and kept.count() == 5001
-    got = {r.ord: r.root for r in resolution.decide(df.unionByName(bare), none).collect()}
+    got = {r.ord: r.root for r in resolution.decide(df.unionByName(bare), none, 1_000).collect()}
     assert len(got) == 10_000 and len(set(got.values())) == 4995 and {got[5000 + i] for i in range(5000)} == {0}
