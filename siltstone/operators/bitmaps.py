@@ -1,6 +1,9 @@
-"""How often values occur together, counted on bitmaps of papers.
+"""How often values occur together, counted in arrays or on bitmaps of papers.
 
-Papers fall into buckets by a hash. In a bucket a value that many papers hold is a row of bits, one a paper; a value that few hold is a list of papers.
+Where the values are so few that all combinations which could occur fit an array (CELLS), each task counts its papers' combinations there: a paper's
+combinations are made as numbers, a slice of them at a time, and a task sends on the blocks of its array that it used, whatever number of papers it read.
+
+Else papers fall into buckets by a hash. In a bucket a value that many papers hold is a row of bits, one a paper; a value that few hold is a list of papers.
 Combinations grow a dimension at a time: by AND and a count of bits against the rows, by the papers' own lists against the rest, and a combination
 that no paper of the bucket holds is not grown further. A paper's combinations are thus never written out, only how many of the bucket hold each;
 buckets add up in a shuffle of those counts.
@@ -9,11 +12,13 @@ buckets add up in a shuffle of those counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import prod
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from siltstone.session import shipped
@@ -24,6 +29,10 @@ BUCKET = 1 << 18
 WORD = 64
 #: Counts sent on together.
 ROWS = 20_000
+#: Counters of a task, of 4 bytes each; values that a task knows by name; and counters sent on together.
+CELLS, VALUES, BLOCK = 1 << 25, 50_000, 1 << 11
+#: Combinations that a task makes at a time.
+SLICE = 1 << 20
 
 
 class Bucket:
@@ -144,14 +153,146 @@ def _counter(size: int):
     return run
 
 
+class Cells:
+    """Counters of all combinations of one code each of `size` dimensions. dim: the dimension of each code, ascending."""
+
+    def __init__(self, dim: np.ndarray, size: int):
+        self.size, self.radix = size, np.bincount(dim).tolist()
+        self.specs = [s for s in combinations(range(len(self.radix)), size) if all(self.radix[d] for d in s)]
+        sizes = [prod(self.radix[d] for d in s) for s in self.specs]
+        self.offset = dict(zip(self.specs, np.cumsum([0, *sizes]).tolist()))
+        self.n = sum(sizes)
+        self.dim, self.first = dim, np.searchsorted(dim, np.arange(len(self.radix) + 1))
+
+    def count(self, counters: np.ndarray, code: np.ndarray, ends: np.ndarray) -> None:
+        """Adds the papers: code is ascending within a paper, whose codes stand between two ends."""
+        papers = len(ends) - 1
+        if not papers:
+            return
+        slot = np.repeat(np.arange(papers), np.diff(ends)) * len(self.radix) + self.dim[code]
+        held = np.bincount(slot, minlength=papers * len(self.radix))
+        start = (np.cumsum(held) - held).reshape(papers, -1)
+        held = held.reshape(papers, -1)
+        local = code - self.first[self.dim[code]]
+        self._grown(counters, (), np.arange(papers), np.zeros(papers, np.int64), np.ascontiguousarray(start.T), np.ascontiguousarray(held.T), local)
+
+    def _grown(self, counters, dims, paper, key, start, held, local) -> None:
+        last = len(dims) == self.size - 1
+        for d in range(dims[-1] + 1 if dims else 0, len(self.radix) - (self.size - len(dims) - 1)):
+            if not self.radix[d]:
+                continue
+            n, at = held[d][paper], start[d][paper]
+            total = np.cumsum(n)
+            x = 0
+            while x < len(n):
+                done = int(total[x - 1]) if x else 0
+                y = max(x + 1, int(np.searchsorted(total, done + SLICE, side="right")))
+                k = n[x:y]
+                many = int(total[y - 1]) - done
+                if many:
+                    grown = np.repeat(key[x:y] * self.radix[d], k) + local[np.arange(many) + np.repeat(at[x:y] - (total[x:y] - done - k), k)]
+                    if last:
+                        np.add.at(counters, grown + self.offset[(*dims, d)], counters.dtype.type(1))
+                    else:
+                        self._grown(counters, (*dims, d), np.repeat(paper[x:y], k), grown, start, held, local)
+                x = y
+
+    def codes(self, cell: np.ndarray) -> np.ndarray:
+        """The codes of each cell, a row a cell. cell: ascending."""
+        out = np.empty((len(cell), self.size), np.int64)
+        starts = [self.offset[s] for s in self.specs]
+        cuts = np.searchsorted(cell, [*starts, self.n])
+        for s, low, x, y in zip(self.specs, starts, cuts, cuts[1:]):
+            rest = cell[x:y] - low
+            for j in range(self.size - 1, -1, -1):
+                rest, local = np.divmod(rest, self.radix[s[j]])
+                out[x:y, j] = self.first[s[j]] + local
+        return out
+
+
+def _array_counter(cells: Cells, names: pa.Array):
+    """names: place, dimension and value of each code, joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(-(-cells.n // BLOCK) * BLOCK, np.uint32)
+        for batch in batches:
+            held = batch.column("held")
+            code = pc.index_in(_named(held.flatten()), names).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(held).to_numpy(zero_copy_only=False)
+            code = code[np.lexsort((code, np.repeat(np.arange(len(size)), size)))]
+            cells.count(counters, code, np.concatenate([[0], np.cumsum(size)]))
+        blocks = counters.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for x in range(0, len(used), 256):
+            some = used[x : x + 256]
+            yield pa.record_batch({"block": pa.array(some, pa.int64()), "n": pa.array([blocks[b].tobytes() for b in some], pa.binary())})
+
+    return run
+
+
+def _named(held: pa.StructArray) -> pa.Array:
+    return pc.binary_join_element_wise(held.field("i").cast(pa.string()), held.field("dimension"), held.field("value"), "|")
+
+
+def _adder(cells: Cells, dimension: list[str], value: list[str]):
+    """The sums of the blocks, which come in their order, with the names of what they count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [pa.array(dimension, pa.string()), pa.array(value, pa.string())]
+        open_, total = None, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            found = np.flatnonzero(total)
+            for x in range(0, len(found), ROWS):
+                some = found[x : x + ROWS]
+                flat = pa.array(cells.codes(open_ * BLOCK + some).reshape(-1))
+                entries = pa.StructArray.from_arrays([c.take(flat) for c in names], ["dimension", "value"])
+                dims = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * cells.size), entries)
+                yield pa.record_batch({"dims": dims, "count": pa.array(total[some], pa.int64())})
+
+        for batch in batches:
+            for b, n in zip(batch.column("block").to_pylist(), batch.column("n")):
+                if b != open_:
+                    if total is not None:
+                        yield from sent()
+                    open_, total = b, np.zeros(BLOCK, np.int64)
+                total += np.frombuffer(n.as_buffer(), np.uint32)
+        if total is not None:
+            yield from sent()
+
+    return run
+
+
 def together(rows: DataFrame, place: Column, size: int, bucket: int = BUCKET) -> DataFrame:
     """dims (array of dimension and value, in the order of place), count: papers that hold each combination of `size` values of different dimensions.
 
     rows: paper_id, dimension, value, each once. Combinations that no paper holds have no row.
     """
-    rows = Staged(rows.select("paper_id", "dimension", "value"), "held").df
+    entry = F.struct(place.cast("int").alias("i"), "dimension", "value")
+    held = Staged(rows.groupBy("paper_id").agg(F.collect_list(entry).alias("held")), "held").df
+    each = held.select("paper_id", F.inline("held"))
+    values = each.select("i", "dimension", "value").distinct().limit(VALUES + 1).collect()
+    if len(values) <= VALUES:
+        values = sorted(values)
+        cells = Cells(np.unique([v.i for v in values], return_inverse=True)[1], size)
+        if cells.n <= CELLS:
+            return _by_arrays(held, values, cells)
+    return _by_bitmaps(each, size, bucket)
+
+
+def _by_arrays(held: DataFrame, values: list[Row], cells: Cells) -> DataFrame:
+    spark = held.sparkSession
+    dimension, value = [v.dimension for v in values], [v.value for v in values]
+    names = pa.array([f"{v.i}|{v.dimension}|{v.value}" for v in values], pa.string())
+    # A task sends its array on once, so there are no more of them than cores.
+    dealt = shipped(held).select("held").coalesce(spark.sparkContext.defaultParallelism)
+    counted = dealt.mapInArrow(_array_counter(cells, names), "block long, n binary")
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(_adder(cells, dimension, value), "dims array<struct<dimension:string,value:string>>, count long")
+
+
+def _by_bitmaps(rows: DataFrame, size: int, bucket: int) -> DataFrame:
     buckets = max(1, -(-rows.count() // bucket))
-    dealt = shipped(rows).select("paper_id", place.cast("int").alias("i"), "dimension", "value", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).alias("_b"))
+    dealt = shipped(rows).select("paper_id", "i", "dimension", "value", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).alias("_b"))
     streams = dealt.repartition("_b").sortWithinPartitions("_b")
     counted = streams.mapInArrow(_counter(size), "dims array<struct<dimension:string,value:string>>, n long")
     return counted.groupBy("dims").agg(F.sum("n").alias("count"))

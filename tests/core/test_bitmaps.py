@@ -2,6 +2,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,42 @@ def test_combinations_of_values(spark, monkeypatch, bucket):
         assert {tuple((d.dimension, d.value) for d in r.dims): r["count"] for r in got} == want
     papers = rows.select("paper_id", F.lit("empirical").alias("study_type")).distinct()
     assert landscape.combos(rows.limit(0), papers, 2).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1 << 20, 1, 13])
+@pytest.mark.parametrize(("seed", "papers", "zipf"), [(0, 40, False), (1, 300, True), (4, 1, False)])
+def test_arrays_equal_brute_force(monkeypatch, seed, papers, zipf, slice_):
+    monkeypatch.setattr(bitmaps, "SLICE", slice_)
+    dims = np.repeat(np.arange(5), [3, 8, 1, 12, 2])
+    a = np.array(held(seed, papers, dims, zipf))
+    for size in (2, 3, 5):
+        cells = bitmaps.Cells(dims, size)
+        counters = np.zeros(cells.n, np.uint32)
+        for some in np.array_split(np.arange(papers), 3):  # papers come in several batches
+            mine = a[np.isin(a[:, 0], some)]
+            cells.count(counters, mine[:, 1], np.searchsorted(mine[:, 0], [*some, some[-1] + 1] if len(some) else [0]))
+        found = np.flatnonzero(counters)
+        assert dict(zip(map(tuple, cells.codes(found).tolist()), counters[found].tolist())) == brute(a.tolist(), dims, size)
+
+
+def test_what_a_task_sends_does_not_grow_with_its_papers():
+    cells = bitmaps.Cells(np.repeat(np.arange(3), 4), 2)
+    entry = pa.struct([("i", pa.int32()), ("dimension", pa.string()), ("value", pa.string())])
+    rng = np.random.default_rng(0)
+    one = lambda d: {"i": d, "dimension": f"d{d}", "value": f"v{rng.integers(0, 4)}"}
+    batch = lambda: pa.record_batch({"held": pa.array([[one(d) for d in range(3)] for _ in range(50)], pa.list_(entry))})
+    names = pa.array([f"{d}|d{d}|v{x}" for d in range(3) for x in range(4)])
+    sent = [list(bitmaps._array_counter(cells, names)(batch() for _ in range(n))) for n in (1, 20)]
+    assert [sum(b.num_rows for b in x) for x in sent] == [1, 1]
+    assert [sum(np.frombuffer(n, np.uint32).sum() for b in x for n in b["n"].to_pylist()) for x in sent] == [150, 3000]
+
+
+def test_values_too_many_for_arrays_are_counted_on_bitmaps(spark, monkeypatch):
+    rows = spark.createDataFrame([(p, d, f"v{(p * (i + 2)) % 7}") for p in range(60) for i, d in enumerate(("problem", "method", "dataset"))], "paper_id int, dimension string, value string")
+    place = F.element_at(F.create_map(F.lit("problem"), F.lit(0), F.lit("method"), F.lit(1), F.lit("dataset"), F.lit(2)), F.col("dimension"))
+    got = lambda: sorted(map(str, bitmaps.together(rows, place, 3).collect()))
+    by_arrays = got()
+    for name in ("VALUES", "CELLS"):
+        with monkeypatch.context() as m:
+            m.setattr(bitmaps, name, 3)
+            assert got() == by_arrays
