@@ -64,15 +64,16 @@ def total(papers: DataFrame) -> DataFrame:
     return papers.agg(F.count(F.lit(1)).alias("total"))
 
 
-def members(features: DataFrame) -> DataFrame:
+def members(features: DataFrame, once: bool = False) -> DataFrame:
     """dimension, value, paper_id, ord: which papers hold a value, as a long table. A value may be held by a third of all papers, so
-    no operator gathers them into one row."""
-    return usable(features).select("dimension", "value", "paper_id", "ord").distinct()
+    no operator gathers them into one row. once: features have no row twice, so that they need not be shuffled to sort such out."""
+    rows = usable(features).select("dimension", "value", "paper_id", "ord")
+    return rows if once else rows.distinct()
 
 
-def frequencies(features: DataFrame, papers: DataFrame) -> DataFrame:
-    """dimension, value, count, prevalence: distinct papers of each value; the denominator is all papers. See members for which."""
-    counted = members(features).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"))
+def frequencies(features: DataFrame, papers: DataFrame, once: bool = False) -> DataFrame:
+    """dimension, value, count, prevalence: distinct papers of each value; the denominator is all papers. See members for which, and for once."""
+    counted = members(features, once).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"))
     out = counted.join(F.broadcast(total(papers)))
     return out.select("dimension", "value", "count", (F.col("count") / F.col("total")).alias("prevalence"))
 
@@ -97,18 +98,19 @@ def joint_tuples(values: Column, size: int) -> Column:
     return F.transform(out, lambda p: p["dims"])
 
 
-def combos(features: DataFrame, papers: DataFrame, size: int) -> DataFrame:
+def combos(features: DataFrame, papers: DataFrame, size: int, once: bool = False) -> DataFrame:
     """dims (array of dimension=value in dimension order), count, prevalence: papers that hold all values together.
 
-    Counted on bitmaps of papers, so only combinations that occur are made, and not once a paper;
-    reviews and surveys take no part, but stay in the denominator.
+    Counted in arrays or on bitmaps of papers, so only combinations that occur are made, and none is a row for each paper;
+    reviews and surveys take no part, but stay in the denominator. once: see members.
     """
     if not 2 <= size <= 5:
         raise ValueError("size must lie between 2 and 5")
     place = F.create_map(*[x for i, d in enumerate(COMBINED) for x in (F.lit(d), F.lit(i))])
     kept = papers.where(F.col("study_type").isin(*EMPIRICAL)).select("paper_id")
     rows = usable(features).where(F.col("dimension").isin(*COMBINED)).join(kept, "paper_id", "left_semi")
-    counted = bitmaps.together(rows.select("paper_id", "dimension", "value").distinct(), F.element_at(place, F.col("dimension")), size)
+    rows = rows.select("paper_id", "dimension", "value")
+    counted = bitmaps.together(rows if once else rows.distinct(), F.element_at(place, F.col("dimension")), size)
     return counted.join(F.broadcast(total(papers))).select("dims", "count", (F.col("count") / F.col("total")).alias("prevalence"))
 
 

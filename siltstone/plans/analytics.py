@@ -9,7 +9,7 @@ from siltstone.plans.views import FEATURES, feature_papers, features, load
 
 
 def feature_frequency(spark, sf_dir):
-    out = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir))
+    out = landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir), once=True)
     return out.select("dimension", "value", "count", F.round("prevalence", 9).alias("prevalence"))
 
 
@@ -18,7 +18,7 @@ SELECT dimension, value, count(*) AS count, round(count(*) / any_value(n), 9) AS
 
 
 def feature_members(spark, sf_dir):
-    return landscape.members(features(spark, sf_dir)).select("dimension", "value", "paper_id")
+    return landscape.members(features(spark, sf_dir), once=True).select("dimension", "value", "paper_id")
 
 
 MEMBERS = f"WITH {FEATURES} SELECT dimension, value, paper_id FROM features"
@@ -26,7 +26,7 @@ MEMBERS = f"WITH {FEATURES} SELECT dimension, value, paper_id FROM features"
 
 def _combos(size):
     def query(spark, sf_dir):
-        out = landscape.combos(features(spark, sf_dir), feature_papers(spark, sf_dir), size)
+        out = landscape.combos(features(spark, sf_dir), feature_papers(spark, sf_dir), size, once=True)
         names = F.concat_ws("&", F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], d["value"])))
         return out.select(names.alias("dims"), "count", F.round("prevalence", 9).alias("prevalence"))
 
@@ -99,7 +99,7 @@ WHERE (a.pos AND b.neg) OR (a.neg AND b.pos)"""
 
 
 def top_values(spark, sf_dir):
-    out = landscape.top_values(landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir)), 5)
+    out = landscape.top_values(landscape.frequencies(features(spark, sf_dir), feature_papers(spark, sf_dir), once=True), 5)
     return out.select("dimension", "value", "count", "rank")
 
 

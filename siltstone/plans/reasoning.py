@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import features as f
 from siltstone.functions import text as t
 from siltstone.operators import documents, evaluation, evidence, gaps, landscape, resolution, verification
-from siltstone.plans.views import FEATURES, LINES, PAPERS, feature_papers, features, fold_sql, line_features, load, papers
+from siltstone.plans.views import FEATURES, LINES, PAPERS, feature_papers, features, fold_sql, line_features, load, papers, staged_lines
 from siltstone.sources import caches, works
 from siltstone.sources.staging import Staged
 
@@ -188,7 +188,7 @@ def _terms(spark):
 
 def _anchored(spark, sf_dir, rows: DataFrame | None = None):
     rows = rows if rows is not None else line_features(spark, sf_dir)
-    freq = landscape.frequencies(rows, rows.select("paper_id").distinct())
+    freq = landscape.frequencies(rows, rows.select("paper_id").distinct(), once=True)
     return gaps.idea_anchor(freq, _idea(spark), _terms(spark))
 
 
@@ -204,8 +204,8 @@ ANCHORS = f"WITH {_TOP} SELECT dimension, value, count, anchored FROM top"
 
 def unobserved_combinations(spark, sf_dir):
     """Five values down to two that no order line holds together, in dimensions that the idea names values of, one of them a value it names."""
-    lines = Staged(line_features(spark, sf_dir), "lines").df
-    freq = landscape.frequencies(lines, lines.select("paper_id").distinct())
+    lines = staged_lines(spark, sf_dir)
+    freq = landscape.frequencies(lines, lines.select("paper_id").distinct(), once=True)
     top = Staged(gaps.top_values(gaps.idea_anchor(freq, _idea(spark), _terms(spark))).select("dimension", "value", "count", "anchored"), "top").df
     held = Staged(gaps.held_values(top, lines), "held").df
     out = reduce(DataFrame.unionByName, [gaps.unobserved(top, held, n) for n in (5, 4, 3, 2)])
@@ -249,11 +249,12 @@ def _compared_brands(spark) -> DataFrame:
 def missing_comparison_pairs(spark, sf_dir):
     """Families of two orders each that the idea compares and no order does; the dearest orders are those that speak of comparing."""
     rows = Staged(features(spark, sf_dir), "features").df
-    freq = landscape.frequencies(rows, feature_papers(spark, sf_dir))
-    dear = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_totalprice") > 499_000).alias("dear"))
+    freq = landscape.frequencies(rows, feature_papers(spark, sf_dir), once=True)
+    dear = load(spark, sf_dir, "orders").where("o_totalprice > 499000").select(F.col("o_orderkey").alias("paper_id"), F.lit(True).alias("dear")).distinct()
     said = F.when(F.col("dear"), "compared with others").otherwise("alone")
-    claims = _claims(spark, sf_dir, rows).join(dear, "paper_id").withColumn("evidence_text", said)
-    return gaps.missing_comparisons(freq, gaps.observed_pairs(claims), gaps.justified_pairs(claims, _compared_brands(spark)))
+    claims = _claims(spark, sf_dir, rows).join(verification._small(dear, 500_000), "paper_id", "left").withColumn("evidence_text", said)
+    of = Staged(gaps.sides(claims), "sides").df
+    return gaps.missing_comparisons(freq, gaps.observed_pairs(claims, of), gaps.justified_pairs(claims, _compared_brands(spark), of))
 
 
 MISSING_PAIRS = f"""WITH {FEATURES}, fam AS (SELECT regexp_replace(lower(value), '#', ' ') AS k, count(*) AS n FROM features WHERE dimension = 'method_family' GROUP BY 1 HAVING count(*) >= 2),
@@ -353,8 +354,8 @@ SELECT idea_id, paper_id, n AS n_covered, CASE WHEN papers < 2 OR g IS NULL THEN
 
 def _landscape(spark, sf_dir):
     """Order lines as papers: features, claims, members and frequencies, each written once."""
-    lines = Staged(line_features(spark, sf_dir), "lines").df
-    return lines, _claims(spark, sf_dir, lines), landscape.members(lines), Staged(landscape.frequencies(lines, lines.select("paper_id").distinct()), "frequencies").df
+    lines = staged_lines(spark, sf_dir)
+    return lines, _claims(spark, sf_dir, lines), landscape.members(lines, once=True), Staged(landscape.frequencies(lines, lines.select("paper_id").distinct(), once=True), "frequencies").df
 
 
 def gap_candidates(spark, sf_dir):
@@ -401,7 +402,7 @@ def verification_labels(spark, sf_dir):
 
 def topic_lines(spark, sf_dir):
     """Order lines whose claims are about an idea, by its problem, methods or modality."""
-    lines = Staged(line_features(spark, sf_dir), "lines").df
+    lines = staged_lines(spark, sf_dir)
     topic = spark.createDataFrame([("problem", "2 high"), ("intervention_or_method", "the other method of Brand 13"), ("data_or_modality", "economy brushed tin"), ("constraints", "R")], "facet string, value string")
     return verification.topic_papers(topic, _claims(spark, sf_dir, lines))
 
@@ -415,7 +416,7 @@ SELECT DISTINCT paper_id FROM c JOIN m USING (field, value, said)"""
 
 def observed_candidates(spark, sf_dir):
     """Order lines that hold a frequent pair (problem, family) in the proper fields: candidates that are no gaps."""
-    lines = Staged(line_features(spark, sf_dir), "lines").df
+    lines = staged_lines(spark, sf_dir)
     top = Staged(gaps.top_values(_anchored(spark, sf_dir, lines)), "top").df
     a = top.where("dimension = 'problem'").select(F.col("value").alias("x"))
     b = top.where("dimension = 'method_family'").select(F.col("value").alias("y"))

@@ -41,7 +41,7 @@ def landscape_report(spark, sf_dir):
     """Ten commonest values of each dimension; ten pairs that two papers or more hold, and ten that one does."""
     rows = Staged(features(spark, sf_dir), "features").df
     p = feature_papers(spark, sf_dir)
-    out = landscape.report(landscape.frequencies(rows, p), landscape.combos(rows, p, 2))
+    out = landscape.report(landscape.frequencies(rows, p, once=True), landscape.combos(rows, p, 2, once=True))
     return out.select("section", "rank", "name", "count")
 
 

@@ -58,6 +58,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() <= wanted // 2 else df
 
 
+#: Bytes of a file for each partition of rows made of it, which grow to several times that once they are decoded.
+PART_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, by: str, path: str) -> DataFrame:
+    """df, made of the rows of the table at path, shuffled by a column into partitions whose number grows with the table.
+
+    What groups, counts or sorts out the rows of one `by` then needs no other shuffle, and holds a bounded part in memory.
+    """
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(max(1 + min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES), size // PART_BYTES), by)
+
+
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """df, of about `rows` rows, in as many partitions as give each of them that many rows; never in more than it has by default.
 
