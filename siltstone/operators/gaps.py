@@ -23,6 +23,8 @@ from siltstone.operators.landscape import COMBINED, joint_tuples
 from siltstone.session import shipped
 from siltstone.sources.staging import Staged
 
+#: Values that may be broadcast.
+MANY = 50_000
 MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
 #: Combined dimensions without the raw method, which the family stands for.
 COMPARED = tuple(d for d in COMBINED if d != "method")
@@ -168,37 +170,53 @@ def combination_candidates(anchored: DataFrame, features: DataFrame, limit: int
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def observed_pairs(claims: DataFrame) -> DataFrame:
-    """a, b (a < b): families compared in a paper: its methods with its baselines, and its methods among each other where it speaks of comparing."""
-    rows = claims.where(F.col("dimension").isin("method_family", "baseline") & f.concrete_entity(F.col("value")))
-    rows = rows.select("paper_id", "dimension", f.method(F.col("value")).alias("v")).where("v != ''").distinct()
-    m, b = rows.where("dimension = 'method_family'"), rows.where("dimension = 'baseline'")
-    cross = m.select("paper_id", F.col("v").alias("x")).join(b.select("paper_id", F.col("v").alias("y")), "paper_id")
-    spoken = claims.where((F.col("dimension") == "baseline") & F.concat_ws(" ", "value", "evidence_text").rlike(COMPARISON_WORDS)).select("paper_id").distinct()
-    among = m.join(spoken, "paper_id", "left_semi")
-    own = among.select("paper_id", F.col("v").alias("x")).join(among.select("paper_id", F.col("v").alias("y")), "paper_id")
-    pair = cross.unionByName(own).where("x != y")
+def sides(claims: DataFrame) -> DataFrame:
+    """paper_id, methods, baselines (the families that its claims on either name, as arrays), spoken: whether a claim on baselines speaks of comparing.
+
+    A value is looked at once, however many claims name it, and claims are shuffled once.
+    """
+    rows = claims.where(F.col("dimension").isin("method_family", "baseline") & F.col("paper_id").isNotNull())
+    spoken = (F.col("dimension") == "baseline") & F.concat_ws(" ", "value", "evidence_text").rlike(COMPARISON_WORDS)
+    rows = rows.select("paper_id", "dimension", "value", spoken.alias("spoken"))
+    values = Staged(rows.select("value").distinct(), "values").df.where(f.concrete_entity(F.col("value"))).select("value", f.method(F.col("value")).alias("v")).where("v != ''")
+    values = Staged(values, "families").df
+    named = rows.join(F.broadcast(values) if values.limit(MANY + 1).count() <= MANY else values, "value", "left")
+    of = lambda d: F.collect_set(F.when(F.col("dimension") == d, F.col("v")))
+    return named.groupBy("paper_id").agg(of("method_family").alias("methods"), of("baseline").alias("baselines"), F.max("spoken").alias("spoken"))
+
+
+def _paired(of: DataFrame, x: str, y: str) -> DataFrame:
+    """a, b (a < b): the pairs of one value of x and one of y (arrays of a row)."""
+    pair = of.select(y, F.explode(x).alias("x")).select("x", F.explode(y).alias("y")).where("x != y")
     return pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def justified_pairs(claims: DataFrame, idea: DataFrame) -> DataFrame:
+def observed_pairs(claims: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b): families compared in a paper: its methods with its baselines, and its methods among each other where it speaks of comparing.
+
+    of: the sides of the claims, where they are at hand.
+    """
+    of = sides(claims) if of is None else of
+    return _paired(of, "methods", "baselines").unionByName(_paired(of.where("spoken").withColumn("others", F.col("methods")), "methods", "others")).distinct()
+
+
+def justified_pairs(claims: DataFrame, idea: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """a, b (a < b): families that there is a positive reason to compare.
 
     Either one comparison that the idea asks for holds the terms of both; or a paper has one among its methods and the other among its baselines; or one
     of its claims on baselines speaks of comparing and holds the terms of both. Pairs come from single claims and papers, never from all families.
+    of: see observed_pairs.
     """
-    solid = claims.where(F.col("dimension").isin("method_family", "baseline") & f.concrete_entity(F.col("value")))
-    rows = solid.select("paper_id", "dimension", f.method(F.col("value")).alias("v")).where("v != ''").distinct()
-    m, b = rows.where("dimension = 'method_family'"), rows.where("dimension = 'baseline'")
-    cross = m.select("paper_id", F.col("v").alias("x")).join(b.select("paper_id", F.col("v").alias("y")), "paper_id").select("x", "y")
+    of = sides(claims) if of is None else of
+    cross = _paired(of, "methods", "baselines")
     asked = idea.where(F.col("dimension").isin("comparison", "baseline")).select(F.col("value").alias("text"))
     spoken = claims.where(F.col("dimension") == "baseline").select(F.concat_ws(" ", "value", "evidence_text").alias("text")).where(F.col("text").rlike(COMPARISON_WORDS))
     texts = asked.unionByName(spoken).distinct().select("text", f.gap_terms(F.col("text")).alias("have"))
-    fam = m.select(F.col("v").alias("fam")).distinct().withColumn("need", f.gap_terms(F.col("fam"))).where(F.size("need") > 0)
+    fam = of.select(F.explode("methods").alias("fam")).distinct().withColumn("need", f.gap_terms(F.col("fam"))).where(F.size("need") > 0)
     named = texts.select("text", "have", F.explode("have").alias("_t")).join(fam.withColumn("_t", F.col("need")[0]), "_t")
-    named = named.where(F.size(F.array_except("need", "have")) == 0).select("text", "fam").distinct()
-    both = named.select("text", F.col("fam").alias("x")).join(named.select("text", F.col("fam").alias("y")), "text").select("x", "y")
-    return cross.unionByName(both).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = Staged(named.where(F.size(F.array_except("need", "have")) == 0).select("text", "fam").distinct(), "named").df
+    both = named.select("text", F.col("fam").alias("x")).join(named.select("text", F.col("fam").alias("y")), "text").where("x != y")
+    return cross.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def missing_comparisons(frequency: DataFrame, observed: DataFrame, justified: DataFrame) -> DataFrame:
@@ -325,7 +343,8 @@ def comparison_builder(claims: DataFrame, members: DataFrame, values: DataFrame,
     anchors_context: paper_id of papers whose problem or setting shares a term with the idea's; where given, each family needs one that holds it.
     """
     n = members.where("dimension = 'baseline'").select("paper_id").distinct().limit(MIN_PAPERS).count()
-    pairs = missing_comparisons(values, observed_pairs(claims), justified_pairs(claims, idea)).where(F.lit(n >= MIN_PAPERS))
+    of = Staged(sides(claims), "sides").df
+    pairs = missing_comparisons(values, observed_pairs(claims, of), justified_pairs(claims, idea, of)).where(F.lit(n >= MIN_PAPERS))
     spelled = values.where("dimension = 'method_family'").select(f.method(F.col("value")).alias("k"), "value")
     if anchors_context is not None:
         near = members.where("dimension = 'method_family'").join(anchors_context, "paper_id", "left_semi").select("value").distinct()
