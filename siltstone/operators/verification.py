@@ -6,6 +6,8 @@ group are rows with one grp; a paper meets a facet if every group is met by some
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +190,8 @@ def _stated(claims: DataFrame, met: DataFrame, *keep: str) -> DataFrame:
     met = met.select(F.col("field").alias("_f"), F.col("value").alias("_v"), F.col("evidence_text").alias("_e"), *keep).distinct()
     met = _small(Staged(met, "met").df)
     same = (F.col("field") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")) & F.col("evidence_text").eqNullSafe(F.col("_e"))
-    return claims.select("paper_id", "field", "value", "evidence_text").join(met, same).select("paper_id", *keep).distinct()
+    # Shuffled by paper, so that what callers sort out or count for each paper needs no shuffle of its own.
+    return claims.select("paper_id", "field", "value", "evidence_text").join(met, same).select("paper_id", *keep).repartition("paper_id").distinct()
 
 
 def group_matches(claims: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -287,7 +290,7 @@ def _basis_met(basis: DataFrame, claims: DataFrame, strict: bool = True) -> Data
         held = said.withColumn("_t", F.explode("have")).join(first, "_t").where(_within("need", "have"))
         met = met.unionByName(held.select("field", "value", "evidence_text", "dimension", "want"))
     stated = _stated(claims, met, "dimension", "want")
-    return want.join(stated, ["dimension", "want"]).select("candidate_id", "paper_id", "dimension", F.col("want").alias("value")).distinct()
+    return stated.join(_small(want), ["dimension", "want"]).select("candidate_id", "paper_id", "dimension", F.col("want").alias("value")).distinct()
 
 
 def _all_met(basis: DataFrame, claims: DataFrame, strict: bool) -> DataFrame:
@@ -295,7 +298,7 @@ def _all_met(basis: DataFrame, claims: DataFrame, strict: bool) -> DataFrame:
     solid = basis.where(f.concrete_entity(F.col("value"))).select("candidate_id", "dimension", "value").distinct()
     asked = solid.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     got = _basis_met(solid, claims, strict).groupBy("candidate_id", "paper_id").agg(F.count(F.lit(1)).alias("k"))
-    return got.join(asked, "candidate_id").where("k = n").select("candidate_id", "paper_id")
+    return got.join(_small(asked), "candidate_id").where("k = n").select("candidate_id", "paper_id")
 
 
 def observed(basis: DataFrame, claims: DataFrame) -> DataFrame:
@@ -379,8 +382,16 @@ def direct_counterexamples(candidates: DataFrame, basis: DataFrame, claims: Data
     none is confirmed; nor are other patterns.
     """
     of = lambda pattern: basis.join(candidates.where(F.col("pattern_type") == pattern).select("candidate_id"), "candidate_id", "left_semi")
-    found = _all_met(of("combination_gap"), claims, False).unionByName(_compared(of("missing_comparison"), claims))
-    found = found.unionByName(_resolved(candidates, basis, claims)).unionByName(_settled(candidates, claims))
+    # Claims are read for the patterns that there are; patterns are a fixed few.
+    there = {r["pattern_type"] for r in candidates.select("pattern_type").distinct().collect()}
+    ways = [
+        (("combination_gap",), lambda: _all_met(of("combination_gap"), claims, False)), (("missing_comparison",), lambda: _compared(of("missing_comparison"), claims)),
+        (RESOLVABLE, lambda: _resolved(candidates, basis, claims)), (("comparable_conflict",), lambda: _settled(candidates, claims)),
+    ]
+    asked = [way() for patterns, way in ways if there.intersection(patterns)]
+    if not asked:
+        return candidates.select("candidate_id").limit(0).crossJoin(topical.select("paper_id"))
+    found = reduce(DataFrame.unionByName, asked)
     return found.join(topical.select("paper_id").distinct(), "paper_id", "left_semi").select("candidate_id", "paper_id").distinct()
 
 
