@@ -25,3 +25,13 @@ def shipped(df: DataFrame) -> DataFrame:
     """df, after ship: for operators about to send Python code."""
     ship(df.sparkSession)
     return df
+
+
+def bounded(spark: SparkSession, rows: int, size: int) -> SparkSession:
+    """spark, whose Arrow batches hold at most that many rows and bytes from here on, or fewer if that was set; no result depends on it."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    return spark
