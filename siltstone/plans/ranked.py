@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as t
-from siltstone.operators import bounds, graph, ranking, retrieval
+from siltstone.functions import vectors as v
+from siltstone.operators import bounds, graph, lexical, ranking, retrieval
 from siltstone.plans.views import PAPERS, fold_sql, load, papers, queries, tokens_sql
 from siltstone.sources.staging import Staged
 
@@ -34,17 +35,14 @@ scored AS (
 )"""
 
 
-def lexical(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    raw = ranking.bm25(p, queries(spark, sf_dir))
-    return ranking.scale_sparse(raw, p.agg(F.count(F.lit(1)).alias("n_docs")), "lexical_raw_score", "lexical_score")
-
-
 def bm25_topk(spark, sf_dir):
     """The 20 best documents of each benchmark passage by BM25, scaled per passage."""
-    order = [F.desc(F.round("lexical_raw_score", 6)), F.asc("id")]
-    top = ranking.top_k(lexical(spark, sf_dir), order, 20)
-    return top.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("lexical_raw_score", 6).alias("raw"), F.round("lexical_score", 6).alias("score"))
+    p = papers(spark, sf_dir)
+    best, spread = lexical.scores(p, queries(spark, sf_dir)).best(20, 6)
+    raw = F.col("lexical_raw_score")
+    top = ranking.top_k(best, [F.desc(F.round(raw, 6)), F.asc("id")], 20).join(F.broadcast(spread), "query_id").join(F.broadcast(p.agg(F.count(F.lit(1)).alias("n_docs"))))
+    low = F.when(F.col("_n") < F.col("n_docs"), F.least(F.lit(0.0), F.col("_lo"))).otherwise(F.col("_lo"))
+    return top.select("query_id", "rank", F.col("id").alias("doc_id"), F.round(raw, 6).alias("raw"), F.round(v.scaled(raw, low, F.col("_hi")), 6).alias("score"))
 
 
 BM25_TOPK = f"""WITH {BM25}
