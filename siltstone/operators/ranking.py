@@ -189,27 +189,28 @@ def cosines(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFra
     return met.select("query_id", "id", value.alias("semantic_raw_score"))
 
 
-def hybrid_topk(vectors: DataFrame, queries: DataFrame, lexical: DataFrame, k: int, lexical_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:
+def hybrid_topk(vectors: DataFrame, queries: DataFrame, lexical, k: int, lexical_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:
     """query_id, rank, id, final_score: the first k of fuse() over all vectors, without a row for each query and vector.
 
-    lexical: query_id, id, lexical_raw_score of the pairs that match; all others score 0. The lowest and the highest cosine of a query come by bounds. Pairs
+    lexical: scores of `lexical.scores`, or query_id, id, lexical_raw_score of the pairs that match; all others score 0. The lowest and the highest cosine of a query come by bounds. Pairs
     without a match share one lexical score, so of these the k with the largest cosine are enough; scores are compared to six digits, then by id.
     """
+    from siltstone.operators import lexical as ways  # noqa: PLC0415 - it reads this module
+
+    lexical = ways.Listed(lexical) if isinstance(lexical, DataFrame) else lexical
     made = bounds.gather(vectors)
     n = int(made.count.sum())
     near, far = bounds.both_ends(made, queries, 2 * k)
     # Extremes are of scores as they are, not as rounded.
     ends = _ends(vectors, queries, near, far)
-    words = lexical.where("lexical_raw_score is not null").join(vectors.select("id"), "id", "left_semi").join(_small(queries.select("query_id"), BROADCAST_TOKENS), "query_id", "left_semi")
-    words = Staged(words.select("query_id", "id", "lexical_raw_score"), "matched").df
-    by = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("lexical_raw_score").alias("_l"), F.max("lexical_raw_score").alias("_h"))
+    words = lexical.within(vectors.select("id"))
+    best, by = words.best(2 * k)
     fewer = F.coalesce("_n", F.lit(0)) < n
-    low = F.when(fewer, F.least(F.lit(0.0), F.coalesce("_l", F.lit(0.0)))).otherwise(F.col("_l"))
-    high = F.when(fewer, F.greatest(F.lit(0.0), F.coalesce("_h", F.lit(0.0)))).otherwise(F.col("_h"))
+    low = F.when(fewer, F.least(F.lit(0.0), F.coalesce(F.col("_lo"), F.lit(0.0)))).otherwise(F.col("_lo"))
+    high = F.when(fewer, F.greatest(F.lit(0.0), F.coalesce(F.col("_hi"), F.lit(0.0)))).otherwise(F.col("_hi"))
     ends = Staged(ends.join(by, "query_id", "left").select("query_id", "lowest", "highest", low.alias("_lo"), high.alias("_hi")), "spreads").df
     ends = _small(ends, BROADCAST_TOKENS)
     lex = v.scaled(F.col("lexical_raw_score"), F.col("_lo"), F.col("_hi"))
-    words = words.join(ends.select("query_id", "_lo", "_hi"), "query_id").select("query_id", "id", "lexical_raw_score", lex.alias("l"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         rows = cosines(vectors, queries, pairs).join(pairs, ["query_id", "id"]).join(ends, "query_id")
@@ -218,13 +219,18 @@ def hybrid_topk(vectors: DataFrame, queries: DataFrame, lexical: DataFrame, k: i
 
     order = [F.desc(F.round("final_score", 6)), F.asc("id")]
     # First the nearest, and the best by words; what these reach is a floor. A pair whose words and a perfect cosine do not reach it is never scored.
-    best = top_k(words, [F.desc("l"), F.asc("id")], 2 * k).select("query_id", "id")
-    pairs = near.select("query_id", "id").unionByName(best).distinct().join(words, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("lexical_raw_score", F.lit(0.0)).alias("lexical_raw_score"))
+    best = Staged(best.join(ends.select("query_id"), "query_id", "left_semi"), "best-words").df
+    pairs = Staged(near.select("query_id", "id").unionByName(best.select("query_id", "id")).distinct(), "first-ids").df
+    pairs = pairs.join(words.of(pairs), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("lexical_raw_score", F.lit(0.0)).alias("lexical_raw_score"))
     first = Staged(top_k(scored(Staged(pairs, "first-pairs").df), order, k).drop("rank"), "first").df
     floor = first.groupBy("query_id").agg(F.min("final_score").alias("_f"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == k).select("query_id", "_f")
-    most = v.fused(F.col("l"), F.lit(1.0), lexical_weight, semantic_weight)
-    rest = words.join(_small(floor, BROADCAST_TOKENS), "query_id", "left").where(F.col("_f").isNull() | (most >= F.col("_f") - 1e-6))
-    rest = rest.join(first.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "lexical_raw_score")
+    # The raw score whose scaled one reaches the floor together with a perfect cosine; scores that are all the same are scaled alike, so all of them may.
+    whole = lexical_weight + semantic_weight
+    least = ((F.col("_f") - 1e-6) * whole - semantic_weight) / (lexical_weight or 1.0)
+    spread = F.col("_hi") - F.col("_lo") > 1e-6 * F.greatest(F.abs("_hi"), F.abs("_lo"))
+    raw = F.when(spread & F.lit(lexical_weight > 0), F.col("_lo") + least * (F.col("_hi") - F.col("_lo")) - 1e-9)
+    floors = Staged(ends.join(floor, "query_id", "left").select("query_id", raw.alias("floor")), "floors").df
+    rest = words.reaching(floors).join(first.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "lexical_raw_score")
     return top_k(first.unionByName(scored(Staged(rest, "rest-pairs").df)), order, k)
 
 

@@ -87,7 +87,7 @@ def hybrid_fusion(spark, sf_dir):
     e = Staged(_vectors(spark, sf_dir).join(p.select("id"), "id", "left_semi"), "vectors").df
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     qv = Staged(q.join(_vectors(spark, sf_dir), F.col("query_id") == F.col("id")).select("query_id", "vector"), "query-vectors").df
-    lex = ranking.bm25(p, queries(spark, sf_dir))
+    lex = lexical.scores(p, queries(spark, sf_dir))
     top = ranking.hybrid_topk(e, qv, lex, 10)
     return top.select("query_id", "rank", "id", F.round("final_score", 5).alias("final_score"))
 
