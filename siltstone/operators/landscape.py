@@ -163,34 +163,40 @@ def conflicts(wide: DataFrame, cell: int = CELL) -> DataFrame:
     for a, k in zip(arrays[:3], KEYS):
         keyed = keyed.withColumn(k, F.explode(a))
     keyed = Staged(keyed, "keyed").df
-    a, b = on_grid(keyed, cell)
+    # Where no study has two values, agreeing is being equal (or both empty): such arrays are keys, so only studies that agree on them meet, and nothing is left to compare.
+    most = keyed.agg(*[F.max(F.size(a)).alias(a) for a in arrays]).first()
+    several = [a for a in arrays if (most[a] or 0) > 1]
+    also = {f"k_{a}": a for a in arrays[3:] if a not in several}
+    keyed = keyed.select("paper_id", "ord", "sign", *KEYS, F.size("signs").alias("n_signs"), *several, *[F.concat_ws("", F.transform(a, lambda x: F.concat(F.lit("="), x))).alias(k) for k, a in also.items()])
+    keys = (*KEYS, *also)
+    a, b = on_grid(keyed, cell, keys)
     a, b = a.alias("a"), b.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*KEYS, "_r", "_c")]
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_r", "_c")]
 
     def agrees(name: str):
         left, right = F.col(f"a.{name}"), F.col(f"b.{name}")
         return ((F.size(left) == 0) & (F.size(right) == 0)) | F.arrays_overlap(left, right)
 
     # Two studies that share several keys are a pair at the least of them alone, and two that both have findings of either kind in one order alone.
-    least = [F.col(f"a.{k}") == F.array_min(F.array_intersect(F.col(f"a.{x}"), F.col(f"b.{x}"))) for x, k in zip(arrays[:3], KEYS)]
+    least = [F.col(f"a.{k}") == F.array_min(F.array_intersect(F.col(f"a.{x}"), F.col(f"b.{x}"))) for x, k in zip(arrays[:3], KEYS) if x in several]
     first = F.col("a.ord") < F.col("b.ord")
-    once = first | (F.size("a.signs") == 1) | (F.size("b.signs") == 1)
-    met = a.join(b, [*same, F.col("a.paper_id") != F.col("b.paper_id"), *[agrees(x) for x in arrays[3:]], *least, once])
+    once = first | (F.col("a.n_signs") == 1) | (F.col("b.n_signs") == 1)
+    met = a.join(b, [*same, F.col("a.paper_id") != F.col("b.paper_id"), *[agrees(x) for x in arrays[3:] if x in several], *least, once])
     pick = lambda c: F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
     other = lambda c: F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
-    topic = F.array_intersect(pick("problems"), other("problems")).getItem(0)
+    topic = F.array_intersect(pick("problems"), other("problems")).getItem(0) if "problems" in several else F.col("a.kp")
     return met.select(pick("paper_id").alias("left_id"), other("paper_id").alias("right_id"), topic.alias("topic"))
 
 
-def on_grid(keyed: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+def on_grid(keyed: DataFrame, cell: int, keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
     """The rows of either sign with _r and _c: a key's papers of one sign are rows of a grid and those of the other its columns, `cell` papers to each at most about.
 
     A paper goes to all cells of its row or column, so two of them meet in one cell, and the pairs of a key, however many papers it has, are made in as many tasks as it has
     cells. Keys without papers of both signs have no cells.
     """
     up, down = F.count_if(F.col("sign") == 1), F.count_if(F.col("sign") == -1)
-    sizes = keyed.groupBy(*KEYS).agg(F.ceil(up / cell).alias("_nr"), F.ceil(down / cell).alias("_nc")).where("_nr > 0 and _nc > 0")
-    rows = keyed.join(sizes, list(KEYS))
+    sizes = keyed.groupBy(*keys).agg(F.ceil(up / cell).alias("_nr"), F.ceil(down / cell).alias("_nc")).where("_nr > 0 and _nc > 0")
+    rows = keyed.join(sizes, list(keys))
     place = lambda n: F.pmod(F.xxhash64("paper_id"), F.col(n))
     line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     a = rows.where("sign = 1").select("*", place("_nr").alias("_r"), line("_nc").alias("_c"))
