@@ -94,13 +94,15 @@ def pair_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def extraction_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """case_id, field, tp, fp, fn over normalised distinct values (case_id, field, value); fields empty on both sides have no row."""
-    norm = lambda df, flag: df.select("case_id", "field", t.evidence_key(F.col("value")).alias("v")).where("v != ''").distinct().withColumn(flag, F.lit(1))
-    rows = norm(gold, "g").join(norm(predicted, "p"), ["case_id", "field", "v"], "full")
-    return rows.groupBy("case_id", "field").agg(
-        F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"),
-        F.count_if(F.col("g").isNull()).alias("fp"),
-        F.count_if(F.col("p").isNull()).alias("fn"),
-    )
+    side = lambda df, g: df.select("case_id", "field", "value", F.lit(g).alias("gold"), F.lit(not g).alias("predicted"))
+    return marked_counts(side(gold, True).unionByName(side(predicted, False)))
+
+
+def marked_counts(rows: DataFrame) -> DataFrame:
+    """extraction_counts of rows (case_id, field, value, gold, predicted) that say which sides they stand on. Rows that are dealt by case are not shuffled again."""
+    normal = rows.select("case_id", "field", t.evidence_key(F.col("value")).alias("v"), "gold", "predicted").where("v != '' and (gold or predicted)")
+    values = normal.groupBy("case_id", "field", "v").agg(F.max("gold").alias("g"), F.max("predicted").alias("p"))
+    return values.groupBy("case_id", "field").agg(F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if(~F.col("g")).alias("fp"), F.count_if(~F.col("p")).alias("fn"))
 
 
 def extraction_metrics(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import evaluation, landscape, operations
 from siltstone.plans.views import FEATURES, feature_papers, features, load
+from siltstone.sources.staging import dealt
 
 
 def feature_frequency(spark, sf_dir):
@@ -166,12 +167,16 @@ SELECT tp, np - tp AS fp, ng - tp AS fn, round(tp / np, 6) AS precision, round(t
 
 def extraction_prf(spark, sf_dir):
     """Orders as cases, line attributes as fields: even lines are predicted, lines not divisible by three true."""
-    line = load(spark, sf_dir, "lineitem")
+    line = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("quantity"),
+        F.coalesce(F.col("l_linenumber") % 3 != 0, F.lit(False)).alias("gold"), F.coalesce(F.col("l_linenumber") % 2 == 0, F.lit(False)).alias("predicted"),
+    ).where("gold or predicted")
     values = F.inline(F.array(
-        F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value")), F.struct(F.lit("quantity").alias("field"), F.col("l_quantity").cast("int").cast("string").alias("value")),
+        F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value")), F.struct(F.lit("quantity").alias("field"), F.col("quantity").cast("string").alias("value")),
         F.struct(F.lit("status").alias("field"), F.concat_ws("-", "l_linestatus", "l_returnflag").alias("value"))))
-    cut = lambda cond: line.where(cond).select(F.col("l_orderkey").alias("case_id"), values)
-    out = evaluation.extraction_metrics(evaluation.extraction_counts(cut(F.col("l_linenumber") % 3 != 0), cut(F.col("l_linenumber") % 2 == 0)))
+    # Lines are shuffled by case before they become several values each, into parts that grow in number and not in size.
+    met = dealt(line, "case_id", f"{sf_dir}/lineitem.parquet")
+    out = evaluation.extraction_metrics(evaluation.marked_counts(met.select("case_id", "gold", "predicted", values)))
     return out.select("field", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "exact_accuracy")])
 
 
