@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
-from siltstone.session import shipped
+from siltstone.session import bounded, shipped
 
 MAX_DOCUMENT, MAX_SECTION, MAX_CHUNK, MAX_CONTEXT, MAX_SECTIONS = 120_000, 20_000, 8_000, 30_000, 16
 
@@ -133,6 +133,8 @@ def xml_sections(xml: str | None) -> list[tuple[str, str]]:
     return out
 
 
+#: Bodies of a batch and their bytes, and characters of sections that are sent on together.
+PARSED_ROWS, PARSED_BYTES, PARSED_CHARS = 256, 4 << 20, 4 << 20
 SECTION_SCHEMA = "paper_id long, ord int, heading string, text string"
 
 
@@ -141,13 +143,22 @@ def parse(documents: DataFrame) -> DataFrame:
     parsers = {"html": html_sections, "xml": xml_sections}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent = lambda rows: pd.DataFrame(rows, columns=["paper_id", "ord", "heading", "text"])
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for i, kind, body in zip(batch["paper_id"], batch["source_format"], batch["body"]):
-                rows += [(i, n, h, x) for n, (h, x) in enumerate(parsers.get(kind, lambda _: [])(body))]
-            yield pd.DataFrame(rows, columns=["paper_id", "ord", "heading", "text"])
-
-    return shipped(documents).select(F.col("paper_id").cast("long"), "source_format", "body").mapInPandas(run, SECTION_SCHEMA)
+                found = [(i, n, h, x) for n, (h, x) in enumerate(parsers.get(kind, lambda _: [])(body))]
+                rows += found
+                held += sum(len(h) + len(x) for _, _, h, x in found)
+                if held > PARSED_CHARS:
+                    yield sent(rows)
+                    rows, held = [], 0
+            if rows:
+                yield sent(rows)
+
+    # A worker holds a bounded number of bytes of bodies, and of what was parsed of them, whatever the size of the table.
+    bounded(shipped(documents).sparkSession, PARSED_ROWS, PARSED_BYTES)
+    return documents.select(F.col("paper_id").cast("long"), "source_format", "body").mapInPandas(run, SECTION_SCHEMA)
 
 
 def is_heading(line: Column) -> Column:
