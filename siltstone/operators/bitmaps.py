@@ -269,7 +269,11 @@ def together(rows: DataFrame, place: Column, size: int, bucket: int = BUCKET) ->
     rows: paper_id, dimension, value, each once. Combinations that no paper holds have no row.
     """
     entry = F.struct(place.cast("int").alias("i"), "dimension", "value")
-    held = Staged(rows.groupBy("paper_id").agg(F.collect_list(entry).alias("held")), "held").df
+    return together_held(Staged(rows.groupBy("paper_id").agg(F.collect_list(entry).alias("held")), "held").df, size, bucket)
+
+
+def together_held(held: DataFrame, size: int, bucket: int = BUCKET) -> DataFrame:
+    """together() of papers (paper_id, held: distinct (i, dimension, value), i the place of the dimension), read twice."""
     each = held.select("paper_id", F.inline("held"))
     values = each.select("i", "dimension", "value").distinct().limit(VALUES + 1).collect()
     if len(values) <= VALUES:

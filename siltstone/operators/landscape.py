@@ -102,11 +102,17 @@ def combos(features: DataFrame, papers: DataFrame, size: int, once: bool = False
     """dims (array of dimension=value in dimension order), count, prevalence: papers that hold all values together.
 
     Counted in arrays or on bitmaps of papers, so only combinations that occur are made, and none is a row for each paper;
-    reviews and surveys take no part, but stay in the denominator. once: see members.
+    reviews and surveys take no part, but stay in the denominator. once: see members. features may also be a row a paper (staged): paper_id, study_type, feats (distinct dimension and value).
     """
     if not 2 <= size <= 5:
         raise ValueError("size must lie between 2 and 5")
     place = F.create_map(*[x for i, d in enumerate(COMBINED) for x in (F.lit(d), F.lit(i))])
+    if "feats" in features.columns:
+        # One row a paper, with its study type: nothing is joined, gathered or written again.
+        fit = F.filter("feats", lambda x: x["dimension"].isin(*COMBINED) & x["value"].isNotNull() & ~F.trim(t.casefold(x["value"])).isin(*t.SENTINELS))
+        held = F.transform(fit, lambda x: F.struct(F.element_at(place, x["dimension"]).cast("int").alias("i"), x["dimension"].alias("dimension"), x["value"].alias("value")))
+        counted = bitmaps.together_held(features.where(F.col("study_type").isin(*EMPIRICAL)).select("paper_id", held.alias("held")), size)
+        return counted.join(F.broadcast(total(papers))).select("dims", "count", (F.col("count") / F.col("total")).alias("prevalence"))
     kept = papers.where(F.col("study_type").isin(*EMPIRICAL)).select("paper_id")
     rows = usable(features).where(F.col("dimension").isin(*COMBINED)).join(kept, "paper_id", "left_semi")
     rows = rows.select("paper_id", "dimension", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph, landscape, operations, ranking, resolution, retrieval, validation
-from siltstone.plans.views import FEATURES, PAPERS, feature_papers, features, load, papers
+from siltstone.plans.views import FEATURES, PAPERS, feature_papers, features, load, order_sets, papers, rows_of
 from siltstone.sources.staging import Staged
 
 
@@ -39,9 +39,8 @@ PENDING = f"""WITH {JOBS} SELECT queue, CAST(row_number() OVER (PARTITION BY que
 
 def landscape_report(spark, sf_dir):
     """Ten commonest values of each dimension; ten pairs that two papers or more hold, and ten that one does."""
-    rows = Staged(features(spark, sf_dir), "features").df
-    p = feature_papers(spark, sf_dir)
-    out = landscape.report(landscape.frequencies(rows, p, once=True), landscape.combos(rows, p, 2, once=True))
+    sets, p = order_sets(spark, sf_dir), feature_papers(spark, sf_dir)
+    out = landscape.report(landscape.frequencies(rows_of(sets), p, once=True), landscape.combos(sets, p, 2))
     return out.select("section", "rank", "name", "count")
 
 
