@@ -125,10 +125,19 @@ def _place(c: Column) -> Column:
 
 
 def held_values(top: DataFrame, features: DataFrame) -> DataFrame:
-    """v: the distinct sets of top values that papers hold, each an array of (i, (dimension, value)) in dimension order."""
+    """v: the distinct sets of top values that papers hold, each an array of (i, (dimension, value)) in dimension order.
+
+    features: rows of paper_id, dimension, value, or a row a paper with feats, an array of distinct (dimension, value), of which nothing is shuffled but the distinct sets.
+    """
+    entry = lambda d, x: F.struct(_place(d).alias("i"), x.alias("d"))
+    if "feats" in features.columns:
+        # top is bounded (see unobserved), so it goes to every task as one row.
+        one = F.broadcast(top.agg(F.collect_list(F.struct("dimension", "value")).alias("_top")))
+        mine = F.filter("feats", lambda x: F.array_contains("_top", x))
+        sets = features.select("feats").join(one).select(F.array_sort(F.transform(mine, lambda x: entry(x["dimension"], x))).alias("v"))
+        return sets.where(F.size("v") > 0).distinct()
     kept = features.join(F.broadcast(top.select("dimension", "value")), ["dimension", "value"], "left_semi")
-    entry = F.struct(_place(F.col("dimension")).alias("i"), F.struct("dimension", "value").alias("d"))
-    return kept.groupBy("paper_id").agg(F.array_sort(F.collect_set(entry)).alias("v")).select("v").distinct()
+    return kept.groupBy("paper_id").agg(F.array_sort(F.collect_set(entry(F.col("dimension"), F.struct("dimension", "value")))).alias("v")).select("v").distinct()
 
 
 def unobserved(top: DataFrame, held: DataFrame, size: int) -> DataFrame:

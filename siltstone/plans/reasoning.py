@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import features as f
 from siltstone.functions import text as t
 from siltstone.operators import documents, evaluation, evidence, gaps, landscape, resolution, verification
-from siltstone.plans.views import FEATURES, LINES, PAPERS, feature_papers, features, fold_sql, line_features, load, papers, staged_lines
+from siltstone.plans.views import FEATURES, LINES, PAPERS, feature_papers, features, fold_sql, line_features, load, papers, rows_of, staged_lines, staged_sets
 from siltstone.sources import caches, works
 from siltstone.sources.staging import Staged
 
@@ -204,10 +204,10 @@ ANCHORS = f"WITH {_TOP} SELECT dimension, value, count, anchored FROM top"
 
 def unobserved_combinations(spark, sf_dir):
     """Five values down to two that no order line holds together, in dimensions that the idea names values of, one of them a value it names."""
-    lines = staged_lines(spark, sf_dir)
-    freq = landscape.frequencies(lines, lines.select("paper_id").distinct(), once=True)
+    sets = staged_sets(spark, sf_dir)
+    freq = landscape.frequencies(rows_of(sets), sets.select("paper_id"), once=True)
     top = Staged(gaps.top_values(gaps.idea_anchor(freq, _idea(spark), _terms(spark))).select("dimension", "value", "count", "anchored"), "top").df
-    held = Staged(gaps.held_values(top, lines), "held").df
+    held = Staged(gaps.held_values(top, sets), "held").df
     out = reduce(DataFrame.unionByName, [gaps.unobserved(top, held, n) for n in (5, 4, 3, 2)])
     return out.select(F.concat_ws("&", F.transform("dims", lambda d: F.concat_ws("=", d["dimension"], d["value"]))).alias("dims"), F.col("n_anchored").cast("long"), "count")
 
@@ -352,10 +352,17 @@ t AS (SELECT p.idea_id, p.paper_id, coalesce(h.n, 0) AS n, g.g, k.n AS papers, p
 SELECT idea_id, paper_id, n AS n_covered, CASE WHEN papers < 2 OR g IS NULL THEN 'uncertain' WHEN n >= least(2, g) OR (n > 0 AND strong) THEN 'accepted' WHEN n > 0 OR strong THEN 'uncertain' ELSE 'rejected' END AS verdict FROM t"""
 
 
+def _lines(spark, sf_dir):
+    """Order lines as sets and as rows, and the frequencies of their values, written once."""
+    sets = staged_sets(spark, sf_dir)
+    lines = rows_of(sets)
+    return sets, lines, Staged(landscape.frequencies(lines, sets.select("paper_id"), once=True), "frequencies").df
+
+
 def _landscape(spark, sf_dir):
     """Order lines as papers: features, claims, members and frequencies, each written once."""
-    lines = staged_lines(spark, sf_dir)
-    return lines, _claims(spark, sf_dir, lines), landscape.members(lines, once=True), Staged(landscape.frequencies(lines, lines.select("paper_id").distinct(), once=True), "frequencies").df
+    sets, lines, freq = _lines(spark, sf_dir)
+    return lines, _claims(spark, sf_dir, lines), landscape.members(lines, once=True), freq
 
 
 def gap_candidates(spark, sf_dir):
@@ -367,9 +374,9 @@ def gap_candidates(spark, sf_dir):
 
 def _combinations(spark, sf_dir):
     """(combination candidates in priority order of their columns, basis, lines)."""
-    lines, _, _, freq = _landscape(spark, sf_dir)
+    sets, lines, freq = _lines(spark, sf_dir)
     values = Staged(gaps.idea_anchor(freq, _idea(spark), _terms(spark)).select("dimension", "value", "count", "prevalence", "anchored").withColumn("strong", F.lit(True)), "anchored").df
-    rows, basis = gaps.combination_builder(lines, values)
+    rows, basis = gaps.combination_builder(sets, values)
     ranked = gaps.prioritise(gaps.relevance(rows, basis, _terms(spark)).withColumn("n_support", F.lit(2)), basis)
     return Staged(ranked, "ranked").df, basis, lines
 

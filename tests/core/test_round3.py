@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from siltstone.operators import documents, evaluation, landscape
+from siltstone.operators import documents, evaluation, gaps, landscape
 
 
 def _plan(df):
@@ -62,3 +62,15 @@ def test_parsed_sections_are_sent_on_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(documents, "PARSED_CHARS", 500)
     assert sorted(map(tuple, documents.parse(df).collect())) == whole and len(whole) >= 90
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= documents.PARSED_ROWS
+
+
+def test_held_values_and_pairs_of_sets_equal_those_of_rows(spark):
+    rows = [(i, d, f"{d}{(i * k) % 4}" if i % 9 else "none") for i in range(30) for k, d in ((1, "method_family"), (3, "dataset"), (5, "baseline"))] + [(3, "dataset", "dataset7"), (4, "baseline", None)]
+    long = spark.createDataFrame(rows, "paper_id int, dimension string, value string").distinct()
+    papers = spark.createDataFrame([(i, "empirical" if i % 3 else "survey") for i in range(30)], "paper_id int, study_type string")
+    sets = long.groupBy("paper_id").agg(F.collect_list(F.struct("dimension", "value")).alias("feats")).join(papers, "paper_id", "left")
+    top = spark.createDataFrame([("method_family", "method_family1"), ("dataset", "dataset1"), ("dataset", "dataset7")], "dimension string, value string")
+    key = lambda df: sorted(map(str, df.collect()))
+    found = gaps.held_values(top, sets)
+    assert key(found) == key(gaps.held_values(top, long)) and found.count() == 3
+    assert key(landscape.combos(sets, papers, 2)) == key(landscape.combos(long, papers, 2, once=True))
