@@ -4,7 +4,7 @@
    grouped table, star rounds give components.
 2. Clusters may still be one work by title and year, or by nearly equal titles; whether they merge depends
    on the DOIs and authors that both have gathered so far, and so on the order. Candidates (equal title and
-   year; near titles found by a prefix filter on rare title words) are linked to blocks, and each block of
+   year; near titles found by parts of their words that agree) are linked to blocks, and each block of
    clusters is decided in order of first appearance. A large block (a title that very many works share) is split before: only clusters without a DOI,
    and clusters with a word of their authors' names in common, can ever merge, so what these links leave apart is decided apart.
 3. Members merge from the richest record on, by ordered folds.
@@ -12,7 +12,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +25,19 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as t
 from siltstone.operators.components import components
-from siltstone.session import shipped
+from siltstone.session import bounded, shipped
 from siltstone.sources.staging import Staged
 
 MIN_WORDS, MIN_JACCARD, MIN_RATIO = 5, 0.9, 0.96
+#: The share of two titles' words in which they can differ at MIN_JACCARD.
+DIFFER = (1 - Fraction(str(MIN_JACCARD))) / (1 + Fraction(str(MIN_JACCARD)))
+#: Bits of the parity bitmap of a title's words (a power of two).
+BITS = 128
+#: Identifiers of titles, and characters of titles, that may be broadcast; rows and bytes of an Arrow batch of titles.
+BROADCAST_IDS, BROADCAST_CHARS = 500_000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 4_096, 4 << 20
+#: Pairs of titles in a file from which sequence ratios are computed, which take far longer than their bytes tell.
+RATIO_PAIRS = 500
 #: Records of a block from which it is split.
 LARGE = 10_000
 
@@ -51,30 +65,103 @@ def title_identity(papers: DataFrame) -> DataFrame:
     return rows.withColumn("has_identity", (F.col("title_key") != "") & (F.col("title_key") != "untitled") & F.col("publication_year").isNotNull())
 
 
+def _sizes() -> tuple[np.ndarray, np.ndarray]:
+    """Least words of each class of titles, and the parts in which a title of the class and one as long or longer that agrees with it are cut.
+
+    A title that agrees with n words has n / MIN_JACCARD at most, so it is of the same class or of the next.
+    """
+    share = Fraction(str(MIN_JACCARD))
+    least = [MIN_WORDS]
+    while least[-1] < 1 << 31:
+        least.append(int(least[-1] / share) + 1)
+    most = [n - 1 for n in least[1:]]
+    return np.array(least[:-1]), np.array([int((n + int(n / share)) * DIFFER) + 1 for n in most])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, year, hashes (of distinct words) as one row for each part of a title: see near_title_pairs."""
+    least, cuts = _sizes()
+    for batch in batches:
+        ids, years = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "year"))
+        lists = batch.column("hashes")
+        words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        n = np.diff(lists.offsets.to_numpy())
+        if not len(n):
+            continue
+        title = np.repeat(np.arange(len(n)), n)
+        odd = np.bincount(title * BITS + (words >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(n) * BITS) & 1
+        bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(n), -1)
+        kind = np.searchsorted(least, n, "right") - 1
+        for longer in (0, 1):
+            parts = np.where(kind >= longer, cuts[kind - longer], 0)
+            start = np.cumsum(parts) - parts
+            kept = parts[title] > 0
+            at, of = title[kept], words[kept]
+            sums = np.zeros(parts.sum(), np.uint64)
+            np.add.at(sums, start[at] + (of % parts[at].astype(np.uint64)).astype(np.int64), of)
+            row = np.repeat(np.arange(len(n)), parts)
+            columns = [years[row], (kind - longer)[row].astype(np.int32), (np.arange(len(row)) - start[row]).astype(np.int32), sums.view(np.int64)]
+            columns += [ids[row], n[row].astype(np.int32), np.full(len(row), longer == 0), *(bits[row, i] for i in range(BITS // 64))]
+            yield pa.record_batch([pa.array(c) for c in columns], ["year", "kind", "part", "sum", "id", "n", "own", *(f"b{i}" for i in range(BITS // 64))])
+
+
+def _alike(titles: DataFrame) -> DataFrame:
+    """a, b: identifiers of titles (id, publication_year, title_key) of one year that may have MIN_JACCARD of their words in common; none that have are left out."""
+    bounded(shipped(titles).sparkSession, BATCH_ROWS, BATCH_BYTES)
+    hashes = F.transform(F.array_distinct(F.split("title_key", " ")), lambda w: F.xxhash64(w))
+    named = [f"b{i}" for i in range(BITS // 64)]
+    schema = "year long, kind int, part int, sum long, id long, n int, own boolean, " + ", ".join(f"{b} long" for b in named)
+    parts = titles.select("id", F.xxhash64("publication_year").alias("year"), hashes.alias("hashes")).mapInArrow(_dealt, schema)
+    parts = parts.select(F.xxhash64("year", "kind", "part", "sum").alias("key"), "id", "n", "own", *named)
+    side = lambda s: parts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in parts.columns[1:]))
+    apart = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in named)
+    fits = f"id_a < id_b and (own_a or own_b) and ({apart}) * {DIFFER.denominator}L <= (n_a + n_b) * {DIFFER.numerator}L"
+    return side("a").join(side("b"), "key").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _held(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is among ids (id; repeated), which are broadcast if a count shows them to be few."""
+    ids = Staged(ids.distinct(), "ids").df
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def near_title_pairs(papers: DataFrame) -> DataFrame:
-    """left, right (ord, left < right) of records of one year whose titles nearly agree and whose authors match.
+    """left, right (ord, left < right) of records of one year whose titles nearly agree and whose authors match. Each pair once.
 
-    At Jaccard 0.9 two word sets share one of their rarest words (prefix filter), so only records that share a rare
-    word and have close lengths are compared; word overlap, authors and the sequence ratio then decide.
+    Titles are compared once a year however many records have them, authors once for all records of a title that have the same.
+    Word sets of a and b words with a Jaccard similarity of t differ in (a + b)(1 - t)/(1 + t) words at most. Cut by hash into one part more, they
+    agree on a whole part, so only titles that agree on one (by the sum of its hashes) meet; parity bitmaps of the words then rule out most of those that differ
+    in more. Word overlap, the sequence ratio (in the order in which records stand) and authors decide, and only what is left becomes pairs of records.
     """
-    rows = title_identity(shipped(papers)).where("publication_year is not null").select(
-        "ord", "publication_year", "title_key", "authors", F.array_distinct(F.split("title_key", " ")).alias("words")
-    ).where(F.size("words") >= MIN_WORDS)
-    words = rows.select("ord", "publication_year", F.explode("words").alias("w"))
-    rarity = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = words.join(rarity, "w").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    keep = F.size("s") - F.ceil(F.size("s") * MIN_JACCARD - 1e-9) + 1
-    prefix = ordered.select("ord", F.size("s").alias("n"), F.explode(F.slice("s", 1, keep.cast("int"))).alias("x")).select("ord", "n", F.col("x.w").alias("w"))
-    prefix = prefix.join(rows.select("ord", "publication_year"), "ord")
-    a = prefix.select(F.col("ord").alias("left"), F.col("n").alias("na"), "w", "publication_year")
-    b = prefix.select(F.col("ord").alias("right"), F.col("n").alias("nb"), "w", "publication_year")
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * MIN_JACCARD - 1e-9
-    pairs = a.join(b, ["w", "publication_year"]).where((F.col("left") < F.col("right")) & close).select("left", "right").distinct()
-    left = rows.select(F.col("ord").alias("left"), F.col("title_key").alias("lt"), F.col("words").alias("lw"), F.col("authors").alias("la"))
-    right = rows.select(F.col("ord").alias("right"), F.col("title_key").alias("rt"), F.col("words").alias("rw"), F.col("authors").alias("ra"))
-    near = pairs.join(left, "left").join(right, "right").where((F.col("lt") != F.col("rt")) & (t.jaccard(F.col("lw"), F.col("rw")) >= MIN_JACCARD))
-    near = near.where(t.same_authors("la", "ra"))
-    return near.where(t.sequence_ratio("lt", "rt") >= MIN_RATIO).select("left", "right")
+    rows = title_identity(papers).where("publication_year is not null and size(authors) > 0").where(F.size(F.array_distinct(F.split("title_key", " "))) >= MIN_WORDS)
+    rows = Staged(rows.select("ord", "publication_year", "title_key", "authors"), "titled").df
+    titles = rows.groupBy("publication_year", "title_key").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    titles = Staged(titles.withColumn("id", F.monotonically_increasing_id()), "titles").df
+    met = Staged(_alike(titles), "met").df
+    ends = lambda df: df.select(F.explode(F.array(*df.columns)).alias("id"))
+    wanted = Staged(_held(titles, ends(met)), "wanted").df
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
+    words = lambda s: F.array_distinct(F.split(f"title_key_{s}", " "))
+    near = met.join(side(wanted, "a"), F.col("a") == F.col("id_a")).join(side(wanted, "b"), F.col("b") == F.col("id_b"))
+    near = near.where("publication_year_a = publication_year_b").where(t.jaccard(words("a"), words("b")) >= MIN_JACCARD)
+    order = lambda x, y: F.struct(
+        F.col(x).alias("left"), F.col(y).alias("right"), F.col(f"title_key_{x}").alias("lt"), F.col(f"title_key_{y}").alias("rt"), (F.col(f"first_{x}") < F.col(f"last_{y}")).alias("occurs")
+    )
+    near = near.select(F.inline(F.array(order("a", "b"), order("b", "a")))).where("occurs")
+    near = Staged(near.repartition(1 + min(met.count() // RATIO_PAIRS, 4_096)), "close").df
+    near = Staged(near.where(t.sequence_ratio("lt", "rt") >= MIN_RATIO).select("left", "right"), "near-titles").df
+
+    known = Staged(_held(wanted, ends(near)).select("id", "publication_year", "title_key"), "known").df
+    length = known.agg(F.sum(F.length("title_key") + 40)).first()[0] or 0
+    members = rows.join(F.broadcast(known) if length <= BROADCAST_CHARS else known, ["publication_year", "title_key"])
+    members = Staged(members.select("id", "ord", "authors").distinct(), "members").df
+    people = members.groupBy("id", "authors").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    people = Staged(people.withColumn("who", F.monotonically_increasing_id()), "people").df
+    same = near.join(side(people, "l"), F.col("left") == F.col("id_l")).join(side(people, "r"), F.col("right") == F.col("id_r"))
+    same = same.where("first_l < last_r").where(t.same_authors("authors_l", "authors_r")).select("who_l", "who_r")
+    placed = members.join(people.select("id", "authors", "who"), ["id", "authors"]).select("who", "ord")
+    pairs = same.join(side(placed, "l"), "who_l").join(side(placed, "r"), "who_r")
+    return pairs.where("ord_l < ord_r").select(F.col("ord_l").alias("left"), F.col("ord_r").alias("right"))
 
 
 class _Block:
