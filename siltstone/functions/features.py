@@ -148,3 +148,9 @@ def semantic_guard(claim: Column, field: Column, value: Column, evidence: Column
         & (~key.rlike(GENERALISATION) | text.rlike(GENERALISATION))
         & (~key.rlike(EFFICIENCY) | measured)
     )
+
+
+def unguarded(claim: Column, field: Column) -> Column:
+    """Whether semantic_guard lets any evidence with a wording stand for a claim."""
+    looked_at = t.let(t.evidence_key(claim), lambda key: key.rlike(LIMITED_LABELS) | key.rlike(GENERALISATION) | key.rlike(EFFICIENCY))
+    return ~looked_at & (F.replace(F.lower(field), F.lit(" "), F.lit("_")) != "sample_size")

@@ -23,8 +23,8 @@ from siltstone.operators.landscape import COMBINED, joint_tuples
 from siltstone.session import shipped
 from siltstone.sources.staging import Staged
 
-#: Values that may be broadcast.
-MANY = 50_000
+#: Values that may be broadcast, and papers of which most values are settled.
+MANY, SOME = 50_000, 100_000
 MIN_PAPERS, TOP_VALUES, MAX_CANDIDATES, PER_PAPER = 2, 4, 12, 2
 #: Combined dimensions without the raw method, which the family stands for.
 COMPARED = tuple(d for d in COMBINED if d != "method")
@@ -70,6 +70,21 @@ NARROW_SHARE = 0.6
 COMPARISON_WORDS = r"(?i)\b(?:compar(?:e|ed|es|ing|ison)|versus|vs\.?|against|outperform(?:s|ed|ing)?|relative to|baseline)\b"
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows it to have at most MANY rows."""
+    return F.broadcast(df) if df.limit(MANY + 1).count() <= MANY else df
+
+
+def _nothing(df: DataFrame) -> DataFrame:
+    """df without rows; what is made of it reads nothing."""
+    return df.where(F.lit(False))
+
+
+def named_values(claims: DataFrame) -> DataFrame:
+    """dimension, value, placed (whether a claim with a paper names it): the values of claims, written once, so that each is looked at once however many claims name it."""
+    return Staged(claims.groupBy("dimension", "value").agg(F.max(F.col("paper_id").isNotNull()).alias("placed")), "named-values").df
+
+
 def idea_anchor(rows: DataFrame, idea: DataFrame, idea_terms: Column) -> DataFrame:
     """rows (dimension, value, ...) with anchored: whether the idea names the value.
 
@@ -131,10 +146,12 @@ def held_values(top: DataFrame, features: DataFrame) -> DataFrame:
     """
     entry = lambda d, x: F.struct(_place(d).alias("i"), x.alias("d"))
     if "feats" in features.columns:
-        # top is bounded (see unobserved), so it goes to every task as one row.
-        one = F.broadcast(top.agg(F.collect_list(F.struct("dimension", "value")).alias("_top")))
-        mine = F.filter("feats", lambda x: F.array_contains("_top", x))
-        sets = features.select("feats").join(one).select(F.array_sort(F.transform(mine, lambda x: entry(x["dimension"], x))).alias("v"))
+        # top is bounded (see unobserved), so it goes to every task as one row: entries by dimension and value.
+        own = top.select("dimension", "value").distinct().withColumn("e", entry(F.col("dimension"), F.struct("dimension", "value")))
+        by_value = own.groupBy("dimension").agg(F.map_from_entries(F.collect_list(F.struct("value", "e"))).alias("of"))
+        one = F.broadcast(by_value.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "of"))).alias("_top")))
+        mine = F.transform("feats", lambda x: F.try_element_at(F.try_element_at("_top", x["dimension"]), x["value"]))
+        sets = features.select("feats").join(one).select(F.array_sort(F.filter(mine, lambda x: x.isNotNull())).alias("v"))
         return sets.where(F.size("v") > 0).distinct()
     kept = features.join(F.broadcast(top.select("dimension", "value")), ["dimension", "value"], "left_semi")
     return kept.groupBy("paper_id").agg(F.array_sort(F.collect_set(entry(F.col("dimension"), F.struct("dimension", "value")))).alias("v")).select("v").distinct()
@@ -179,19 +196,22 @@ def combination_candidates(anchored: DataFrame, features: DataFrame, limit: int
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def sides(claims: DataFrame) -> DataFrame:
+def sides(claims: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """paper_id, methods, baselines (the families that its claims on either name, as arrays), spoken: whether a claim on baselines speaks of comparing.
 
-    A value is looked at once, however many claims name it, and claims are shuffled once.
+    A value is looked at once, however many claims name it, and claims are shuffled once. only: fam; of other families none is named, and papers without one of these are left out.
     """
     rows = claims.where(F.col("dimension").isin("method_family", "baseline") & F.col("paper_id").isNotNull())
     spoken = (F.col("dimension") == "baseline") & F.concat_ws(" ", "value", "evidence_text").rlike(COMPARISON_WORDS)
     rows = rows.select("paper_id", "dimension", "value", spoken.alias("spoken"))
     values = Staged(rows.select("value").distinct(), "values").df.where(f.concrete_entity(F.col("value"))).select("value", f.method(F.col("value")).alias("v")).where("v != ''")
-    values = Staged(values, "families").df
-    named = rows.join(F.broadcast(values) if values.limit(MANY + 1).count() <= MANY else values, "value", "left")
+    values = Staged(values if only is None else values.join(_few(only), F.col("v") == F.col("fam"), "left_semi"), "families").df
+    named = rows.join(_few(values), "value", "left")
+    if only is not None:
+        named = named.where("v is not null or spoken")
     of = lambda d: F.collect_set(F.when(F.col("dimension") == d, F.col("v")))
-    return named.groupBy("paper_id").agg(of("method_family").alias("methods"), of("baseline").alias("baselines"), F.max("spoken").alias("spoken"))
+    out = named.groupBy("paper_id").agg(of("method_family").alias("methods"), of("baseline").alias("baselines"), F.max("spoken").alias("spoken"))
+    return out if only is None else out.where(F.size("methods") > 0)
 
 
 def _paired(of: DataFrame, x: str, y: str) -> DataFrame:
@@ -218,14 +238,23 @@ def justified_pairs(claims: DataFrame, idea: DataFrame, of: DataFrame | None = N
     """
     of = sides(claims) if of is None else of
     cross = _paired(of, "methods", "baselines")
+    return cross.unionByName(spoken_pairs(claims, idea, of.select(F.explode("methods").alias("fam")).distinct())).distinct()
+
+
+def spoken_pairs(claims: DataFrame, idea: DataFrame, families: DataFrame) -> DataFrame:
+    """a, b (a < b): of justified_pairs those that one comparison of the idea, or one claim that speaks of comparing, holds the terms of. families: fam, distinct.
+
+    The others are compared in a paper, so none of them is missing.
+    """
     asked = idea.where(F.col("dimension").isin("comparison", "baseline")).select(F.col("value").alias("text"))
-    spoken = claims.where(F.col("dimension") == "baseline").select(F.concat_ws(" ", "value", "evidence_text").alias("text")).where(F.col("text").rlike(COMPARISON_WORDS))
-    texts = asked.unionByName(spoken).distinct().select("text", f.gap_terms(F.col("text")).alias("have"))
-    fam = of.select(F.explode("methods").alias("fam")).distinct().withColumn("need", f.gap_terms(F.col("fam"))).where(F.size("need") > 0)
+    # Written once: else the pattern would move below the distinct, and be looked for in every claim.
+    said = Staged(claims.where(F.col("dimension") == "baseline").select(F.concat_ws(" ", "value", "evidence_text").alias("text")).distinct(), "said").df
+    texts = asked.unionByName(said.where(F.col("text").rlike(COMPARISON_WORDS))).distinct().select("text", f.gap_terms(F.col("text")).alias("have"))
+    fam = families.withColumn("need", f.gap_terms(F.col("fam"))).where(F.size("need") > 0)
     named = texts.select("text", "have", F.explode("have").alias("_t")).join(fam.withColumn("_t", F.col("need")[0]), "_t")
     named = Staged(named.where(F.size(F.array_except("need", "have")) == 0).select("text", "fam").distinct(), "named").df
     both = named.select("text", F.col("fam").alias("x")).join(named.select("text", F.col("fam").alias("y")), "text").where("x != y")
-    return cross.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def missing_comparisons(frequency: DataFrame, observed: DataFrame, justified: DataFrame) -> DataFrame:
@@ -248,12 +277,12 @@ def narrow_setting(frequency: DataFrame, total: int, share: float = NARROW_SHARE
     return alone.where(F.col("count") >= share * max(1, total))
 
 
-def record_anchors(claims: DataFrame, idea: DataFrame, idea_terms: Column, titles: DataFrame | None = None) -> DataFrame:
+def record_anchors(claims: DataFrame, idea: DataFrame, idea_terms: Column, titles: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """paper_id, full: papers whose records the idea anchors; full where both a problem and a method of it do.
 
     Each of problems, methods and context (population, domain) that the idea has is a signal: a problem or a method family equal when normalised, or
     a term of the context in claims on problem and setting. One of them is enough. Without any, a paper is anchored if its claims, or its title (paper_id,
-    title), share a term with the idea.
+    title), share a term with the idea. names: see named_values, where they are at hand.
     """
     text = F.concat_ws(" ", "value", "evidence_text")
     kind = F.col("dimension")
@@ -261,13 +290,15 @@ def record_anchors(claims: DataFrame, idea: DataFrame, idea_terms: Column, title
     problems = of("problem").where(f.concrete_entity(F.col("value"))).select(f.problem(F.col("value")).alias("x")).where("x != ''").distinct()
     methods = of("method", "method_family").where(f.concrete_entity(F.col("value"))).select(f.method(F.col("value")).alias("x")).where("x != ''").distinct()
     context = of("problem", "population", "population_or_setting", "domain").select(F.explode(f.gap_terms(F.col("value"))).alias("x")).distinct()
-    by_problem = claims.where(kind == "problem").withColumn("x", f.problem(F.col("value"))).join(problems, "x", "left_semi").select("paper_id", F.lit("p").alias("s"))
-    by_method = claims.where(kind.isin("method", "method_family")).withColumn("x", f.method(F.col("value"))).join(methods, "x", "left_semi").select("paper_id", F.lit("m").alias("s"))
-    signals = []
+    asked, signals = [], []
+    names = named_values(claims) if names is None else names
     if not problems.isEmpty():
-        signals.append(by_problem)
+        asked.append(names.where(kind == "problem").withColumn("x", f.problem(F.col("value"))).join(problems, "x", "left_semi").select("dimension", "value", F.lit("p").alias("s")))
     if not methods.isEmpty():
-        signals.append(by_method)
+        asked.append(names.where(kind.isin("method", "method_family")).withColumn("x", f.method(F.col("value"))).join(methods, "x", "left_semi").select("dimension", "value", F.lit("m").alias("s")))
+    if asked:
+        met = Staged(reduce(DataFrame.unionByName, asked), "anchoring").df
+        signals.append(claims.join(_few(met), ["dimension", "value"]).select("paper_id", "s"))
     if not of("population", "population_or_setting", "domain").isEmpty():
         near = claims.where(kind.isin("problem", "population_or_setting")).select("paper_id", F.explode(f.gap_terms(text)).alias("x"))
         signals.append(near.join(context, "x", "left_semi").select("paper_id", F.lit("c").alias("s")))
@@ -285,13 +316,22 @@ def strong_context(values: DataFrame, members: DataFrame, claims: DataFrame, anc
 
     Two such papers do; else one that states both a problem and a method of the idea, or whose limitations or future work share a term with the value.
     """
-    held = members.select("dimension", "value", "paper_id").distinct().join(anchors, "paper_id")
     own = values.select("dimension", "value").distinct()
-    held = held.join(own, ["dimension", "value"], "left_semi")
-    open_ = claims.where(F.col("dimension").isin("limitation", "future_work")).select("paper_id", F.explode(f.gap_terms(F.concat_ws(" ", "value", "evidence_text"))).alias("w")).distinct()
-    said = held.select("dimension", "value", "paper_id", F.explode(f.gap_terms(F.col("value"))).alias("w")).join(open_, ["paper_id", "w"], "left_semi")
-    flags = held.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full"))
-    strong = flags.where((F.col("n") >= MIN_PAPERS) | F.col("full")).select("dimension", "value").unionByName(said.select("dimension", "value")).distinct()
+    of = members.select("dimension", "value", "paper_id")
+    # Two papers settle a value, and among some of the papers most values have two. Those are found without a shuffle of members; what is left is looked at in all papers.
+    some = Staged(anchors.select("paper_id").limit(SOME), "some-anchors").df
+    twice = of.join(F.broadcast(some), "paper_id", "left_semi").distinct().groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAPERS)
+    strong = Staged(own.join(twice, ["dimension", "value"], "left_semi"), "settled").df
+    left = Staged(own.join(strong, ["dimension", "value"], "left_anti"), "unsettled").df
+    if not left.isEmpty():
+        few = _few(left)
+        held = of.join(few, ["dimension", "value"], "left_semi").distinct().join(anchors, "paper_id")
+        open_ = claims.where(F.col("dimension").isin("limitation", "future_work")).select("paper_id", F.explode(f.gap_terms(F.concat_ws(" ", "value", "evidence_text"))).alias("w")).distinct()
+        words = _few(Staged(left.select("dimension", "value", F.explode(f.gap_terms(F.col("value"))).alias("w")), "words").df)
+        said = held.select("dimension", "value", "paper_id").join(words, ["dimension", "value"]).join(open_, ["paper_id", "w"], "left_semi")
+        flags = held.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full"))
+        more = flags.where((F.col("n") >= MIN_PAPERS) | F.col("full")).select("dimension", "value").unionByName(said.select("dimension", "value")).distinct()
+        strong = strong.unionByName(more)
     return values.join(strong.withColumn("_s", F.lit(True)), ["dimension", "value"], "left").withColumn("strong", F.coalesce("_s", F.lit(False))).drop("_s")
 
 
@@ -315,11 +355,18 @@ def _basis(rows: DataFrame, values: DataFrame) -> DataFrame:
     return rows.join(values.select("dimension", "value", "count", "prevalence", "anchored", "strong"), ["dimension", "value"]).select("candidate_id", "ord", "dimension", "value", "count", "prevalence", "anchored", "strong")
 
 
+def reported(members: DataFrame, values: DataFrame, dimension: str) -> bool:
+    """Whether two papers at least report a dimension: a value of that many papers shows it, else values are of one paper each, and so are few members."""
+    most = values.where(F.col("dimension") == dimension).agg(F.max("count")).first()[0]
+    if most is None or most >= MIN_PAPERS:
+        return most is not None
+    return members.where(F.col("dimension") == dimension).select("paper_id").distinct().limit(MIN_PAPERS).count() >= MIN_PAPERS
+
+
 def repeated_builder(members: DataFrame, values: DataFrame, dimension: str) -> tuple[DataFrame, DataFrame]:
     """(candidates, basis) of limitations or future work that papers repeat; the basis has every spelling."""
     pattern = f"repeated_{dimension}"
-    n_covered = members.where(F.col("dimension") == dimension).select("paper_id").distinct().limit(MIN_PAPERS).count()
-    rows = repeated(members, dimension, n_covered)
+    rows = repeated(members, dimension, MIN_PAPERS) if reported(members, values, dimension) else repeated(_nothing(members), dimension, 0)
     title, description = TEXTS[pattern]
     named = rows.select(*_candidate(pattern, F.col("value"), F.format_string(title, "value"), F.format_string(description, "value", "n_papers")), t.evidence_key(F.col("value")).alias("_k"))
     spelled = values.where(F.col("dimension") == dimension).select("dimension", "value", t.evidence_key(F.col("value")).alias("_k"))
@@ -338,7 +385,9 @@ def combination_builder(features: DataFrame, values: DataFrame, limit: int = MAX
 
 def narrow_builder(members: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, basis) of the one dataset type that dominates, where two papers at least report datasets."""
-    total = members.where("dimension = 'dataset'").select("paper_id").distinct().count()
+    # Papers with datasets are counted only where there is a type that they may stand in.
+    some = not narrow_setting(values, 0).isEmpty()
+    total = members.where("dimension = 'dataset'").select("paper_id").distinct().count() if some else 0
     rows = narrow_setting(values, total).where(F.lit(total >= MIN_PAPERS))
     title, description = TEXTS["narrow_dataset_setting"]
     named = rows.select(*_candidate("narrow_dataset_setting", F.col("value"), F.format_string(title, "value"), F.format_string(description, "value")), "dimension", "value")
@@ -346,17 +395,27 @@ def narrow_builder(members: DataFrame, values: DataFrame) -> tuple[DataFrame, Da
     return named.drop("dimension", "value"), _basis(basis, values)
 
 
-def comparison_builder(claims: DataFrame, members: DataFrame, values: DataFrame, idea: DataFrame, anchors_context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def comparison_builder(
+    claims: DataFrame, members: DataFrame, values: DataFrame, idea: DataFrame, anchors_context: DataFrame | None = None, names: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(candidates, basis) of missing comparisons, where two papers at least report baselines.
 
     anchors_context: paper_id of papers whose problem or setting shares a term with the idea's; where given, each family needs one that holds it.
+    names: see named_values, where they are at hand. Papers are asked only whether they compare the families that there is a reason to compare, and nothing is asked
+    where there are none.
     """
-    n = members.where("dimension = 'baseline'").select("paper_id").distinct().limit(MIN_PAPERS).count()
-    of = Staged(sides(claims), "sides").df
-    pairs = missing_comparisons(values, observed_pairs(claims, of), justified_pairs(claims, idea, of)).where(F.lit(n >= MIN_PAPERS))
+    names = named_values(claims) if names is None else names
+    families = names.where((F.col("dimension") == "method_family") & F.col("placed") & f.concrete_entity(F.col("value"))).select(f.method(F.col("value")).alias("fam")).where("fam != ''").distinct()
+    wanted = Staged(spoken_pairs(claims, idea, families), "wanted-pairs").df
+    if wanted.isEmpty() or not reported(members, values, "baseline"):
+        wanted, claims, members = _nothing(wanted), _nothing(claims), _nothing(members)
+    of = Staged(sides(claims, wanted.select(F.explode(F.array("a", "b")).alias("fam")).distinct()), "sides").df
+    pairs = missing_comparisons(values, observed_pairs(claims, of), wanted)
     spelled = values.where("dimension = 'method_family'").select(f.method(F.col("value")).alias("k"), "value")
     if anchors_context is not None:
-        near = members.where("dimension = 'method_family'").join(anchors_context, "paper_id", "left_semi").select("value").distinct()
+        asked = pairs.select(F.explode(F.array("left", "right")).alias("k")).distinct()
+        spelled = Staged(spelled.join(asked, "k", "left_semi"), "spelled").df
+        near = members.where("dimension = 'method_family'").join(_few(spelled.select("value")), "value", "left_semi").join(anchors_context, "paper_id", "left_semi").select("value").distinct()
         spelled = spelled.join(near, "value", "left_semi")
     # Of several spellings of a family the first by name stands for it.
     spelled = spelled.groupBy("k").agg(F.min("value").alias("value"))
@@ -368,32 +427,74 @@ def comparison_builder(claims: DataFrame, members: DataFrame, values: DataFrame,
     return named.drop("lv", "rv"), _basis(basis, values)
 
 
-def collect_support(basis: DataFrame, claims: DataFrame, members: DataFrame, role: str) -> DataFrame:
+def _worded(wants: DataFrame, names: DataFrame) -> DataFrame:
+    """dimension, value, want, sure: the values of claims that are a wanted one (dimension, want) when normalised; sure where no evidence can speak against that."""
+    norm = lambda c: f.normalised(F.col("dimension"), F.col(c))
+    left = wants.where(_exact()).withColumn("_n", norm("want")).where("_n != ''")
+    same = names.where(_exact() & f.concrete_entity(F.col("value"))).withColumn("_n", norm("value")).join(left, ["dimension", "_n"])
+    return Staged(same.select("dimension", "value", "want", f.unguarded(F.col("want"), F.col("dimension")).alias("sure")), "worded").df
+
+
+def _exact() -> Column:
+    return F.col("dimension").isin(*METHODS, "comparison", "problem", "constraint", "dataset")
+
+
+def _bearing(wants: DataFrame, worded: DataFrame, claims: DataFrame, members: DataFrame) -> DataFrame:
+    """dimension, want, paper_id, ord, value, evidence_text: claims that bear a wanted value (dimension, want), at most twice a paper. worded: see _worded."""
+    claims = claims.select("paper_id", "dimension", "ord", "value", "evidence_text")
+    met = claims.join(_few(worded), ["dimension", "value"])
+    others = Staged(wants.where(~_exact()), "wants").df
+    if not others.isEmpty():
+        held = members.select("dimension", F.col("value").alias("want"), "paper_id").join(_few(others), ["dimension", "want"])
+        shared = F.arrays_overlap(f.gap_terms(F.col("want")), f.gap_terms(F.concat_ws(" ", "value", "evidence_text")))
+        near = held.join(claims.join(F.broadcast(others.select("dimension").distinct()), "dimension", "left_semi").where(f.concrete_entity(F.col("value"))), ["dimension", "paper_id"]).where(shared)
+        met = met.unionByName(near.withColumn("sure", F.lit(False)))
+    w = Window.partitionBy("dimension", "want", "paper_id").orderBy("ord")
+    met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_PAPER).drop("_n")
+    guarded = f.semantic_guard(F.col("want"), F.col("dimension"), F.col("value"), F.col("evidence_text"))
+    return met.where(F.when(F.col("sure"), True).otherwise(guarded)).drop("sure")
+
+
+def collect_support(basis: DataFrame, claims: DataFrame, members: DataFrame, role: str, names: DataFrame | None = None) -> DataFrame:
     """candidate_id, paper_id, evidence_type, value, evidence_text, role: claims that bear a candidate's basis (candidate_id, dimension, value).
 
     Values match normalised in their dimension; in others (limitations, future work) a claim of a paper that holds the value must share a term
-    with it. Claims pass the semantic guards, and count at most twice a paper and once a key.
+    with it. Claims pass the semantic guards, and count at most twice a paper and once a key. names: see named_values, where they are at hand.
     """
     asked = basis.select("candidate_id", "dimension", F.col("value").alias("want")).distinct()
+    if asked.isEmpty():
+        claims, members, names = _nothing(claims), _nothing(members), None
     # Candidates share values, so claims are found and judged once a value.
-    values = asked.select("dimension", "want").distinct()
-    exact = F.col("dimension").isin(*METHODS, "comparison", "problem", "constraint", "dataset")
-    solid = claims.where(f.concrete_entity(F.col("value"))).select("paper_id", "dimension", "ord", "value", "evidence_text")
-    norm = lambda c: f.normalised(F.col("dimension"), F.col(c))
-    left = values.where(exact).withColumn("_n", norm("want")).where("_n != ''")
-    same = solid.where(exact).withColumn("_n", norm("value")).join(left, ["dimension", "_n"]).drop("_n")
-    held = values.where(~exact).join(members.select("dimension", F.col("value").alias("want"), "paper_id"), ["dimension", "want"])
-    shared = F.arrays_overlap(f.gap_terms(F.col("want")), f.gap_terms(F.concat_ws(" ", "value", "evidence_text")))
-    near = held.join(solid, ["dimension", "paper_id"]).where(shared)
-    met = same.unionByName(near)
-    w = Window.partitionBy("dimension", "want", "paper_id").orderBy("ord")
-    met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_PAPER).drop("_n")
-    met = met.where(f.semantic_guard(F.col("want"), F.col("dimension"), F.col("value"), F.col("evidence_text")))
-    met = asked.join(met, ["dimension", "want"])
+    wants = asked.select("dimension", "want").distinct()
+    met = _bearing(wants, _worded(wants, named_values(claims) if names is None else names), claims, members)
+    met = met.join(_few(asked), ["dimension", "want"])
     rows = met.select("candidate_id", "paper_id", F.col("dimension").alias("evidence_type"), "value", "evidence_text", "ord", F.lit(role).alias("role"))
     return unique_evidence(rows)
 
 
+def count_support(basis: DataFrame, claims: DataFrame, members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """candidate_id, n_support: the papers of collect_support of each candidate that has any, counted without a row for each candidate and paper.
+
+    Papers are counted once for each set of values that their claims bear; a candidate has the papers of all sets that hold a value of its basis. Claims are put in order and
+    guarded only for values that the guards look at.
+    """
+    asked = Staged(basis.select("candidate_id", "dimension", F.col("value").alias("want")).distinct(), "asked").df
+    if asked.isEmpty():
+        claims, members, names = _nothing(claims), _nothing(members), None
+    wants = Staged(asked.select("dimension", "want").distinct().withColumn("w", F.monotonically_increasing_id()), "wants").df
+    worded = _worded(wants.drop("w"), named_values(claims) if names is None else names)
+    numbered = lambda df: df.join(_few(wants), ["dimension", "want"])
+    met = claims.join(_few(Staged(numbered(worded.where("sure")).select("dimension", "value", "w"), "sure").df), ["dimension", "value"]).select("paper_id", "w")
+    rest = Staged(wants.drop("w").join(worded.where("sure"), ["dimension", "want"], "left_anti"), "unsure").df
+    if not rest.isEmpty():
+        met = met.unionByName(numbered(_bearing(rest, worded.where("not sure"), claims, members)).select("paper_id", "w"))
+    sets = met.where("paper_id is not null").groupBy("paper_id").agg(F.array_sort(F.collect_set("w")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    sets = Staged(sets.withColumn("id", F.monotonically_increasing_id()), "paper-sets").df
+    of = _few(Staged(numbered(asked).select("candidate_id", "w"), "asked-numbers").df)
+    hits = sets.select("id", "n", F.explode("s").alias("w")).join(of, "w").select("candidate_id", "id", "n").distinct()
+    return hits.groupBy("candidate_id").agg(F.sum("n").alias("n_support"))
+
+
 def unique_evidence(support: DataFrame) -> DataFrame:
     w = Window.partitionBy("candidate_id", "paper_id", "evidence_type", t.evidence_key(F.col("value")), "role").orderBy("ord")
     return support.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -405,8 +506,8 @@ def unique_basis(basis: DataFrame) -> DataFrame:
 
 
 def gate(candidates: DataFrame, support: DataFrame) -> DataFrame:
-    """candidates that at least two papers support, with n_support."""
-    n = support.groupBy("candidate_id").agg(F.countDistinct("paper_id").alias("n_support"))
+    """candidates that at least two papers support, with n_support. support: see collect_support, or counted: candidate_id, n_support."""
+    n = support if "n_support" in support.columns else support.groupBy("candidate_id").agg(F.countDistinct("paper_id").alias("n_support"))
     return candidates.join(n.where(F.col("n_support") >= MIN_PAPERS), "candidate_id")
 
 
@@ -569,7 +670,8 @@ def generate(
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie between 1 and 50")
-    anchors = Staged(record_anchors(claims, idea, idea_terms, titles), "anchors").df
+    names = named_values(claims)
+    anchors = Staged(record_anchors(claims, idea, idea_terms, titles, names), "anchors").df
     values = idea_anchor(frequency, idea, idea_terms).select("dimension", "value", "count", "prevalence", "anchored")
     values = Staged(strong_context(values, members, claims, anchors), "values").df
     terms = idea.where(F.col("dimension").isin("problem", "population", "population_or_setting", "domain")).select(F.explode(f.gap_terms(F.col("value"))).alias("w")).distinct()
@@ -578,7 +680,7 @@ def generate(
     built = [
         (*repeated_builder(members, values, "limitation"), "direct_support"), (*repeated_builder(members, values, "future_work"), "direct_support"),
         (*combination_builder(features, values, limit * 8), "contextual_support"), (*narrow_builder(members, values), "contextual_support"),
-        (*comparison_builder(claims, members, values, idea, context), "contextual_support"),
+        (*comparison_builder(claims, members, values, idea, context, names), "contextual_support"),
     ]
     held, spoken = members.select("dimension", "value", "paper_id"), claims
     if conflicts is not None:
@@ -589,14 +691,18 @@ def generate(
         built.append((rows, strong_context(named, opposed, claims, anchors).select("candidate_id", "ord", "dimension", "value", "count", "prevalence", "anchored", "strong"), "direct_support"))
         held = held.unionByName(opposed)
         spoken = spoken.unionByName(claims.where("dimension = 'outcome'").withColumn("dimension", F.lit("conflict")))
-    candidates = Staged(reduce(DataFrame.unionByName, [c for c, _, _ in built]), "candidates").df
+    candidates = Staged(reduce(DataFrame.unionByName, [c.withColumn("role", F.lit(role)) for c, _, role in built]), "candidates").df
     basis = Staged(reduce(DataFrame.unionByName, [b for _, b, _ in built]), "basis").df
-    support = [collect_support(basis.join(c.select("candidate_id"), "candidate_id", "left_semi"), spoken, held, role) for c, _, role in built]
-    support = Staged(reduce(DataFrame.unionByName, support), "support").df
-    kept = gate(candidates, support).join(relevant(basis), "candidate_id", "left_semi")
+    fit = Staged(candidates.join(relevant(basis), "candidate_id", "left_semi"), "relevant").df
+    borne = lambda of, role: basis.join(of.where(F.col("role") == role).select("candidate_id"), "candidate_id", "left_semi")
+    # Candidates that papers support directly have values of their own; the others share few values, each of very many papers, so their support is counted, and made only of what stays.
+    direct = Staged(collect_support(borne(fit, "direct_support"), spoken, held, "direct_support", names), "support").df
+    counted = direct.groupBy("candidate_id").agg(F.countDistinct("paper_id").alias("n_support"), F.count(F.lit(1)).cast("int").alias("n_direct"))
+    others = count_support(borne(fit, "contextual_support"), claims, members, names).withColumn("n_direct", F.lit(0))
+    n = Staged(counted.unionByName(others), "counted").df
+    kept = gate(fit, n.drop("n_direct"))
     kept = prioritise(relevance(kept, basis, idea_terms), basis)
-    direct = support.groupBy("candidate_id").agg(F.count_if(F.col("role") == "direct_support").cast("int").alias("n_direct"))
-    kept = Staged(kept.join(direct, "candidate_id"), "kept").df
+    kept = Staged(kept.join(n.select("candidate_id", "n_direct"), "candidate_id"), "kept").df
     # All of them have a basis, so none is compared by its papers, and those are never gathered.
     none = F.array().cast("array<string>").alias("paper_ids")
     roots = consolidate(kept.select("candidate_id", "category", "pattern_type", "title", "description", "keys", none, "n_support", "n_direct"))
@@ -606,4 +712,5 @@ def generate(
     best = first.orderBy(*order).limit(limit)
     best = Staged(best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))), "generated").df
     mine = lambda df: df.join(best.select("candidate_id"), "candidate_id", "left_semi")
-    return best.drop("n_direct"), mine(basis), mine(support)
+    support = mine(direct).unionByName(collect_support(borne(best, "contextual_support"), claims, members, "contextual_support", names))
+    return best.drop("n_direct", "role"), mine(basis), support

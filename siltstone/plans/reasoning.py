@@ -359,16 +359,11 @@ def _lines(spark, sf_dir):
     return sets, lines, Staged(landscape.frequencies(lines, sets.select("paper_id"), once=True), "frequencies").df
 
 
-def _landscape(spark, sf_dir):
-    """Order lines as papers: features, claims, members and frequencies, each written once."""
-    sets, lines, freq = _lines(spark, sf_dir)
-    return lines, _claims(spark, sf_dir, lines), landscape.members(lines, once=True), freq
-
-
 def gap_candidates(spark, sf_dir):
     """What all builders propose for the idea from order lines, with their support and relevance: the first 50."""
-    lines, claims, members, freq = _landscape(spark, sf_dir)
-    out, _, _ = gaps.generate(lines, 0, freq, members, claims, _idea(spark), _terms(spark), limit=50)
+    sets, lines, freq = _lines(spark, sf_dir)
+    members = landscape.members(lines, once=True)
+    out, _, _ = gaps.generate(sets, 0, freq, members, _claims(spark, sf_dir, lines), _idea(spark), _terms(spark), limit=50)
     return out.select("rank", "candidate_id", "pattern_type", "title", "n_support", F.round("idea_relevance", 6).alias("idea_relevance"), F.round("idea_anchor_score", 6).alias("idea_anchor_score"))
 
 
