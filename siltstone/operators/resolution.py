@@ -178,7 +178,9 @@ class _Block:
             self.members.setdefault(r, []).append(o)
             self.dois.setdefault(r, set()).update(d)
             self.people.setdefault(r, set()).add(tuple(a))
-        self.tokens = {r: {w for names in lists for name in names for w in t.author_tokens(name)} for r, lists in self.people.items()}
+        words = {names: {w for name in names for w in t.author_tokens(name)} for names in {a for lists in self.people.values() for a in lists}}
+        self.tokens = {r: set().union(*(words[names] for names in lists)) for r, lists in self.people.items()}
+        self.matching: dict[tuple, bool] = {}
         for r, words in self.tokens.items():
             for w in words:
                 self.by_token.setdefault(w, set()).add(r)
@@ -205,7 +207,13 @@ class _Block:
     def fits(self, x: int, y: int) -> bool:
         if not self.dois[x] or not self.dois[y] or self.dois[x] & self.dois[y]:
             return True
-        return any(t.authors_match(list(a), list(b)) for a in self.people[x] for b in self.people[y])
+        return any(self.match(a, b) for a in self.people[x] for b in self.people[y])
+
+    def match(self, a: tuple, b: tuple) -> bool:
+        """Whether two author lists match, found once for each two lists."""
+        if (a, b) not in self.matching:
+            self.matching[a, b] = t.authors_match(list(a), list(b))
+        return self.matching[a, b]
 
     def candidates(self, mine: int, identity: str) -> list[int]:
         """Places of the known clusters that may be the same as this one or fit it, in order: all fit one without DOIs, so the first is enough."""
@@ -213,7 +221,12 @@ class _Block:
             return [0]
         bare = {i for i in self.bare[identity] if not self.dois[self.parent[self.known[identity][i]]]}
         self.bare[identity] = bare
-        near = {mine}.union(*(self.by_token[w] for w in self.tokens[mine]))
+        words, known = self.tokens[mine], self.known[identity]
+        # A word that many clusters of the block have leads to more of them than are known by the title and year.
+        if len(known) <= sum(len(self.by_token[w]) for w in words):
+            near = {r for r in map(self.parent.get, known) if r == mine or not words.isdisjoint(self.tokens[r])}
+        else:
+            near = {mine}.union(*(self.by_token[w] for w in words))
         return sorted(bare | {self.place[r][identity] for r in near if identity in self.place.get(r, ())})
 
     def meet(self, o: int, identity: str) -> None:
@@ -323,7 +336,9 @@ def decide(blocked: DataFrame, near: DataFrame, large: int = LARGE) -> DataFrame
 
 def resolve(papers: DataFrame) -> DataFrame:
     """ord, root for every record: root is the first record of its work."""
-    base = Staged(title_identity(papers).join(clusters_by_id(papers), "ord"), "clusters").df
+    # What decides, without abstracts.
+    told = title_identity(papers).select("ord", "title_key", "publication_year", "has_identity", "doi", "doi_aliases", "authors")
+    base = Staged(told.join(clusters_by_id(papers), "ord"), "clusters").df
     near = Staged(near_title_pairs(papers), "near").df
     identity = F.when(F.col("has_identity"), F.concat_ws("|", "title_key", "publication_year"))
     dois = F.array_distinct(F.filter(F.transform(F.concat(F.array("doi"), F.coalesce("doi_aliases", F.array().cast("array<string>"))), t.doi_key), lambda x: x != ""))

@@ -1,7 +1,11 @@
+import random
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import gaps, landscape
+from siltstone.operators import gaps, landscape, resolution
 
 
 @pytest.fixture
@@ -65,3 +69,36 @@ def test_values_that_few_anchored_papers_hold_are_settled_in_all_papers(spark, m
     strong = lambda claims: {r.value for r in gaps.strong_context(values, members, claims, anchors).where("strong").collect()}
     assert strong(claims) == {"a", "b", "c"}
     assert strong(claims.withColumn("evidence_text", F.lit("too little d"))) == {"a", "b", "c", "d"}
+
+
+def test_a_block_whose_authors_share_a_word_is_decided_in_linear_time():
+    """Records of one title with DOIs of their own, by five people of one first name: each record meets the few known works, not all that have the name."""
+    names = ["abel", "bat", "cook", "dean", "east"]
+    n = 20_000
+    rows = [(i, i, "t|2000", [f"10.1/{i}"], [f"Ann {names[i * i % 11 % 5]}"]) for i in range(n)]
+    block = resolution._Block(pd.DataFrame(rows, columns=["ord", "root", "title_year", "dois", "authors"]))
+    assert len(block.by_token["ann"]) == n
+    began = time.process_time()
+    for o in block.order:
+        block.meet(o, "t|2000")
+    took = time.process_time() - began
+    assert {block.parent[o] for o in block.order} == {next(r[0] for r in rows if r[4] == [f"Ann {x}"]) for x in {names[i * i % 11 % 5] for i in range(n)}}
+    # Quadratic work takes half a minute here.
+    assert took < 10
+
+
+def test_blocks_are_decided_as_by_meeting_every_known_cluster(monkeypatch):
+    """The clusters that a record meets are the same whether they are found among the known ones or by words of names."""
+    made = random.Random(4)
+    people = ["abel", "bat", "bell", "cook", "east dove", "xavier young"]
+    for _ in range(60):
+        rows, first = [], {}
+        for i in range(50):
+            doi = [] if made.random() < 0.15 else [f"10.1/{made.randrange(40)}"]
+            rows.append((i, first.setdefault(doi[0], i) if doi else i, f"t|{2000 + made.randrange(2)}", doi, [f"Ann {made.choice(people)}"]))
+        df = pd.DataFrame(rows, columns=["ord", "root", "title_year", "dois", "authors"])
+        near = {tuple(sorted(made.sample(range(50), 2))) for _ in range(5)}
+        got = resolution.decide_block(df, near)
+        with monkeypatch.context() as m:
+            m.setattr(resolution._Block, "candidates", lambda self, mine, identity: list(range(len(self.known[identity]))))
+            assert resolution.decide_block(df, near) == got
