@@ -173,7 +173,8 @@ class _Block:
         self.members: dict[int, list[int]] = {}
         self.dois: dict[int, set] = {}
         self.people: dict[int, set[tuple]] = {}
-        self.by_token: dict[str, set[int]] = {}
+        #: For each title and year and word of a name, the clusters known there that have it.
+        self.by_token: dict[tuple[str, str], set[int]] = {}
         for o, r, d, a in zip(self.order, rows["root"], rows["dois"], rows["authors"]):
             self.members.setdefault(r, []).append(o)
             self.dois.setdefault(r, set()).update(d)
@@ -181,9 +182,6 @@ class _Block:
         words = {names: {w for name in names for w in t.author_tokens(name)} for names in {a for lists in self.people.values() for a in lists}}
         self.tokens = {r: set().union(*(words[names] for names in lists)) for r, lists in self.people.items()}
         self.matching: dict[tuple, bool] = {}
-        for r, words in self.tokens.items():
-            for w in words:
-                self.by_token.setdefault(w, set()).add(r)
         #: For each title and year the clusters known by it, and where each cluster stands there.
         self.known: dict[str, list[int]] = {}
         self.place: dict[int, dict[str, int]] = {}
@@ -196,13 +194,20 @@ class _Block:
             self.members[low].append(o)
         self.dois[low] |= self.dois.pop(high)
         self.people[low] |= self.people.pop(high)
-        for w in self.tokens[high]:
-            self.by_token[w].discard(high)
-            self.by_token[w].add(low)
-        self.tokens[low] |= self.tokens.pop(high)
+        theirs, words = self.place.pop(high, {}), self.tokens.pop(high)
+        for identity in theirs:
+            for w in words:
+                self.by_token[identity, w].discard(high)
+        self.tokens[low] |= words
         mine = self.place.setdefault(low, {})
-        for identity, at in self.place.pop(high, {}).items():
+        for identity, at in theirs.items():
             mine[identity] = min(at, mine.get(identity, at))
+        for identity in mine:
+            self.index(low, identity)
+
+    def index(self, root: int, identity: str) -> None:
+        for w in self.tokens[root]:
+            self.by_token.setdefault((identity, w), set()).add(root)
 
     def fits(self, x: int, y: int) -> bool:
         if not self.dois[x] or not self.dois[y] or self.dois[x] & self.dois[y]:
@@ -221,12 +226,7 @@ class _Block:
             return [0]
         bare = {i for i in self.bare[identity] if not self.dois[self.parent[self.known[identity][i]]]}
         self.bare[identity] = bare
-        words, known = self.tokens[mine], self.known[identity]
-        # A word that many clusters of the block have leads to more of them than are known by the title and year.
-        if len(known) <= sum(len(self.by_token[w]) for w in words):
-            near = {r for r in map(self.parent.get, known) if r == mine or not words.isdisjoint(self.tokens[r])}
-        else:
-            near = {mine}.union(*(self.by_token[w] for w in words))
+        near = {mine}.union(*(self.by_token.get((identity, w), ()) for w in self.tokens[mine]))
         return sorted(bare | {self.place[r][identity] for r in near if identity in self.place.get(r, ())})
 
     def meet(self, o: int, identity: str) -> None:
@@ -241,6 +241,7 @@ class _Block:
                 self.join(mine, theirs)
                 return
         self.place.setdefault(mine, {}).setdefault(identity, len(known))
+        self.index(mine, identity)
         if not self.dois[mine]:
             self.bare[identity].add(len(known))
         known.append(mine)
